@@ -61,6 +61,14 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return hit
 
 
+def count_found(text: Column, words: Sequence[str]) -> Column:
+    """How many of the words are substrings of the text."""
+    total = F.lit(0)
+    for word in words:
+        total = total + text.contains(word).cast("int")
+    return total
+
+
 def words_found(text: Column, words: Sequence[str]) -> Column:
     """The words, in list order, that are substrings of the text."""
     return F.filter(word_array(words), lambda w: F.contains(text, w))

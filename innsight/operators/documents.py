@@ -146,14 +146,17 @@ def namespace_summary(documents: DataFrame) -> DataFrame:
     )
 
 
-def merge_documents(
-    current: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("namespace", "doc_id"),
-    version_col: str = "version",
+def latest_versions(
+    documents: DataFrame, keys: tuple[str, ...] = ("namespace", "doc_id"), version_col: str = "version"
 ) -> DataFrame:
-    """Upsert by key: the row with the latest version stays."""
-    window = Window.partitionBy(*keys).orderBy(F.desc(version_col))
-    both = current.unionByName(incoming, allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
+    """One row per key: the one with the latest version, ties by text."""
+    window = Window.partitionBy(*keys).orderBy(F.desc(version_col), "text")
+    return documents.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
+
+
+def merge_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Upsert by namespace and id."""
+    return latest_versions(current.unionByName(incoming, allowMissingColumns=True))
 
 
 def clear_namespaces(documents: DataFrame, namespaces: list[str]) -> DataFrame:

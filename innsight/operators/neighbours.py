@@ -243,6 +243,21 @@ def top_neighbours(
     return rank_neighbours(scored, k)
 
 
+def members(neighbours: DataFrame) -> DataFrame:
+    """Who is compared: each target with itself and with its neighbours.
+
+    ``(property_id, member_id, side)``; one pass over the ranked neighbours.
+    """
+    def member(name: str, side: str) -> Column:
+        return F.struct(F.col(name).alias("member_id"), F.lit(side).alias("side"))
+
+    neighbour = member("neighbor_property_id", "neighbors")
+    both = F.when(F.col("rank") == 1, F.array(neighbour, member("property_id", "target"))).otherwise(
+        F.array(neighbour)
+    )
+    return neighbours.select("property_id", F.inline(both))
+
+
 def similarity_stats(neighbours: DataFrame) -> DataFrame:
     """Number, mean, least and greatest similarity of the neighbours of each property."""
     return neighbours.groupBy("property_id").agg(

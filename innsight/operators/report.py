@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from innsight.fixed_values import EVIDENCE_CHARS
 from innsight.functions import text as tx
+from innsight.operators.neighbours import members
 from innsight.operators.topics import resolve_topic
 
 EVIDENCE_FIELDS = [
@@ -57,18 +58,19 @@ def topic_gaps(enriched: DataFrame, neighbours: DataFrame, min_assignments: int
     A topic seen on one side only counts as rate zero on the other. ``min_assignments``
     leaves out topics with fewer assignments on both sides together.
     """
-    counts = topic_counts(enriched)
-    targets = neighbours.select("property_id").distinct()
-    own = counts.join(targets, "property_id", "left_semi").select(
-        "property_id", "topic", *[F.col(c).alias(f"target_{c}") for c in _COUNTS]
-    )
-    around = (
-        neighbours.select("property_id", "neighbor_property_id")
-        .join(counts.withColumnRenamed("property_id", "neighbor_property_id"), "neighbor_property_id")
+    counts = topic_counts(enriched).withColumnRenamed("property_id", "member_id")
+    both = (
+        members(neighbours)
+        .join(counts, "member_id")
         .groupBy("property_id", "topic")
-        .agg(*[F.sum(c).alias(f"neighbors_{c}") for c in _COUNTS])
+        .agg(
+            *[
+                F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0)).alias(f"{side}_{c}")
+                for side in ("target", "neighbors")
+                for c in _COUNTS
+            ]
+        )
     )
-    both = own.join(around, ["property_id", "topic"], "full_outer").na.fill(0)
     for side in ("target", "neighbors"):
         both = both.withColumn(
             f"{side}_negative_rate",
@@ -114,22 +116,12 @@ def topic_evidence(enriched: DataFrame, neighbours: DataFrame, k: int = 3) -> Da
     """
     labelled = enriched.filter(F.col("sentiment_label").isin("positive", "negative"))
     sentences = labelled.withColumnRenamed("property_id", "evidence_property_id")
-    best = _best(sentences, ["evidence_property_id", "topic", "sentiment_label"], k)
-    targets = neighbours.select("property_id").distinct()
-    own = (
-        best.join(
-            targets.withColumnRenamed("property_id", "evidence_property_id"), "evidence_property_id", "left_semi"
-        )
-        .withColumn("property_id", F.col("evidence_property_id"))
-        .withColumn("role", F.concat(F.lit("target_"), F.col("sentiment_label")))
-    )
-    around = neighbours.select("property_id", F.col("neighbor_property_id").alias("evidence_property_id")).join(
-        best.drop("evidence_rank"), "evidence_property_id"
+    best = _best(sentences, ["evidence_property_id", "topic", "sentiment_label"], k).drop("evidence_rank")
+    shown = members(neighbours).withColumnRenamed("member_id", "evidence_property_id").join(
+        best, "evidence_property_id"
     )
-    around = _best(around, ["property_id", "topic", "sentiment_label"], k).withColumn(
-        "role", F.concat(F.lit("neighbors_"), F.col("sentiment_label"))
-    )
-    return own.unionByName(around).select(
+    roles = shown.withColumn("role", F.concat_ws("_", "side", "sentiment_label"))
+    return _best(roles, ["property_id", "topic", "role"], k).select(
         "property_id", "topic", F.col("role").alias("evidence_role"), "evidence_rank",
         "evidence_property_id", "review_idx", "sent_idx", "sentence_id", "topic_similarity",
         "sentiment_label", "sentence_text",
@@ -151,13 +143,14 @@ def with_examples(topics: DataFrame, evidence: DataFrame) -> DataFrame:
     grouped = evidence.groupBy("property_id", "topic").agg(ordered.alias("items"))
     joined = topics.join(grouped, ["property_id", "topic"], "left")
     for role in ROLES:
-        of_role = F.transform(
-            F.filter("items", lambda x, role=role: x["evidence_role"] == role), lambda x: x["item"]
-        )
-        joined = joined.withColumn(f"{role}_examples", F.coalesce(of_role, F.slice(of_role, 1, 0), _no_items(evidence)))
+        joined = joined.withColumn(f"{role}_examples", F.coalesce(_of_role(role), _no_items(evidence)))
     return joined.drop("items")
 
 
+def _of_role(role: str) -> Column:
+    return F.transform(F.filter("items", lambda x: x["evidence_role"] == role), lambda x: x["item"])
+
+
 def _no_items(evidence: DataFrame) -> Column:
     kinds = ",".join(
         f"{c}:{evidence.schema['evidence_property_id' if c == 'property_id' else c].dataType.simpleString()}"

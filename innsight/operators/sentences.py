@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions import text as tx
 from innsight.functions.reviews import json_reviews
+from innsight.operators.neighbours import members
 
 _TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -55,17 +56,21 @@ def sentence_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("||", *[p.cast("string") for p in parts]), 256)
 
 
-def split_sentences(reviews: DataFrame) -> DataFrame:
-    """One row per non-empty sentence, numbered within its review, with a content id."""
+def split_sentences(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per non-empty sentence, numbered within its review, with a content id.
+
+    ``keep`` names review columns to carry along.
+    """
     exploded = reviews.select(
         "property_id",
         "review_idx",
+        *keep,
         F.posexplode(tx.sentences(F.col("review_text"))).alias("sent_idx", "sentence_text"),
     ).filter(F.length("sentence_text") > 0)
     return exploded.withColumn(
         "sentence_id",
         sentence_id(F.col("property_id"), F.col("review_idx"), F.col("sent_idx"), F.col("sentence_text")),
-    ).select("property_id", "review_idx", "sent_idx", "sentence_id", "sentence_text")
+    ).select("property_id", "review_idx", "sent_idx", "sentence_id", "sentence_text", *keep)
 
 
 def lexicon_sentiment(
@@ -147,16 +152,13 @@ def distinct_sentences(sentences: DataFrame) -> DataFrame:
 
 def sentence_volume(sentences: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Distinct sentences of each target and of all its neighbours together."""
-    volume = distinct_sentences(sentences)
-    around = (
-        neighbours.join(
-            volume.withColumnRenamed("property_id", "neighbor_property_id"), "neighbor_property_id", "left"
-        )
-        .groupBy("property_id")
-        .agg(F.coalesce(F.sum("distinct_sentences"), F.lit(0)).alias("neighbors_distinct_sentences_used"))
-    )
-    return around.join(volume, "property_id", "left").select(
-        "property_id",
-        F.coalesce("distinct_sentences", F.lit(0)).alias("target_distinct_sentences_used"),
-        "neighbors_distinct_sentences_used",
+    volume = distinct_sentences(sentences).withColumnRenamed("property_id", "member_id")
+    joined = members(neighbours).join(volume, "member_id", "left")
+
+    def of(side: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col("distinct_sentences"))), F.lit(0))
+
+    return joined.groupBy("property_id").agg(
+        of("target").alias("target_distinct_sentences_used"),
+        of("neighbors").alias("neighbors_distinct_sentences_used"),
     )

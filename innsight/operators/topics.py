@@ -17,6 +17,9 @@ from innsight.sources.shared import collect_small
 # A topic list is a dictionary, not data: it rides along with the function.
 MAX_TOPICS = 10_000
 
+ASSIGNMENT_KEY = ("property_id", "sentence_id")
+SENTENCE_COLUMNS = ("property_id", "review_idx", "sent_idx", "sentence_id", "sentiment_label", "sentence_text")
+
 
 def _topic_scorer(names: list[str], matrix: np.ndarray, threshold: float, top_n: int | None):
     order = np.array(names, dtype=object)
@@ -49,12 +52,14 @@ def topics_by_vector(
     max_non_ascii: float = 0.20,
     partitions: int | None = None,
     vector_col: str = "vector",
+    keep: Sequence[str] = ASSIGNMENT_KEY,
 ) -> DataFrame:
-    """Best topics per sentence: ``(property_id, sentence_id, topic, topic_similarity)``.
+    """Best topics per sentence: ``(*keep, topic, topic_similarity)``.
 
     ``topics`` holds ``(topic, vector)``. Each sentence is scored against the whole topic
     matrix in one product and only its best topics become rows, so the step needs no
     join and no shuffle. Sentences that are not English-like or have no vector are left out.
+    Name all sentence columns in ``keep`` to get the enriched sentences straight away.
     """
     rows = collect_small(topics.select("topic", F.col(vector_col).alias("vector")), MAX_TOPICS, "topics")
     rows = [r for r in rows if np.any(np.asarray(r["vector"], dtype=float))]
@@ -67,22 +72,19 @@ def topics_by_vector(
     )
     if partitions is not None:
         base = base.repartition(partitions)
-    return base.select(
-        "property_id", "sentence_id", F.inline(score(F.col(vector_col).cast("array<double>")))
-    )
+    return base.select(*keep, F.inline(score(F.col(vector_col).cast("array<double>"))))
 
 
 def topics_by_keyword(
     sentences: DataFrame, keywords: dict[str, Sequence[str]], *, top_n: int | None = 2,
-    max_non_ascii: float = 0.20, id_cols: tuple[str, ...] = ("property_id", "sentence_id"),
-    text_col: str = "sentence_text",
+    max_non_ascii: float = 0.20, keep: Sequence[str] = ASSIGNMENT_KEY, text_col: str = "sentence_text",
 ) -> DataFrame:
     """Best topics per sentence, the similarity being the share of a topic's keywords it holds."""
     text = F.lower(F.col(text_col))
     scored = F.array(
         *[
             F.struct(
-                (-F.size(tx.words_found(text, words)) / F.lit(len(words))).alias("minus"),
+                (-tx.count_found(text, words) / F.lit(len(words))).alias("minus"),
                 F.lit(topic).alias("topic"),
             )
             for topic, words in keywords.items()
@@ -92,8 +94,8 @@ def topics_by_keyword(
     best = best if top_n is None else F.slice(best, 1, top_n)
     return (
         sentences.filter(tx.english_like(F.col(text_col), max_non_ascii))
-        .select(*id_cols, F.inline(best))
-        .select(*id_cols, "topic", (-F.col("minus")).alias("topic_similarity"))
+        .select(*keep, F.inline(best))
+        .select(*keep, "topic", (-F.col("minus")).alias("topic_similarity"))
     )
 
 

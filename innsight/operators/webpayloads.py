@@ -95,7 +95,7 @@ def search_results(payloads: DataFrame, payload_col: str = "payload", limit: int
 def rank_by_keywords(results: DataFrame, keywords: Sequence[str], keys: Sequence[str] = ("request_id",)) -> DataFrame:
     """Order hits by the number of keywords in title and snippet, keeping the old order in ties."""
     text = F.lower(F.concat_ws(" ", "title", "snippet"))
-    scored = results.withColumn("relevance", F.size(tx.words_found(text, [w.lower() for w in keywords])))
+    scored = results.withColumn("relevance", tx.count_found(text, [w.lower() for w in keywords]))
     window = Window.partitionBy(*keys).orderBy(F.desc("relevance"), "pos")
     return scored.withColumn("position", F.row_number().over(window))
 

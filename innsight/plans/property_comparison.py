@@ -39,20 +39,24 @@ class Comparison:
 
 def involved_properties(neighbours: DataFrame) -> DataFrame:
     """Targets and their neighbours, each once."""
-    return (
-        neighbours.select("property_id")
-        .unionByName(neighbours.select(F.col("neighbor_property_id").alias("property_id")))
-        .distinct()
-    )
+    return nb.members(neighbours).select(F.col("member_id").alias("property_id")).distinct()
 
 
 def embedding_tagger(
     topics: DataFrame, model, *, threshold: float, top_n: int, max_non_ascii: float
 ) -> Step:
-    """Topic tagging by a fitted embedding: topics and sentences go through the same model."""
+    """Tagging by a fitted embedding: topics and sentences go through the same model."""
     vectors = st.embed(topics.withColumn("sentence_text", F.col("topic")), model).select("topic", "vector")
     return lambda sentences: tp.topics_by_vector(
-        st.embed(sentences, model), vectors, threshold=threshold, top_n=top_n, max_non_ascii=max_non_ascii
+        st.embed(sentences, model), vectors, threshold=threshold, top_n=top_n, max_non_ascii=max_non_ascii,
+        keep=tp.SENTENCE_COLUMNS,
+    )
+
+
+def keyword_tagger(keywords: dict, top_n: int = 2, max_non_ascii: float = 0.20) -> Step:
+    """Tagging by the share of a topic's keywords found in a sentence."""
+    return lambda sentences: tp.topics_by_keyword(
+        sentences, keywords, top_n=top_n, max_non_ascii=max_non_ascii, keep=tp.SENTENCE_COLUMNS
     )
 
 
@@ -69,6 +73,9 @@ def compare_properties(
 ) -> Comparison:
     """Compare all listings, or those in ``targets``, with their neighbours.
 
+    ``tag_topics`` turns sentences into one row per sentence and topic, with all sentence
+    columns (see :func:`embedding_tagger` and :func:`keyword_tagger`).
+
     Only listings that are a target or a neighbour have their reviews split. The tagged
     sentences are kept for the aggregates that share them; they are recomputed where an
     executor is lost.
@@ -87,7 +94,7 @@ def compare_properties(
     if keep_sentences:
         sentences = sentences.persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(sentences)
-    enriched = rp.enrich(sentences, tag_topics(sentences))
+    enriched = tag_topics(sentences)
     if keep_sentences:
         enriched = enriched.persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(enriched)

@@ -68,7 +68,10 @@ def explain_property(listings: DataFrame, property_id: str, rates: DataFrame, to
     )
     df, numerics, categoricals = feature_frame(area, rates)
     df = df.persist()
-    fitted = fit_ratings(df, numerics, categoricals, leave_out=str(property_id))
+    try:
+        fitted = fit_ratings(df, numerics, categoricals, leave_out=str(property_id))
+    finally:
+        df.unpersist()
     return explain_all(df.filter(F.col("property_id") == str(property_id)), fitted, top_k)
 
 

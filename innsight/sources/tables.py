@@ -6,12 +6,12 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import ERROR_MESSAGE_CHARS
 from innsight.functions import text as tx
-from innsight.operators.documents import merge_documents
+from innsight.operators.documents import latest_versions
 from innsight.operators.report import capped_evidence
 from innsight.sources.shared import shared_folder
 
@@ -46,6 +46,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan gives fewer tasks than there are cores.
+
+    Meant ahead of expensive work per row on a few files; a scan of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def source_counts(sources: dict[str, DataFrame]) -> DataFrame:
     """Rows per source, counted in one job."""
     counts = [df.agg(F.count("*").alias("rows")).withColumn("source", F.lit(name)) for name, df in sources.items()]
@@ -163,7 +172,7 @@ def upsert_documents(spark: SparkSession, path: str, incoming: DataFrame, versio
         touched = stamped.select("namespace").distinct()
         current = spark.read.parquet(path).join(touched, "namespace", "left_semi")
         merged = current.unionByName(stamped, allowMissingColumns=True)
-    latest = merge_documents(merged.limit(0), merged)
+    latest = latest_versions(merged)
     staging = shared_folder(spark, "documents")
     latest.write.partitionBy("namespace").parquet(staging)
     (
@@ -209,8 +218,3 @@ def parse_params(params_json: str, defaults: dict) -> dict:
     if not isinstance(given, dict):
         raise ValueError("parameters must be a JSON object")
     return {**defaults, **given}
-
-
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
