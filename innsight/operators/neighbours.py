@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions import vectors
 
-# Rows per block of a cell. Two blocks of 64 doubles are 2 MB each; a pair of blocks is
-# one matrix product, and only the best k per target leave it.
+# Rows per block of a cell: a block of targets and a block of candidates are one matrix
+# product, and only the best k per target leave it.
 BLOCK_ROWS = 4096
 # Similarities are compared at this many digits, so that equal vectors tie whatever the
 # order of summation was; ties go to the smaller id.
@@ -112,30 +113,6 @@ def sampling_fraction(n: Column, cap: int, oversample: float = 1.7) -> Column:
     return F.least(F.lit(1.0), F.lit(cap * oversample) / F.greatest(n.cast("double"), F.lit(1.0)))
 
 
-def _packed(rows: DataFrame, part: str, prefix: str) -> DataFrame:
-    """One row per block: its ids and its vectors laid end to end."""
-    members = F.array_sort(F.collect_list(F.struct("property_id", "vec")))
-    return (
-        rows.groupBy(*_CELL, part)
-        .agg(members.alias("members"))
-        .select(
-            *_CELL,
-            part,
-            F.transform("members", lambda m: m["property_id"]).alias(prefix + "_ids"),
-            F.flatten(F.transform("members", lambda m: m["vec"])).alias(prefix + "_values"),
-        )
-    )
-
-
-def _with_block(rows: DataFrame, sizes: DataFrame, parts: str, part: str, block_rows: int) -> DataFrame:
-    """Spread each cell's rows over as many blocks as its size asks for."""
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    return (
-        rows.join(sizes.select(*_CELL, blocks.alias(parts)), _CELL)
-        .withColumn(part, F.pmod(F.xxhash64("property_id"), F.col(parts)).cast("int"))
-    )
-
-
 def best_columns(scores: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of ``scores`` the columns of its ``k`` best entries, best first."""
     width = scores.shape[1]
@@ -150,36 +127,36 @@ def best_columns(scores: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[
         yield row, picked[np.lexsort((ids[picked], -line[picked]))][:k]
 
 
-def _unit_rows(values: np.ndarray, rows: int) -> np.ndarray:
-    matrix = values.reshape(rows, -1)
+def unit_rows(vectors_column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of an Arrow list column as rows of length one."""
+    flat = pa.compute.list_flatten(vectors_column).to_numpy()
+    matrix = flat.reshape(len(vectors_column), -1)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _score_block_pairs(k: int):
-    """Arrow function: block pairs in, the best ``k`` candidates per target of the pair out."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                target_ids = np.array(batch["target_ids"][i].as_py(), dtype=object)
-                ids = np.array(batch["ids"][i].as_py(), dtype=object)
-                targets = _unit_rows(batch["target_values"][i].values.to_numpy(), len(target_ids))
-                candidates = _unit_rows(batch["values"][i].values.to_numpy(), len(ids))
-                scores = np.round(targets @ candidates.T, TIE_DIGITS)
-                scores[target_ids[:, None] == ids[None, :]] = -np.inf
-                out_targets, out_ids, out_scores = [], [], []
-                for row, picked in best_columns(scores, k, ids):
-                    out_targets.extend([target_ids[row]] * len(picked))
-                    out_ids.extend(ids[picked])
-                    out_scores.extend(scores[row, picked])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out_targets, pa.string()),
-                        pa.array(out_ids, pa.string()),
-                        pa.array(out_scores, pa.float64()),
-                    ],
-                    names=["property_id", "neighbor_property_id", "similarity"],
-                )
+def _score_block(k: int):
+    """Arrow function: targets and candidates of one block in, the best ``k`` per target out."""
+
+    def score(rows: pa.Table) -> pa.Table:
+        asked = rows.filter(pa.compute.field("is_target"))
+        known = rows.filter(~pa.compute.field("is_target"))
+        out = {"property_id": [], "neighbor_property_id": [], "similarity": []}
+        if asked.num_rows and known.num_rows:
+            target_ids = np.array(asked["property_id"].to_pylist(), dtype=object)
+            ids = np.array(known["property_id"].to_pylist(), dtype=object)
+            scores = np.round(unit_rows(asked["vec"]) @ unit_rows(known["vec"]).T, TIE_DIGITS)
+            scores[target_ids[:, None] == ids[None, :]] = -np.inf
+            for row, picked in best_columns(scores, k, ids):
+                out["property_id"].extend([target_ids[row]] * len(picked))
+                out["neighbor_property_id"].extend(ids[picked])
+                out["similarity"].extend(scores[row, picked])
+        return pa.table(
+            {
+                "property_id": pa.array(out["property_id"], pa.string()),
+                "neighbor_property_id": pa.array(out["neighbor_property_id"], pa.string()),
+                "similarity": pa.array(out["similarity"], pa.float64()),
+            }
+        )
 
     return score
 
@@ -203,46 +180,82 @@ def top_neighbours(
 ) -> DataFrame:
     """Nearest listings of the same cell: ``(property_id, neighbor_property_id, similarity, rank)``.
 
-    Works for all listings or for those in ``targets``. A cell is cut into blocks by its
-    size, each target block meets each candidate block of the cell once, and a pair hands
-    on only its k best per target: no pair of listings is ever a row, and a cell with a
-    third of all listings becomes many tasks of equal size. ``max_candidates`` switches
-    to the sampled search, which scores a repeatable sample of each cell only.
+    Works for all listings or for those in ``targets``. Each cell is cut into blocks by its
+    size; every block of targets meets every block of candidates in one group of bounded
+    size, which hands on the k best per target only. No pair of listings is ever a row, and
+    a cell with a third of all listings becomes many tasks of equal size.
+    ``max_candidates`` switches to the sampled search, which scores a repeatable sample of
+    each cell only.
     """
     usable = usable_vectors(listings, vec_col)
-    usable = usable.withColumn("vec", _vector(usable, vec_col))
-    wanted = target_cells(usable, id_col, ("vec",)).filter(F.col("cell").isNotNull())
-    if targets is not None:
-        ids = targets.select(F.col("property_id").cast("string").alias("property_id")).distinct()
-        wanted = wanted.join(ids, "property_id", "left_semi")
-
-    target_sizes = wanted.groupBy(*_CELL).agg(F.count("*").alias("n"))
-    candidates = listing_cells(usable, id_col, keep=("vec",)).join(
-        target_sizes.select(*_CELL), _CELL, "left_semi"
-    )
+    entries = _entries(usable.withColumn("vec", _vector(usable, vec_col)), targets, id_col)
     if max_candidates is not None:
-        # one more than asked for, so that leaving out the target itself still fills the cap
-        candidates = sample_candidates(candidates, max_candidates + 1, _CELL, seed=seed)
-    sizes = candidates.groupBy(*_CELL).agg(F.count("*").alias("n"))
-
-    blocks = _packed(_with_block(candidates, sizes, "blocks", "block", block_rows), "block", "c")
-    chunks = _packed(_with_block(wanted, target_sizes, "chunks", "chunk", block_rows), "chunk", "t")
-    per_block = chunks.join(
-        sizes.select(*_CELL, F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks")), _CELL
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    pairs = per_block.join(blocks, [*_CELL, "block"]).select(
-        F.col("t_ids").alias("target_ids"),
-        F.col("t_values").alias("target_values"),
-        F.col("c_ids").alias("ids"),
-        F.col("c_values").alias("values"),
+        entries = _sampled(entries, max_candidates, seed)
+    blocks = F.ceil(F.count_if(~F.col("is_target")) / F.lit(block_rows)).cast("int")
+    chunks = F.ceil(F.count_if(F.col("is_target")) / F.lit(block_rows)).cast("int")
+    sizes = (
+        entries.groupBy(*_CELL)
+        .agg(blocks.alias("blocks"), chunks.alias("chunks"))
+        .filter((F.col("blocks") > 0) & (F.col("chunks") > 0))
     )
-    scored = pairs.mapInArrow(
-        _score_block_pairs(k), "property_id string, neighbor_property_id string, similarity double"
+
+    def own(parts: str) -> Column:
+        return F.array(F.pmod(F.xxhash64("property_id"), F.col(parts)).cast("int"))
+
+    def every(parts: str) -> Column:
+        return F.sequence(F.lit(0), F.col(parts) - 1)
+
+    is_target = F.col("is_target")
+    placed = (
+        entries.join(sizes, _CELL)
+        .withColumn("block", F.explode(F.when(is_target, every("blocks")).otherwise(own("blocks"))))
+        .withColumn("chunk", F.explode(F.when(is_target, own("chunks")).otherwise(every("chunks"))))
+        .select(*_CELL, "block", "chunk", "property_id", "vec", "is_target")
+    )
+    scored = placed.groupBy(*_CELL, "block", "chunk").applyInArrow(
+        _score_block(k), "property_id string, neighbor_property_id string, similarity double"
     )
     return rank_neighbours(scored, k)
 
 
+def _entries(listings: DataFrame, targets: DataFrame | None, id_col: str) -> DataFrame:
+    """Every listing once per cell it lies in, and once as a target of the cell it asks about."""
+    own_cell = F.struct(
+        F.col("geo_bucket_res").cast("int").alias("res"),
+        F.col(geo_column(listings)).cast("string").alias("cell"),
+        F.lit(True).alias("is_target"),
+    )
+    lies_in = [
+        F.struct(F.lit(int(c[len("h3_"):])).alias("res"), F.col(c).cast("string").alias("cell"), F.lit(False).alias("is_target"))
+        for c in listings.columns
+        if c.startswith("h3_")
+    ]
+    named = listings.withColumn("property_id", F.col(id_col).cast("string"))
+    if targets is None:
+        asked = F.array(own_cell)
+    else:
+        wanted = targets.select(F.col("property_id").cast("string").alias("property_id"), F.lit(True).alias("_wanted")).distinct()
+        named = named.join(wanted, "property_id", "left")
+        asked = F.when(F.col("_wanted"), F.array(own_cell)).otherwise(F.slice(F.array(own_cell), 1, 0))
+    return named.select("property_id", "vec", F.inline(F.concat(asked, F.array(*lies_in)))).filter(
+        F.col("cell").isNotNull() & F.col("res").isNotNull()
+    )
+
+
+def _sampled(entries: DataFrame, max_candidates: int, seed: int) -> DataFrame:
+    """Entries whose candidates are cut to the sample of their cell.
+
+    One more than asked for is drawn, so that leaving out the target itself fills the cap.
+    """
+    lies_in = entries.filter(~F.col("is_target")).select(*_CELL, "property_id")
+    drawn = sample_candidates(lies_in, max_candidates + 1, _CELL, seed=seed).withColumn("_drawn", F.lit(True))
+    return (
+        entries.join(drawn, [*_CELL, "property_id"], "left")
+        .filter(F.col("is_target") | F.col("_drawn"))
+        .drop("_drawn")
+    )
+
+
 def members(neighbours: DataFrame) -> DataFrame:
     """Who is compared: each target with itself and with its neighbours.
 

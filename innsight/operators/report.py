@@ -88,17 +88,19 @@ def rank_topics(gaps: DataFrame, top_weaknesses: int = 8, top_strengths: int | N
     """The widest and the narrowest gaps per property as ``kind`` weakness and strength."""
     top_strengths = top_weaknesses if top_strengths is None else top_strengths
 
-    def ranked(kind: str, order: Column, limit: int) -> DataFrame:
-        window = Window.partitionBy("property_id").orderBy(order, "topic")
-        return (
-            gaps.withColumn("kind", F.lit(kind))
-            .withColumn("rank", F.row_number().over(window))
-            .filter(F.col("rank") <= limit)
-        )
-
-    return ranked("weakness", F.desc("negative_rate_gap"), top_weaknesses).unionByName(
-        ranked("strength", F.asc("negative_rate_gap"), top_strengths)
+    def place(kind: str, order: Column, limit: int) -> Column:
+        rank = F.row_number().over(Window.partitionBy("property_id").orderBy(order, "topic"))
+        return F.when(rank <= limit, F.struct(F.lit(kind).alias("kind"), rank.alias("rank")))
+
+    # bounded: a property has one row per topic, so both orders share one small partition
+    placed = gaps.withColumns(
+        {
+            "_weak": place("weakness", F.desc("negative_rate_gap"), top_weaknesses),
+            "_strong": place("strength", F.asc("negative_rate_gap"), top_strengths),
+        }
     )
+    kinds = F.filter(F.array("_weak", "_strong"), lambda k: k.isNotNull())
+    return placed.select(*gaps.columns, F.inline(kinds))
 
 
 def _best(rows: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import (
@@ -78,11 +80,11 @@ def lexicon_sentiment(
     text_col: str = "sentence_text",
 ) -> DataFrame:
     """Label by the balance of positive and negative words; ``na`` when they balance."""
-    tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({_TOKEN})"), F.lit(1))
+    text = F.lower(F.col(text_col))
 
     def hits(words: list[str]) -> Column:
-        known = tx.word_array(words)
-        return F.size(F.filter(tokens, lambda t: F.array_contains(known, t)))
+        listed = "|".join(re.escape(w) for w in words)
+        return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{listed})(?![\p{{L}}\p{{N}}_])"))
 
     return (
         sentences.withColumn("_balance", hits(positive) - hits(negative))

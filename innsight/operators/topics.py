@@ -80,7 +80,7 @@ def topics_by_keyword(
     max_non_ascii: float = 0.20, keep: Sequence[str] = ASSIGNMENT_KEY, text_col: str = "sentence_text",
 ) -> DataFrame:
     """Best topics per sentence, the similarity being the share of a topic's keywords it holds."""
-    text = F.lower(F.col(text_col))
+    text = F.col("_text")
     scored = F.array(
         *[
             F.struct(
@@ -92,9 +92,12 @@ def topics_by_keyword(
     )
     best = F.array_sort(F.filter(scored, lambda s: s["minus"] < 0))
     best = best if top_n is None else F.slice(best, 1, top_n)
+    # lower case and scores are columns of their own: a generator would work them out per use
     return (
         sentences.filter(tx.english_like(F.col(text_col), max_non_ascii))
-        .select(*keep, F.inline(best))
+        .withColumn("_text", F.lower(F.col(text_col)))
+        .select(*keep, best.alias("_best"))
+        .select(*keep, F.inline("_best"))
         .select(*keep, "topic", (-F.col("minus")).alias("topic_similarity"))
     )
 

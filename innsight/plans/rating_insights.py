@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -42,14 +43,20 @@ def fit_ratings(
 ) -> RatingModel:
     """Fit the model and the benchmark of the top fifth on the labelled rows.
 
-    Numeric columns without a single value cannot be imputed and are left out.
+    The stages read their rows several times, so the columns they need are kept for the
+    time of the fit. Numeric columns without a single value cannot be imputed and are left
+    out.
     """
-    train = ex.training_rows(df, label_col, leave_out)
-    filled = train.agg(*[F.count(f"`{c}`").alias(c) for c in numerics]).first()
-    numerics = [c for c in numerics if filled[c] > 0]
-    model = ex.rating_pipeline(numerics, categoricals, label_col).fit(train)
-    top = ex.benchmark(train, label_col, numerics, categoricals)
-    return RatingModel(model, ex.vector_slots(model, top, numerics), list(numerics))
+    rows = ex.training_rows(df, label_col, leave_out)
+    train = rows.select(label_col, *[F.col(f"`{c}`") for c in [*numerics, *categoricals]]).persist()
+    try:
+        filled = train.agg(*[F.count(f"`{c}`").alias(c) for c in numerics]).first()
+        numerics = [c for c in numerics if filled[c] > 0]
+        model = ex.rating_pipeline(numerics, categoricals, label_col).fit(train)
+        top = ex.benchmark(train, label_col, numerics, categoricals)
+        return RatingModel(model, ex.vector_slots(model, top, numerics), list(numerics))
+    finally:
+        train.unpersist()
 
 
 def explain_all(df: DataFrame, fitted: RatingModel, top_k: int = 60) -> DataFrame:
@@ -67,11 +74,7 @@ def explain_property(listings: DataFrame, property_id: str, rates: DataFrame, to
         members, "property_id", "left_semi"
     )
     df, numerics, categoricals = feature_frame(area, rates)
-    df = df.persist()
-    try:
-        fitted = fit_ratings(df, numerics, categoricals, leave_out=str(property_id))
-    finally:
-        df.unpersist()
+    fitted = fit_ratings(df, numerics, categoricals, leave_out=str(property_id))
     return explain_all(df.filter(F.col("property_id") == str(property_id)), fitted, top_k)
 
 
@@ -80,17 +83,22 @@ def explain_cells(
 ) -> DataFrame:
     """Insights of all properties compared in the given ``(resolution, cell)`` areas.
 
-    One model per area: the loop is over a short list of areas, each fit is distributed.
+    One model per area: the loop is over a short list of areas, each fit is distributed. The
+    listings of the areas are kept while the models are fitted.
     """
+    cells = [(int(res), cell) for res, cell in cells]
+    inside = reduce(or_, [F.col(f"h3_{res}") == cell for res, cell in cells])
+    members = listings.filter(inside).persist()
     parts = []
-    for res, cell in cells:
-        area = listings.filter(F.col(f"h3_{int(res)}") == cell)
-        df, numerics, categoricals = feature_frame(area, rates)
-        fitted = fit_ratings(df, numerics, categoricals)
-        own = df.filter((F.col("geo_bucket_res") == res) & (F.col(nb.geo_column(listings)) == cell))
-        parts.append(
-            explain_all(own, fitted, top_k).withColumn("res", F.lit(int(res))).withColumn("cell", F.lit(cell))
-        )
+    try:
+        for res, cell in cells:
+            df, numerics, categoricals = feature_frame(members.filter(F.col(f"h3_{res}") == cell), rates)
+            fitted = fit_ratings(df, numerics, categoricals)
+            own = df.filter((F.col("geo_bucket_res") == res) & (F.col(nb.geo_column(listings)) == cell))
+            insights = explain_all(own, fitted, top_k)
+            parts.append(insights.withColumn("res", F.lit(res)).withColumn("cell", F.lit(cell)))
+    finally:
+        members.unpersist()
     return reduce(DataFrame.unionByName, parts)
 
 

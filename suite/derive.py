@@ -271,7 +271,7 @@ booking_review_documents AS (
 """
 
 
-def airbnb_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def airbnb_listings(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Listings whose review strings take eight forms, chosen by the length of the text."""
     docs = table(spark, sf_dir, "documents")
     parts = F.split("text", "\n")
@@ -289,7 +289,8 @@ def airbnb_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("text"))
     )
     comma = F.concat(F.floor(F.col("n_chars") / 100 % 5).cast("string"), F.lit(","), F.pmod("n_chars", F.lit(100)).cast("string"))
-    return docs.select(
+    return docs.withColumn("form", form).select(
+        *keep,
         F.when(F.col("lang") != "es", F.col("doc_id").cast("string")).alias("property_id"),
         F.when(F.col("lang") == "de", F.lit(None)).otherwise(F.concat(F.lit("Flat "), F.col("doc_id").cast("string"))).alias("name"),
         F.when(F.col("lang") == "fr", "").when(F.col("lang") == "en", F.concat(F.lit("Home "), "source")).alias("listing_name"),
@@ -327,19 +328,19 @@ airbnb_listings AS (
   FROM airbnb_parts),
 airbnb_reviews AS (
   SELECT *, CASE
-      WHEN form <> 0 AND form <> 1 AND trim(raw, e' \t\n\r\f\v') = '' THEN []
+      WHEN form <> 0 AND form <> 1 AND trim(raw, e' \t\n\r\f' || chr(11)) = '' THEN []
       WHEN form = 0 THEN parts
       WHEN form = 1 THEN list_transform(parts, lambda p: CASE WHEN p = '' THEN '{"text":""}' ELSE p END)
       WHEN form = 2 THEN [text]
       WHEN contains(raw, '1.') OR contains(raw, '2.') OR contains(raw, '3.') OR contains(raw, '4.') THEN
         list_filter(list_transform(regexp_split_to_array(raw, '\d+\.[ \t\n\x0B\f\r]*'),
-                    lambda p: trim(p, e' \t\n\r\f\v')), lambda p: p <> '')
+                    lambda p: trim(p, e' \t\n\r\f' || chr(11))), lambda p: p <> '')
       WHEN contains(raw, chr(10) || chr(10)) THEN
-        list_filter(list_transform(string_split(raw, chr(10) || chr(10)), lambda p: trim(p, e' \t\n\r\f\v')), lambda p: p <> '')
+        list_filter(list_transform(string_split(raw, chr(10) || chr(10)), lambda p: trim(p, e' \t\n\r\f' || chr(11))), lambda p: p <> '')
       WHEN contains(raw, '|') THEN
-        list_filter(list_transform(string_split(raw, '|'), lambda p: trim(p, e' \t\n\r\f\v')), lambda p: p <> '')
+        list_filter(list_transform(string_split(raw, '|'), lambda p: trim(p, e' \t\n\r\f' || chr(11))), lambda p: p <> '')
       WHEN contains(raw, '---') THEN
-        list_filter(list_transform(string_split(raw, '---'), lambda p: trim(p, e' \t\n\r\f\v')), lambda p: p <> '')
+        list_filter(list_transform(string_split(raw, '---'), lambda p: trim(p, e' \t\n\r\f' || chr(11))), lambda p: p <> '')
       WHEN length(raw) > 20 THEN [raw] ELSE [] END AS reviews
   FROM airbnb_listings),
 airbnb_identified AS (

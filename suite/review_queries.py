@@ -507,7 +507,7 @@ def comparison_payloads(spark, sf_dir):
 def property_comparison(spark, sf_dir):
     """X9 end to end from listings: cells, neighbours, sentences, tagging, report, for all documents."""
     docs = table(spark, sf_dir, "documents")
-    vec = F.array(*[F.lit(1.0) + F.regexp_count("text", F.lit(w)) for w in ("the", "tion", "ing", "que", "der", "los")])
+    vec = F.array(F.lit(1.0), *[F.pmod("n_chars", F.lit(m)).cast("double") for m in (7, 11, 13, 17)])
     listings = docs.select(
         F.col("doc_id").cast("string").alias("property_id"), F.to_json(F.split("text", "\n")).alias("reviews"),
         F.col("source").alias("geo_bucket"), F.lit(8).alias("geo_bucket_res"), F.col("source").alias("h3_8"),

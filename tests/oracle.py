@@ -43,7 +43,11 @@ def compare(df, con, sql: str) -> str | None:
         return f"columns: spark {sorted(df.columns)} sql {names}"
     kinds = {c: _KINDS.get(k.upper(), k) for c, k in columns}
     spark_kinds = dict(df.dtypes)
-    wrong = {c: (spark_kinds[c], kinds[c]) for c in names if spark_kinds[c] != kinds[c]}
+    wrong = {
+        c: (spark_kinds[c], kinds[c])
+        for c in names
+        if spark_kinds[c].removesuffix("_ntz") != kinds[c]
+    }
     position = {c: i for i, (c, _) in enumerate(columns)}
     expected = Counter(tuple(_plain(r[position[c]]) for c in names) for r in expected_rows)
     actual = Counter(tuple(_plain(r[c]) for c in names) for r in df.select(*[f"`{c}`" for c in names]).collect())
