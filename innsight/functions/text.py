@@ -71,7 +71,7 @@ def count_found(text: Column, words: Sequence[str]) -> Column:
 
 def words_found(text: Column, words: Sequence[str]) -> Column:
     """The words, in list order, that are substrings of the text."""
-    return F.filter(word_array(words), lambda w: F.contains(text, w))
+    return F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
 
 
 def word_tokens(text: Column) -> Column:

@@ -131,33 +131,31 @@ def amenity_columns(names: Sequence[str]) -> dict[str, str]:
     return columns
 
 
-def amenity_flags(
-    items: DataFrame, columns: dict[str, str], id_col: str = "property_id"
-) -> DataFrame:
-    """One row per property with a 0/1 column per chosen amenity."""
-    wanted = items.filter(F.col("name").isin(list(columns)))
-    return wanted.groupBy("property_id").agg(
-        *[
-            F.max(F.when(F.col("name") == name, 1.0).otherwise(0.0)).alias(column)
-            for name, column in columns.items()
-        ]
-    )
+def amenity_names(amenities: Column) -> Column:
+    """Distinct amenity names of one listing's JSON text, variants merged."""
+    groups = F.filter(F.from_json(amenities.cast("string"), AMENITIES_TYPE), lambda g: g["items"].isNotNull())
+    named = F.transform(groups, lambda g: F.filter(g["items"], lambda i: i["name"].isNotNull()))
+    return F.array_distinct(F.transform(F.flatten(named), lambda i: merged_amenity(F.lower(i["name"]))))
 
 
 def with_amenities(
     listings: DataFrame, k: int = 20, always: Sequence[str] = tuple(GLOBAL_AMENITIES),
     id_col: str = "property_id", amenities_col: str = "amenities",
 ) -> tuple[DataFrame, list[str]]:
-    """Listings with amenity flags, and the names of the flag columns.
+    """Listings with a 0/1 column per chosen amenity, and the names of these columns.
 
-    Only the chosen names come to the driver: they become column names.
+    Which amenities are frequent takes one aggregation; the flags are then read off each
+    listing's own text, without grouping or joining anything back. Only the chosen names
+    come to the driver: they become column names.
     """
     items = amenity_items(listings, id_col, amenities_col)
     names = collect_small(chosen_amenities(items, k, always), MAX_AMENITY_COLUMNS, "amenity columns")
     columns = amenity_columns([r["name"] for r in names])
-    flags = amenity_flags(items, columns).withColumnRenamed("property_id", id_col)
-    flag_columns = list(columns.values())
-    return listings.join(flags, id_col, "left").fillna(0.0, subset=flag_columns), flag_columns
+    own = F.coalesce(amenity_names(F.col(amenities_col)), F.array().cast("array<string>"))
+    flags = {
+        column: F.array_contains("_amenities", name).cast("double") for name, column in columns.items()
+    }
+    return listings.withColumn("_amenities", own).withColumns(flags).drop("_amenities"), list(flags)
 
 
 def long_features(df: DataFrame, features: Sequence[str], id_col: str = "property_id") -> DataFrame:

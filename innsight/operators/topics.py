@@ -118,7 +118,20 @@ def query_keywords(
 
 
 def mentions_keyword(text: Column, keywords: Column) -> Column:
-    return F.exists(keywords, lambda word: F.contains(F.lower(text), word))
+    """True when one of the keywords is in the text.
+
+    The lower-case text rides in the accumulator: named in the function itself, it would be
+    worked out anew for every keyword.
+    """
+    start = F.struct(F.lower(text).alias("text"), F.lit(False).alias("hit"))
+    return F.aggregate(
+        keywords,
+        start,
+        lambda seen, word: F.struct(
+            seen["text"].alias("text"), (seen["hit"] | F.contains(seen["text"], word)).alias("hit")
+        ),
+        lambda seen: seen["hit"],
+    )
 
 
 def resolve_topic(

@@ -11,7 +11,7 @@ from innsight.fixed_values import (
     EVENT_DATE_PATTERN,
     EVENT_SKIP_PHRASES,
     FRESH_MINUTES,
-    RAW_SNIPPET_PATTERN,
+    RAW_SNIPPET_WORDS,
     WEB_QUERY_KEYWORDS,
 )
 from innsight.functions import text as tx
@@ -54,7 +54,11 @@ def _hits(json: Column, prefer: tuple[str, str]) -> Column:
 
 
 def _raw_hits(raw: Column, limit: int) -> Column:
-    found = F.slice(F.regexp_extract_all(raw, F.lit(f"({RAW_SNIPPET_PATTERN})"), F.lit(1)), 1, limit)
+    """Sentences of a raw text that hold a review word after their first letter, cut to hits."""
+    parts = F.regexp_extract_all(raw, F.lit("([^.!?]*[.!?])"), F.lit(1))
+    spoken = F.transform(parts, lambda p: F.regexp_extract(p, "(?s)([A-Za-z].*)", 1))
+    words = "(?i)" + "|".join(RAW_SNIPPET_WORDS)
+    found = F.slice(F.filter(spoken, lambda s: F.rlike(F.substr(s, F.lit(2)), F.lit(words))), 1, limit)
     numbered = F.transform(
         found,
         lambda s, i: F.struct(
@@ -122,11 +126,10 @@ def events(payloads: DataFrame, payload_col: str = "payload", limit: int = 10,
            keep: Sequence[str] = ("request_id",)) -> DataFrame:
     """Events of a payload: the event widget and the organic hits, each name once.
 
-    ``(request_id, pos, name, description, date, link)``.
+    ``(request_id, pos, name, description, date, link)``. Lists are short, so names are
+    compared within the payload's own list; nothing is shuffled.
     """
-    data = payloads.select(*keep, unwrap(F.col(payload_col)).alias("data")).filter(
-        _field(F.col("data"), "error").isNull()
-    )
+    data = payloads.select(*keep, unwrap(F.col(payload_col)).alias("data"))
     nothing = F.lit("No description available")
     widget = F.transform(
         F.slice(F.from_json(_field(F.col("data"), "events"), _EVENT), 1, limit),
@@ -155,9 +158,18 @@ def events(payloads: DataFrame, payload_col: str = "payload", limit: int = 10,
     )
     none = F.array().cast("array<struct<name:string,description:string,date:string,link:string>>")
     both = F.concat(F.coalesce(widget, none), F.coalesce(organic, none))
-    exploded = data.select(*keep, F.posexplode(both).alias("pos", "e")).select(*keep, "pos", "e.*")
-    window = Window.partitionBy(*keep, F.substring(F.lower("name"), 1, 60)).orderBy("pos")
-    return exploded.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
+    found = data.select(*keep, F.when(_field(F.col("data"), "error").isNull(), both).alias("found"))
+    keyed = found.withColumn(
+        "keys", F.transform("found", lambda e: F.substring(F.lower(e["name"]), 1, 60))
+    )
+    first = F.transform(
+        "found", lambda e, i: F.when(F.array_position(F.col("keys"), F.get(F.col("keys"), i)) == i + 1, e)
+    )
+    return (
+        keyed.select(*keep, F.posexplode(first).alias("pos", "e"))
+        .filter(F.col("e").isNotNull())
+        .select(*keep, "pos", "e.*")
+    )
 
 
 def date_range(phrase: Column, today: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.sources.shared import shared_folder
 from innsight.sources.tables import spread
 
 
@@ -21,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table of its own, as listings are in practice: derived once, read often."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_sql(select: str, *ctes: str) -> str:
     """The common table expressions, then the select, which may start with more of them."""
     parts = list(dict.fromkeys(c.strip().rstrip(",") for c in ctes))
@@ -556,7 +564,7 @@ search_hits AS (
 # --- event payloads out of orders, weather payloads out of events, map payloads out of parts -
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     show = F.concat(F.lit("Show "), "o_orderstatus")
     widget = F.array(
         F.struct(show.alias("title"), F.concat(F.lit("Hall "), F.col("o_custkey").cast("string")).alias("venue"),
@@ -579,7 +587,7 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k")
     value = F.col("value").cast("string")
     days = F.transform(
@@ -607,7 +615,7 @@ def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     items = F.transform(
         F.sequence(F.lit(1), F.pmod("p_size", F.lit(8)) + 1),
         lambda i: F.struct(
@@ -654,7 +662,7 @@ KNOWN_TOOLS = ["search_reviews", "rank_by_metric", "search_weather", "search_eve
 
 
 def tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k")
     value = F.col("value").cast("string")
     kind = F.col("event_type")
@@ -710,7 +718,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
 
     def rating(shift: int):
@@ -739,7 +747,7 @@ feedback AS (
 
 
 def scenario_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("scenario_id"), kind.alias("category"),

@@ -505,7 +505,7 @@ def gain_feed(spark, sf_dir):
 @query()
 def rating_regression_insights(spark, sf_dir):
     """M1-M9: one model over all listings, its insights for every listing."""
-    df, numerics, categoricals = ri.feature_frame(d.feature_listings(spark, sf_dir), ft.fx_rates(spark), 10)
+    df, numerics, categoricals = ri.feature_frame(d.stored(d.feature_listings(spark, sf_dir), "listings"), ft.fx_rates(spark), 10)
     fitted = ri.fit_ratings(df, numerics, categoricals)
     return ri.explain_all(df, fitted, 60).select(
         "property_id", "position", "name", "market_trend", *_six("current_impact", "opportunity", "importance_pct")
@@ -515,7 +515,7 @@ def rating_regression_insights(spark, sf_dir):
 @query()
 def property_insights(spark, sf_dir):
     """J1 M1-M9 in the single-property form: the first listing against its country, the model fitted without it."""
-    listings = d.feature_listings(spark, sf_dir)
+    listings = d.stored(d.feature_listings(spark, sf_dir), "listings")
     first = listings.agg(F.min("property_id")).first()[0]
     return ri.explain_property(listings, first, ft.fx_rates(spark)).select(
         "property_id", "position", "name", "market_trend", *_six("current_impact", "opportunity", "importance_pct")
@@ -525,7 +525,7 @@ def property_insights(spark, sf_dir):
 @query()
 def cell_insights(spark, sf_dir):
     """One model per region, readable lines of the strongest insights."""
-    listings = d.feature_listings(spark, sf_dir)
+    listings = d.stored(d.feature_listings(spark, sf_dir), "listings")
     cells = [(4, r["h3_4"]) for r in listings.select("h3_4").distinct().orderBy("h3_4").collect()]
     insights = ri.explain_cells(listings, cells, ft.fx_rates(spark))
     return ex.insight_lines(insights, 5)
@@ -534,7 +534,7 @@ def cell_insights(spark, sf_dir):
 @query()
 def combined_report(spark, sf_dir):
     """Topic report and insights joined per hotel, other sources refused."""
-    listings = d.feature_listings(spark, sf_dir)
+    listings = d.stored(d.feature_listings(spark, sf_dir), "listings")
     df, numerics, categoricals = ri.feature_frame(listings, ft.fx_rates(spark), 5)
     insights = ri.explain_all(df, ri.fit_ratings(df, numerics, categoricals), 10)
     reports = listings.select("property_id", F.to_json(F.struct("name", "location")).alias("payload_json"))

@@ -534,9 +534,11 @@ def _written(spark, sf_dir, names=("neighbors", "topics", "evidence")):
     frames = {"neighbors": near, "topics": topics}
     if "evidence" in names:
         frames["evidence"] = rp.evidence_of_topics(topics, rp.topic_evidence(enriched, near, 3))
-    wanted = {n: frames[n] for n in names}
+    wanted = {n: frames[n].persist() for n in names}
     tables.append_run(base, "run-1", wanted, _FIRST)
     tables.append_run(base, "run-2", {n: f for n, f in wanted.items() if n != "evidence"}, _SECOND)
+    for frame in wanted.values():
+        frame.unpersist()
     return base
 
 
