@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,44 +18,56 @@ from innsight.sources.shared import collect_small
 
 # Queries travel to the executors with the function; the corpus never moves.
 MAX_QUERIES = 10_000
+QUERY_CHUNK = 256
+MAX_NAME_LOOKUPS = 1_000
 
 
-def _batch_search(query_ids: list[str], matrix: np.ndarray, filters: list[tuple], k: int):
-    groups: dict[tuple, list[int]] = {}
+def _partition_search(query_ids: list[str], matrix: np.ndarray, filters: list[tuple], k: int):
+    """Arrow function over the batches of one task; yields the task's best k per query.
+
+    Queries are scored in chunks, so a batch never needs more than a few MB of scores.
+    """
+    asked: dict[tuple, list[int]] = {}
     for position, key in enumerate(filters):
-        groups.setdefault(key, []).append(position)
+        asked.setdefault(key, []).append(position)
+
+    def rows_by_filter(batch: pa.RecordBatch) -> dict[tuple, np.ndarray]:
+        columns = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+        if not columns:
+            return {(): np.arange(batch.num_rows)}
+        rows: dict[tuple, list[int]] = {}
+        for row, key in enumerate(zip(*columns)):
+            if key in asked:
+                rows.setdefault(key, []).append(row)
+        return {key: np.array(found) for key, found in rows.items()}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, str]]] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             corpus = flatten_vectors(batch.column(1))
             norms = np.linalg.norm(corpus, axis=1)
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(2, batch.num_columns)]))
-            rows_of: dict[tuple, list[int]] = {}
-            if keys:
-                for row, key in enumerate(keys):
-                    if key in groups:
-                        rows_of.setdefault(key, []).append(row)
-            else:
-                rows_of[()] = list(range(batch.num_rows))
-            out = ([], [], [])
-            for key, rows in rows_of.items():
-                rows = [r for r in rows if norms[r] > 0]
-                if not rows:
+            for key, rows in rows_by_filter(batch).items():
+                rows = rows[norms[rows] > 0]
+                if rows.size == 0:
                     continue
-                unit = corpus[rows] / norms[rows][:, None]
-                scores = np.round(matrix[groups[key]] @ unit.T, TIE_DIGITS)
-                names = ids[rows]
-                for line, picked in best_columns(scores, k, names):
-                    out[0].extend([query_ids[groups[key][line]]] * len(picked))
-                    out[1].extend(names[picked])
-                    out[2].extend(scores[line, picked])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())],
-                names=["query_id", "doc_id", "similarity"],
-            )
+                unit, names = corpus[rows] / norms[rows][:, None], ids[rows]
+                queries = asked[key]
+                for start in range(0, len(queries), QUERY_CHUNK):
+                    chunk = queries[start:start + QUERY_CHUNK]
+                    scores = np.round(matrix[chunk] @ unit.T, TIE_DIGITS)
+                    for line, picked in best_columns(scores, k, names):
+                        found = [(-float(scores[line, p]), names[p]) for p in picked]
+                        best[chunk[line]] = heapq.nsmallest(k, best.get(chunk[line], []) + found)
+        rows = [(query_ids[q], doc, -minus) for q, found in best.items() for minus, doc in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(column), kind) for column, kind in zip(
+                zip(*rows) if rows else ([], [], []), (pa.string(), pa.string(), pa.float64())
+            )],
+            names=["query_id", "doc_id", "similarity"],
+        )
 
     return search
 
@@ -66,7 +79,7 @@ def search_top_k(
 
     ``queries`` holds ``query_id``, a vector and a value for each column of ``match_on``,
     which a document has to equal. The corpus is read once and stays where it is: every
-    batch yields its own best k per query, and only those are shuffled for the final rank.
+    task keeps its own best k per query, and only those are shuffled for the final rank.
     """
     rows = collect_small(
         queries.select("query_id", F.col(vector_col).cast("array<double>").alias("v"), *match_on),
@@ -76,7 +89,7 @@ def search_top_k(
     matrix = np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), -1)
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if rows else matrix
     filters = [tuple(str(r[c]) for c in match_on) for r in rows]
-    search = _batch_search([str(r["query_id"]) for r in rows], matrix, filters, k)
+    search = _partition_search([str(r["query_id"]) for r in rows], matrix, filters, k)
     pruned = corpus.filter(F.col(vector_col).isNotNull()).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col(vector_col).cast("array<double>").alias("vector"),
@@ -108,7 +121,7 @@ def lookup_hotels(requests: DataFrame, documents: DataFrame) -> DataFrame:
     )
     missing = collect_small(
         by_id.filter(F.col("text").isNull()).select("hotel_id", "hotel_name", "namespace"),
-        MAX_QUERIES, "hotels to look up by name",
+        MAX_NAME_LOOKUPS, "hotels to look up by name",
     )
     schema = "array<struct<hotel_id:string,name:string,namespace:string>>"
     asked = F.array(
@@ -179,8 +192,10 @@ def split_by_topic(
     """
     marked = reviews.withColumn("relevant", mentions_keyword(F.col(text_col), F.col(keywords_col)))
     window = Window.partitionBy(*keys, "relevant").orderBy(*order)
+    # the plain limit lets every task drop rows of a hot group before they are shuffled
     numbered = marked.withColumn("position", F.row_number().over(window)).filter(
-        F.col("position") <= F.when(F.col("relevant"), max_relevant).otherwise(max_other)
+        (F.col("position") <= max(max_relevant, max_other))
+        & (F.col("position") <= F.when(F.col("relevant"), max_relevant).otherwise(max_other))
     )
     counts = marked.groupBy(*keys).agg(F.count_if("relevant").alias("n_relevant"))
     return numbered.join(counts, list(keys)).filter(F.col("relevant") | (F.col("n_relevant") < few))
