@@ -19,23 +19,45 @@ BENCHMARK_QUANTILE = 0.8
 QUANTILE_ACCURACY = 10_000
 
 
-def rating_pipeline(numerics: Sequence[str], categoricals: Sequence[str], label_col: str = "ratings") -> Pipeline:
-    """Median imputation, one-hot encoding, standardisation, elastic net."""
+def feature_stages(
+    numerics: Sequence[str], categoricals: Sequence[str], median_error: float = 0.001
+) -> list:
+    """Median imputation, one-hot encoding and standardisation to ``features_scaled``."""
     imputed = [f"{c}__imp" for c in numerics]
-    stages = [Imputer(strategy="median", inputCols=list(numerics), outputCols=imputed)]
+    stages = [
+        Imputer(strategy="median", inputCols=list(numerics), outputCols=imputed, relativeError=median_error)
+    ]
     encoded = [f"{c}__ohe" for c in categoricals]
     if categoricals:
         indexed = [f"{c}__idx" for c in categoricals]
         stages.append(StringIndexer(inputCols=list(categoricals), outputCols=indexed, handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, handleInvalid="keep"))
-    stages += [
+    return stages + [
         VectorAssembler(inputCols=imputed + encoded, outputCol="features_vec", handleInvalid="keep"),
         StandardScaler(inputCol="features_vec", outputCol="features_scaled", withMean=True, withStd=True),
-        LinearRegression(
-            featuresCol="features_scaled", labelCol=label_col, maxIter=50, regParam=0.1, elasticNetParam=0.5
-        ),
     ]
-    return Pipeline(stages=stages)
+
+
+def rating_pipeline(numerics: Sequence[str], categoricals: Sequence[str], label_col: str = "ratings") -> Pipeline:
+    """The feature stages and an elastic-net regression."""
+    regression = LinearRegression(
+        featuresCol="features_scaled", labelCol=label_col, maxIter=50, regParam=0.1, elasticNetParam=0.5
+    )
+    return Pipeline(stages=[*feature_stages(numerics, categoricals), regression])
+
+
+def vector_names(scored: DataFrame) -> list[str]:
+    """Names of the entries of ``features_vec``, in order."""
+    groups = scored.schema["features_vec"].metadata["ml_attr"]["attrs"]
+    attributes = sorted((a for group in groups.values() for a in group), key=lambda a: a["idx"])
+    return [a["name"] for a in attributes]
+
+
+def long_vectors(scored: DataFrame, id_col: str = "property_id") -> DataFrame:
+    """Standardised features as rows: ``(property_id, feature, value)``."""
+    names = F.array(*[F.lit(n) for n in vector_names(scored)])
+    zipped = F.arrays_zip(names.alias("feature"), vector_to_array("features_scaled").alias("value"))
+    return scored.select(F.col(id_col).alias("property_id"), F.inline(zipped))
 
 
 def training_rows(df: DataFrame, label_col: str = "ratings", leave_out: str | None = None,
@@ -83,13 +105,13 @@ class Slot:
 def vector_slots(model: PipelineModel, benchmark_row: DataFrame, numerics: Sequence[str]) -> list[Slot]:
     """Names, coefficients and benchmark values of the feature vector: one entry per column."""
     scored = model.transform(benchmark_row)
-    groups = scored.schema["features_vec"].metadata["ml_attr"]["attrs"]
-    attributes = sorted((a for group in groups.values() for a in group), key=lambda a: a["idx"])
     row = scored.select(vector_to_array("features_scaled").alias("scaled"), *numerics).first()
     raw = {f"{c}__imp": row[c] for c in numerics}
     return [
-        Slot(attribute["name"], float(coef), float(scaled), raw.get(attribute["name"]))
-        for attribute, coef, scaled in zip(attributes, model.stages[-1].coefficients, row["scaled"], strict=True)
+        Slot(name, float(coef), float(scaled), raw.get(name))
+        for name, coef, scaled in zip(
+            vector_names(scored), model.stages[-1].coefficients, row["scaled"], strict=True
+        )
     ]
 
 

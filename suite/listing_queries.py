@@ -476,7 +476,7 @@ def _shares(spark, sf_dir):
 
 
 @query(with_sql(
-    """SELECT e.property_id, feature, round(impact_value, 6) AS impact_value, round(potential_gain_scaled, 6) AS potential_gain_scaled,
+    """SELECT e.property_id, feature, round(impact_value, 6) + 0.0 AS impact_value, round(potential_gain_scaled, 6) + 0.0 AS potential_gain_scaled,
        round(abs_impact / CASE WHEN total = 0 THEN 1 ELSE total END * 100, 4) AS impact_pct_abs,
        CASE WHEN coef > 0 THEN 'Positive (Good to have)' WHEN coef < 0 THEN 'Negative (Avoid)' ELSE 'Neutral' END AS market_trend
        FROM effects e JOIN totals t ON e.property_id = t.property_id""", _SHARE_SQL))
@@ -502,6 +502,41 @@ def gain_feed(spark, sf_dir):
     return ex.gain_feed(shares, 3).withColumn("opportunity", F.round("opportunity", 6))
 
 
+_SCALED = ["price_per_guest", "cat_cleanliness", "cat_communication", "is_super_host"]
+
+
+def _scaled_sql() -> str:
+    values = {
+        "price_per_guest": "price * to_usd / guests", "cat_cleanliness": "cat_cleanliness",
+        "cat_communication": "cat_communication", "is_super_host": "is_super_host",
+    }
+    filled = ", ".join(f"coalesce({e}, (SELECT quantile_disc({e}, 0.5) FROM train)) AS {n}" for n, e in values.items())
+    buckets = ["strict", "moderate", "flexible", "unknown"]
+    flags = ", ".join(f"CAST(cancellation_bucket = '{b}' AS DOUBLE) AS b_{b}" for b in buckets)
+    names = [*values, *[f"b_{b}" for b in buckets]]
+    scaled = " UNION ALL ".join(
+        "SELECT property_id, '{f}' AS feature, round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0.0), 6) AS value FROM filled".format(
+            f=f"cancellation_bucket__ohe_{n[2:]}" if n.startswith("b_") else f"{n}__imp", c=n
+        )
+        for n in names
+    )
+    return f"""train AS (SELECT * FROM feature_listings WHERE ratings IS NOT NULL),
+       filled AS (SELECT property_id, {filled}, {flags} FROM train)
+       SELECT property_id, feature, value FROM ({scaled})
+       WHERE feature <> 'cancellation_bucket__ohe_unknown'"""
+
+
+@query(with_sql(_scaled_sql(), d.FEATURE_LISTINGS_SQL))
+def scaled_features(spark, sf_dir):
+    """M2 M3 M4 M8: imputed, encoded and standardised features by name, on the training rows."""
+    from pyspark.ml import Pipeline
+
+    train = ex.training_rows(_features(spark, sf_dir))
+    scored = Pipeline(stages=ex.feature_stages(_SCALED, ["cancellation_bucket"], 1e-6)).fit(train).transform(train)
+    rows = ex.long_vectors(scored).filter(~F.col("feature").isin("cancellation_bucket__ohe_unknown", "cancellation_bucket__ohe___unknown"))
+    return rows.select("property_id", "feature", *_six("value"))
+
+
 @query()
 def rating_regression_insights(spark, sf_dir):
     """M1-M9: one model over all listings, its insights for every listing."""

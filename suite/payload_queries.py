@@ -101,9 +101,9 @@ _PHRASES = ["This week", "this month", "events next week", "May 2024"]
 WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS today FROM events),
 asked AS (SELECT today, unnest(['This week', 'this month', 'events next week', 'May 2024']) AS phrase FROM days),
 spans AS (SELECT *, CAST(date_trunc('week', today) AS DATE) AS monday, CAST(date_trunc('month', today) AS DATE) AS month FROM asked)
-SELECT today, phrase,
-  CASE phrase WHEN 'This week' THEN monday WHEN 'this month' THEN month WHEN 'events next week' THEN CAST(monday + 7 AS DATE) END AS first,
-  CASE phrase WHEN 'This week' THEN CAST(monday + 6 AS DATE) WHEN 'this month' THEN last_day(today) WHEN 'events next week' THEN CAST(monday + 13 AS DATE) END AS last,
+SELECT CAST(today AS VARCHAR) AS today, phrase,
+  CAST(CASE phrase WHEN 'This week' THEN monday WHEN 'this month' THEN month WHEN 'events next week' THEN CAST(monday + 7 AS DATE) END AS VARCHAR) AS first,
+  CAST(CASE phrase WHEN 'This week' THEN CAST(monday + 6 AS DATE) WHEN 'this month' THEN last_day(today) WHEN 'events next week' THEN CAST(monday + 13 AS DATE) END AS VARCHAR) AS last,
   CASE phrase WHEN 'This week' THEN strftime(monday, '%d %B') || ' to ' || strftime(monday + 6, '%d %B %Y')
     WHEN 'this month' THEN strftime(month, '%B %Y')
     WHEN 'events next week' THEN strftime(monday + 7, '%d %B') || ' to ' || strftime(monday + 13, '%d %B %Y') ELSE phrase END AS wording
@@ -115,7 +115,8 @@ def date_ranges(spark, sf_dir):
     asked = days.select("today", F.explode(tx.word_array(_PHRASES)).alias("phrase"))
     span = wp.date_range(F.col("phrase"), F.col("today"))
     return asked.select(
-        "today", "phrase", span["first"].alias("first"), span["last"].alias("last"),
+        F.col("today").cast("string").alias("today"), "phrase", span["first"].cast("string").alias("first"),
+        span["last"].cast("string").alias("last"),
         wp.date_phrase(F.col("phrase"), F.col("today")).alias("wording"),
     )
 
@@ -346,12 +347,14 @@ def tool_calls(spark, sf_dir):
        typed AS (SELECT *, CASE WHEN kind = 'VARCHAR' THEN CASE WHEN regexp_full_match(text, '[0-9]+') THEN 'int'
            WHEN regexp_full_match(text, '[0-9]+\.[0-9]*|\.[0-9]+') THEN 'float' WHEN lower(text) IN ('true', 'false') THEN 'bool' ELSE 'text' END
          WHEN kind IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN kind = 'DOUBLE' THEN 'float' WHEN kind = 'BOOLEAN' THEN 'bool' ELSE 'json' END AS arg_type FROM args)
-       SELECT message_id, call_no, tool, name, arg_type, CASE WHEN arg_type = 'int' THEN CAST(text AS BIGINT) END AS int_value,
-         CASE WHEN arg_type = 'float' THEN CAST(text AS DOUBLE) END AS float_value, CASE WHEN arg_type = 'bool' THEN CAST(lower(text) AS BOOLEAN) END AS bool_value,
+       SELECT message_id, call_no, tool, name, arg_type, CASE WHEN arg_type = 'int' THEN CAST(CAST(text AS BIGINT) AS VARCHAR) END AS int_value,
+         CASE WHEN arg_type = 'float' THEN CAST(CAST(text AS DOUBLE) AS VARCHAR) END AS float_value,
+         CASE WHEN arg_type = 'bool' THEN CAST(CAST(lower(text) AS BOOLEAN) AS VARCHAR) END AS bool_value,
          CASE WHEN arg_type IN ('text', 'json') THEN replace(text, ', ', ',') END AS text_value FROM typed""", d.TOOL_LOGS_SQL))
 def tool_arguments(spark, sf_dir):
     """H4: arguments of the calls in columns of their types."""
-    return tl.typed_arguments(tl.tool_calls(d.tool_logs(spark, sf_dir), d.KNOWN_TOOLS))
+    typed = tl.typed_arguments(tl.tool_calls(d.tool_logs(spark, sf_dir), d.KNOWN_TOOLS))
+    return typed.withColumns({c: F.col(c).cast("string") for c in ("int_value", "float_value", "bool_value")})
 
 
 # --- groundedness ---------------------------------------------------------------------------------------------
@@ -427,11 +430,11 @@ def scenario_scores(spark, sf_dir):
 @query(with_sql(
     """SELECT category, count(*) AS total_tests, count(*) FILTER (success) AS successful, count(*) FILTER (routing_correct) AS routing_correct,
        count(*) FILTER (success) / CAST(count(*) AS DOUBLE) AS success_rate, count(*) FILTER (routing_correct) / CAST(count(*) AS DOUBLE) AS routing_accuracy,
-       round(avg(coalesce(elapsed_seconds, 0.0)), 6) AS avg_response_time FROM scenario_runs GROUP BY category""", d.SCENARIO_RUNS_SQL))
+       round(avg(coalesce(elapsed_seconds, 0.0)), 10) AS avg_response_time FROM scenario_runs GROUP BY category""", d.SCENARIO_RUNS_SQL))
 def scenario_summary(spark, sf_dir):
     """Success, routing and time per category."""
     summary = ev.scenario_summary(ev.score_scenarios(d.scenario_runs(spark, sf_dir)), ["category"])
-    return summary.withColumn("avg_response_time", F.round("avg_response_time", 6))
+    return summary.withColumn("avg_response_time", F.round("avg_response_time", 10))
 
 
 _RATINGS = r"""
@@ -447,18 +450,19 @@ sessions AS (SELECT session_id, count(*) AS n, count(*) FILTER (would_use_again)
 
 
 @query(with_sql(
-    """SELECT session_id, 'ratings' AS section, dimension AS metric, round(mean_rating, 6) AS value, n FROM means UNION ALL
+    """SELECT session_id, 'ratings' AS section, dimension AS metric, round(mean_rating, 10) AS value, n FROM means UNION ALL
        SELECT session_id, 'other', unnest(['would_use_again_share', 'avg_time', 'min_time', 'max_time']),
-         round(unnest([would_use_again_share, avg_time, min_time, max_time]), 6), n FROM sessions""", d.FEEDBACK_SQL, _RATINGS))
+         round(unnest([would_use_again_share, avg_time, min_time, max_time]), 10), n FROM sessions""", d.FEEDBACK_SQL, _RATINGS))
 def feedback_report(spark, sf_dir):
     """Mean ratings, share of returning users and times per session."""
-    return ev.session_report(d.feedback(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return ev.session_report(d.feedback(spark, sf_dir)).withColumn("value", F.round("value", 10))
 
 
-@query("SELECT user_id AS session_id, ts, event_type AS comments FROM events")
+@query("SELECT user_id AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type AS comments FROM events")
 def feedback_comments(spark, sf_dir):
     """H9: the comments of each session."""
-    return ev.comments(d.feedback(spark, sf_dir), order="ts")
+    given = ev.comments(d.feedback(spark, sf_dir), order="ts")
+    return given.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(with_sql(

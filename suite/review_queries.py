@@ -123,11 +123,43 @@ def candidate_sample(spark, sf_dir):
     return nb.sample_candidates(cells, 50, ["res", "cell"])
 
 
+@query(with_sql(
+    """drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY res, cell ORDER BY sha256('42:' || property_id), property_id) AS n
+         FROM vector_members) WHERE n <= 31)
+       SELECT property_id, neighbor_property_id, rank FROM (
+         SELECT t.property_id, m.property_id AS neighbor_property_id, CAST(row_number() OVER (PARTITION BY t.property_id
+           ORDER BY round(list_cosine_similarity(t.vec, m.vec), 9) DESC, m.property_id) AS INTEGER) AS rank
+         FROM vector_listings t JOIN drawn m ON t.geo_bucket_res = m.res AND t.geo_bucket = m.cell
+         WHERE t.property_id <> m.property_id) WHERE rank <= 10""", d.VECTOR_LISTINGS_SQL))
+def sampled_neighbours(spark, sf_dir):
+    """Neighbours among a repeatable sample of 30 candidates per cell."""
+    near = nb.top_neighbours(d.vector_listings(spark, sf_dir), k=10, max_candidates=30)
+    return near.select("property_id", "neighbor_property_id", "rank")
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS property_id, 'geo-' || label AS bucket
+          FROM embeddings WHERE label NOT IN (3, 4, 5, 6)""")
+def usable_listings(spark, sf_dir):
+    """Listings whose vector is present, finite and not zero, with the fallback bucket column."""
+    e = table(spark, sf_dir, "embeddings")
+    double = F.col("embedding").cast("array<double>")
+    vec = (
+        F.when(F.col("label") == 3, F.transform(double, lambda x: x * 0))
+        .when(F.col("label") == 4, F.concat(F.slice(double, 1, 63), F.array(F.lit(float("nan")))))
+        .when(F.col("label") != 5, double)
+    )
+    listings = e.select(
+        F.col("vec_id").cast("string").alias("property_id"), vec.alias("similarity_vec"), (F.col("label") == 6).alias("is_bad_vec"),
+        F.concat(F.lit("geo-"), F.col("label").cast("string")).alias("_geo_bucket_filled"),
+    )
+    return nb.usable_vectors(listings).select("property_id", F.col(nb.geo_column(listings)).alias("bucket"))
+
+
 @query(with_sql(
     """requested AS (SELECT property_id FROM vector_listings UNION ALL SELECT 'x' || CAST(label AS VARCHAR) FROM embeddings),
        cells AS (SELECT res, cell, count(*) AS n FROM vector_members GROUP BY ALL)
        SELECT r.property_id AS target_property_id, CASE WHEN l.property_id IS NULL THEN 'target_not_found' ELSE 'ok' END AS status,
-              geo_bucket_res AS bucket_res, geo_bucket AS bucket_value, n - 1 AS bucket_candidate_count,
+              coalesce(geo_bucket_res, -1) AS bucket_res, geo_bucket AS bucket_value, coalesce(n - 1, -1) AS bucket_candidate_count,
               CASE WHEN l.property_id IS NOT NULL THEN round(least(1.0::DOUBLE, 170.0::DOUBLE / greatest(n - 1, 1)), 6) END AS candidate_sampling_fraction
        FROM (SELECT DISTINCT property_id FROM requested) r LEFT JOIN vector_listings l ON r.property_id = l.property_id
        LEFT JOIN cells c ON l.geo_bucket_res = c.res AND l.geo_bucket = c.cell""",
@@ -138,7 +170,8 @@ def neighbour_status(spark, sf_dir):
     absent = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("x"), F.col("label").cast("string")).alias("property_id"))
     status = nb.neighbour_status(listings, listings.select("property_id").unionByName(absent))
     return status.select(
-        "target_property_id", "status", "bucket_res", "bucket_value", "bucket_candidate_count",
+        "target_property_id", "status", F.coalesce("bucket_res", F.lit(-1)).alias("bucket_res"), "bucket_value",
+        F.coalesce("bucket_candidate_count", F.lit(-1)).alias("bucket_candidate_count"),
         *_six("candidate_sampling_fraction"),
     )
 
@@ -195,7 +228,7 @@ def sentence_volume(spark, sf_dir):
 
 @query("""SELECT doc_id, regexp_matches(text, '[A-Za-z]')
           AND length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE) <= 0.02 AS english_like
-          FROM documents""".replace("\\\\", "\\"))
+          FROM documents""")
 def english_like(spark, sf_dir):
     """P16 on whole texts; the share is lowered so that the languages differ."""
     return table(spark, sf_dir, "documents").select("doc_id", tx.english_like(F.col("text"), 0.02).alias("english_like"))
@@ -468,6 +501,19 @@ def report_lines(spark, sf_dir):
     return pc.report_lines(rp.rank_topics(rp.topic_gaps(enriched, near), 4), near)
 
 
+@query(with_sql(
+    """rows AS (SELECT t.property_id, kind, t.topic, evidence_role, sentence_id, topic_similarity, sentiment_label, sentence_text
+         FROM ranked_topics t JOIN evidence e ON t.property_id = e.property_id AND t.topic = e.topic)
+       SELECT property_id, position, '[' || topic || '] (' || sentiment_label || '): "' || substr(sentence_text, 1, 200) || '..."' AS line FROM (
+         SELECT *, CAST(row_number() OVER (PARTITION BY property_id ORDER BY topic_similarity DESC, topic, sentence_id, kind, evidence_role) AS INTEGER) AS position
+         FROM rows) WHERE position <= 5""", *_REPORT, _EVIDENCE))
+def evidence_lines(spark, sf_dir):
+    """Five leading evidence lines per source."""
+    enriched, near = d.source_comparison(spark, sf_dir)
+    topics = rp.rank_topics(rp.topic_gaps(enriched, near), 4)
+    return pc.evidence_lines(rp.evidence_of_topics(topics, rp.topic_evidence(enriched, near, 3)))
+
+
 def _comparison(spark, sf_dir):
     """X9 from listings with reviews, run for all sources."""
     enriched, near = d.source_comparison(spark, sf_dir)
@@ -503,7 +549,30 @@ def comparison_payloads(spark, sf_dir):
     )
 
 
-@query()
+_DOCUMENT_COMPARISON = rf"""
+document_vectors AS (
+  SELECT CAST(doc_id AS VARCHAR) AS property_id, source,
+         [1, n_chars % 7, n_chars % 11, n_chars % 13, n_chars % 17]::DOUBLE[] AS vec FROM documents),
+source_neighbours AS (
+  SELECT property_id, neighbor_property_id FROM (
+    SELECT a.property_id, b.property_id AS neighbor_property_id, row_number() OVER (PARTITION BY a.property_id
+      ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.property_id) AS rank
+    FROM document_vectors a JOIN document_vectors b ON a.source = b.source AND a.property_id <> b.property_id) WHERE rank <= 5),
+tokenised AS (SELECT *, regexp_extract_all(lower(sentence_text), '([\p{{L}}\p{{N}}_]+)', 1) AS tokens FROM sentence_rows),
+source_sentences AS (
+  SELECT property_id, review_idx, sent_idx, sentence_id, sentence_text,
+         CASE WHEN {_count_words(_POSITIVE)} > {_count_words(_NEGATIVE)} THEN 'positive'
+              WHEN {_count_words(_POSITIVE)} < {_count_words(_NEGATIVE)} THEN 'negative' ELSE 'na' END AS sentiment_label
+  FROM tokenised),
+english_sentences AS (
+  SELECT * FROM source_sentences WHERE regexp_matches(sentence_text, '[A-Za-z]')
+    AND length(regexp_replace(sentence_text, '[\x00-\x7F]', '', 'g')) / CAST(greatest(length(sentence_text), 1) AS DOUBLE) <= 0.20)
+"""
+
+
+@query(with_sql(
+    "SELECT property_id, kind, rank, topic, gap AS negative_rate_gap FROM ranked_topics WHERE rank <= 3",
+    d.REVIEW_ROWS_SQL, d.SENTENCE_ROWS_SQL, _DOCUMENT_COMPARISON, d.ASSIGNMENTS_SQL, _GAPS))
 def property_comparison(spark, sf_dir):
     """X9 end to end from listings: cells, neighbours, sentences, tagging, report, for all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -544,11 +613,11 @@ def _written(spark, sf_dir, names=("neighbors", "topics", "evidence")):
 
 @query(with_sql(
     """SELECT run_id, property_id, kind, topic, gap AS negative_rate_gap, target_n AS target_sentence_topic_assignments,
-       run_date FROM ranked_topics, (VALUES ('run-1', DATE '2024-05-01'), ('run-2', DATE '2024-05-02')) v(run_id, run_date)""", *_REPORT))
+       run_date FROM ranked_topics, (VALUES ('run-1', '2024-05-01'), ('run-2', '2024-05-02')) v(run_id, run_date)""", *_REPORT))
 def run_tables_written(spark, sf_dir):
     """Two runs appended, read back with their day."""
     df = tables.read_run_table(spark, _written(spark, sf_dir, ("topics",)), "topics")
-    return df.select("run_id", "property_id", "kind", "topic", "negative_rate_gap", "target_sentence_topic_assignments", "run_date")
+    return df.select("run_id", "property_id", "kind", "topic", "negative_rate_gap", "target_sentence_topic_assignments", F.col("run_date").cast("string"))
 
 
 @query(with_sql("SELECT 'run-2' AS run_id, property_id, kind, topic FROM ranked_topics", *_REPORT))
@@ -589,7 +658,7 @@ def evidence_by_topic(spark, sf_dir):
 
 
 @query("""SELECT DISTINCT source AS property_id, 'error' AS status, substr(repeat(source || ' failed. ', 300), 1, 2000) AS error_message,
-          CAST(NULL AS VARCHAR) AS payload_json, CAST(NULL AS BIGINT) AS neighbors_selected_count FROM documents""")
+          true AS nothing_else FROM documents""")
 def error_runs(spark, sf_dir):
     """Failed runs as rows of the full schema, messages cut to 2000 characters."""
     base = shared_folder(spark, "runs")
@@ -600,5 +669,6 @@ def error_runs(spark, sf_dir):
     )
     tables.append_run(base, "run-e", {"runs": rows}, _FIRST)
     return tables.read_run_table(spark, base, "runs").select(
-        "property_id", "status", "error_message", "payload_json", "neighbors_selected_count"
+        "property_id", "status", "error_message",
+        (F.col("payload_json").isNull() & F.col("neighbors_selected_count").isNull()).alias("nothing_else"),
     )

@@ -27,7 +27,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else value + 0.0
+        # the sign of a zero counts as well: values may be compared by their text
+        return "nan" if math.isnan(value) else repr(value)
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None)
     return value
