@@ -7,7 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.fixed_values import AIRBNB_PREFIX, BOOKING_PREFIX
+from innsight.fixed_values import (
+    AIRBNB_HOTEL_TEXT,
+    AIRBNB_PREFIX,
+    BOOKING_HOTEL_TEXT,
+    BOOKING_PREFIX,
+    HOTEL_DEFAULTS,
+    MISSING_TEXT,
+    PROPERTY_DEFAULTS,
+    REVIEW_TEXT,
+    UNTITLED_PROPERTY,
+)
 from innsight.functions import ids
 from innsight.functions.reviews import split_reviews
 
@@ -26,22 +36,20 @@ def decimal_rating(rating: Column) -> Column:
     return F.coalesce(F.replace(rating, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
 
 
-def _text(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit("None"))
+def _text(form: str, *fields: str) -> Column:
+    """A document text: the form filled with the fields, missing ones by their stand-in."""
+    filled = [F.coalesce(F.col(f).cast("string"), F.lit(MISSING_TEXT)) for f in fields]
+    return F.format_string(form, *filled)
 
 
 def booking_hotel_documents(hotels: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
     df = hotels.select(
         "hotel_id", "title", "description", "city", "country", "review_score",
         F.concat_ws(", ", "most_popular_facilities").alias("facilities"),
-    ).fillna({"description": "", "title": "Unknown Hotel", "city": "Unknown", "country": "Unknown"})
+    ).fillna(HOTEL_DEFAULTS)
     if city:
         df = df.filter(F.col("city") == city)
-    text = F.concat(
-        F.lit("Hotel: "), "title", F.lit(". Location: "), "city", F.lit(", "), "country",
-        F.lit(". Rating: "), _text(F.col("review_score")), F.lit(". Facilities: "), "facilities",
-        F.lit(". Description: "), "description",
-    )
+    text = _text(BOOKING_HOTEL_TEXT, "title", "city", "country", "review_score", "facilities", "description")
     hotel_id = ids.prefixed(BOOKING_PREFIX, F.col("hotel_id"))
     return _first_rows(df, limit, "hotel_id").select(
         F.lit("booking_hotels").alias("namespace"), hotel_id.alias("doc_id"), F.lit("booking").alias("source"),
@@ -62,10 +70,7 @@ def booking_review_documents(hotels: DataFrame, city: str | None = None, limit:
         .filter(F.col("item.review").isNotNull())
     )
     hotel_id = ids.prefixed(BOOKING_PREFIX, F.col("hotel_id"))
-    text = F.concat(
-        F.lit("Review for "), _text(F.col("title")), F.lit(" in "), _text(F.col("city")), F.lit(": "),
-        "item.review",
-    )
+    text = _text(REVIEW_TEXT, "title", "city", "item.review")
     return df.select(
         F.lit("booking_reviews").alias("namespace"),
         F.concat(hotel_id, F.lit("_R"), F.col("pos").cast("string")).alias("doc_id"),
@@ -80,15 +85,13 @@ def _airbnb_identity(df: DataFrame) -> tuple[Column, Column]:
         F.nullif(F.col("property_id").cast("string"), F.lit("")), ids.surrogate_id(F.col("name"))
     )
     title = F.coalesce(
-        F.nullif(F.col("listing_name"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.lit("Airbnb Property")
+        F.nullif(F.col("listing_name"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.lit(UNTITLED_PROPERTY)
     )
     return original, title
 
 
 def airbnb_hotel_documents(listings: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
-    df = listings.fillna(
-        {"description": "", "name": "Unknown Property", "location": "Unknown", "country": "Unknown"}
-    )
+    df = listings.fillna(PROPERTY_DEFAULTS)
     if city:
         df = df.filter(F.col("location").contains(city))
     original, title = _airbnb_identity(df)
@@ -97,11 +100,9 @@ def airbnb_hotel_documents(listings: DataFrame, city: str | None = None, limit:
         "*", original.alias("original_id"), title.alias("title"), rating.alias("rating")
     )
     hotel_id = ids.prefixed(AIRBNB_PREFIX, F.col("original_id"))
-    text = F.concat(
-        F.lit("Property: "), "title", F.lit(". Location: "), "location", F.lit(", "), "country",
-        F.lit(". Rating: "), _text(F.col("rating")), F.lit(". Guests: "), _text(F.col("guests")),
-        F.lit(". Category: "), _text(F.col("category")), F.lit(". Price: "), _text(F.col("price")),
-        F.lit(". Amenities: "), _text(F.col("amenities")), F.lit(". Description: "), "description",
+    text = _text(
+        AIRBNB_HOTEL_TEXT, "title", "location", "country", "rating", "guests", "category", "price",
+        "amenities", "description",
     )
     return df.select(
         F.lit("airbnb_hotels").alias("namespace"), hotel_id.alias("doc_id"), F.lit("airbnb").alias("source"),
@@ -125,7 +126,7 @@ def airbnb_review_documents(listings: DataFrame, city: str | None = None, limit:
         .filter(F.length("review") >= MIN_REVIEW_CHARS)
     )
     hotel_id = ids.prefixed(AIRBNB_PREFIX, F.col("original_id"))
-    text = F.concat(F.lit("Review for "), "title", F.lit(" in "), _text(F.col("location")), F.lit(": "), "review")
+    text = _text(REVIEW_TEXT, "title", "location", "review")
     return df.select(
         F.lit("airbnb_reviews").alias("namespace"),
         F.concat(hotel_id, F.lit("_R"), F.col("pos").cast("string")).alias("doc_id"),

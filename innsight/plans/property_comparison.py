@@ -187,8 +187,8 @@ def run_comparison(
         comparison = compare_properties(listings, tag_topics, targets=targets, **options)
         return {"status": "ok", "run_id": run_id, "written": write_comparison(comparison, base, run_id)}
     except Exception as error:  # a failed run must be visible to the readers of the tables
-        for pid in property_ids:
-            tables.append_run(base, run_id, {"runs": tables.error_run(spark, str(pid), str(error))})
+        failed = tables.error_run(spark, [str(p) for p in property_ids], str(error))
+        tables.append_run(base, run_id, {"runs": failed})
         return {"status": "error", "run_id": run_id, "error_message": str(error)}
     finally:
         if comparison is not None:

@@ -94,10 +94,10 @@ def append_run(
     return paths
 
 
-def error_run(spark: SparkSession, property_id: str, message: str) -> DataFrame:
-    """The row a failed run leaves in ``runs``."""
-    row = spark.createDataFrame([(property_id, message)], "property_id string, error_message string")
-    return row.withColumn("status", F.lit("error")).withColumn(
+def error_run(spark: SparkSession, property_ids: Sequence[str], message: str) -> DataFrame:
+    """The rows a failed run leaves in ``runs``, one per requested property."""
+    rows = spark.createDataFrame([(p, message) for p in property_ids], "property_id string, error_message string")
+    return rows.withColumn("status", F.lit("error")).withColumn(
         "error_message", tx.cap(F.col("error_message"), ERROR_MESSAGE_CHARS)
     )
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from innsight.fixed_values import ERROR_MESSAGE_CHARS
 from innsight.functions import text as tx
 from innsight.functions import vectors
 from innsight.operators import neighbours as nb
@@ -665,7 +666,7 @@ def error_runs(spark, sf_dir):
     failed = table(spark, sf_dir, "documents").select(F.col("source").alias("property_id")).distinct()
     rows = failed.select(
         "property_id", F.lit("error").alias("status"),
-        tx.cap(F.repeat(F.concat("property_id", F.lit(" failed. ")), 300), 2000).alias("error_message"),
+        tx.cap(F.repeat(F.concat("property_id", F.lit(" failed. ")), 300), ERROR_MESSAGE_CHARS).alias("error_message"),
     )
     tables.append_run(base, "run-e", {"runs": rows}, _FIRST)
     return tables.read_run_table(spark, base, "runs").select(

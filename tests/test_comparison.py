@@ -158,7 +158,7 @@ def test_job_leaves_an_error_row(spark):
 
 
 def test_long_messages_and_sentences_are_cut(spark):
-    assert len(tables.error_run(spark, "p", "x" * 5000).first()["error_message"]) == 2000
+    assert len(tables.error_run(spark, ["p"], "x" * 5000).first()["error_message"]) == 2000
     rows = spark.createDataFrame([("y" * 700,), ("y" * 600,)], "sentence_text string")
     assert [len(r[0]) for r in rp.capped_evidence(rows).collect()] == [601, 600]
 
