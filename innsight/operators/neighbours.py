@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +129,7 @@ def best_columns(scores: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[
 
 def unit_rows(vectors_column: pa.ChunkedArray) -> np.ndarray:
     """Vectors of an Arrow list column as rows of length one."""
-    flat = pa.compute.list_flatten(vectors_column).to_numpy()
+    flat = pc.list_flatten(vectors_column).to_numpy()
     matrix = flat.reshape(len(vectors_column), -1)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
@@ -138,8 +138,8 @@ def _score_block(k: int):
     """Arrow function: targets and candidates of one block in, the best ``k`` per target out."""
 
     def score(rows: pa.Table) -> pa.Table:
-        asked = rows.filter(pa.compute.field("is_target"))
-        known = rows.filter(~pa.compute.field("is_target"))
+        asked = rows.filter(pc.field("is_target"))
+        known = rows.filter(~pc.field("is_target"))
         out = {"property_id": [], "neighbor_property_id": [], "similarity": []}
         if asked.num_rows and known.num_rows:
             target_ids = np.array(asked["property_id"].to_pylist(), dtype=object)

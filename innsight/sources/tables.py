@@ -46,13 +46,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan gives fewer tasks than there are cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, by a unique key, when a scan gives fewer tasks than there are cores.
 
     Meant ahead of expensive work per row on a few files; a scan of many files stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def source_counts(sources: dict[str, DataFrame]) -> DataFrame:

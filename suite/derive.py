@@ -13,13 +13,19 @@ from innsight.sources.shared import shared_folder
 from innsight.sources.tables import spread
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+ROW_KEYS = {
+    "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"],
+    "events": ["event_id"], "orders": ["o_orderkey"], "part": ["p_partkey"],
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; texts are spread over the cores, since every row of them is costly."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def costly(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table whose rows take much work, spread over the cores."""
+    return spread(table(spark, sf_dir, name), *ROW_KEYS[name])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +46,7 @@ def with_sql(select: str, *ctes: str) -> str:
 # --- documents as listings: the paragraphs of a text are its reviews --------------------
 
 def review_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = costly(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").cast("string").alias("property_id"), F.to_json(F.split("text", "\n")).alias("reviews")
     )
@@ -86,7 +92,7 @@ def source_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all documents with the property ``source``; labels give the sentiment."""
     from innsight.operators.sentences import split_sentences
 
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = costly(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     sentiment = (
         F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "negative")
         .when(F.col("quality").isNotNull(), "positive")
@@ -235,7 +241,7 @@ vector_neighbours AS (
 # --- documents as booking hotels, and as airbnb listings with free-form reviews -----------
 
 def booking_hotels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = costly(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     parts = F.split("text", "\n")
     reviews = F.transform(
         parts, lambda p: F.struct(F.nullif(p, F.lit("")).alias("review"), F.col("lang").alias("reviewer_name"))
@@ -281,7 +287,7 @@ booking_review_documents AS (
 
 def airbnb_listings(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Listings whose review strings take eight forms, chosen by the length of the text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = costly(spark, sf_dir, "documents")
     parts = F.split("text", "\n")
     form = F.pmod("n_chars", F.lit(8))
     as_json = F.to_json(F.array("text"))
@@ -482,7 +488,7 @@ amenity_items AS (
 # --- map pages: the paragraphs of a page become review cards -------------------------------
 
 def map_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = costly(spark, sf_dir, "pages")
     paragraphs = F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))
     cards = F.transform(
         paragraphs,
@@ -512,7 +518,7 @@ _LINKS = '<a href="([^"]*)">([^<]*)</a>'
 
 
 def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = costly(spark, sf_dir, "pages")
     links = F.zip_with(
         F.regexp_extract_all("html", F.lit(_LINKS), F.lit(1)), F.regexp_extract_all("html", F.lit(_LINKS), F.lit(2)),
         lambda href, text: F.struct(href.alias("link"), text.alias("title")),
@@ -564,7 +570,7 @@ search_hits AS (
 # --- event payloads out of orders, weather payloads out of events, map payloads out of parts -
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spread(table(spark, sf_dir, "orders"))
+    o = costly(spark, sf_dir, "orders")
     show = F.concat(F.lit("Show "), "o_orderstatus")
     widget = F.array(
         F.struct(show.alias("title"), F.concat(F.lit("Hall "), F.col("o_custkey").cast("string")).alias("venue"),
@@ -587,7 +593,7 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
+    e = costly(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     value = F.col("value").cast("string")
     days = F.transform(
@@ -615,7 +621,7 @@ def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spread(table(spark, sf_dir, "part"))
+    p = costly(spark, sf_dir, "part")
     items = F.transform(
         F.sequence(F.lit(1), F.pmod("p_size", F.lit(8)) + 1),
         lambda i: F.struct(
@@ -636,7 +642,7 @@ def map_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns with a closing remark that depends on the turn."""
-    c = table(spark, sf_dir, "conversations")
+    c = costly(spark, sf_dir, "conversations")
     conv = F.col("conv_id").cast("string")
     remark = (
         F.when(F.col("turn") == 0, F.concat(F.lit(" What is the rating of BKG_"), conv, F.lit(" in London?")))
@@ -662,7 +668,7 @@ KNOWN_TOOLS = ["search_reviews", "rank_by_metric", "search_weather", "search_eve
 
 
 def tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
+    e = costly(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     value = F.col("value").cast("string")
     kind = F.col("event_type")
@@ -701,7 +707,7 @@ tool_calls AS (
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn after the first as a response that quotes and rephrases the turn before it."""
-    c = table(spark, sf_dir, "conversations")
+    c = costly(spark, sf_dir, "conversations")
     earlier = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     turns = c.join(earlier, ["conv_id", "turn"])
     response = F.concat(
@@ -718,7 +724,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
+    e = costly(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
 
     def rating(shift: int):
@@ -747,7 +753,7 @@ feedback AS (
 
 
 def scenario_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
+    e = costly(spark, sf_dir, "events")
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("scenario_id"), kind.alias("category"),

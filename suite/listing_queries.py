@@ -16,7 +16,7 @@ from innsight.plans import ingestion, rating_insights as ri
 from innsight.sources import tables
 from innsight.sources.shared import shared_folder
 from suite import derive as d
-from suite.derive import table, with_sql
+from suite.derive import costly, table, with_sql
 from suite.registry import query
 
 
@@ -323,7 +323,7 @@ def _asked_reviews(spark, sf_dir):
     asked = F.array(
         *[F.struct(F.lit(q["query"]).alias("query"), tx.word_array(q["keywords"]).alias("keywords")) for q in questions]
     )
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.inline(asked))
+    return costly(spark, sf_dir, "documents").select("doc_id", "source", "text", F.inline(asked))
 
 
 @query(with_sql("SELECT query, doc_id, relevant FROM asked_reviews", _QUESTION_WORDS_SQL))

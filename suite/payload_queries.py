@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import AGENT_NAMES, COMPETITOR_CUES, METRIC_WORDS, PLACE_WORDS
-from innsight.functions import text as tx
 from innsight.operators import conversations as cv
 from innsight.operators import evaluation as ev
 from innsight.operators import grounding as gr
@@ -94,14 +93,11 @@ def event_listings(spark, sf_dir):
     return wp.events(d.event_payloads(spark, sf_dir))
 
 
-_PHRASES = ["This week", "this month", "events next week", "May 2024"]
-
-
 @query("""
-WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS today FROM events),
-asked AS (SELECT today, unnest(['This week', 'this month', 'events next week', 'May 2024']) AS phrase FROM days),
+WITH asked AS (SELECT event_id, CAST(ts AS DATE) AS today, CASE event_type WHEN 'view' THEN 'This week' WHEN 'click' THEN 'this month'
+    WHEN 'signup' THEN 'events next week' ELSE 'May 2024' END AS phrase FROM events),
 spans AS (SELECT *, CAST(date_trunc('week', today) AS DATE) AS monday, CAST(date_trunc('month', today) AS DATE) AS month FROM asked)
-SELECT CAST(today AS VARCHAR) AS today, phrase,
+SELECT event_id, phrase,
   CAST(CASE phrase WHEN 'This week' THEN monday WHEN 'this month' THEN month WHEN 'events next week' THEN CAST(monday + 7 AS DATE) END AS VARCHAR) AS first,
   CAST(CASE phrase WHEN 'This week' THEN CAST(monday + 6 AS DATE) WHEN 'this month' THEN last_day(today) WHEN 'events next week' THEN CAST(monday + 13 AS DATE) END AS VARCHAR) AS last,
   CASE phrase WHEN 'This week' THEN strftime(monday, '%d %B') || ' to ' || strftime(monday + 6, '%d %B %Y')
@@ -110,13 +106,16 @@ SELECT CAST(today AS VARCHAR) AS today, phrase,
 FROM spans
 """)
 def date_ranges(spark, sf_dir):
-    """Relative phrases to date ranges, for every day of the log."""
-    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("today")).distinct()
-    asked = days.select("today", F.explode(tx.word_array(_PHRASES)).alias("phrase"))
+    """The relative phrase of every event to its date range and wording."""
+    kind = F.col("event_type")
+    phrase = (
+        F.when(kind == "view", "This week").when(kind == "click", "this month")
+        .when(kind == "signup", "events next week").otherwise("May 2024")
+    )
+    asked = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("today"), phrase.alias("phrase"))
     span = wp.date_range(F.col("phrase"), F.col("today"))
     return asked.select(
-        F.col("today").cast("string").alias("today"), "phrase", span["first"].cast("string").alias("first"),
-        span["last"].cast("string").alias("last"),
+        "event_id", "phrase", span["first"].cast("string").alias("first"), span["last"].cast("string").alias("last"),
         wp.date_phrase(F.col("phrase"), F.col("today")).alias("wording"),
     )
 

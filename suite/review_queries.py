@@ -17,7 +17,7 @@ from innsight.plans import property_comparison as pc
 from innsight.sources import tables
 from innsight.sources.shared import shared_folder
 from suite import derive as d
-from suite.derive import table, with_sql
+from suite.derive import costly, table, with_sql
 from suite.registry import query
 
 _STATS = (d.SOURCE_SENTENCES_SQL, d.ASSIGNMENTS_SQL)
@@ -232,7 +232,7 @@ def sentence_volume(spark, sf_dir):
           FROM documents""")
 def english_like(spark, sf_dir):
     """P16 on whole texts; the share is lowered so that the languages differ."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.english_like(F.col("text"), 0.02).alias("english_like"))
+    return costly(spark, sf_dir, "documents").select("doc_id", tx.english_like(F.col("text"), 0.02).alias("english_like"))
 
 
 _POSITIVE = ["and", "with", "für", "pour", "para"]
@@ -345,15 +345,16 @@ def topic_stats(spark, sf_dir):
 _USER_TERMS = ["wifi", "Quiet ", "AC", "kitchen", "pricing", "air", "the view"]
 
 
-@query("""SELECT * FROM (VALUES ('wifi', 'wifi and internet quality'), ('Quiet ', 'privacy and quietness'),
-          ('AC', 'temperature and climate control'), ('kitchen', 'kitchen and cooking facilities'),
-          ('pricing', 'value for money and pricing'), ('air', 'maintenance and repairs'), ('the view', 'the view')) v(term, matched_topic)
-          JOIN (SELECT DISTINCT event_type AS asked_by FROM events) ON true""")
+@query("""SELECT conv_id, turn, term, matched_topic FROM conversations JOIN (SELECT * FROM (VALUES
+          (0, 'wifi', 'wifi and internet quality'), (1, 'Quiet ', 'privacy and quietness'),
+          (2, 'AC', 'temperature and climate control'), (3, 'kitchen', 'kitchen and cooking facilities'),
+          (4, 'pricing', 'value for money and pricing'), (5, 'air', 'maintenance and repairs'), (6, 'the view', 'the view')) v(n, term, matched_topic))
+          ON turn % 7 = n""")
 def topic_aliases(spark, sf_dir):
-    """User terms to topics by alias, then by substring, for everyone who asks."""
-    asked = table(spark, sf_dir, "events").select(F.col("event_type").alias("asked_by")).distinct()
-    terms = asked.select("asked_by", F.explode(tx.word_array(_USER_TERMS)).alias("term"))
-    return tp.resolve_topic(terms)
+    """The term asked about in every turn, to its topic by alias, then by substring."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = F.get(tx.word_array(_USER_TERMS), F.pmod("turn", F.lit(len(_USER_TERMS))).cast("int"))
+    return tp.resolve_topic(turns.select("conv_id", "turn", asked.alias("term")))
 
 
 # --- the report ------------------------------------------------------------------------------------
@@ -576,7 +577,7 @@ english_sentences AS (
     d.REVIEW_ROWS_SQL, d.SENTENCE_ROWS_SQL, _DOCUMENT_COMPARISON, d.ASSIGNMENTS_SQL, _GAPS))
 def property_comparison(spark, sf_dir):
     """X9 end to end from listings: cells, neighbours, sentences, tagging, report, for all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = costly(spark, sf_dir, "documents")
     vec = F.array(F.lit(1.0), *[F.pmod("n_chars", F.lit(m)).cast("double") for m in (7, 11, 13, 17)])
     listings = docs.select(
         F.col("doc_id").cast("string").alias("property_id"), F.to_json(F.split("text", "\n")).alias("reviews"),
@@ -658,15 +659,14 @@ def evidence_by_topic(spark, sf_dir):
     return rows.select("property_id", "kind", "evidence_role", "sentence_id", *_six("topic_similarity"))
 
 
-@query("""SELECT DISTINCT source AS property_id, 'error' AS status, substr(repeat(source || ' failed. ', 300), 1, 2000) AS error_message,
+@query("""SELECT CAST(doc_id AS VARCHAR) AS property_id, 'error' AS status, substr('no cell for ' || text, 1, 2000) AS error_message,
           true AS nothing_else FROM documents""")
 def error_runs(spark, sf_dir):
-    """Failed runs as rows of the full schema, messages cut to 2000 characters."""
+    """A failed run per listing as rows of the full schema, messages cut to 2000 characters."""
     base = shared_folder(spark, "runs")
-    failed = table(spark, sf_dir, "documents").select(F.col("source").alias("property_id")).distinct()
-    rows = failed.select(
-        "property_id", F.lit("error").alias("status"),
-        tx.cap(F.repeat(F.concat("property_id", F.lit(" failed. ")), 300), ERROR_MESSAGE_CHARS).alias("error_message"),
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("property_id"), F.lit("error").alias("status"),
+        tx.cap(F.concat(F.lit("no cell for "), "text"), ERROR_MESSAGE_CHARS).alias("error_message"),
     )
     tables.append_run(base, "run-e", {"runs": rows}, _FIRST)
     return tables.read_run_table(spark, base, "runs").select(
