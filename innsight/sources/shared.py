@@ -13,15 +13,16 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    Only a local session without the setting gets a folder of its own; a cluster has to
+    Only a local session without the setting gets a folder of its own, once; a cluster has to
     name one, since executors cannot see each other's local disks.
     """
-    base = spark.conf.get(_SETTING, None)
+    context = spark.sparkContext
+    base = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"{_SETTING} must name a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="innsight-")
-        spark.conf.set(_SETTING, base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="innsight-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from suite.registry import QUERIES, SQL
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
