@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.llm import chat, hilbert, jaccard, packing, pieces, risk_rules, spans, tokens, topk, toxicity, training_order
+from innsight.llm.work import stored
 from innsight.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,6 +230,8 @@ FROM judged
 """)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return risk_rules.judged(docs, table(spark, sf_dir, "labels")).select(
+    measured = stored(risk_rules.measures(docs).drop("text"), "measures")
+    out, _ = risk_rules.judged_measures(measured, table(spark, sf_dir, "labels"))
+    return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

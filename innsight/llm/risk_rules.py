@@ -127,8 +127,8 @@ def cutoffs(holdout: DataFrame, stratum: str, good: str, risk: Risk = Risk()) ->
     """Per stratum and rule the lowest grid value from which a text may be rejected.
 
     ``holdout`` holds measured and labelled rows; only those whose label is 1 and that pass the
-    base rules bear on false rejection. Spark counts them by stratum, rule and grid value, over all rows; what reaches
-    the driver is at most ``grid + 1`` numbers per stratum and rule. Without enough good texts
+    base rules bear on false rejection. Spark counts them by stratum, rule and grid value, over
+    all rows; what reaches the driver is at most ``grid + 1`` numbers per stratum and rule. Without enough good texts
     to prove anything a rule has no cutoff (null) and rejects nothing.
     """
     stacked = F.explode(
@@ -169,6 +169,23 @@ def rejected_by(rows: list[dict], stratum: str, grid: int) -> Column:
     return out
 
 
+def judged_measures(
+    measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", stratum_col: str = "lang",
+    label_col: str = "quality",
+) -> tuple[DataFrame, list[dict]]:
+    """Measured rows with ``base_failed`` and ``kept``, and the cutoffs behind it.
+
+    Only numbers are joined with the labels, never texts.
+    """
+    good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.max(label_col).alias("_good")
+    )
+    holdout = measured.withColumn("_stratum", F.col(stratum_col)).join(good, measured[id_col] == good._id)
+    rows = cutoffs(holdout, "_stratum", "_good", risk)
+    out = measured.withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejected_by(rows, stratum_col, risk.grid)), rows
+
+
 def judged(
     docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text",
     stratum_col: str = "lang", label_col: str = "quality",
@@ -184,9 +201,7 @@ def judged(
     new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks",
            "base_failed", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c in new and c not in (id_col, text_col, stratum_col)])
-    good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
-    known = docs.select(id_col, text_col, F.col(stratum_col).alias("_stratum"))
-    holdout = known.join(good, known[id_col] == good._id).select(text_col, "_stratum", "_good")
-    rows = cutoffs(measures(holdout, text_col), "_stratum", "_good", risk)
+    numbers = measures(docs.select(id_col, text_col, stratum_col), text_col).drop(text_col)
+    _, rows = judged_measures(numbers, labels, risk, id_col, stratum_col, label_col)
     out = measures(docs, text_col).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~rejected_by(rows, stratum_col, risk.grid))
