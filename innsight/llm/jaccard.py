@@ -24,6 +24,7 @@ BITMAP_BITS = 2048
 SMALL_SET = 128
 _LEVELS = 8
 _SEEN = 500_000
+_BLOCK = 2000
 _U = np.uint64
 
 
@@ -237,43 +238,83 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """(a, b): pairs under a key whose labels differ, in blocks of rows; rows are sorted by key.
+def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs under a key whose labels differ and whose bitmaps allow a link.
 
-    Members of one label are already known to be connected, so only what is left between
-    labels is paired; a key whose members share a label gives nothing.
+    With ``nearest`` a member gives only the partner whose bitmap differs least. Members of one
+    label are known to be connected and are not paired. A key of many members is dealt out in
+    tiles of two blocks, so a task holds about two blocks of bitmaps, however large the key.
     """
+    sized = members.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")
+    )
+    sized = sized.where("lo != hi").select("key", F.expr(f"cast(ceil(size / {_BLOCK}) as int)").alias("blocks"))
+    rows = members.join(sized, "key").withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label",
+        "doc_id", "n", "bits",
+    )
 
-    def pairs(block: list[tuple[int, int]], kept: list[tuple[np.ndarray, np.ndarray]]):
-        labels, ids = (np.array(x, np.int64) for x in zip(*block, strict=True))
-        for other_labels, other_ids in [*kept, (labels, ids)]:
-            i, j = np.nonzero(other_labels[:, None] != labels[None, :])
-            if other_ids is ids:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                left, right = other_ids[i], ids[j]
-                yield pa.record_batch(
-                    [pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"]
-                )
-        kept.append((labels, ids))
+    def tile(block, label, ids, n, bits, lo, hi):
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        best: dict[int, tuple[int, int]] = {}
+        for i in left:
+            among = right[right > i] if lo == hi else right
+            among = among[label[among] != label[i]]
+            among = among[100 * np.minimum(n[among], n[i]) >= percent * np.maximum(n[among], n[i])]
+            if not len(among):
+                continue
+            both = n[among] + n[i]
+            differ = np.bitwise_count(bits[among] ^ bits[i]).sum(1, dtype=np.int64)
+            fits = (100 + percent) * (both - differ) >= 2 * percent * both
+            among, differ = among[fits], differ[fits]
+            if not nearest:
+                yield from ((int(ids[i]), int(ids[j])) for j in among)
+                continue
+            for j, d in zip(among.tolist(), differ.tolist(), strict=True):
+                for x, y in ((int(i), j), (j, int(i))):
+                    if x not in best or d < best[x][0]:
+                        best[x] = (d, y)
+        yield from ((int(ids[x]), int(ids[y])) for x, (_, y) in best.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, kept = None, [], []
+        def batch_of(found):
+            pairs = np.sort(np.array(found, np.int64), axis=1)
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def flush(parts):
+            columns = [np.concatenate(c) for c in zip(*(p[1:] for p in parts), strict=True)]
+            found = []
+            for pair in tile(*columns, *parts[0][0][1:]):
+                found.append(pair)
+                if len(found) == 100_000:
+                    yield batch_of(found)
+                    found = []
+            if found:
+                yield batch_of(found)
+
+        parts: list = []
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "label", "doc_id")), strict=True)
-            for k, label, doc_id in rows:
-                if k != key or len(block) == 1000:
-                    if block:
-                        yield from pairs(block, kept)
-                    if k != key:
-                        kept = []
-                    key, block = k, []
-                block.append((label, doc_id))
-        if block:
-            yield from pairs(block, kept)
-
-    dealt = members.repartition("key").sortWithinPartitions("key", "label", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            key, lo, hi, block, label, ids, n = (batch.column(i).to_numpy() for i in range(7))
+            bits = batch.column(7)
+            bits = bits.values.to_numpy()[bits.offsets[0].as_py() : bits.offsets[-1].as_py()].reshape(len(key), -1)
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+            edges = [*np.flatnonzero(fresh).tolist(), len(key)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                name = (int(key[start]), int(lo[start]), int(hi[start]))
+                if parts and parts[0][0] != name:
+                    yield from flush(parts)
+                    parts = []
+                cut = slice(start, end)
+                parts.append((name, block[cut], label[cut], ids[cut], n[cut].astype(np.int64), bits[cut]))
+        if parts:
+            yield from flush(parts)
+
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "label", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicate_groups(
@@ -312,18 +353,18 @@ def near_duplicate_groups(
         known = labels.select(F.col("node").alias("_d"), F.col("label").alias("_l"))
         return frame.join(own, column).join(known, "_d", "left").withColumn(name, F.coalesce("_l", "_d")).drop("_d", "_l")
 
-    # What one meeting per document left apart: first the other meetings, then all pairs between labels.
-    apart = labelled(labelled(hits.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la != lb")
-    again = stored(_linked(apart.select("a", "b").distinct(), sets, percent), "links")
-    links = links.unionByName(again)
-    labels = components(links)
-
+    # One meeting per document has joined most. Of what shares a key and is still apart, the nearest
+    # partners come next, twice, and then every pair that the bitmaps allow.
     members = hits.select("key", F.col("a").alias("doc_id")).unionByName(hits.select("key", F.col("b").alias("doc_id")))
-    members = labelled(members.distinct(), "doc_id", "label")
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    crossing = _crossing(members.join(mixed.select("key"), "key", "left_semi").select("key", "label", "doc_id"))
-    rest = stored(_linked(crossing.distinct(), sets, percent), "links")
-    links = links.unionByName(rest).join(classes.select(F.col("digest").alias("a"), F.col("rep").alias("ra")), "a")
+    members = stored(members.distinct(), "members")
+    small = sets.select("doc_id", "n", "bits")
+    for nearest in (True, True, False):
+        apart = _crossing(labelled(members, "doc_id", "label").join(small, "doc_id"), percent, nearest)
+        rest = stored(_linked(apart, sets, percent), "links")
+        links = links.unionByName(rest)
+        if nearest:
+            labels = components(links)
+    links = links.join(classes.select(F.col("digest").alias("a"), F.col("rep").alias("ra")), "a")
     links = links.join(classes.select(F.col("digest").alias("b"), F.col("rep").alias("rb")), "b")
     groups = components(links, "ra", "rb")
 
