@@ -238,7 +238,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _crossing(members: DataFrame, bitmaps: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(a, b): pairs under a key whose labels differ and whose bitmaps allow a link.
 
     With ``nearest`` a member gives only the partner whose bitmap differs least. Members of one
@@ -249,7 +249,7 @@ def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")
     )
     sized = sized.where("lo != hi").select("key", F.expr(f"cast(ceil(size / {_BLOCK}) as int)").alias("blocks"))
-    rows = members.join(sized, "key").withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")).cast("int"))
+    rows = members.join(sized, "key").join(bitmaps, "doc_id").withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label",
@@ -300,7 +300,7 @@ def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 continue
             key, lo, hi, block, label, ids, n = (batch.column(i).to_numpy() for i in range(7))
             bits = batch.column(7)
-            bits = bits.values.to_numpy()[bits.offsets[0].as_py() : bits.offsets[-1].as_py()].reshape(len(key), -1)
+            bits = bits.values.to_numpy()[bits.offsets[0].as_py() : bits.offsets[-1].as_py()].view(_U).reshape(len(key), -1)
             fresh = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
             edges = [*np.flatnonzero(fresh).tolist(), len(key)]
             for start, end in zip(edges[:-1], edges[1:], strict=True):
@@ -354,12 +354,12 @@ def near_duplicate_groups(
         return frame.join(own, column).join(known, "_d", "left").withColumn(name, F.coalesce("_l", "_d")).drop("_d", "_l")
 
     # One meeting per document has joined most. Of what shares a key and is still apart, the nearest
-    # partners come next, twice, and then every pair that the bitmaps allow.
+    # partners come next, and then every pair that the bitmaps allow.
     members = hits.select("key", F.col("a").alias("doc_id")).unionByName(hits.select("key", F.col("b").alias("doc_id")))
     members = stored(members.distinct(), "members")
     small = sets.select("doc_id", "n", "bits")
-    for nearest in (True, True, False):
-        apart = _crossing(labelled(members, "doc_id", "label").join(small, "doc_id"), percent, nearest)
+    for nearest in (True, False):
+        apart = _crossing(labelled(members, "doc_id", "label"), small, percent, nearest)
         rest = stored(_linked(apart, sets, percent), "links")
         links = links.unionByName(rest)
         if nearest:
