@@ -35,9 +35,11 @@ class Settings:
     dims: int = 8
     shortest: int = 3
     longest: int = 5
-    epochs: int = 60
-    rate: float = 0.05
-    decay: float = 1e-6
+    features: int = 512  # buckets with a vector
+    least_texts: int = 4  # texts of the sample a bucket has to occur in
+    epochs: int = 150
+    rate: float = 0.01
+    decay: float = 1e-3
 
 
 @dataclass(frozen=True)
@@ -74,72 +76,76 @@ def word_buckets(word: str, s: Settings) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in grams]
 
 
-def _sums(index: np.ndarray, starts: np.ndarray, scale: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Rows of a sparse matrix (starts, column index, weights) times a dense one."""
-    return np.add.reduceat(values[index] * scale[:, None], starts, axis=0)
-
-
-def _transposed(index: np.ndarray, rows: np.ndarray, scale: np.ndarray, width: int):
-    """The same matrix by columns: which columns occur, and their (starts, rows, weights)."""
-    order = np.argsort(index, kind="stable")
-    columns = index[order]
-    starts = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
-    return columns[starts], starts, rows[order], scale[order]
+def _bag(text: str, s: Settings, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of a text: the mean over its words of the mean over their n-grams."""
+    counts = Counter(words_of(text))
+    if not counts:
+        return np.empty(0, np.int64), np.empty(0)
+    grams = []
+    for word in counts:
+        found = cache.get(word)
+        if found is None:
+            found = cache[word] = np.array(word_buckets(word, s))
+        grams.append(found)
+    lengths = np.array([len(g) for g in grams])
+    shares = np.repeat(np.array(list(counts.values())) / counts.total() / lengths, lengths)
+    buckets, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return buckets, np.bincount(place, shares)
 
 
 def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings(), seed: int = 7) -> Model:
-    """Fit embeddings and softmax jointly: full-batch Adam on the class-balanced log loss."""
+    """Fit embeddings and softmax jointly: full-batch Adam on the log loss of the sample.
+
+    Only the ``features`` buckets whose presence differs most between the classes, by the
+    z-score of two proportions, get a vector; all others weigh nothing, in training and in
+    scoring alike, so n-grams of chance words cannot be learnt by heart.
+    """
     s = settings
-    bags = [Counter(words_of(t)) for t in texts]
-    use = np.array([i for i, bag in enumerate(bags) if bag], dtype=np.int64)
     rng = np.random.default_rng(seed)
-    softmax = rng.normal(0, 0.5, (s.dims, 2))
-    bias = np.zeros(2)
+    softmax, bias = rng.normal(0, 0.5, (s.dims, 2)), np.zeros(2)
     full = np.zeros((s.buckets, s.dims))
+    cache: dict[str, np.ndarray] = {}
+    bags = [_bag(t, s, cache) for t in texts]
+    use = np.array([i for i, (buckets, _) in enumerate(bags) if len(buckets)], dtype=np.int64)
     if not len(use) or len(np.unique(classes[use])) < 2:
         return Model(full, softmax * 0, bias, s)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for bag in bags for w in bag}))}
-    # documents x words
-    d_index = np.array([vocabulary[w] for i in use for w in bags[i]], dtype=np.int64)
-    d_scale = np.array([n / bags[i].total() for i in use for n in bags[i].values()])
-    lengths = np.array([len(bags[i]) for i in use])
-    d_starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    d_rows = np.repeat(np.arange(len(use)), lengths)
-    # words x buckets
-    grams = [word_buckets(w, s) for w in vocabulary]
-    w_lengths = np.array([len(g) for g in grams])
-    raw = np.array([b for g in grams for b in g], dtype=np.int64)
-    occurring, w_index = np.unique(raw, return_inverse=True)
-    w_scale = np.repeat(1.0 / w_lengths, w_lengths)
-    w_starts = np.r_[0, np.cumsum(w_lengths)[:-1]]
-    w_rows = np.repeat(np.arange(len(grams)), w_lengths)
-    dt_columns, dt_starts, dt_rows, dt_scale = _transposed(d_index, d_rows, d_scale, len(grams))
-    wt_columns, wt_starts, wt_rows, wt_scale = _transposed(w_index, w_rows, w_scale, len(occurring))
+    present = np.zeros((2, s.buckets))
+    for i in use:
+        present[classes[i], bags[i][0]] += 1
+    n = np.bincount(classes[use], minlength=2)
+    rates, pooled = present / n[:, None], present.sum(0) / n.sum()
+    z = np.abs(rates[1] - rates[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9)
+    z[present.sum(0) < s.least_texts] = 0
+    chosen = np.sort(np.argsort(-z, kind="stable")[: s.features])
+    chosen = chosen[z[chosen] > 0]
+    if not len(chosen):
+        return Model(full, softmax * 0, bias, s)
+    column = np.full(s.buckets, -1)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(use), len(chosen)), np.float32)
+    for row, i in enumerate(use):
+        at = column[bags[i][0]]
+        x[row, at[at >= 0]] = bags[i][1][at >= 0]
+    scale = np.sqrt((x**2).mean(0)) + 1e-9
+    x /= scale.astype(np.float32)
 
     y = np.eye(2)[classes[use]]
-    balance = (1.0 / y.sum(0))[classes[use]] / 2
-    table = rng.normal(0, 0.1, (len(occurring), s.dims))
-    state = [np.zeros_like(x) for x in (table, softmax, bias) for _ in (0, 1)]
+    table = rng.normal(0, 0.01, (len(chosen), s.dims))
+    state = [np.zeros_like(v) for v in (table, softmax, bias) for _ in (0, 1)]
     for step in range(1, s.epochs + 1):
-        word_vectors = _sums(w_index, w_starts, w_scale, table)
-        hidden = _sums(d_index, d_starts, d_scale, word_vectors)
+        hidden = x @ table
         logits = hidden @ softmax + bias
         logits -= logits.max(1, keepdims=True)
         shares = np.exp(logits)
         shares /= shares.sum(1, keepdims=True)
-        error = (shares - y) * balance[:, None]
-        back = error @ softmax.T
-        by_word = np.zeros_like(word_vectors)
-        by_word[dt_columns] = _sums(dt_rows, dt_starts, dt_scale, back)
-        by_bucket = np.zeros_like(table)
-        by_bucket[wt_columns] = _sums(wt_rows, wt_starts, wt_scale, by_word)
-        gradients = (by_bucket + s.decay * table, hidden.T @ error, error.sum(0))
+        error = (shares - y) / len(use)
+        gradients = (x.T @ (error @ softmax.T) + s.decay * table, hidden.T @ error, error.sum(0))
         for k, (value, gradient) in enumerate(zip((table, softmax, bias), gradients, strict=True)):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (gradient - m)
             v += 0.001 * (gradient**2 - v)
             value -= s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    full[occurring] = table
+    full[chosen] = table / scale[:, None]
     return Model(full, softmax, bias, s)
 
 
