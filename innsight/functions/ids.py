@@ -29,6 +29,7 @@ def is_airbnb(hotel_id: Column) -> Column:
     return hotel_id.startswith(AIRBNB_PREFIX + "_")
 
 
-def surrogate_id(name: Column) -> Column:
-    """Stable stand-in for a missing id: 16 hex digits of the name's SHA-256."""
-    return F.substring(F.sha2(name, 256), 1, 16)
+def surrogate_id(*fields: Column) -> Column:
+    """Stable stand-in for a missing id: 16 hex digits of the fields' SHA-256; never null."""
+    known = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
+    return F.substring(F.sha2(F.concat_ws("\u0001", *known), 256), 1, 16)

@@ -80,24 +80,32 @@ def booking_review_documents(hotels: DataFrame, city: str | None = None, limit:
     )
 
 
-def _airbnb_identity(df: DataFrame) -> tuple[Column, Column]:
-    original = F.coalesce(
-        F.nullif(F.col("property_id").cast("string"), F.lit("")), ids.surrogate_id(F.col("name"))
-    )
-    title = F.coalesce(
+_AIRBNB_IDENTITY = ("name", "listing_name", "location", "country", "description")
+
+
+def _airbnb_identified(listings: DataFrame) -> DataFrame:
+    """Listings with ``original_id``: their id, or a stand-in from all that identifies them.
+
+    It is taken before defaults are filled in, so hotels and reviews get the same.
+    """
+    known = F.nullif(F.col("property_id").cast("string"), F.lit(""))
+    original = F.coalesce(known, ids.surrogate_id(*[F.col(c) for c in _AIRBNB_IDENTITY]))
+    return listings.withColumn("original_id", original)
+
+
+def _airbnb_title() -> Column:
+    return F.coalesce(
         F.nullif(F.col("listing_name"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.lit(UNTITLED_PROPERTY)
     )
-    return original, title
 
 
 def airbnb_hotel_documents(listings: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
-    df = listings.fillna(PROPERTY_DEFAULTS)
+    df = _airbnb_identified(listings).fillna(PROPERTY_DEFAULTS)
     if city:
         df = df.filter(F.col("location").contains(city))
-    original, title = _airbnb_identity(df)
     rating = decimal_rating(F.col("ratings"))
     df = _first_rows(df, limit, "property_id").select(
-        "*", original.alias("original_id"), title.alias("title"), rating.alias("rating")
+        "*", _airbnb_title().alias("title"), rating.alias("rating")
     )
     hotel_id = ids.prefixed(AIRBNB_PREFIX, F.col("original_id"))
     text = _text(
@@ -113,14 +121,13 @@ def airbnb_hotel_documents(listings: DataFrame, city: str | None = None, limit:
 
 def airbnb_review_documents(listings: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
     """One document per parsed review of at least ten characters; numbers keep gaps."""
-    df = listings.filter(F.col("reviews").isNotNull() & (F.col("reviews") != ""))
+    df = _airbnb_identified(listings).filter(F.col("reviews").isNotNull() & (F.col("reviews") != ""))
     if city:
         df = df.filter(F.col("location").contains(city))
-    original, title = _airbnb_identity(df)
     df = (
         _first_rows(df, limit, "property_id")
         .select(
-            original.alias("original_id"), title.alias("title"), "location", "country",
+            "original_id", _airbnb_title().alias("title"), "location", "country",
             F.posexplode(split_reviews(F.col("reviews"))).alias("pos", "review"),
         )
         .filter(F.length("review") >= MIN_REVIEW_CHARS)

@@ -256,11 +256,18 @@ def _sampled(entries: DataFrame, max_candidates: int, seed: int) -> DataFrame:
     )
 
 
-def members(neighbours: DataFrame) -> DataFrame:
+def members(neighbours: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Who is compared: each target with itself and with its neighbours.
 
-    ``(property_id, member_id, side)``; one pass over the ranked neighbours.
+    ``(property_id, member_id, side)``. ``targets`` names what is compared whether it has
+    neighbours or not; without it that is every property with a neighbour, in one pass.
     """
+    if targets is not None:
+        own = targets.select(F.col("property_id").cast("string").alias("property_id")).distinct()
+        return neighbours.select(
+            "property_id", F.col("neighbor_property_id").alias("member_id"), F.lit("neighbors").alias("side")
+        ).unionByName(own.select("property_id", F.col("property_id").alias("member_id"), F.lit("target").alias("side")))
+
     def member(name: str, side: str) -> Column:
         return F.struct(F.col(name).alias("member_id"), F.lit(side).alias("side"))
 
@@ -285,7 +292,7 @@ def neighbour_status(
     listings: DataFrame,
     requested: DataFrame,
     *,
-    max_candidates: int = 100,
+    max_candidates: int | None = None,
     oversample: float = 1.7,
     k: int = 20,
     seed: int = 42,
@@ -295,7 +302,8 @@ def neighbour_status(
     """Selection metadata per requested property, also for ids that do not exist.
 
     ``bucket_candidate_count`` is the number of usable listings in the cell without the
-    target; it comes from one count per cell, not from a join of listings.
+    target; it comes from one count per cell, not from a join of listings. Without
+    ``max_candidates`` the search is exact: no cap, and a fraction of one.
     """
     flagged = usable_vectors(listings, vec_col).select(F.col(id_col).cast("string").alias("property_id"))
     wanted = requested.select(F.col("property_id").cast("string").alias("property_id")).distinct()
@@ -314,6 +322,7 @@ def neighbour_status(
     )
     ok = F.col("status") == "ok"
     count = F.coalesce(F.col("members"), F.lit(0)) - F.coalesce(F.col("own"), F.lit(0))
+    share = F.lit(1.0) if max_candidates is None else sampling_fraction(count, max_candidates, oversample)
     return (
         joined.withColumn(
             "status",
@@ -328,10 +337,8 @@ def neighbour_status(
             F.col("cell").alias("bucket_value"),
             F.concat(F.lit("h3_"), F.col("res").cast("string")).alias("h3_filter_column"),
             F.when(ok, count).alias("bucket_candidate_count"),
-            F.when(ok, sampling_fraction(count, max_candidates, oversample)).alias(
-                "candidate_sampling_fraction"
-            ),
-            F.when(ok, F.lit(max_candidates)).alias("max_candidates_cap"),
+            F.when(ok, share).alias("candidate_sampling_fraction"),
+            F.when(ok, F.lit(max_candidates).cast("int")).alias("max_candidates_cap"),
             F.when(ok, F.lit(oversample)).alias("oversample_factor"),
             F.when(ok, F.lit(k)).alias("top_k_neighbors"),
             F.when(ok, F.lit(seed)).alias("random_seed"),

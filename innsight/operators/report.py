@@ -52,15 +52,18 @@ def topic_stats(enriched: DataFrame) -> DataFrame:
     )
 
 
-def topic_gaps(enriched: DataFrame, neighbours: DataFrame, min_assignments: int = 0) -> DataFrame:
+def topic_gaps(
+    enriched: DataFrame, neighbours: DataFrame, min_assignments: int = 0, targets: DataFrame | None = None
+) -> DataFrame:
     """Negative rates of each property and of its neighbours, and their difference, per topic.
 
     A topic seen on one side only counts as rate zero on the other. ``min_assignments``
-    leaves out topics with fewer assignments on both sides together.
+    leaves out topics with fewer assignments on both sides together. ``targets`` are compared
+    even without neighbours.
     """
     counts = topic_counts(enriched).withColumnRenamed("property_id", "member_id")
     both = (
-        members(neighbours)
+        members(neighbours, targets)
         .join(counts, "member_id")
         .groupBy("property_id", "topic")
         .agg(
@@ -110,7 +113,8 @@ def _best(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return rows.withColumn("evidence_rank", F.row_number().over(window)).filter(F.col("evidence_rank") <= k)
 
 
-def topic_evidence(enriched: DataFrame, neighbours: DataFrame, k: int = 3) -> DataFrame:
+def topic_evidence(enriched: DataFrame, neighbours: DataFrame, k: int = 3, targets: DataFrame | None = None
+) -> DataFrame:
     """The best ``k`` sentences per property, topic and role, one row each.
 
     The best of a property's neighbours are among the best of each neighbour, so sentences
@@ -119,7 +123,7 @@ def topic_evidence(enriched: DataFrame, neighbours: DataFrame, k: int = 3) -> Da
     labelled = enriched.filter(F.col("sentiment_label").isin("positive", "negative"))
     sentences = labelled.withColumnRenamed("property_id", "evidence_property_id")
     best = _best(sentences, ["evidence_property_id", "topic", "sentiment_label"], k).drop("evidence_rank")
-    shown = members(neighbours).withColumnRenamed("member_id", "evidence_property_id").join(
+    shown = members(neighbours, targets).withColumnRenamed("member_id", "evidence_property_id").join(
         best, "evidence_property_id"
     )
     roles = shown.withColumn("role", F.concat_ws("_", "side", "sentiment_label"))

@@ -12,90 +12,151 @@ from pyspark.sql import functions as F
 
 from innsight.fixed_values import AIRBNB_PREFIX, BOOKING_PREFIX, PRICE_TEXT_PATTERN, RATING_TEXT_PATTERN
 from innsight.functions import text as tx
-from innsight.operators.neighbours import TIE_DIGITS, best_columns
+from innsight.functions import vectors
+from innsight.operators.neighbours import TIE_DIGITS, best_columns, unit_rows
 from innsight.operators.topics import flatten_vectors, mentions_keyword
-from innsight.sources.shared import collect_small
 
-# Queries travel to the executors with the function; the corpus never moves.
+# Up to so many queries travel to the executors with the function and the corpus stays where it
+# is; more are dealt in blocks that meet blocks of the corpus, with the same result.
 MAX_QUERIES = 10_000
 QUERY_CHUNK = 256
-MAX_NAME_LOOKUPS = 1_000
+BLOCK_ROWS = 4096
 
 
-def _partition_search(query_ids: list[str], matrix: np.ndarray, filters: list[tuple], k: int):
-    """Arrow function over the batches of one task; yields the task's best k per query.
+def _best_of(queries: np.ndarray, corpus: np.ndarray, names: np.ndarray, k: int):
+    """(query, positions, similarities) of the best ``k`` rows of ``corpus`` for each query.
 
-    Queries are scored in chunks, so a batch never needs more than a few MB of scores.
+    Queries are scored in chunks, so that never more than a few MB of scores are held.
     """
-    asked: dict[tuple, list[int]] = {}
-    for position, key in enumerate(filters):
-        asked.setdefault(key, []).append(position)
+    for start in range(0, len(queries), QUERY_CHUNK):
+        scores = np.round(queries[start:start + QUERY_CHUNK] @ corpus.T, TIE_DIGITS)
+        for line, picked in best_columns(scores, k, names):
+            yield start + line, picked, scores[line, picked]
+
+
+def _found(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([], [], [])
+    kinds = (pa.string(), pa.string(), pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["query_id", "doc_id", "similarity"]
+    )
+
+
+def _partition_search(asked: dict[tuple, tuple[list[str], np.ndarray]], k: int):
+    """Arrow function over the batches of one task; yields the task's best k per query.
 
-    def rows_by_filter(batch: pa.RecordBatch) -> dict[tuple, np.ndarray]:
-        columns = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+    ``asked`` has the query ids and unit vectors for each set of filter values. Rows are told
+    apart by dictionary codes of their filter columns.
+    """
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        columns = [batch.column(i).dictionary_encode() for i in range(2, batch.num_columns)]
         if not columns:
-            return {(): np.arange(batch.num_rows)}
-        rows: dict[tuple, list[int]] = {}
-        for row, key in enumerate(zip(*columns)):
-            if key in asked:
-                rows.setdefault(key, []).append(row)
-        return {key: np.array(found) for key, found in rows.items()}
+            yield (), np.arange(batch.num_rows)
+            return
+        codes = np.stack([c.indices.to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        kinds, member = np.unique(codes, axis=0, return_inverse=True)
+        order = np.argsort(member.ravel(), kind="stable")
+        parts = np.split(order, np.cumsum(np.bincount(member.ravel(), minlength=len(kinds)))[:-1])
+        values = [c.dictionary.to_pylist() for c in columns]
+        for kind, rows in zip(kinds, parts):
+            yield tuple(v[code] for v, code in zip(values, kind)), rows
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, str]]] = {}
+        best: dict[str, list[tuple[float, str]]] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             corpus = flatten_vectors(batch.column(1))
             norms = np.linalg.norm(corpus, axis=1)
-            for key, rows in rows_by_filter(batch).items():
+            for key, rows in groups(batch):
                 rows = rows[norms[rows] > 0]
-                if rows.size == 0:
+                if key not in asked or rows.size == 0:
                     continue
-                unit, names = corpus[rows] / norms[rows][:, None], ids[rows]
-                queries = asked[key]
-                for start in range(0, len(queries), QUERY_CHUNK):
-                    chunk = queries[start:start + QUERY_CHUNK]
-                    scores = np.round(matrix[chunk] @ unit.T, TIE_DIGITS)
-                    for line, picked in best_columns(scores, k, names):
-                        found = [(-float(scores[line, p]), names[p]) for p in picked]
-                        best[chunk[line]] = heapq.nsmallest(k, best.get(chunk[line], []) + found)
-        rows = [(query_ids[q], doc, -minus) for q, found in best.items() for minus, doc in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(column), kind) for column, kind in zip(
-                zip(*rows) if rows else ([], [], []), (pa.string(), pa.string(), pa.float64())
-            )],
-            names=["query_id", "doc_id", "similarity"],
-        )
+                names, (query_ids, matrix) = ids[rows], asked[key]
+                for q, picked, scores in _best_of(matrix, corpus[rows] / norms[rows][:, None], names, k):
+                    found = [(-float(s), names[p]) for s, p in zip(scores, picked)]
+                    best[query_ids[q]] = heapq.nsmallest(k, best.get(query_ids[q], []) + found)
+        yield _found([(q, doc, -minus) for q, found in best.items() for minus, doc in found])
 
     return search
 
 
+def _block_search(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Every block of queries meets every block of the corpus that has the same filter values."""
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
+
+    sizes = blocks(queries, "chunks").join(blocks(corpus, "blocks"), keys)
+
+    def own(count: str, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    place = [*keys, "block", "chunk"]
+    again = sizes.select(*keys, F.expr("chunks + 0").alias("n_chunks"), F.expr("blocks + 0").alias("n_blocks"))
+    asked = queries.join(sizes, keys).withColumn("chunk", own("chunks", "query_id")).withColumn("block", every("blocks"))
+    known = corpus.join(again, keys).withColumn("block", own("n_blocks", "doc_id")).withColumn("chunk", every("n_chunks"))
+    asked, known = asked.select(*place, "query_id", "vector"), known.select(*place, "doc_id", "vector")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            ids, names = left["query_id"].to_pylist(), np.array(right["doc_id"].to_pylist(), dtype=object)
+            for q, picked, scores in _best_of(unit_rows(left["vector"]), unit_rows(right["vector"]), names, k):
+                rows.extend((ids[q], names[p], float(s)) for s, p in zip(scores, picked))
+        return pa.Table.from_batches([_found(rows)])
+
+    return asked.groupBy(*place).cogroup(known.groupBy(*place)).applyInArrow(
+        score, "query_id string, doc_id string, similarity double"
+    )
+
+
 def search_top_k(
     queries: DataFrame, corpus: DataFrame, k: int = 5, match_on: Sequence[str] = (), vector_col: str = "vector"
 ) -> DataFrame:
     """The ``k`` most similar documents per query: ``(query_id, doc_id, similarity, rank)``.
 
     ``queries`` holds ``query_id``, a vector and a value for each column of ``match_on``,
-    which a document has to equal. The corpus is read once and stays where it is: every
-    task keeps its own best k per query, and only those are shuffled for the final rank.
+    which a document has to equal; values are compared in the type of the corpus, and null
+    equals nothing. Only documents with a wanted value are looked at. Up to ``MAX_QUERIES``
+    queries go to the corpus: every task keeps its own best k per query, and only those are
+    shuffled for the final rank. More queries meet the corpus in blocks.
     """
-    rows = collect_small(
-        queries.select("query_id", F.col(vector_col).cast("array<double>").alias("v"), *match_on),
-        MAX_QUERIES, "queries",
-    )
-    rows = [r for r in rows if r["v"] is not None and np.linalg.norm(r["v"]) > 0]
-    matrix = np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), -1)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if rows else matrix
-    filters = [tuple(str(r[c]) for c in match_on) for r in rows]
-    search = _partition_search([str(r["query_id"]) for r in rows], matrix, filters, k)
-    pruned = corpus.filter(F.col(vector_col).isNotNull()).select(
-        F.col("doc_id").cast("string").alias("doc_id"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
-        *[F.col(c).cast("string").alias(c) for c in match_on],
-    )
-    found = pruned.mapInArrow(search, "query_id string, doc_id string, similarity double")
+    kinds = dict(corpus.dtypes)
+    keys = [f"_key{i}" for i in range(len(match_on))]
+
+    def usable(df: DataFrame, id_col: str) -> DataFrame:
+        vector = F.col(vector_col).cast("array<double>")
+        rows = df.select(
+            F.col(id_col).cast("string").alias(id_col), vector.alias("vector"),
+            *[F.col(c).cast(kinds[c]).alias(key) for c, key in zip(match_on, keys)],
+        )
+        return rows.filter(F.col("vector").isNotNull()).dropna(subset=keys) if keys else rows.filter("vector is not null")
+
+    asked = usable(queries, "query_id").filter(vectors.l2_norm(F.col("vector")) > 0)
+    known = usable(corpus, "doc_id")
+    if keys:
+        known = known.join(asked.select(*keys).distinct(), keys, "left_semi")
+    known = known.select("doc_id", "vector", *keys)
+    rows = asked.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        one = [F.lit(0).alias("_key")] if not keys else []
+        usable_rows = known.filter(vectors.l2_norm(F.col("vector")) > 0)
+        found = _block_search(asked.select("*", *one), usable_rows.select("*", *one), keys or ["_key"], k)
+    else:
+        grouped: dict[tuple, tuple[list, list]] = {}
+        for r in rows:
+            ids, matrix = grouped.setdefault(tuple(r[key] for key in keys), ([], []))
+            ids.append(r["query_id"])
+            matrix.append(r["vector"])
+        units = {
+            key: (ids, np.array(m, dtype=float) / np.linalg.norm(np.array(m, dtype=float), axis=1, keepdims=True))
+            for key, (ids, m) in grouped.items()
+        }
+        found = known.mapInArrow(_partition_search(units, k), "query_id string, doc_id string, similarity double")
     window = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
@@ -105,47 +166,54 @@ def hotel_namespace(hotel_id: Column, kind: str = "hotels") -> Column:
     return F.when(hotel_id.startswith(AIRBNB_PREFIX + "_"), f"airbnb_{kind}").otherwise(f"booking_{kind}")
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct substrings of a length; none where the text is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+
+
 def lookup_hotels(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """The document of each requested hotel by id, else the first whose title contains its name.
 
-    ``requests`` holds ``hotel_id`` and ``hotel_name``. The name fallback only runs for the
-    requests the id did not answer, as a test of each title against that short list.
+    ``requests`` holds ``hotel_id`` and ``hotel_name``; every row comes back once. Names the id
+    did not answer are joined with titles on the rarest of their three-letter pieces (shorter
+    names on themselves) and then compared in full, so any number of them can be asked for.
     """
     docs = documents.filter(F.col("namespace").isin("booking_hotels", "airbnb_hotels"))
-    wanted = requests.select("hotel_id", "hotel_name").withColumn(
+    wanted = requests.select("hotel_id", "hotel_name").distinct().withColumn(
         "namespace", hotel_namespace(F.col("hotel_id"))
     )
     by_id = wanted.join(docs.select("namespace", "hotel_id", "title", "text"), ["namespace", "hotel_id"], "left")
     answered = by_id.filter(F.col("text").isNotNull()).select(
         "hotel_id", F.col("hotel_id").alias("found_hotel_id"), "title", "text", F.lit("id").alias("found_by")
+    ).dropDuplicates(["hotel_id"])
+    missing = by_id.filter(F.col("text").isNull()).select(
+        "hotel_id", "namespace", F.lower("hotel_name").alias("name")
+    ).filter(F.length("name") > 0)
+    titles = docs.filter(F.col("title").isNotNull()).select(
+        "namespace", F.col("hotel_id").alias("found_hotel_id"), F.lower("title").alias("lowered")
     )
-    missing = collect_small(
-        by_id.filter(F.col("text").isNull()).select("hotel_id", "hotel_name", "namespace"),
-        MAX_NAME_LOOKUPS, "hotels to look up by name",
+    pieces = titles.select(
+        "*", F.explode(F.concat(*[F.coalesce(_grams(F.col("lowered"), F.lit(n)), F.array()) for n in (1, 2, 3)])).alias("gram")
     )
-    schema = "array<struct<hotel_id:string,name:string,namespace:string>>"
-    asked = F.array(
-        *[
-            F.struct(
-                F.lit(r["hotel_id"]).alias("hotel_id"), F.lit((r["hotel_name"] or "").lower()).alias("name"),
-                F.lit(r["namespace"]).alias("namespace"),
-            )
-            for r in missing
-        ]
-    ).cast(schema)
-    hits = F.filter(
-        asked,
-        lambda a: (a["name"] != "") & (a["namespace"] == F.col("namespace")) & F.contains(F.lower(F.col("title")), a["name"]),
+    frequent = pieces.groupBy("namespace", "gram").agg(F.count("*").alias("n"))
+    rarest = (
+        missing.select("*", F.explode(_grams(F.col("name"), F.least(F.lit(3), F.length("name")))).alias("gram"))
+        .join(frequent, ["namespace", "gram"], "left")
+        .groupBy("hotel_id", "namespace", "name")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+        .filter("least.n > 0")
+        .select("hotel_id", "namespace", "name", F.col("least.gram").alias("gram"))
     )
-    window = Window.partitionBy("hotel_id").orderBy("found_hotel_id")
-    by_name = (
-        docs.select(F.explode(hits).alias("a"), F.col("hotel_id").alias("found_hotel_id"), "title", "text")
-        .select("a.hotel_id", "found_hotel_id", "title", "text", F.lit("name").alias("found_by"))
-        .withColumn("_n", F.row_number().over(window))
-        .filter(F.col("_n") == 1)
-        .drop("_n")
+    first = (
+        rarest.join(pieces, ["namespace", "gram"])
+        .filter(F.contains("lowered", "name"))
+        .groupBy("hotel_id", "namespace").agg(F.min("found_hotel_id").alias("found_hotel_id"))
     )
-    found = answered.unionByName(by_name)
+    by_name = first.join(
+        docs.select("namespace", F.col("hotel_id").alias("found_hotel_id"), "title", "text"), ["namespace", "found_hotel_id"]
+    ).select("hotel_id", "found_hotel_id", "title", "text", F.lit("name").alias("found_by"))
+    found = answered.unionByName(by_name.dropDuplicates(["hotel_id"]))
     return requests.select("hotel_id").join(found, "hotel_id", "left")
 
 

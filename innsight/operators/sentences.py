@@ -152,10 +152,10 @@ def distinct_sentences(sentences: DataFrame) -> DataFrame:
     )
 
 
-def sentence_volume(sentences: DataFrame, neighbours: DataFrame) -> DataFrame:
+def sentence_volume(sentences: DataFrame, neighbours: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Distinct sentences of each target and of all its neighbours together."""
     volume = distinct_sentences(sentences).withColumnRenamed("property_id", "member_id")
-    joined = members(neighbours).join(volume, "member_id", "left")
+    joined = members(neighbours, targets).join(volume, "member_id", "left")
 
     def of(side: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("side") == side, F.col("distinct_sentences"))), F.lit(0))

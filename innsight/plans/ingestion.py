@@ -32,11 +32,16 @@ def ingest(
     spark: SparkSession, path: str, booking: DataFrame | None, airbnb: DataFrame | None, *, version: int,
     model=None, clear_existing: bool = True, city: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Write the corpus to the document table and return its summary per namespace."""
-    if clear_existing:
-        tables.drop_namespaces(spark, path, NAMESPACES)
+    """Write the corpus to the document table and return its summary per namespace.
+
+    ``clear_existing`` replaces the four namespaces. What they held goes when the new files
+    stand; a namespace that receives nothing is removed afterwards. It can be repeated.
+    """
     documents = build_corpus(booking, airbnb, city, limit)
     if model is not None:
         documents = with_vectors(documents, model)
-    tables.upsert_documents(spark, path, documents, version)
+    tables.upsert_documents(spark, path, documents, version, replace=NAMESPACES if clear_existing else ())
+    if clear_existing:
+        written = {r["namespace"] for r in documents.select("namespace").distinct().collect()}
+        tables.drop_namespaces(spark, path, [n for n in NAMESPACES if n not in written])
     return dc.namespace_summary(spark.read.parquet(path).filter(F.col("namespace").isin(NAMESPACES)))

@@ -37,9 +37,9 @@ class Comparison:
             frame.unpersist()
 
 
-def involved_properties(neighbours: DataFrame) -> DataFrame:
+def involved_properties(neighbours: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Targets and their neighbours, each once."""
-    return nb.members(neighbours).select(F.col("member_id").alias("property_id")).distinct()
+    return nb.members(neighbours, targets).select(F.col("member_id").alias("property_id")).distinct()
 
 
 def embedding_tagger(
@@ -83,12 +83,16 @@ def compare_properties(
     p = {**COMPARISON_DEFAULTS, **(params or {})}
     requested = listings.select("property_id") if targets is None else targets
     near = nb.top_neighbours(listings, targets, k=p["top_k_neighbors"], max_candidates=max_candidates)
+    status = nb.neighbour_status(listings, requested, k=p["top_k_neighbors"], max_candidates=max_candidates)
     kept = []
     if keep_sentences:
         near = near.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(near)
+        status = status.persist(StorageLevel.MEMORY_AND_DISK)
+        kept += [near, status]
+    # a property that is alone in its cell is reported on as well
+    compared = status.filter("status = 'ok'").select(F.col("target_property_id").alias("property_id"))
     subset = listings.select(F.col("property_id").cast("string").alias("property_id"), "reviews").join(
-        involved_properties(near), "property_id", "left_semi"
+        involved_properties(near, compared), "property_id", "left_semi"
     )
     sentences = label_sentiment(st.split_sentences(st.explode_reviews(subset, max_reviews=max_reviews)))
     if keep_sentences:
@@ -98,15 +102,15 @@ def compare_properties(
     if keep_sentences:
         enriched = enriched.persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(enriched)
-    gaps = rp.topic_gaps(enriched, near)
+    gaps = rp.topic_gaps(enriched, near, targets=compared)
     topics = rp.rank_topics(gaps, p["top_k_weakness_topics"], p["top_k_strength_topics"])
     return Comparison(
-        status=nb.neighbour_status(listings, requested, k=p["top_k_neighbors"]),
+        status=status,
         neighbours=near,
         similarity=nb.similarity_stats(near),
-        volume=st.sentence_volume(sentences, near),
+        volume=st.sentence_volume(sentences, near, compared),
         topics=topics,
-        evidence=rp.evidence_of_topics(topics, rp.topic_evidence(enriched, near, p["top_k_examples"])),
+        evidence=rp.evidence_of_topics(topics, rp.topic_evidence(enriched, near, p["top_k_examples"], targets=compared)),
         kept=kept,
     )
 

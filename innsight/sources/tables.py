@@ -13,7 +13,6 @@ from innsight.fixed_values import ERROR_MESSAGE_CHARS
 from innsight.functions import text as tx
 from innsight.operators.documents import latest_versions
 from innsight.operators.report import capped_evidence
-from innsight.sources.shared import shared_folder
 
 RUN_COLUMNS = [
     "run_id string", "run_utc_ts timestamp", "property_id string", "status string",
@@ -160,23 +159,23 @@ def read_evidence(spark, base: str, run_id: str | None = None, topic: str | None
     return df.orderBy(F.desc("topic_similarity"), "sentence_id", "kind", "evidence_role", "property_id").limit(limit)
 
 
-def upsert_documents(spark: SparkSession, path: str, incoming: DataFrame, version: int) -> None:
+def upsert_documents(
+    spark: SparkSession, path: str, incoming: DataFrame, version: int, replace: Sequence[str] = ()
+) -> None:
     """Merge documents into the table at ``path`` by namespace and id, the newest version staying.
 
-    Only the namespaces that receive documents are rewritten. The merged rows are written
-    to the shared folder first, since a folder cannot be read and replaced at once.
+    Only the namespaces that receive documents are rewritten; those in ``replace`` keep nothing
+    of what they held. The new files stand before the old ones are taken away, when the job
+    commits, so a run that fails leaves the table as it was.
     """
     stamped = incoming.withColumn("version", F.lit(version).cast("bigint"))
     merged = stamped
-    if table_exists(spark, path):
+    if _has_documents(spark, path):
         touched = stamped.select("namespace").distinct()
-        current = spark.read.parquet(path).join(touched, "namespace", "left_semi")
-        merged = current.unionByName(stamped, allowMissingColumns=True)
-    latest = latest_versions(merged)
-    staging = shared_folder(spark, "documents")
-    latest.write.partitionBy("namespace").parquet(staging)
+        current = spark.read.parquet(path).filter(~F.col("namespace").isin(list(replace)))
+        merged = current.join(touched, "namespace", "left_semi").unionByName(stamped, allowMissingColumns=True)
     (
-        spark.read.parquet(staging)
+        latest_versions(merged)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("namespace")
@@ -194,6 +193,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def _has_documents(spark: SparkSession, path: str) -> bool:
+    """Whether the document table holds files; a cleared one has none."""
+    pattern, fs = _hadoop_path(spark, f"{path.rstrip('/')}/namespace=*/*.parquet")
+    return len(fs.globStatus(pattern) or []) > 0
+
+
 def drop_namespaces(spark: SparkSession, path: str, namespaces: Sequence[str]) -> None:
     """Remove whole namespaces from the document table; each is one partition folder."""
     for namespace in namespaces:

@@ -358,7 +358,8 @@ airbnb_reviews AS (
       WHEN length(raw) > 20 THEN [raw] ELSE [] END AS reviews
   FROM airbnb_listings),
 airbnb_identified AS (
-  SELECT *, coalesce(nullif(property_id, ''), substr(sha256(coalesce(name, 'Unknown Property')), 1, 16)) AS original_id,
+  SELECT *, coalesce(nullif(property_id, ''), substr(sha256(concat_ws(chr(1), coalesce(name, ''),
+           coalesce(listing_name, ''), coalesce(location, ''), coalesce(country, ''), coalesce(description, ''))), 1, 16)) AS original_id,
          coalesce(nullif(listing_name, ''), nullif(name, ''), 'Unknown Property') AS hotel_title,
          coalesce(nullif(listing_name, ''), nullif(name, ''), 'Airbnb Property') AS review_title,
          coalesce(try_cast(replace(ratings, ',', '.') AS DOUBLE), 0.0) AS rating

@@ -169,7 +169,7 @@ def neighbour_status(spark, sf_dir):
     """Selection metadata for every property, and for ids that do not exist."""
     listings = d.vector_listings(spark, sf_dir)
     absent = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("x"), F.col("label").cast("string")).alias("property_id"))
-    status = nb.neighbour_status(listings, listings.select("property_id").unionByName(absent))
+    status = nb.neighbour_status(listings, listings.select("property_id").unionByName(absent), max_candidates=100)
     return status.select(
         "target_property_id", "status", F.coalesce("bucket_res", F.lit(-1)).alias("bucket_res"), "bucket_value",
         F.coalesce("bucket_candidate_count", F.lit(-1)).alias("bucket_candidate_count"),

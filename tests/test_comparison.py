@@ -99,7 +99,8 @@ def test_gaps(comparison):
     assert wifi["negative_rate_gap"] == pytest.approx(2 / 3)
     pool = rows[("n2", "pool")]
     assert pool["target_sentence_topic_assignments"] == 0 and pool["target_negative_rate"] == 0.0
-    assert not any(p == "far" for p, _ in rows)
+    alone = [r for (p, _), r in rows.items() if p == "far"]  # no neighbours, still reported
+    assert alone and all(r["neighbors_sentence_topic_assignments"] == 0 for r in alone)
 
 
 def test_ranks_are_ordered(comparison):
