@@ -15,10 +15,8 @@ from innsight.fixed_values import (
     FX_RATES,
     GLOBAL_AMENITIES,
 )
-from innsight.sources.shared import collect_small
 
 AMENITIES_TYPE = "array<struct<group_name:string,items:array<struct<name:string,value:string>>>>"
-MAX_AMENITY_COLUMNS = 2_000
 
 
 def fx_rates(spark: SparkSession) -> DataFrame:
@@ -149,7 +147,7 @@ def with_amenities(
     come to the driver: they become column names.
     """
     items = amenity_items(listings, id_col, amenities_col)
-    names = collect_small(chosen_amenities(items, k, always), MAX_AMENITY_COLUMNS, "amenity columns")
+    names = chosen_amenities(items, k, always).collect()  # at most k + len(always)
     columns = amenity_columns([r["name"] for r in names])
     own = F.coalesce(amenity_names(F.col(amenities_col)), F.array().cast("array<string>"))
     flags = {
