@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -76,21 +77,30 @@ def word_buckets(word: str, s: Settings) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in grams]
 
 
-def _bag(text: str, s: Settings, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a text: the mean over its words of the mean over their n-grams."""
-    counts = Counter(words_of(text))
-    if not counts:
-        return np.empty(0, np.int64), np.empty(0)
-    grams = []
-    for word in counts:
-        found = cache.get(word)
-        if found is None:
-            found = cache[word] = np.array(word_buckets(word, s))
-        grams.append(found)
-    lengths = np.array([len(g) for g in grams])
-    shares = np.repeat(np.array(list(counts.values())) / counts.total() / lengths, lengths)
-    buckets, place = np.unique(np.concatenate(grams), return_inverse=True)
-    return buckets, np.bincount(place, shares)
+def _counted(texts: list[str], s: Settings) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Per text the numbers and counts of its words; the buckets of all words in a row, and their ends.
+
+    A text's n-grams are not kept: they are many times its words, and two passes need them.
+    """
+    numbers: dict[str, int] = {}
+    buckets, ends, rows = array("i"), array("q", [0]), []
+    for text in texts:
+        counts = Counter(words_of(text))
+        for word in counts:
+            if word not in numbers:
+                numbers[word] = len(numbers)
+                buckets.extend(word_buckets(word, s))
+                ends.append(len(buckets))
+        found = np.fromiter(map(numbers.__getitem__, counts), np.int32, len(counts))
+        rows.append((found, np.fromiter(counts.values(), np.int32, len(counts))))
+    return rows, np.array(buckets, np.int32), np.array(ends, np.int64)
+
+
+def _grams(words: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the numbered words, one word after the other, and how many each has."""
+    lengths = ends[words + 1] - ends[words]
+    shift = ends[words] - (np.cumsum(lengths) - lengths)
+    return buckets[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
 
 
 def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings(), seed: int = 7) -> Model:
@@ -104,14 +114,13 @@ def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings()
     rng = np.random.default_rng(seed)
     softmax, bias = rng.normal(0, 0.5, (s.dims, 2)), np.zeros(2)
     full = np.zeros((s.buckets, s.dims))
-    cache: dict[str, np.ndarray] = {}
-    bags = [_bag(t, s, cache) for t in texts]
-    use = np.array([i for i, (buckets, _) in enumerate(bags) if len(buckets)], dtype=np.int64)
+    rows, buckets, ends = _counted(texts, s)
+    use = np.array([i for i, (words, _) in enumerate(rows) if len(words)], dtype=np.int64)
     if not len(use) or len(np.unique(classes[use])) < 2:
         return Model(full, softmax * 0, bias, s)
     present = np.zeros((2, s.buckets))
     for i in use:
-        present[classes[i], bags[i][0]] += 1
+        present[classes[i], np.unique(_grams(rows[i][0], buckets, ends)[0])] += 1
     n = np.bincount(classes[use], minlength=2)
     rates, pooled = present / n[:, None], present.sum(0) / n.sum()
     z = np.abs(rates[1] - rates[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9)
@@ -124,10 +133,13 @@ def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings()
     column[chosen] = np.arange(len(chosen))
     x = np.zeros((len(use), len(chosen)), np.float32)
     for row, i in enumerate(use):
-        at = column[bags[i][0]]
-        x[row, at[at >= 0]] = bags[i][1][at >= 0]
+        words, counts = rows[i]
+        grams, lengths = _grams(words, buckets, ends)
+        at = column[grams]
+        shares = np.repeat(counts / counts.sum() / lengths, lengths)
+        x[row] = np.bincount(at[at >= 0], shares[at >= 0], len(chosen))
     scale = np.sqrt((x**2).mean(0)) + 1e-9
-    x /= scale.astype(np.float32)
+    x = (x / scale.astype(np.float32)).astype(np.float64)
 
     y = np.eye(2)[classes[use]]
     table = rng.normal(0, 0.01, (len(chosen), s.dims))
