@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from innsight.llm.work import slices
 
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-_CACHE = 300_000
+_CACHE, _TOGETHER = 300_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -77,23 +76,62 @@ def word_buckets(word: str, s: Settings) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in grams]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def buckets_of(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, place of the word) for many words at once, equal to ``word_buckets`` of each.
+
+    A window over characters grows by one character at a time; its checksum goes on from there.
+    """
+    marked = [f"<{_EDGES.sub('', w) or w}>".encode("utf-8", "surrogatepass") for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start
+    width = np.diff(np.r_[at, len(data)])
+    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])[at]
+    buckets = [np.array([zlib.crc32(m) % s.buckets for m in marked], np.int64)]
+    owners = [np.arange(len(words))]
+    first, crc = np.arange(len(at)), np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for n in range(1, s.longest + 1):
+        inside = first + n - 1 < len(at)
+        first, crc = first[inside], crc[inside]
+        inside = owner[first + n - 1] == owner[first]
+        first, crc = first[inside], crc[inside]
+        added = first + n - 1
+        for k in range(width[added].max(initial=0)):
+            longer = np.flatnonzero(width[added] > k)
+            old = crc[longer]
+            crc[longer] = _CRC[(old ^ data[at[added[longer]] + k]) & 0xFF] ^ old >> 8
+        if n >= s.shortest:
+            buckets.append((crc ^ 0xFFFFFFFF).astype(np.int64) % s.buckets)
+            owners.append(owner[first])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
 def _counted(texts: list[str], s: Settings) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """Per text the numbers and counts of its words; the buckets of all words in a row, and their ends.
 
     A text's n-grams are not kept: they are many times its words, and two passes need them.
     """
     numbers: dict[str, int] = {}
-    buckets, ends, rows = array("i"), array("q", [0]), []
+    rows = []
     for text in texts:
         counts = Counter(words_of(text))
-        for word in counts:
-            if word not in numbers:
-                numbers[word] = len(numbers)
-                buckets.extend(word_buckets(word, s))
-                ends.append(len(buckets))
-        found = np.fromiter(map(numbers.__getitem__, counts), np.int32, len(counts))
+        found = np.fromiter((numbers.setdefault(w, len(numbers)) for w in counts), np.int32, len(counts))
         rows.append((found, np.fromiter(counts.values(), np.int32, len(counts))))
-    return rows, np.array(buckets, np.int32), np.array(ends, np.int64)
+    words, parts, lengths = list(numbers), [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for start in range(0, len(words), _TOGETHER):
+        found, owner = buckets_of(words[start : start + _TOGETHER], s)
+        parts.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+        lengths.append(np.bincount(owner))
+    return rows, np.concatenate(parts), np.cumsum(np.concatenate(lengths))
 
 
 def _grams(words: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,14 +261,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         cache: dict[str, float] = {}
         for batch in slices(batches, text_col, 2_000_000):
             out = []
-            for text in batch.column(text_col).to_pylist():
-                words = words_of(text)
-                new = set(words).difference(cache)
-                if len(cache) + len(new) > _CACHE:
-                    cache.clear()
-                    new = set(words)
-                for word in new:
-                    cache[word] = float(weights[word_buckets(word, s)].mean())
+            split = [words_of(t) for t in batch.column(text_col).to_pylist()]
+            new = set().union(*split).difference(cache)
+            if len(cache) + len(new) > _CACHE:
+                cache.clear()
+                new = set().union(*split)
+            if new:
+                fresh = list(new)
+                buckets, owner = buckets_of(fresh, s)
+                cache.update(zip(fresh, (np.bincount(owner, weights[buckets]) / np.bincount(owner)).tolist(), strict=True))
+            for words in split:
                 odds = offset + (sum(map(cache.__getitem__, words)) / len(words) if words else 0.0)
                 out.append(1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500))))
             yield pa.record_batch(
