@@ -173,6 +173,15 @@ def test_shards_edges_and_pruning(spark, tmp_path):
 
 # --- 5
 
+def test_word_buckets_together():
+    settings = toxicity.Settings()
+    words = ["", "x", "ab", "<>", "!!!", "\u00e9t\u00e9", "\u65e5\u672c\u8a9e", "h\u00e9\U0001f600a", "\ud800x", "straight-forward", "it's", "x"]
+    found, owner = toxicity.buckets_of(words, settings)
+    for i, word in enumerate(words):
+        assert found[owner == i].tolist() == toxicity.word_buckets(word, settings)
+    assert len(toxicity.buckets_of([], settings)[0]) == 0
+
+
 def test_toxicity_edges(spark):
     model = toxicity.learnt(awkward(spark), labels(spark, "toxic"))
     got = toxicity.scored(clashing(awkward(spark)), model).collect()
