@@ -1,7 +1,8 @@
 """Removing repeated passages: spans of consecutive sentences that occurred before.
 
-Every run of ``run`` consecutive sentences is hashed. Runs meet by hash over the whole corpus;
-each but the first occurrence marks the sentences it covers, and marked sentences are removed.
+Every run of ``run`` consecutive sentences is hashed; where they hold too few words, the run goes
+on by further sentences. Runs meet by hash over the whole corpus; each but the first occurrence
+marks the sentences it covers, and marked sentences are removed.
 """
 
 from __future__ import annotations
@@ -35,24 +36,25 @@ def sentences(text: str, longest: int) -> list[str]:
     return out
 
 
-def _run_hashes(pieces: list[str], run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of each run of ``run`` sentences with at least ``least_words`` words.
+def _run_hashes(pieces: list[str], run: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, number of sentences, hash) of the run at each sentence.
 
-    Blank pieces belong to no run; case and blanks inside a sentence do not count.
+    A run has ``run`` sentences and goes on until it holds ``least_words`` words; only the last
+    sentences, which the end of the text keeps below that, start none, and belong to the runs
+    before them. Blank pieces belong to no run; case and blanks inside a sentence do not count.
     """
-    words = [p.casefold().split() for p in pieces]
-    places = np.array([i for i, w in enumerate(words) if w], dtype=np.int32)
-    if len(places) < run:
-        return places[:0], np.empty(0, np.int64)
-    hashed = np.array([xxhash.xxh3_64_intdigest(" ".join(words[i])) for i in places], dtype=_U)
-    lengths = np.cumsum([0, *(len(words[i]) for i in places)])
-    rows = len(places) - run + 1
-    out = np.full(rows, run, _U)
-    for k in range(run):
-        out = mix(out + hashed[k : k + rows])
-    keep = lengths[run:] - lengths[:rows] >= least_words
-    order = np.arange(rows, dtype=np.int32)[keep]
-    return order, out[keep].view(np.int64)
+    words = [w for w in (p.casefold().split() for p in pieces) if w]
+    hashed = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], dtype=_U)
+    lengths = np.cumsum([0, *map(len, words)])
+    order = np.arange(len(words), dtype=np.int32)
+    ends = np.maximum(order + run, np.searchsorted(lengths, lengths[:-1] + least_words)).astype(np.int32)
+    order = order[ends <= len(words)]
+    counts = ends[: len(order)] - order
+    out = counts.astype(_U)
+    for k in range(counts.max(initial=0)):
+        longer = np.flatnonzero(counts > k)
+        out[longer] = mix(out[longer] + hashed[order[longer] + k])
+    return order, counts, out.view(np.int64)
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,28 +62,30 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def span_hashes(docs: DataFrame, run: int, least_words: int, longest: int) -> DataFrame:
-    """(hash, doc_id, place) of every span; ``place`` counts the document's sentences with words."""
+    """(hash, doc_id, place, size) of every span; ``place`` and ``size`` count sentences with words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            ids, places, hashes = [], [], []
+            ids, places, sizes, hashes = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if doc_id is None or not text:
                     continue
-                order, found = _run_hashes(sentences(text, longest), run, least_words)
+                order, counts, found = _run_hashes(sentences(text, longest), run, least_words)
                 ids.append(np.full(len(found), doc_id, np.int64))
                 places.append(order)
+                sizes.append(counts)
                 hashes.append(found)
             if ids:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(x)) for x in (hashes, ids, places)], names=["hash", "doc_id", "place"]
+                    [pa.array(np.concatenate(x)) for x in (hashes, ids, places, sizes)],
+                    names=["hash", "doc_id", "place", "size"],
                 )
 
-    return docs.mapInArrow(task, "hash long, doc_id long, place int")
+    return docs.mapInArrow(task, "hash long, doc_id long, place int, size int")
 
 
 def repeated_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, places): where spans start that occurred before, in (doc_id, place) order.
+    """(doc_id, places): the starts and sizes of spans that occurred before, in (doc_id, place) order.
 
     The first occurrence comes from a minimum, summed up before the shuffle; hashes that occur
     once leave with it, so only repeated hashes are stored and joined back. Both sides of that
@@ -92,7 +96,7 @@ def repeated_spans(spans: DataFrame) -> DataFrame:
     again = stored(first.where("n > 1").select("hash", "first"), "repeated")
     some = within(spans, "hash", again, "hash")
     later = some.join(again, "hash").where(F.struct("doc_id", "place") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "size"))).alias("places"))
 
 
 def remove_repeated_spans(
@@ -102,7 +106,8 @@ def remove_repeated_spans(
     """All columns of ``docs``, the text without repeated spans, with ``n_sentences``, ``removed``.
 
     Sentences of over ``longest`` words are cut there, so passages with few sentence ends have
-    runs too. ``removed`` lists the removed sentences (counting those with words, from 0); what
+    runs too; a run of fewer than ``least_words`` words goes on by further sentences, so lists
+    and menus have runs as well. ``removed`` lists the removed sentences (counting those with words, from 0); what
     is left keeps its own spelling and blanks. The first occurrence in (doc_id, place) order
     stays, also inside one document. A text that is a full copy of an earlier one becomes
     empty. Null texts stay null and empty ones empty. Rows with a null id are left alone. Rows
@@ -126,7 +131,7 @@ def remove_repeated_spans(
             ):
                 pieces = sentences(text, longest) if text else []
                 worded = [i for i, p in enumerate(pieces) if p.strip()]
-                marked = sorted({p + k for p in places or () for k in range(run)})
+                marked = sorted({m for p in places or () for m in range(p["place"], p["place"] + p["size"])})
                 if marked:
                     drop = {worded[m] for m in marked}
                     text = "".join(p for i, p in enumerate(pieces) if i not in drop)
