@@ -58,45 +58,48 @@ def _run_hashes(pieces: list[str], run: int, least_words: int) -> tuple[np.ndarr
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """``text_key`` tells the different texts under one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def span_hashes(docs: DataFrame, run: int, least_words: int, longest: int) -> DataFrame:
-    """(hash, doc_id, place, size) of every span; ``place`` and ``size`` count sentences with words."""
+    """(hash, doc_id, text_key, place, size) of every span; ``place`` and ``size`` count sentences with words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            ids, places, sizes, hashes = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids, keys, places, sizes, hashes = [], [], [], [], []
+            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
                 if doc_id is None or not text:
                     continue
                 order, counts, found = _run_hashes(sentences(text, longest), run, least_words)
                 ids.append(np.full(len(found), doc_id, np.int64))
+                keys.append(np.full(len(found), key, np.int64))
                 places.append(order)
                 sizes.append(counts)
                 hashes.append(found)
             if ids:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(x)) for x in (hashes, ids, places, sizes)],
-                    names=["hash", "doc_id", "place", "size"],
+                    [pa.array(np.concatenate(x)) for x in (hashes, ids, keys, places, sizes)],
+                    names=["hash", "doc_id", "text_key", "place", "size"],
                 )
 
-    return docs.mapInArrow(task, "hash long, doc_id long, place int, size int")
+    return docs.mapInArrow(task, "hash long, doc_id long, text_key long, place int, size int")
 
 
 def repeated_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, places): the starts and sizes of spans that occurred before, in (doc_id, place) order.
+    """(doc_id, text_key, places): the starts and sizes of spans that occurred before.
 
-    The first occurrence comes from a minimum, summed up before the shuffle; hashes that occur
+    Before means in (doc_id, text_key, place) order. The first occurrence comes from a minimum, summed up before the shuffle; hashes that occur
     once leave with it, so only repeated hashes are stored and joined back. Both sides of that
     join are shuffled for it alone, so adaptive execution can split a hash that holds a third
     of all rows.
     """
-    first = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    first = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.count("*").alias("n"))
     again = stored(first.where("n > 1").select("hash", "first"), "repeated")
     some = within(spans, "hash", again, "hash")
-    later = some.join(again, "hash").where(F.struct("doc_id", "place") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "size"))).alias("places"))
+    later = some.join(again, "hash").where(F.struct("doc_id", "text_key", "place") > F.col("first"))
+    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("place", "size"))).alias("places"))
 
 
 def remove_repeated_spans(
@@ -111,15 +114,17 @@ def remove_repeated_spans(
     is left keeps its own spelling and blanks. The first occurrence in (doc_id, place) order
     stays, also inside one document. A text that is a full copy of an earlier one becomes
     empty. Null texts stay null and empty ones empty. Rows with a null id are left alone. Rows
-    that repeat an id count as one place: the same text twice under an id is not a repeat of
-    itself. An empty table gives an empty result. Result columns replace columns of the same
+    that repeat an id and the text count as one place: the same text twice under an id is not a
+    repeat of itself. Different texts under one id are documents of their own, each with its own
+    places, in the order of a hash of the text. An empty table gives an empty result. Result columns replace columns of the same
     name. A document's span places are held in one row, which is no longer than its text.
     """
     docs = docs.drop(*[c for c in ("n_sentences", "removed") if c in docs.columns and c not in (id_col, text_col)])
     base = _base(docs, id_col, text_col)
     spans = stored(span_hashes(base, run, least_words, longest), "spans")
-    marks = repeated_spans(spans).withColumnRenamed("doc_id", "_id").withColumnRenamed("places", "_places")
-    joined = docs.join(marks, docs[id_col].cast("long") == marks._id, "left").drop("_id")
+    marks = repeated_spans(spans).toDF("_id", "_key", "_places")
+    own = (docs[id_col].cast("long") == marks._id) & (F.xxhash64(docs[text_col].cast("string")) == marks._key)
+    joined = docs.join(marks, own, "left").drop("_id", "_key")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

@@ -23,3 +23,12 @@ def test_passages_of_short_sentences_are_removed(spark):
     assert got[0] == rows[0][1]
     for i in range(1, 4):
         assert got[i].split() == [*(" ".join(words(10 + i, 20)) + ".").split(), *(" ".join(words(20 + i, 20)) + ".").split()]
+
+
+def test_texts_under_one_id_have_their_own_places(spark):
+    passage = ". ".join(" ".join(words(30 + i, 8)) for i in range(8)) + "."
+    short = ". ".join(" ".join(words(50 + i, 8)) for i in range(3)) + "."
+    long = ". ".join(" ".join(words(60 + i, 8)) for i in range(9)) + ". " + passage
+    frame = spark.createDataFrame([(1, passage), (2, short), (2, long), (2, long)], DOCS)
+    got = sorted(r.text for r in spans.remove_repeated_spans(frame).where("doc_id = 2").collect())
+    assert got == sorted([short, *[long.removesuffix(passage)] * 2])
