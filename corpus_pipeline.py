@@ -16,8 +16,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half.
+
+    Where the labels teach nothing (none, or of one class only), all documents are kept.
+    """
     model = toxicity.learnt(docs, _labels(spark, sf_dir))
+    if model.empty:
+        return docs.select(*COLUMNS)
     return toxicity.scored(docs, model, name="_score").where("_score < 0.5").select(*COLUMNS)
 
 

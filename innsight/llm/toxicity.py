@@ -56,6 +56,11 @@ class Model:
         """Each bucket's share in the log odds of the second class; the model is linear in them."""
         return (self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float64)
 
+    @property
+    def empty(self) -> bool:
+        """Whether the sample had nothing to learn from, so that every score is one half."""
+        return not self.embeddings.any()
+
     @property
     def offset(self) -> float:
         return float(self.bias[1] - self.bias[0])
@@ -204,20 +209,22 @@ def training_sample(
 ) -> tuple[list[str], np.ndarray]:
     """Up to ``sample_rows`` whole texts and ``sample_bytes`` of each class, by hash of the id.
 
-    Ids and sizes are ranked first; only the chosen texts reach the driver.
+    Ids and sizes are ranked first; only the chosen texts reach the driver. A text that does not
+    fit into what is left of the bytes is passed over, and the next ones are still tried.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(label_col).cast("int").alias("_class")
     )
     sized = docs.select(F.col(id_col).alias("_id"), F.octet_length(F.col(text_col).cast("string")).alias("_size"))
-    ranked = sized.where("_size > 0").join(known, "_id").withColumn("_order", F.xxhash64("_id"))
+    fitting = F.col("_size").between(1, settings.sample_bytes)
+    ranked = sized.where(fitting).join(known, "_id").withColumn("_order", F.xxhash64("_id"))
     chosen = []
     for value in (0, 1):
         total = 0
         for row in ranked.where(F.col("_class") == value).orderBy("_order", "_id").limit(settings.sample_rows).collect():
+            if total + row["_size"] > settings.sample_bytes:
+                continue
             total += row["_size"]
-            if total > settings.sample_bytes:
-                break
             chosen.append((row["_id"], value))
     if not chosen:
         return [], np.empty(0, np.int64)
