@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from innsight.llm import jaccard, packing, risk_rules, spans, tokens, toxicity
+from innsight.llm.work import stored
 from innsight.sources.shared import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,10 +33,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every near-duplicate group: five words, similarity 0.8 or more."""
-    groups = jaccard.near_duplicate_groups(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    """The smallest id of every near-duplicate group: five words, similarity 0.8 or more.
+
+    Rows with a null id are linked with nothing and stay. Of rows that repeat both id and text
+    one stays. Different texts under one id are documents of their own; of those in one group
+    the first by a hash stays.
+    """
+    known = docs.where("doc_id is not null").select(*COLUMNS)
+    twice = stored(known.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_twice")), "repeated-ids")
+    numbered = known.join(twice, "doc_id", "left").withColumn(
+        "_number", F.when(F.col("_twice"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    )
+    renamed = stored(numbered.where("_twice").select(F.col("doc_id").alias("_id"), "_number").distinct(), "numbers")
+    groups = jaccard.near_duplicate_groups(numbered, id_col="_number").select(F.col("doc_id").alias("_number"), "component_id")
+    first = F.min(F.struct(F.coalesce("_id", "_number"), "_number"))
+    stay = groups.join(renamed, "_number", "left").groupBy("component_id").agg(first.alias("first"))
+    kept = numbered.join(stored(stay.select("first._number"), "stay"), "_number", "left_semi")
+    same = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
+    single = kept.where("_twice").withColumn("_row", F.row_number().over(same)).where("_row = 1")
+    return (
+        kept.where("_twice is null").select(*COLUMNS)
+        .unionByName(single.select(*COLUMNS))
+        .unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    )
 
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
