@@ -164,10 +164,19 @@ def explain(
         own.alias("own"),
         constants([s.top_value for s in slots], "double").alias("top_value"),
     )
+    return ranked_effects(scored.select(F.col(id_col).alias("property_id"), zipped.alias("slots")), top_k)
+
+
+def ranked_effects(rows: DataFrame, top_k: int = 60, keys: Sequence[str] = ("property_id",)) -> DataFrame:
+    """Insights out of each row's ``slots``, strongest impact first; equal impacts by name.
+
+    A slot is (name, coef, scaled, top_scaled, own, top_value). Impacts are compared at nine
+    digits, so features that move alike keep their order whatever the order of summation was.
+    """
     effects = F.transform(
-        zipped,
+        "slots",
         lambda s: F.struct(
-            (-F.abs(s["coef"] * s["scaled"])).alias("order"),
+            (-F.round(F.abs(s["coef"] * s["scaled"]), 9)).alias("order"),
             s["name"].alias("name"),
             s["own"].alias("my_value"),
             s["top_value"].alias("market_avg"),
@@ -176,19 +185,19 @@ def explain(
             (s["coef"] * (s["top_scaled"] - s["scaled"])).alias("opportunity"),
         ),
     )
-    total = F.aggregate("effects", F.lit(0.0), lambda t, e: t - e["order"])
+    total = F.aggregate("effects", F.lit(0.0), lambda t, e: t + F.abs(e["current_impact"]))
     return (
-        scored.select(F.col(id_col).alias("property_id"), effects.alias("effects"))
+        rows.select(*keys, effects.alias("effects"))
         .withColumn("total", total)
         .select(
-            "property_id",
+            *keys,
             F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")).alias("total"),
             F.posexplode(F.slice(F.array_sort("effects"), 1, top_k)).alias("position", "e"),
         )
         .select(
-            "property_id", (F.col("position") + 1).alias("position"), "e.name", "e.my_value", "e.market_avg",
+            *keys, (F.col("position") + 1).alias("position"), "e.name", "e.my_value", "e.market_avg",
             "e.market_trend", "e.current_impact", "e.opportunity",
-            (-F.col("e.order") / F.col("total") * 100).alias("importance_pct"),
+            (F.abs("e.current_impact") / F.col("total") * 100).alias("importance_pct"),
         )
     )
 

@@ -129,11 +129,16 @@ def amenity_columns(names: Sequence[str]) -> dict[str, str]:
     return columns
 
 
-def amenity_names(amenities: Column) -> Column:
-    """Distinct amenity names of one listing's JSON text, variants merged."""
+def amenity_list(amenities: Column) -> Column:
+    """Amenity names of one listing's JSON text, variants merged, repeats kept."""
     groups = F.filter(F.from_json(amenities.cast("string"), AMENITIES_TYPE), lambda g: g["items"].isNotNull())
     named = F.transform(groups, lambda g: F.filter(g["items"], lambda i: i["name"].isNotNull()))
-    return F.array_distinct(F.transform(F.flatten(named), lambda i: merged_amenity(F.lower(i["name"]))))
+    return F.transform(F.flatten(named), lambda i: merged_amenity(F.lower(i["name"])))
+
+
+def amenity_names(amenities: Column) -> Column:
+    """Distinct amenity names of one listing's JSON text, variants merged."""
+    return F.array_distinct(amenity_list(amenities))
 
 
 def with_amenities(

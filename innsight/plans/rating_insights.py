@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import CATEGORY_RATINGS, GLOBAL_AMENITIES
+from innsight.operators import cell_models as cm
 from innsight.operators import explain as ex
 from innsight.operators import features as ft
 from innsight.operators import neighbours as nb
@@ -78,28 +77,33 @@ def explain_property(listings: DataFrame, property_id: str, rates: DataFrame, to
     return explain_all(df.filter(F.col("property_id") == str(property_id)), fitted, top_k)
 
 
-def explain_cells(
-    listings: DataFrame, cells: Iterable[tuple[int, str]], rates: DataFrame, top_k: int = 60
-) -> DataFrame:
-    """Insights of all properties compared in the given ``(resolution, cell)`` areas.
+def fit_cells(
+    listings: DataFrame, rates: DataFrame, k: int = 20, always: Sequence[str] = tuple(GLOBAL_AMENITIES)
+) -> cm.CellModels:
+    """One rating model per area that listings are compared in, all areas in one job."""
+    base = ft.listing_features(listings, rates)
+    return cm.fit_cells(base, [c for c in NUMERICS if c in base.columns], CATEGORICALS[0], k, always)
 
-    One model per area: the loop is over a short list of areas, each fit is distributed. The
-    listings of the areas are kept while the models are fitted.
-    """
-    cells = [(int(res), cell) for res, cell in cells]
-    inside = reduce(or_, [F.col(f"h3_{res}") == cell for res, cell in cells])
-    members = listings.filter(inside).persist()
-    parts = []
-    try:
-        for res, cell in cells:
-            df, numerics, categoricals = feature_frame(members.filter(F.col(f"h3_{res}") == cell), rates)
-            fitted = fit_ratings(df, numerics, categoricals)
-            own = df.filter((F.col("geo_bucket_res") == res) & (F.col(nb.geo_column(listings)) == cell))
-            insights = explain_all(own, fitted, top_k)
-            parts.append(insights.withColumn("res", F.lit(res)).withColumn("cell", F.lit(cell)))
-    finally:
-        members.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+
+def fit_everywhere(
+    listings: DataFrame, rates: DataFrame, k: int = 20, always: Sequence[str] = tuple(GLOBAL_AMENITIES)
+) -> cm.CellModels:
+    """The same with all listings as one area (resolution 0, cell ``all``)."""
+    cells = [c for c in listings.columns if c.startswith("h3_")] + ["geo_bucket_res", nb.geo_column(listings)]
+    one = listings.drop(*cells).withColumns(
+        {"h3_0": F.lit("all"), "geo_bucket_res": F.lit(0), "geo_bucket": F.lit("all")}
+    )
+    return fit_cells(one, rates, k, always)
+
+
+def explain_cells(listings: DataFrame, rates: DataFrame, top_k: int = 60) -> DataFrame:
+    """Insights of every property by the model of its area."""
+    return cm.explain_members(fit_cells(listings, rates), top_k)
+
+
+def explain_properties(listings: DataFrame, rates: DataFrame, top_k: int = 60) -> DataFrame:
+    """Insights of every property by the model of its area, fitted without that property."""
+    return cm.explain_left_out(fit_cells(listings, rates), top_k)
 
 
 def insight_payloads(insights: DataFrame) -> DataFrame:

@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again: derived once, read often."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collect_small(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     """Rows of a frame that must stay small; refuses instead of growing with the data."""
     rows = df.limit(max_rows + 1).collect()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from innsight.functions import ids
 from innsight.functions import text as tx
 from innsight.functions.reviews import split_reviews
+from innsight.fixed_values import CATEGORY_RATINGS, GLOBAL_AMENITIES
+from innsight.operators import cell_models as cm
 from innsight.operators import documents as dc
 from innsight.operators import explain as ex
 from innsight.operators import features as ft
@@ -537,33 +539,160 @@ def scaled_features(spark, sf_dir):
     return rows.select("property_id", "feature", *_six("value"))
 
 
-@query()
+def _regression_sql(cell: str, k: int, without_own: bool = False, sweeps: int = 600) -> str:
+    """Common table expressions of one regression per area, or per property without itself.
+
+    Everything is worked out again from the rows of each model; coordinate descent runs a
+    fixed number of sweeps. ``insights`` has one row per property and feature.
+    """
+    always = ", ".join(f"('{a.lower()}')" for a in GLOBAL_AMENITIES)
+    numbers = {"price_per_guest": "price * to_usd / guests", **{c: c for c, _ in CATEGORY_RATINGS}, "is_super_host": "is_super_host"}
+    own = "a.property_id" if without_own else "CAST(NULL AS VARCHAR)"
+    model = "m.left_out = a.property_id" if without_own else "m.cell = a.cell"
+    return f"""
+areas AS (SELECT *, {cell} AS cell FROM feature_listings),
+names AS (
+  SELECT cell, name FROM (
+    SELECT cell, name, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, name) AS n
+    FROM amenity_items i JOIN areas a ON a.property_id = i.property_id GROUP BY cell, name) WHERE n <= {k}
+  UNION SELECT cell, name FROM (SELECT DISTINCT cell FROM areas), (VALUES {always}) v(name)),
+raws AS (
+  SELECT cell, property_id, unnest([{', '.join(f"'{n}__imp'" for n in numbers)}]) AS slot, 'n' AS kind,
+         unnest([{', '.join(numbers.values())}]) AS value FROM areas
+  UNION ALL SELECT a.cell, a.property_id, 'amen_' || replace(replace(n.name, ' ', '_'), '-', '_') || '__imp', 'f',
+         CAST(i.name IS NOT NULL AS DOUBLE)
+  FROM areas a JOIN names n ON n.cell = a.cell
+  LEFT JOIN (SELECT DISTINCT property_id, name FROM amenity_items) i ON i.property_id = a.property_id AND i.name = n.name
+  UNION ALL SELECT a.cell, a.property_id, 'cancellation_bucket__ohe_' || c.bucket, 'c', CAST(a.cancellation_bucket = c.bucket AS DOUBLE)
+  FROM areas a JOIN (SELECT DISTINCT cell, cancellation_bucket AS bucket FROM areas WHERE ratings IS NOT NULL) c ON c.cell = a.cell),
+models AS (SELECT DISTINCT a.cell, {own} AS left_out FROM areas a),
+train AS (
+  SELECT m.cell, m.left_out, a.property_id, a.ratings, a.cancellation_bucket FROM models m JOIN areas a ON a.cell = m.cell
+  WHERE a.ratings IS NOT NULL AND a.property_id IS DISTINCT FROM m.left_out),
+thresholds AS (
+  SELECT cell, left_out, count(*) AS n, quantile_disc(ratings, 0.8) AS threshold, avg(ratings) AS mean_y, stddev_pop(ratings) AS sd_y
+  FROM train GROUP BY cell, left_out),
+rows_in AS (
+  SELECT t.cell, t.left_out, t.property_id, (t.ratings - h.mean_y) / nullif(h.sd_y, 0) AS y, t.ratings >= h.threshold AS is_top, r.slot, r.kind, r.value
+  FROM train t JOIN thresholds h ON h.cell = t.cell AND h.left_out IS NOT DISTINCT FROM t.left_out
+  JOIN raws r ON r.property_id = t.property_id),
+gaps AS (
+  SELECT cell, left_out, slot, kind, CASE WHEN kind = 'n' THEN quantile_disc(value, 0.5) END AS median, sum(value) AS present,
+         count(value) AS known, avg(value) FILTER (is_top) AS top_value
+  FROM rows_in GROUP BY cell, left_out, slot, kind),
+filled AS (
+  SELECT r.* EXCLUDE (value), coalesce(r.value, g.median) AS value FROM rows_in r
+  JOIN gaps g ON g.cell = r.cell AND g.left_out IS NOT DISTINCT FROM r.left_out AND g.slot = r.slot),
+spreads AS (
+  SELECT cell, left_out, slot, avg(value) AS mean,
+         CASE WHEN min(value) < max(value) THEN stddev_pop(value) ELSE 0 END AS sd, CASE WHEN min(value) < max(value) THEN stddev_samp(value) ELSE 0 END AS sd_sample
+  FROM filled GROUP BY cell, left_out, slot),
+standard AS (
+  SELECT f.cell, f.left_out, f.property_id, f.y, f.slot, (f.value - s.mean) / s.sd AS z
+  FROM filled f JOIN spreads s ON s.cell = f.cell AND s.left_out IS NOT DISTINCT FROM f.left_out AND s.slot = f.slot WHERE s.sd > 0),
+half AS (
+  SELECT a.cell, a.left_out, a.slot AS j, b.slot AS k, avg(a.z * b.z) AS v
+  FROM standard a JOIN standard b ON b.cell = a.cell AND b.left_out IS NOT DISTINCT FROM a.left_out AND b.property_id = a.property_id AND a.slot <= b.slot
+  GROUP BY a.cell, a.left_out, a.slot, b.slot),
+lines AS (
+  SELECT cell, left_out, j, list(v ORDER BY k) AS line
+  FROM (SELECT * FROM half UNION ALL SELECT cell, left_out, k, j, v FROM half WHERE j < k) GROUP BY cell, left_out, j),
+targets AS (SELECT cell, left_out, slot AS j, coalesce(avg(z * y), 0) AS r FROM standard GROUP BY cell, left_out, slot),
+systems AS (
+  SELECT l.cell, l.left_out, list(l.j ORDER BY l.j) AS slots, list(l.line ORDER BY l.j) AS g, list(t.r ORDER BY l.j) AS r
+  FROM lines l JOIN targets t ON t.cell = l.cell AND t.left_out IS NOT DISTINCT FROM l.left_out AND t.j = l.j GROUP BY l.cell, l.left_out),
+started AS (
+  SELECT s.*, coalesce(0.05 / nullif(h.sd_y, 0), 0) AS w FROM systems s
+  JOIN thresholds h ON h.cell = s.cell AND h.left_out IS NOT DISTINCT FROM s.left_out),
+solved AS (
+  SELECT cell, left_out, slots, list_reduce(
+    list_concat([list_transform(r, lambda x: CAST(0 AS DOUBLE))],
+      flatten(list_transform(range({sweeps}), lambda s: list_transform(range(1, len(r) + 1), lambda k: [CAST(k AS DOUBLE)])))),
+    lambda b, e: list_concat(list_concat(b[1 : CAST(e[1] AS INT) - 1],
+      list_transform([r[CAST(e[1] AS INT)] - list_dot_product(g[CAST(e[1] AS INT)], b) + b[CAST(e[1] AS INT)]],
+        lambda x: sign(x) * greatest(abs(x) - w, 0) / (1 + w))), b[CAST(e[1] AS INT) + 1 :])) AS beta
+  FROM started),
+betas AS (SELECT cell, left_out, unnest(slots) AS slot, unnest(beta) AS beta FROM solved),
+modes AS (
+  SELECT cell, left_out, 'cancellation_bucket__ohe_' || cancellation_bucket AS slot FROM (
+    SELECT t.cell, t.left_out, cancellation_bucket, row_number() OVER (PARTITION BY t.cell, t.left_out ORDER BY count(*) DESC, cancellation_bucket) AS n
+    FROM train t JOIN thresholds h ON h.cell = t.cell AND h.left_out IS NOT DISTINCT FROM t.left_out WHERE t.ratings >= h.threshold
+    GROUP BY t.cell, t.left_out, cancellation_bucket) WHERE n = 1),
+fitted AS (
+  SELECT g.cell, g.left_out, g.slot, g.kind, g.median, s.mean, s.sd_sample, h.n,
+    coalesce(b.beta * h.sd_y * s.sd_sample / nullif(s.sd, 0), 0) + 0.0 AS coef,
+    CASE WHEN g.kind <> 'c' THEN g.top_value END AS top_value,
+    CASE WHEN s.sd_sample > 0 THEN (CASE WHEN g.kind = 'c' THEN CAST(o.slot IS NOT NULL AS DOUBLE) ELSE coalesce(g.top_value, g.median) END - s.mean) / s.sd_sample ELSE 0 END AS top_scaled
+  FROM gaps g JOIN spreads s ON s.cell = g.cell AND s.left_out IS NOT DISTINCT FROM g.left_out AND s.slot = g.slot
+  JOIN thresholds h ON h.cell = g.cell AND h.left_out IS NOT DISTINCT FROM g.left_out
+  LEFT JOIN betas b ON b.cell = g.cell AND b.left_out IS NOT DISTINCT FROM g.left_out AND b.slot = g.slot
+  LEFT JOIN modes o ON o.cell = g.cell AND o.left_out IS NOT DISTINCT FROM g.left_out AND o.slot = g.slot
+  WHERE CASE g.kind WHEN 'n' THEN g.known > 0 WHEN 'c' THEN g.present > 0 ELSE true END
+  UNION ALL SELECT cell, left_out, 'cancellation_bucket__ohe___unknown', 'c', NULL, 0, 0, n, 0.0, NULL, 0 FROM thresholds),
+impacts AS (
+  SELECT a.property_id, m.cell, m.slot AS name, m.coef, CASE WHEN m.kind <> 'c' THEN r.value END AS my_value, m.top_value AS market_avg,
+    m.coef * CASE WHEN m.sd_sample > 0 THEN (coalesce(r.value, m.median) - m.mean) / m.sd_sample ELSE 0 END AS current_impact,
+    m.coef * (m.top_scaled - CASE WHEN m.sd_sample > 0 THEN (coalesce(r.value, m.median) - m.mean) / m.sd_sample ELSE 0 END) AS opportunity
+  FROM areas a JOIN fitted m ON {model} LEFT JOIN raws r ON r.property_id = a.property_id AND r.slot = m.slot),
+insights AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY property_id ORDER BY round(abs(current_impact), 9) DESC, name) AS INTEGER) AS position,
+    abs(current_impact) / coalesce(nullif(sum(abs(current_impact)) OVER (PARTITION BY property_id), 0), 1) * 100 AS importance_pct,
+    CASE WHEN coef > 0 THEN 'Positive (Good to have)' WHEN coef < 0 THEN 'Negative (Avoid)' ELSE 'Neutral' END AS market_trend
+  FROM impacts)
+"""
+
+
+_AREA = "'r-' || country"
+_INSIGHTS = """SELECT property_id, position, name, market_trend, round(my_value, 6) AS my_value, round(market_avg, 6) AS market_avg,
+       round(current_impact, 6) + 0.0 AS current_impact, round(opportunity, 6) + 0.0 AS opportunity, round(importance_pct, 6) + 0.0 AS importance_pct
+       FROM insights"""
+
+
+def _shown(insights):
+    plus = [(F.round(F.col(n), 6) + F.lit(0.0)).alias(n) for n in ("current_impact", "opportunity", "importance_pct")]
+    return insights.select("property_id", "position", "name", "market_trend", *_six("my_value", "market_avg"), *plus)
+
+
+def _insight_listings(spark, sf_dir):
+    return d.stored(d.feature_listings(spark, sf_dir), "listings")
+
+
+@query(with_sql(
+    "SELECT CAST(4 AS INTEGER) AS res, cell, n, slot AS feature, round(coef, 6) + 0.0 AS coef FROM fitted",
+    d.FEATURE_LISTINGS_SQL, _regression_sql(_AREA, 20)))
+def cell_coefficients(spark, sf_dir):
+    """M5 M8 M9: the coefficients of every area's model, all areas in one job."""
+    models = ri.fit_cells(_insight_listings(spark, sf_dir), ft.fx_rates(spark))
+    return cm.coefficients(models).withColumn("coef", F.round("coef", 6) + F.lit(0.0))
+
+
+@query(with_sql(_INSIGHTS, d.FEATURE_LISTINGS_SQL, _regression_sql("'all'", 10)))
 def rating_regression_insights(spark, sf_dir):
-    """M1-M9: one model over all listings, its insights for every listing."""
-    df, numerics, categoricals = ri.feature_frame(d.stored(d.feature_listings(spark, sf_dir), "listings"), ft.fx_rates(spark), 10)
-    fitted = ri.fit_ratings(df, numerics, categoricals)
-    return ri.explain_all(df, fitted, 60).select(
-        "property_id", "position", "name", "market_trend", *_six("current_impact", "opportunity", "importance_pct")
-    )
+    """One model over all listings, its insights for every listing."""
+    models = ri.fit_everywhere(_insight_listings(spark, sf_dir), ft.fx_rates(spark), 10)
+    return _shown(cm.explain_members(models))
 
 
-@query()
+@query(with_sql(_INSIGHTS, d.FEATURE_LISTINGS_SQL, _regression_sql(_AREA, 20, without_own=True)))
 def property_insights(spark, sf_dir):
-    """J1 M1-M9 in the single-property form: the first listing against its country, the model fitted without it."""
-    listings = d.stored(d.feature_listings(spark, sf_dir), "listings")
-    first = listings.agg(F.min("property_id")).first()[0]
-    return ri.explain_property(listings, first, ft.fx_rates(spark)).select(
-        "property_id", "position", "name", "market_trend", *_six("current_impact", "opportunity", "importance_pct")
-    )
+    """Every listing explained by the model of its area, fitted without that listing."""
+    return _shown(ri.explain_properties(_insight_listings(spark, sf_dir), ft.fx_rates(spark)))
 
 
-@query()
+@query(with_sql(
+    """top AS (SELECT *, CAST(row_number() OVER (PARTITION BY property_id ORDER BY importance_pct DESC, name) AS INTEGER) AS rank
+         FROM (SELECT * REPLACE (round(importance_pct, 9) AS importance_pct) FROM insights WHERE importance_pct > 0)),
+       labelled AS (SELECT *, replace(replace(replace(name, '__imp', ''), 'amen_', ''), '_', ' ') AS plain FROM top WHERE rank <= 5)
+       SELECT property_id, rank AS position, rank || '. ' || array_to_string(list_transform(string_split(plain, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
+         || ' (' || printf('%.0f', round(importance_pct, 0)) || '%) - You: ' || coalesce(CAST(round(my_value, 9) AS VARCHAR), 'N/A') || ', Avg: '
+         || coalesce(printf('%.2f', round(market_avg, 2)), 'N/A') || ', Impact: ' || printf('%+.2f', round(current_impact, 2))
+         || CASE WHEN opportunity > 0.05 THEN ' | Opp: +' || printf('%.2f', round(opportunity, 2)) ELSE '' END AS line
+       FROM labelled""", d.FEATURE_LISTINGS_SQL, _regression_sql(_AREA, 20)))
 def cell_insights(spark, sf_dir):
-    """One model per region, readable lines of the strongest insights."""
-    listings = d.stored(d.feature_listings(spark, sf_dir), "listings")
-    cells = [(4, r["h3_4"]) for r in listings.select("h3_4").distinct().orderBy("h3_4").collect()]
-    insights = ri.explain_cells(listings, cells, ft.fx_rates(spark))
-    return ex.insight_lines(insights, 5)
+    """Readable lines of the strongest insights, one model per region, all in one job."""
+    insights = ri.explain_cells(_insight_listings(spark, sf_dir), ft.fx_rates(spark))
+    lines = insights.withColumn("importance_pct", F.round("importance_pct", 9)).withColumn("my_value", F.round("my_value", 9))
+    return ex.insight_lines(lines, 5)
 
 
 @query()
