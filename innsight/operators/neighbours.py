@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions import vectors
+from innsight.operators import metric_index
 
-# Rows per block of a cell: a block of targets and a block of candidates are one matrix
-# product, and only the best k per target leave it.
+# Rows per block of a cell: targets and the candidates of a block are one matrix product, and
+# only the best k per target leave it.
 BLOCK_ROWS = 4096
-# Similarities are compared at this many digits, so that equal vectors tie whatever the
-# order of summation was; ties go to the smaller id.
-TIE_DIGITS = 9
-
 _CELL = ["res", "cell"]
 
 
@@ -113,54 +105,6 @@ def sampling_fraction(n: Column, cap: int, oversample: float = 1.7) -> Column:
     return F.least(F.lit(1.0), F.lit(cap * oversample) / F.greatest(n.cast("double"), F.lit(1.0)))
 
 
-def best_columns(scores: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``scores`` the columns of its ``k`` best entries, best first."""
-    width = scores.shape[1]
-    for row in range(scores.shape[0]):
-        line = scores[row]
-        if width > k:
-            floor = np.partition(line, width - k)[width - k]
-            picked = np.flatnonzero(line >= floor)
-        else:
-            picked = np.arange(width)
-        picked = picked[np.isfinite(line[picked])]
-        yield row, picked[np.lexsort((ids[picked], -line[picked]))][:k]
-
-
-def unit_rows(vectors_column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of an Arrow list column as rows of length one."""
-    flat = pc.list_flatten(vectors_column).to_numpy()
-    matrix = flat.reshape(len(vectors_column), -1)
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-
-def _score_block(k: int):
-    """Arrow function: targets and candidates of one block in, the best ``k`` per target out."""
-
-    def score(rows: pa.Table) -> pa.Table:
-        asked = rows.filter(pc.field("is_target"))
-        known = rows.filter(~pc.field("is_target"))
-        out = {"property_id": [], "neighbor_property_id": [], "similarity": []}
-        if asked.num_rows and known.num_rows:
-            target_ids = np.array(asked["property_id"].to_pylist(), dtype=object)
-            ids = np.array(known["property_id"].to_pylist(), dtype=object)
-            scores = np.round(unit_rows(asked["vec"]) @ unit_rows(known["vec"]).T, TIE_DIGITS)
-            scores[target_ids[:, None] == ids[None, :]] = -np.inf
-            for row, picked in best_columns(scores, k, ids):
-                out["property_id"].extend([target_ids[row]] * len(picked))
-                out["neighbor_property_id"].extend(ids[picked])
-                out["similarity"].extend(scores[row, picked])
-        return pa.table(
-            {
-                "property_id": pa.array(out["property_id"], pa.string()),
-                "neighbor_property_id": pa.array(out["neighbor_property_id"], pa.string()),
-                "similarity": pa.array(out["similarity"], pa.float64()),
-            }
-        )
-
-    return score
-
-
 def rank_neighbours(scored: DataFrame, k: int) -> DataFrame:
     """The ``k`` best neighbours per property, ties by id, with their rank."""
     window = Window.partitionBy("property_id").orderBy(F.desc("similarity"), "neighbor_property_id")
@@ -180,10 +124,10 @@ def top_neighbours(
 ) -> DataFrame:
     """Nearest listings of the same cell: ``(property_id, neighbor_property_id, similarity, rank)``.
 
-    Works for all listings or for those in ``targets``. Each cell is cut into blocks by its
-    size; every block of targets meets every block of candidates in one group of bounded
-    size, which hands on the k best per target only. No pair of listings is ever a row, and
-    a cell with a third of all listings becomes many tasks of equal size.
+    Works for all listings or for those in ``targets``. A cell larger than a block is cut by
+    pivots; a target meets the block of its own pivot and those others that the triangle
+    inequality cannot rule out (``metric_index``). Blocks hand on the k best per target only. No
+    pair of listings is ever a row, and a cell with a third of all listings becomes many tasks.
     ``max_candidates`` switches to the sampled search, which scores a repeatable sample of
     each cell only.
     """
@@ -191,31 +135,13 @@ def top_neighbours(
     entries = _entries(usable.withColumn("vec", _vector(usable, vec_col)), targets, id_col)
     if max_candidates is not None:
         entries = _sampled(entries, max_candidates, seed)
-    blocks = F.ceil(F.count_if(~F.col("is_target")) / F.lit(block_rows)).cast("int")
-    chunks = F.ceil(F.count_if(F.col("is_target")) / F.lit(block_rows)).cast("int")
-    sizes = (
-        entries.groupBy(*_CELL)
-        .agg(blocks.alias("blocks"), chunks.alias("chunks"))
-        .filter((F.col("blocks") > 0) & (F.col("chunks") > 0))
-    )
-
-    def own(parts: str) -> Column:
-        return F.array(F.pmod(F.xxhash64("property_id"), F.col(parts)).cast("int"))
-
-    def every(parts: str) -> Column:
-        return F.sequence(F.lit(0), F.col(parts) - 1)
-
-    is_target = F.col("is_target")
-    placed = (
-        entries.join(sizes, _CELL)
-        .withColumn("block", F.explode(F.when(is_target, every("blocks")).otherwise(own("blocks"))))
-        .withColumn("chunk", F.explode(F.when(is_target, own("chunks")).otherwise(every("chunks"))))
-        .select(*_CELL, "block", "chunk", "property_id", "vec", "is_target")
+    keyed = entries.select(
+        F.concat_ws(":", "res", "cell").alias("key"), F.col("property_id").alias("id"), "vec", "is_target"
     )
-    scored = placed.groupBy(*_CELL, "block", "chunk").applyInArrow(
-        _score_block(k), "property_id string, neighbor_property_id string, similarity double"
+    found = metric_index.nearest(keyed, k, block_rows)
+    return rank_neighbours(
+        found.select(F.col("id").alias("property_id"), F.col("near_id").alias("neighbor_property_id"), "similarity"), k
     )
-    return rank_neighbours(scored, k)
 
 
 def _entries(listings: DataFrame, targets: DataFrame | None, id_col: str) -> DataFrame:

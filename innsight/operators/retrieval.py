@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from innsight.fixed_values import AIRBNB_PREFIX, BOOKING_PREFIX, PRICE_TEXT_PATTERN, RATING_TEXT_PATTERN
 from innsight.functions import text as tx
 from innsight.functions import vectors
-from innsight.operators.neighbours import TIE_DIGITS, best_columns, unit_rows
+from innsight.operators.metric_index import TIE_DIGITS, best_columns, unit_rows
 from innsight.operators.topics import flatten_vectors, mentions_keyword
 
 # Up to so many queries travel to the executors with the function and the corpus stays where it
