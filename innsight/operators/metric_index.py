@@ -218,13 +218,23 @@ def nearest(entries: DataFrame, k: int, block_rows: int = 4096, not_itself: bool
 
 def _far(placed: DataFrame, pivots: DataFrame, left: DataFrame, k: int, block_rows: int, not_itself: bool) -> DataFrame:
     """The best candidates of targets in the blocks that they still have to meet."""
-    place = ["key", "pivot", "sub"]
-    turns = left.groupBy(*place).agg(_parts(F.count("*"), block_rows).alias("turns"))
-    asked = left.join(turns, place).select(*place, _share("id", F.col("turns"), "turn").alias("turn"), "id", "vec", F.lit(True).alias("is_target"))
     known = placed.where(~F.col("is_target")).join(pivots.select("key", "pivot", "subs"), ["key", "pivot"])
-    known = known.withColumn("sub", _share("id", F.col("subs"), "sub")).join(turns, place)
-    known = known.select(*place, _every("turns").alias("turn"), "id", "vec", F.lit(False).alias("is_target"))
-    return asked.unionByName(known).groupBy(*place, "turn").applyInArrow(_score_block(k, not_itself), _SCORED)
+    known = known.withColumn("sub", _share("id", F.col("subs"), "sub")).select("key", "pivot", "sub", "id", "vec")
+    return met_in_blocks(left, known, ["key", "pivot", "sub"], k, block_rows, not_itself)
+
+
+def met_in_blocks(
+    asked: DataFrame, known: DataFrame, place: list[str], k: int, block_rows: int, not_itself: bool = True
+) -> DataFrame:
+    """The best ``k`` rows of ``known`` per row of ``asked`` and place; both hold ``place``, id and vec.
+
+    ``place`` starts with ``key``. Rows asked are cut into turns of bounded size, and the known
+    rows of a place are copied once per turn; places that nobody asks for are not moved.
+    """
+    turns = asked.groupBy(*place).agg(_parts(F.count("*"), block_rows).alias("turns"))
+    left = asked.join(turns, place).select(*place, _share("id", F.col("turns"), "turn").alias("turn"), "id", "vec", F.lit(True).alias("is_target"))
+    right = known.join(turns, place).select(*place, _every("turns").alias("turn"), "id", "vec", F.lit(False).alias("is_target"))
+    return left.unionByName(right).groupBy(*place, "turn").applyInArrow(_score_block(k, not_itself), _SCORED)
 
 
 def scored_share(entries: DataFrame, k: int, block_rows: int = 4096, not_itself: bool = True) -> tuple[int, int]:

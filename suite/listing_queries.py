@@ -14,6 +14,7 @@ from innsight.operators import explain as ex
 from innsight.operators import features as ft
 from innsight.operators import retrieval as rt
 from innsight.operators import topics as tp
+from innsight.operators import vector_index as vi
 from innsight.plans import ingestion, rating_insights as ri
 from innsight.sources import tables
 from innsight.sources.shared import shared_folder
@@ -177,6 +178,33 @@ def vector_search_filtered(spark, sf_dir):
     return rt.search_top_k(queries, corpus, 5, ["label"]).select("query_id", "doc_id", *_six("similarity"), "rank")
 
 
+@query()
+def vector_search_indexed(spark, sf_dir):
+    """R1 approximate: every fiftieth vector against an index of all, written and read back."""
+    corpus = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    path = shared_folder(spark, "vector-index")
+    vi.write_index(corpus, path, id_col="vec_id")
+    queries = corpus.where("vec_id % 50 = 0").withColumn("query_id", F.col("vec_id").cast("string"))
+    return vi.search_index(queries, path, 10).select("query_id", "doc_id", *_six("similarity"), "rank")
+
+
+@query("""
+WITH near AS (
+  SELECT CAST(q.vec_id AS VARCHAR) AS query_id, e.label, CAST(row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY
+    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, CAST(e.vec_id AS VARCHAR)) AS INTEGER) AS rank,
+    CAST(e.vec_id AS VARCHAR) AS doc_id, round(round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9), 6) AS similarity
+  FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 50 = 0)
+SELECT query_id, doc_id, similarity, rank FROM near WHERE rank <= 3
+""")
+def vector_search_all_buckets(spark, sf_dir):
+    """The index with a filter and all buckets probed, which is the exact result."""
+    corpus = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    path = shared_folder(spark, "vector-index")
+    vi.write_index(corpus, path, ["label"], tables=2, bits=3, id_col="vec_id")
+    queries = corpus.where("vec_id % 50 = 0").withColumn("query_id", F.col("vec_id").cast("string"))
+    return vi.search_index(queries, path, 3, probes=8).select("query_id", "doc_id", *_six("similarity"), "rank")
+
+
 _LANG_WORDS = ("the", "der", "que", "les")
 _REVIEW_VECTORS_SQL = f"""
 review_vectors AS (

@@ -13,6 +13,8 @@ from innsight.operators import neighbours as nb
 from innsight.operators import report as rp
 from innsight.operators import sentences as st
 from innsight.operators import topics as tp
+from innsight.operators import word_sentiment as ws
+from innsight.operators import word_vectors as wv
 from innsight.plans import property_comparison as pc
 from innsight.sources import tables
 from innsight.sources.shared import shared_folder
@@ -255,12 +257,61 @@ def sentence_sentiment(spark, sf_dir):
     return st.lexicon_sentiment(rows, _POSITIVE, _NEGATIVE).select("property_id", "sentence_id", "sentiment_label")
 
 
-@query()
+def _bayes_sql() -> str:
+    negations = ", ".join("'" + w.replace("'", "''") + "'" for w in ws.NEGATIONS)
+    return f"""
+marked AS (
+  SELECT property_id, review_idx, sent_idx, sentiment_label, flatten(list_transform(
+      list_transform(regexp_split_to_array(lower(sentence_text), '[.,;:!?\\n]+'), lambda c: regexp_extract_all(c, '[\\p{{L}}\\p{{N}}_'']+')),
+      lambda w: list_transform(w, lambda x, i: CASE WHEN i > list_min(list_filter(list_transform([{negations}], lambda g: list_position(w, g)), lambda p: p > 0))
+        THEN 'not_' || x ELSE x END))) AS features
+  FROM source_sentences),
+labels AS (SELECT sentiment_label AS label, count(*) AS of_label, sum(count(*)) OVER () AS of_all FROM marked WHERE sentiment_label <> 'na' GROUP BY sentiment_label),
+counts AS (
+  SELECT feature, label, count(*) AS n, count(DISTINCT (property_id, review_idx, sent_idx)) AS texts FROM (
+    SELECT property_id, review_idx, sent_idx, sentiment_label AS label, unnest(features) AS feature FROM marked WHERE sentiment_label <> 'na')
+  GROUP BY feature, label),
+grid AS (
+  SELECT f.feature, l.label, l.of_label, l.of_all, coalesce(c.n, 0) AS n, coalesce(c.texts, 0) AS texts, f.having_it
+  FROM (SELECT feature, sum(texts) AS having_it FROM counts GROUP BY feature) f CROSS JOIN labels l
+  LEFT JOIN counts c ON c.feature = f.feature AND c.label = l.label),
+chosen AS (
+  SELECT feature, 2 * sum(CASE WHEN texts > 0 THEN texts * ln(texts * of_all / CAST(having_it * of_label AS DOUBLE)) ELSE 0 END
+    + CASE WHEN of_label > texts THEN (of_label - texts) * ln((of_label - texts) * of_all / CAST((of_all - having_it) * of_label AS DOUBLE)) ELSE 0 END) AS ratio
+  FROM grid GROUP BY feature HAVING ratio >= {ws.LEAST_RATIO}),
+weights AS (
+  SELECT feature, label, ln((n + 1) / CAST(sum(n + 1) OVER (PARTITION BY label) AS DOUBLE)) AS weight
+  FROM grid WHERE feature IN (SELECT feature FROM chosen)),
+scores AS (
+  SELECT property_id, review_idx, sent_idx, w.label, round(sum(weight) + ln(any_value(l.of_label) / CAST(any_value(l.of_all) AS DOUBLE)), 9) AS score
+  FROM (SELECT property_id, review_idx, sent_idx, unnest(features) AS feature FROM marked) m JOIN weights w ON w.feature = m.feature
+  JOIN labels l ON l.label = w.label GROUP BY property_id, review_idx, sent_idx, w.label),
+judged AS (
+  SELECT m.property_id, m.review_idx, m.sent_idx, coalesce(s.label, (SELECT label FROM labels ORDER BY of_label DESC, label LIMIT 1)) AS label
+  FROM marked m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY property_id, review_idx, sent_idx ORDER BY score DESC, label) AS n FROM scores) s
+    ON s.n = 1 AND s.property_id = m.property_id AND s.review_idx = m.review_idx AND s.sent_idx = m.sent_idx)
+"""
+
+
+_SENTENCE_KEY = ("property_id", "review_idx", "sent_idx")
+
+
+@query(with_sql("SELECT w.feature, w.label, round(weight, 6) AS weight, round(ratio, 4) AS ratio FROM weights w JOIN chosen c ON c.feature = w.feature",
+                d.SOURCE_SENTENCES_SQL, _bayes_sql()))
+def sentiment_features(spark, sf_dir):
+    """The words that tell labels apart, negated ones on their own, with their weights."""
+    rows = d.source_sentences(spark, sf_dir).filter(F.col("sentiment_label") != "na")
+    weights, _ = ws.fit(rows)
+    chosen = ws.chosen_features(ws.feature_counts(rows), ws.label_counts(rows))
+    return weights.join(chosen, "feature").select("feature", "label", *_six("weight"), F.round("ratio", 4).alias("ratio"))
+
+
+@query(with_sql("SELECT property_id, label AS sentiment_label, count(*) AS sentences FROM judged GROUP BY ALL", d.SOURCE_SENTENCES_SQL, _bayes_sql()))
 def trained_sentiment(spark, sf_dir):
-    """X3 by naive Bayes: trained on the labelled sentences, applied to all."""
+    """X3 by naive Bayes with negation: trained on the labelled sentences, applied to all."""
     rows = d.source_sentences(spark, sf_dir)
-    model = st.fit_sentiment(rows.filter(F.col("sentiment_label") != "na"), dims=1 << 12)
-    return st.apply_sentiment(rows, model).groupBy("property_id", "sentiment_label").agg(F.count("*").alias("sentences"))
+    model = ws.fit(rows.filter(F.col("sentiment_label") != "na"))
+    return ws.apply(rows, model, _SENTENCE_KEY).groupBy("property_id", "sentiment_label").agg(F.count("*").alias("sentences"))
 
 
 # --- topics -------------------------------------------------------------------------------------
@@ -322,6 +373,54 @@ def topic_hashed_tag(spark, sf_dir):
     return tagged.groupBy("topic").agg(F.count("*").alias("sentences"), F.round(F.max("topic_similarity"), 4).alias("best"))
 
 
+_PAIRS_SQL = r"""
+tokens AS (SELECT regexp_extract_all(lower(sentence_text), '[\p{L}\p{N}_]+') AS w FROM source_sentences),
+vocabulary AS (SELECT word FROM (SELECT unnest(w) AS word FROM tokens) GROUP BY word HAVING count(*) >= 20),
+near AS (
+  SELECT w[i] AS a, unnest(w[i + 1 : i + 5]) AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM tokens)),
+pairs AS (
+  SELECT word, context, count(*) AS n FROM (
+    SELECT a AS word, b AS context FROM near WHERE a <> b UNION ALL SELECT b, a FROM near WHERE a <> b)
+  WHERE word IN (SELECT word FROM vocabulary) AND context IN (SELECT word FROM vocabulary) GROUP BY word, context),
+sums AS (SELECT word, sum(n) AS n FROM pairs GROUP BY word)
+"""
+
+
+@query(with_sql(
+    """SELECT p.word, p.context, p.n, round(ln(CAST(p.n AS DOUBLE) * (SELECT sum(n) FROM pairs) / (CAST(a.n AS DOUBLE) * CAST(b.n AS DOUBLE))), 6) AS ppmi
+       FROM pairs p JOIN sums a ON a.word = p.word JOIN sums b ON b.word = p.context
+       WHERE CAST(p.n AS DOUBLE) * (SELECT sum(n) FROM pairs) / (CAST(a.n AS DOUBLE) * CAST(b.n AS DOUBLE)) > 1""",
+    d.SOURCE_SENTENCES_SQL, _PAIRS_SQL))
+def word_pairs(spark, sf_dir):
+    """Words within five words of each other, and how much more often than by chance."""
+    rows = d.source_sentences(spark, sf_dir)
+    pairs = wv.ppmi(wv.pair_counts(rows, wv.word_counts(rows, min_count=20)))
+    return pairs.withColumn("ppmi", F.round("ppmi", 6))
+
+
+_MEANINGS = {"de": "und der nicht", "en": "the of and", "es": "los para que", "fr": "les pour que"}
+
+
+@query()
+def topic_by_meaning(spark, sf_dir):
+    """X4 X5 by learnt vectors: sentences tagged with the topic their words keep company with.
+
+    Counted apart by whether the sentence shares a word with its topic.
+    """
+    rows = d.source_sentences(spark, sf_dir)
+    counts = wv.word_counts(rows)
+    words = wv.fit_words(wv.ppmi(wv.pair_counts(rows, counts)))
+    topics = spark.createDataFrame(list(_MEANINGS.items()), "topic string, sentence_text string")
+    tagged = tp.topics_by_vector(
+        wv.with_sentence_vectors(rows, words, counts, _SENTENCE_KEY), wv.with_sentence_vectors(topics, words, counts, ("topic",)),
+        threshold=0.2, top_n=1, max_non_ascii=1.0, keep=("review_idx", "sentence_text"),
+    )
+    shared = F.arrays_overlap(wv.words_of(F.col("sentence_text")), wv.words_of(F.col("topic_text")))
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("review_idx"), "lang")
+    named = tagged.join(topics.withColumnRenamed("sentence_text", "topic_text"), "topic").join(lang, "review_idx")
+    return named.groupBy("lang", "topic", shared.alias("shares_a_word")).agg(F.count("*").alias("sentences"))
+
+
 @query(with_sql(
     """SELECT property_id, review_idx, sent_idx, sentence_id, topic, round(topic_similarity, 6) AS topic_similarity,
        sentiment_label, sentence_text FROM enriched""", *_STATS))
