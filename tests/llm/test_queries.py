@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from innsight.llm import packing, pieces, queries, spans, tokens, training_order
+from innsight.llm import packing, pieces, queries, tokens, training_order
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -40,28 +40,39 @@ def test_sentencepiece_equals_the_library(spark, texts):
         assert r.round_trip and r.n_ids == len(r.ids)
 
 
-def _spans_by_hand(texts, run=3, least_words=12, longest=16):
+def _windows_seen_before(texts, n):
+    """Per document, which words stand in a window of ``n`` words that occurred at an earlier place."""
     seen, out = set(), {}
-    cut = {d: spans.sentences(t or "", longest) for d, t in texts.items()}
-    for doc_id in sorted(cut):
-        worded = [p for p in cut[doc_id] if p.strip()]
-        marked = set()
-        for i in range(len(worded) - run + 1):
-            key = tuple(" ".join(p.casefold().split()) for p in worded[i : i + run])
-            if sum(len(k.split()) for k in key) < least_words:
-                continue
-            if key in seen:
-                marked.update(range(i, i + run))
-            seen.add(key)
-        places = [i for i, p in enumerate(cut[doc_id]) if p.strip()]
-        drop = {places[m] for m in marked}
-        out[doc_id] = "".join(p for i, p in enumerate(cut[doc_id]) if i not in drop)
+    for doc_id in sorted(texts):
+        words = (texts[doc_id] or "").casefold().split()
+        before = np.zeros(len(words), bool)
+        for i in range(len(words) - n + 1):
+            window = tuple(words[i : i + n])
+            if window in seen:
+                before[i : i + n] = True
+            seen.add(window)
+        out[doc_id] = (words, before)
     return out
 
 
+def _is_subsequence(part, whole):
+    rest = iter(whole)
+    return all(w in rest for w in part)
+
+
 def test_substring_dedup_equals_brute_force(spark, texts):
+    """What must go is gone: windows of 51 words seen before. What must stay is there: all words in
+    no window of 12 words seen before, in order, in their own spelling."""
     got = {r.doc_id: r.text for r in queries.op3_substring_dedup(spark, SF_DIR).collect()}
-    assert got == _spans_by_hand(texts)
+    assert set(got) == set(texts)
+    assert not any(before.any() for _, before in _windows_seen_before(got, 51).values())
+    assert any(before.any() for _, before in _windows_seen_before(texts, 51).values())
+    for doc_id, (words, before) in _windows_seen_before(texts, 12).items():
+        left = got[doc_id].casefold().split()
+        assert _is_subsequence(left, words)
+        assert _is_subsequence([w for w, x in zip(words, before, strict=True) if not x], left)
+        if not before.any():
+            assert got[doc_id] == texts[doc_id]
     assert any(got[d] != texts[d] for d in texts) and any(got[d] == texts[d] for d in texts)
 
 
