@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from innsight.fixed_values import ERROR_MESSAGE_CHARS
 from innsight.functions import text as tx
 from innsight.functions import vectors
+from innsight.operators import boundaries as bd
 from innsight.operators import neighbours as nb
 from innsight.operators import report as rp
 from innsight.operators import sentences as st
@@ -314,6 +315,66 @@ def trained_sentiment(spark, sf_dir):
     return ws.apply(rows, model, _SENTENCE_KEY).groupBy("property_id", "sentiment_label").agg(F.count("*").alias("sentences"))
 
 
+_STOPS_SQL = r"""
+stop_tokens AS (
+  SELECT property_id, review_idx, CAST(i AS BIGINT) AS i, t AS raw, t = '' AS void,
+    regexp_replace(regexp_replace(t, '^["''(\[{«„“‚‘]+', ''), '["'')\]}»“”’,;:]+$', '') AS t FROM (
+    SELECT property_id, review_idx, unnest(w) AS t, unnest(range(len(w))) AS i
+    FROM (SELECT property_id, review_idx, regexp_split_to_array(lower(review_text), '[ \t\n\x0B\f\r]+') AS w FROM review_rows))),
+types AS (
+  SELECT regexp_replace(t, '\.$', '') AS type, count(*) FILTER (ends_with(t, '.')) AS with_stop, count(*) FILTER (NOT ends_with(t, '.')) AS without_stop
+  FROM stop_tokens WHERE regexp_matches(t, '^\p{L}[\p{L}.''-]*$') GROUP BY ALL),
+stop_rate AS (SELECT sum(with_stop) / CAST(sum(with_stop + without_stop) AS DOUBLE) AS rate FROM types),
+scored AS (
+  SELECT type, with_stop, without_stop, length(type) - length(replace(type, '.', '')) AS inner_stops,
+    2 * (with_stop * (ln(0.99) - ln(rate)) + without_stop * (ln(1 - 0.99::DOUBLE) - ln(1 - rate))) AS ratio
+  FROM types, stop_rate WHERE with_stop > 0),
+abbreviations AS (
+  SELECT *, ratio * exp(-(length(type) - inner_stops)) * (inner_stops + 1) * pow(length(type) - inner_stops, -CAST(without_stop AS DOUBLE)) AS score FROM scored)
+"""
+
+
+@query(with_sql(
+    "SELECT type, with_stop, without_stop, round(ratio, 4) AS ratio, score >= 0.3 AS is_abbreviation FROM abbreviations",
+    d.REVIEW_ROWS_SQL, _STOPS_SQL))
+def boundary_statistics(spark, sf_dir):
+    """How every word of all reviews stands to the full stop, and which are abbreviations."""
+    reviews = st.explode_reviews(d.review_listings(spark, sf_dir))
+    scored = bd.abbreviation_scores(bd.type_counts(reviews))
+    return scored.select(
+        "type", "with_stop", "without_stop", F.round("ratio", 4).alias("ratio"), (F.col("score") >= bd.LEAST_SCORE).alias("is_abbreviation")
+    )
+
+
+@query(with_sql(
+    r"""follows AS (
+         SELECT property_id, review_idx, i, t, raw, lead(t) OVER (PARTITION BY property_id, review_idx ORDER BY i) AS after,
+           lag(t) OVER (PARTITION BY property_id, review_idx ORDER BY i) AS before FROM stop_tokens WHERE NOT void),
+       numbered AS (
+         SELECT regexp_replace(t, '\.$', '') AS type, count(*) FILTER (coalesce(regexp_matches(before, '^[0-9]+\.$'), false)) AS a, count(*) AS n
+         FROM follows WHERE regexp_matches(t, '^\p{L}[\p{L}.''-]*$') GROUP BY ALL),
+       whole AS (SELECT sum(a) AS a_all, sum(n) AS n_all FROM numbered),
+       rates AS (
+         SELECT type, CAST(a AS DOUBLE) AS a, CAST(n AS DOUBLE) AS n, CAST(a_all AS DOUBLE) AS a_all, CAST(n_all AS DOUBLE) AS n_all,
+           greatest(1e-12, least(1 - 1e-12, a / CAST(n AS DOUBLE))) AS p, greatest(1e-12, least(1 - 1e-12, a_all / CAST(n_all AS DOUBLE))) AS p0,
+           greatest(1e-12, least(1 - 1e-12, (a_all - a) / greatest(CAST(n_all - n AS DOUBLE), 1))) AS p1 FROM numbered, whole WHERE a > 0),
+       ordinals AS (SELECT type FROM rates WHERE a / n > a_all / n_all AND 2 * (a * ln(p) + (n - a) * ln(1 - p) + (a_all - a) * ln(p1)
+         + (n_all - n - a_all + a) * ln(1 - p1) - a_all * ln(p0) - (n_all - a_all) * ln(1 - p0)) >= 7.88),
+       ends AS (
+         SELECT property_id, review_idx, after IS NULL OR (regexp_matches(raw, '[.!?…]+["'')\]}»“”’]*$') AND NOT (
+             ends_with(t, '.') AND NOT ends_with(t, '..') AND (regexp_matches(t, '^\p{L}\.$')
+             OR t[:-2] IN (SELECT type FROM abbreviations WHERE score >= 0.3)
+             OR (regexp_matches(t, '^[0-9]+\.$') AND regexp_replace(regexp_replace(after, '[!?]+$', ''), '\.$', '') IN (SELECT type FROM ordinals))))) AS is_end
+         FROM follows)
+       SELECT property_id, review_idx, count(*) FILTER (is_end) AS sentences FROM ends GROUP BY ALL""",
+    d.REVIEW_ROWS_SQL, _STOPS_SQL))
+def learnt_sentences(spark, sf_dir):
+    """Sentences of every review, cut at boundaries learnt from all of them."""
+    reviews = st.explode_reviews(d.review_listings(spark, sf_dir))
+    cut = bd.split_learnt(reviews, bd.learn(reviews))
+    return cut.groupBy("property_id", "review_idx").agg(F.count("*").alias("sentences"))
+
+
 # --- topics -------------------------------------------------------------------------------------
 
 @query(with_sql("SELECT property_id, sentence_id, topic, round(topic_similarity, 6) AS topic_similarity FROM assignments", *_STATS))
