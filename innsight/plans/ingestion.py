@@ -40,8 +40,7 @@ def ingest(
     documents = build_corpus(booking, airbnb, city, limit)
     if model is not None:
         documents = with_vectors(documents, model)
-    tables.upsert_documents(spark, path, documents, version, replace=NAMESPACES if clear_existing else ())
+    written = tables.upsert_documents(spark, path, documents, version, replace=NAMESPACES if clear_existing else ())
     if clear_existing:
-        written = {r["namespace"] for r in documents.select("namespace").distinct().collect()}
         tables.drop_namespaces(spark, path, [n for n in NAMESPACES if n not in written])
-    return dc.namespace_summary(spark.read.parquet(path).filter(F.col("namespace").isin(NAMESPACES)))
+    return dc.namespace_summary(tables.read_documents(spark, path).filter(F.col("namespace").isin(NAMESPACES)))

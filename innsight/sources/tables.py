@@ -13,6 +13,7 @@ from innsight.fixed_values import ERROR_MESSAGE_CHARS
 from innsight.functions import text as tx
 from innsight.operators.documents import latest_versions
 from innsight.operators.report import capped_evidence
+from innsight.sources.shared import stored
 
 RUN_COLUMNS = [
     "run_id string", "run_utc_ts timestamp", "property_id string", "status string",
@@ -36,7 +37,9 @@ EVIDENCE_COLUMNS = [
 RUN_TABLES = {
     "runs": RUN_COLUMNS, "neighbors": NEIGHBOR_COLUMNS, "topics": TOPIC_COLUMNS, "evidence": EVIDENCE_COLUMNS,
 }
-_DATE = "run_date"
+_DATE, _ATTEMPT, _COMPLETE = "run_date", "attempt", "complete"
+#: Folders that a namespace of the document table is cut into by a hash of the id.
+BUCKETS = 32
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -78,21 +81,41 @@ def append_run(
 ) -> dict[str, str]:
     """Append the frames of one run to the tables ``runs``, ``neighbors``, ``topics``, ``evidence``.
 
-    The frames are written as they are computed; nothing passes through the driver.
-    Tables are split by the day of the run.
+    The frames are written as they are computed; nothing passes through the driver. Rows carry
+    the attempt that wrote them, and a marker is written when all tables stand: readers see
+    marked attempts only, so a run that fails midway is invisible and can be repeated. A run id
+    that is marked already adds nothing. Tables are split by the day of the run and sorted by
+    property, with filters on property and run that let readers skip row groups.
     """
-    paths = {}
+    spark = next(iter(frames.values())).sparkSession
+    paths = {name: f"{base.rstrip('/')}/{name}" for name in frames}
+    if complete_runs(spark, base, fmt).where(F.col("run_id") == run_id).limit(1).count():
+        return paths
+    attempt = str(uuid.uuid4())
     stamp = F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
     for name, frame in frames.items():
         if name == "evidence":
             frame = capped_evidence(frame)
         stamped = frame.withColumn("run_id", F.lit(run_id)).withColumn("run_utc_ts", stamp)
-        table = _shaped(stamped, RUN_TABLES[name]).withColumn(_DATE, F.to_date("run_utc_ts"))
-        paths[name] = f"{base.rstrip('/')}/{name}"
-        table.write.format(fmt).mode("append").partitionBy(_DATE).save(paths[name])
+        table = _shaped(stamped, RUN_TABLES[name]).withColumns({_ATTEMPT: F.lit(attempt), _DATE: F.to_date("run_utc_ts")})
+        writer = table.repartitionByRange("property_id").sortWithinPartitions("property_id").write.format(fmt)
+        for column in ("property_id", "run_id"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.mode("append").partitionBy(_DATE).save(paths[name])
+    marker = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias(_ATTEMPT), F.current_timestamp().alias("done"))
+    marker.write.format(fmt).mode("append").save(f"{base.rstrip('/')}/{_COMPLETE}")
     return paths
 
 
+def complete_runs(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
+    """``(run_id, attempt)`` of the runs that stand; of several attempts the one done first."""
+    path = f"{base.rstrip('/')}/{_COMPLETE}"
+    if not table_exists(spark, path):
+        return spark.createDataFrame([], f"run_id string, {_ATTEMPT} string")
+    done = read_table(spark, path, fmt, f"run_id string, {_ATTEMPT} string, done timestamp")
+    return done.groupBy("run_id").agg(F.min_by(_ATTEMPT, F.struct("done", _ATTEMPT)).alias(_ATTEMPT))
+
+
 def error_run(spark: SparkSession, property_ids: Sequence[str], message: str) -> DataFrame:
     """The rows a failed run leaves in ``runs``, one per requested property."""
     rows = spark.createDataFrame([(p, message) for p in property_ids], "property_id string, error_message string")
@@ -106,8 +129,10 @@ def new_run_id() -> str:
 
 
 def read_run_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
-    schema = ", ".join([*RUN_TABLES[name], f"{_DATE} date"])
-    return read_table(spark, f"{base.rstrip('/')}/{name}", fmt, schema)
+    """The rows of a table's complete runs."""
+    schema = ", ".join([*RUN_TABLES[name], f"{_ATTEMPT} string", f"{_DATE} date"])
+    rows = read_table(spark, f"{base.rstrip('/')}/{name}", fmt, schema)
+    return rows.join(complete_runs(spark, base, fmt), ["run_id", _ATTEMPT], "left_semi").drop(_ATTEMPT)
 
 
 def latest_runs(df: DataFrame, keys: Sequence[str] = ("property_id",)) -> DataFrame:
@@ -159,28 +184,56 @@ def read_evidence(spark, base: str, run_id: str | None = None, topic: str | None
     return df.orderBy(F.desc("topic_similarity"), "sentence_id", "kind", "evidence_role", "property_id").limit(limit)
 
 
+def _bucket_column(buckets: int) -> str:
+    """The count is part of the name: a table cut otherwise is refused instead of mixed."""
+    return f"bucket_of_{buckets}"
+
+
+def read_documents(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The document table, its namespace as text, without the folder of the row."""
+    return spark.read.parquet(path).drop(_bucket_column(buckets)).withColumn("namespace", F.col("namespace").cast("string"))
+
+
 def upsert_documents(
-    spark: SparkSession, path: str, incoming: DataFrame, version: int, replace: Sequence[str] = ()
-) -> None:
+    spark: SparkSession, path: str, incoming: DataFrame, version: int, replace: Sequence[str] = (), buckets: int = BUCKETS
+) -> list[str]:
     """Merge documents into the table at ``path`` by namespace and id, the newest version staying.
 
-    Only the namespaces that receive documents are rewritten; those in ``replace`` keep nothing
+    Returns the namespaces that received documents.
+
+    A namespace is cut into ``buckets`` folders by a hash of the id, and only folders that receive
+    documents are rewritten; the others keep their files. Namespaces in ``replace`` keep nothing
     of what they held. The new files stand before the old ones are taken away, when the job
     commits, so a run that fails leaves the table as it was.
     """
-    stamped = incoming.withColumn("version", F.lit(version).cast("bigint"))
-    merged = stamped
-    if _has_documents(spark, path):
-        touched = stamped.select("namespace").distinct()
-        current = spark.read.parquet(path).filter(~F.col("namespace").isin(list(replace)))
-        merged = current.join(touched, "namespace", "left_semi").unionByName(stamped, allowMissingColumns=True)
+    bucket = _bucket_column(buckets)
+    stamped = incoming.withColumns({
+        "version": F.lit(version).cast("bigint"), bucket: F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    })
+    merged, held = stamped, _has_documents(spark, path)
+    if held:
+        stamped = stored(stamped, "incoming-documents")  # read twice: what it touches, and itself
+        touched = stamped.select("namespace", bucket).distinct()
+        current = spark.read.parquet(path).withColumn("namespace", F.col("namespace").cast("string"))
+        current = current.filter(~F.col("namespace").isin(list(replace)))
+        merged = current.join(touched, ["namespace", bucket], "left_semi").unionByName(stamped, allowMissingColumns=True)
     (
         latest_versions(merged)
+        .hint("rebalance", "namespace", bucket)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("namespace")
+        .partitionBy("namespace", bucket)
         .parquet(path)
     )
+    if not held:
+        return namespaces(spark, path)
+    received = {(r[0], r[1]) for r in stamped.select("namespace", bucket).distinct().collect()}  # folders, not rows
+    for namespace in {n for n, _ in received}.intersection(replace):
+        # folders of replaced namespaces that got nothing new still hold what was there
+        for n in range(buckets):
+            if (namespace, n) not in received:
+                _remove(spark, f"{path.rstrip('/')}/namespace={namespace}/{bucket}={n}")
+    return sorted({n for n, _ in received})
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -195,16 +248,26 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def _has_documents(spark: SparkSession, path: str) -> bool:
     """Whether the document table holds files; a cleared one has none."""
-    pattern, fs = _hadoop_path(spark, f"{path.rstrip('/')}/namespace=*/*.parquet")
+    pattern, fs = _hadoop_path(spark, f"{path.rstrip('/')}/namespace=*/*/*.parquet")
     return len(fs.globStatus(pattern) or []) > 0
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path, fs = _hadoop_path(spark, path)
+    if fs.exists(jvm_path):
+        fs.delete(jvm_path, True)
+
+
+def namespaces(spark: SparkSession, path: str) -> list[str]:
+    """The namespaces that the document table holds, by its folders."""
+    pattern, fs = _hadoop_path(spark, f"{path.rstrip('/')}/namespace=*")
+    return sorted(f.getPath().getName().removeprefix("namespace=") for f in fs.globStatus(pattern) or [])
+
+
 def drop_namespaces(spark: SparkSession, path: str, namespaces: Sequence[str]) -> None:
-    """Remove whole namespaces from the document table; each is one partition folder."""
+    """Remove whole namespaces from the document table; each is one folder."""
     for namespace in namespaces:
-        jvm_path, fs = _hadoop_path(spark, f"{path.rstrip('/')}/namespace={namespace}")
-        if fs.exists(jvm_path):
-            fs.delete(jvm_path, True)
+        _remove(spark, f"{path.rstrip('/')}/namespace={namespace}")
 
 
 def write_json_results(results: DataFrame, summary: DataFrame, path: str) -> dict[str, str]:

@@ -117,19 +117,22 @@ def source_rows(spark, sf_dir):
 
 
 @query(with_sql(
-    """SELECT namespace, doc_id, text, version FROM (
-         SELECT namespace, doc_id, text, CAST(1 AS BIGINT) AS version FROM corpus WHERE namespace = 'booking_hotels' AND country <> 'de'
-         UNION ALL SELECT namespace, doc_id, 'new ' || text, CAST(2 AS BIGINT) FROM corpus WHERE namespace = 'booking_hotels' AND country = 'de')""",
+    """versions AS (
+         SELECT namespace, doc_id, text, CAST(1 AS BIGINT) AS version FROM corpus WHERE namespace <> 'booking_reviews'
+         UNION ALL SELECT namespace, doc_id, 'new ' || text, CAST(2 AS BIGINT) FROM corpus
+         WHERE namespace <> 'booking_reviews' AND (country = 'de' OR contains(city, 'src1')))
+       SELECT namespace, doc_id, text, version FROM (
+         SELECT *, row_number() OVER (PARTITION BY namespace, doc_id ORDER BY version DESC, text) AS n FROM versions) WHERE n = 1""",
     d.CORPUS_SQL))
 def upserted_documents(spark, sf_dir):
-    """A second version of some documents merged into the table, other namespaces dropped."""
+    """A second version of some documents of all namespaces merged into the table, one namespace dropped."""
     path = shared_folder(spark, "corpus")
-    docs = d.corpus(spark, sf_dir).filter(F.col("namespace").isin("booking_hotels", "booking_reviews"))
+    docs = d.corpus(spark, sf_dir)
     tables.upsert_documents(spark, path, docs, version=1)
-    changed = docs.filter((F.col("namespace") == "booking_hotels") & (F.col("country") == "de"))
+    changed = docs.filter((F.col("country") == "de") | F.contains("city", F.lit("src1")))
     tables.upsert_documents(spark, path, changed.withColumn("text", F.concat(F.lit("new "), "text")), version=2)
     tables.drop_namespaces(spark, path, ["booking_reviews"])
-    return spark.read.parquet(path).select(F.col("namespace").cast("string"), "doc_id", "text", "version")
+    return tables.read_documents(spark, path).select("namespace", "doc_id", "text", "version")
 
 
 @query(with_sql(
