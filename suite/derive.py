@@ -712,9 +712,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     earlier = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     turns = c.join(earlier, ["conv_id", "turn"])
     response = F.concat(
-        F.substring("text", 1, 200), F.lit(" Many guests mention "), F.substring("before", 5, 40),
-        F.lit('. They wrote "'), F.replace(F.substring("before", 10, 30), F.lit('"'), F.lit("")), F.lit('" and "'),
-        F.replace(F.substring("text", 1, 25), F.lit('"'), F.lit("")), F.lit('". Rating: '), F.col("turn").cast("string"),
+        "text", F.lit(" Many guests mention "), "before",
+        F.lit('. They wrote "'), F.replace("before", F.lit('"'), F.lit("")), F.lit('" and "'),
+        F.replace("text", F.lit('"'), F.lit("")), F.lit('". Rating: '), F.col("turn").cast("string"),
         F.when(F.col("role") == "user", ". According to reviews, guests reported noise; no information found")
         .otherwise(". Search results show it. Several people complained"), F.lit("."),
     )

@@ -211,20 +211,20 @@ def vector_search_all_buckets(spark, sf_dir):
 _LANG_WORDS = ("the", "der", "que", "les")
 _REVIEW_VECTORS_SQL = f"""
 review_vectors AS (
-  SELECT namespace, doc_id, hotel_id, text, [{', '.join(f"1.0 + len(regexp_extract_all(text, '{w}'))" for w in _LANG_WORDS)}]::DOUBLE[] AS vec
+  SELECT namespace, doc_id, CASE WHEN right(hotel_id, 1) IN ('0', '2', '4', '6', '8') THEN replace(hotel_id, 'ABB_', 'X_') ELSE hotel_id END AS hotel_id, text,
+    [{', '.join(f"1.0 + len(regexp_extract_all(text, '{w}'))" for w in _LANG_WORDS)}]::DOUBLE[] AS vec
   FROM corpus WHERE namespace IN ('booking_reviews', 'airbnb_reviews')),
-review_places AS (
-  SELECT q.city AS city, q.asked AS hotel_id FROM (
-    SELECT DISTINCT city, min('BKG_' || hotel_id) OVER (PARTITION BY city) AS asked FROM booking_hotels WHERE parts IS NOT NULL) q),
 review_asked AS (
-  SELECT hotel_id AS query_id, hotel_id, [2.0, 1.0, 1.0, 1.0]::DOUBLE[] AS q FROM review_places)
+  SELECT DISTINCT hotel_id AS query_id, hotel_id, [2.0, 1.0, 1.0, 1.0]::DOUBLE[] AS q FROM review_vectors)
 """
 
 
 def _review_vectors(spark, sf_dir):
     docs = d.corpus(spark, sf_dir).filter(F.col("namespace").endswith("_reviews"))
     vec = F.array(*[F.lit(1.0) + F.regexp_count("text", F.lit(w)) for w in _LANG_WORDS])
-    return docs.select("namespace", "doc_id", "hotel_id", "text", vec.alias("vector"))
+    # half of the airbnb hotels under a prefix that is not known, so that the second place is reached
+    hotel = F.when(F.right("hotel_id", F.lit(1)).isin("0", "2", "4", "6", "8"), F.replace("hotel_id", F.lit("ABB_"), F.lit("X_")))
+    return docs.select("namespace", "doc_id", F.coalesce(hotel, "hotel_id").alias("hotel_id"), "text", vec.alias("vector"))
 
 
 @query(with_sql(
@@ -233,12 +233,12 @@ def _review_vectors(spark, sf_dir):
            ORDER BY round(list_cosine_similarity(q, vec), 9) DESC, doc_id) AS INTEGER) AS rank
          FROM review_asked a JOIN review_vectors v ON a.hotel_id = v.hotel_id) WHERE rank <= 3""", d.CORPUS_SQL, _REVIEW_VECTORS_SQL))
 def hotel_reviews(spark, sf_dir):
-    """Reviews of asked hotels nearest to a query, the place chosen by the prefix."""
-    hotels = d.booking_hotels(spark, sf_dir).filter(F.col("top_reviews").isNotNull())
-    asked = hotels.groupBy("city").agg(F.min(ids.prefixed("BKG", F.col("hotel_id"))).alias("hotel_id")).select(
+    """Reviews of every hotel nearest to a query, the place chosen by the prefix or found in the second."""
+    reviews = _review_vectors(spark, sf_dir)
+    asked = reviews.select("hotel_id").distinct().select(
         F.col("hotel_id").alias("query_id"), "hotel_id", F.array(*[F.lit(x) for x in (2.0, 1.0, 1.0, 1.0)]).alias("vector")
     )
-    return rt.hotel_reviews(asked, _review_vectors(spark, sf_dir), 3).select("query_id", "doc_id", *_six("similarity"), "rank")
+    return rt.hotel_reviews(asked, reviews, 3).select("query_id", "doc_id", *_six("similarity"), "rank")
 
 
 @query(with_sql(
@@ -266,14 +266,14 @@ def hotel_lookup(spark, sf_dir):
        SELECT hotel_id, position, competitor_id, competitor, source FROM (
          SELECT a.hotel_id, h.hotel_id AS competitor_id, h.title AS competitor, CASE place WHEN 0 THEN 'Booking.com' ELSE 'Airbnb' END AS source,
            CAST(row_number() OVER (PARTITION BY a.hotel_id ORDER BY place, h.hotel_id) AS INTEGER) AS position
-         FROM (SELECT hotel_id, title, city FROM hotels WHERE place = 0) a JOIN hotels h ON a.city = h.city
+         FROM (SELECT hotel_id, title, city FROM hotels) a JOIN hotels h ON a.city = h.city
          WHERE NOT contains(lower(h.title), lower(a.title))) WHERE position <= 5""", d.CORPUS_SQL))
 def same_city_competitors(spark, sf_dir):
-    """Five competitors of the same city for every booking hotel."""
+    """Five competitors of the same city for every hotel of both sources."""
     docs = d.corpus(spark, sf_dir).filter(F.col("namespace").endswith("_hotels")).withColumn(
         "city", F.replace("city", F.lit(" centre"), F.lit(""))
     ).dropDuplicates(["namespace", "hotel_id"])
-    asked = docs.filter(F.col("namespace") == "booking_hotels").select("hotel_id", F.col("title").alias("hotel_name"), "city")
+    asked = docs.select("hotel_id", F.col("title").alias("hotel_name"), "city")
     return rt.city_competitors(asked, docs, 5, shortlist=8)
 
 
@@ -549,14 +549,13 @@ def _scaled_sql() -> str:
     names = [*values, *[f"b_{b}" for b in buckets]]
     scaled = " UNION ALL ".join(
         "SELECT property_id, '{f}' AS feature, round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0.0), 6) AS value FROM filled".format(
-            f=f"cancellation_bucket__ohe_{n[2:]}" if n.startswith("b_") else f"{n}__imp", c=n
+            f=f"cancellation_bucket__ohe_{n[2:].replace('unknown', '__unknown')}" if n.startswith("b_") else f"{n}__imp", c=n
         )
         for n in names
     )
     return f"""train AS (SELECT * FROM feature_listings WHERE ratings IS NOT NULL),
        filled AS (SELECT property_id, {filled}, {flags} FROM train)
-       SELECT property_id, feature, value FROM ({scaled})
-       WHERE feature <> 'cancellation_bucket__ohe_unknown'"""
+       SELECT property_id, feature, value FROM ({scaled})"""
 
 
 @query(with_sql(_scaled_sql(), d.FEATURE_LISTINGS_SQL))
@@ -566,8 +565,7 @@ def scaled_features(spark, sf_dir):
 
     train = ex.training_rows(_features(spark, sf_dir))
     scored = Pipeline(stages=ex.feature_stages(_SCALED, ["cancellation_bucket"], 1e-6)).fit(train).transform(train)
-    rows = ex.long_vectors(scored).filter(~F.col("feature").isin("cancellation_bucket__ohe_unknown", "cancellation_bucket__ohe___unknown"))
-    return rows.select("property_id", "feature", *_six("value"))
+    return ex.long_vectors(scored).select("property_id", "feature", *_six("value"))
 
 
 def _regression_sql(cell: str, k: int, without_own: bool = False, sweeps: int = 600) -> str:

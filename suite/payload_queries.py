@@ -294,13 +294,13 @@ def exchanges(spark, sf_dir):
          CASE WHEN entity_context IS NOT NULL THEN chr(10) || '[Key Entities]' || chr(10) || entity_context END,
          chr(10) || '[Recent Exchange]' || chr(10) || exchange) AS context
        FROM exchange x LEFT JOIN entity_context e ON x.conv_id = e.conv_id
-       LEFT JOIN (SELECT conv_id, min(substr(text, 1, 20)) AS summary FROM conversations WHERE role = 'system' GROUP BY conv_id) s ON x.conv_id = s.conv_id""",
+       LEFT JOIN (SELECT conv_id, min(text) AS summary FROM conversations WHERE role = 'system' GROUP BY conv_id) s ON x.conv_id = s.conv_id""",
     d.MESSAGES_SQL, _ENTITY_SQL, _CONTEXT_SQL))
 def context_strings(spark, sf_dir):
     """H1: the context of each conversation: summary, entities and last exchange."""
     summaries = (
         table(spark, sf_dir, "conversations").filter(F.col("role") == "system")
-        .groupBy("conv_id").agg(F.min(F.substring("text", 1, 20)).alias("summary"))
+        .groupBy("conv_id").agg(F.min("text").alias("summary"))
     )
     return cv.conversation_context(d.messages(spark, sf_dir), summaries)
 
@@ -382,8 +382,8 @@ def _risk_sql() -> str:
     return f"""
 turns AS (SELECT c.conv_id, c.turn, c.role, c.text, b.text AS before FROM conversations c JOIN conversations b ON c.conv_id = b.conv_id AND c.turn = b.turn + 1),
 responses AS (
-  SELECT conv_id, turn, substr(text, 1, 200) || ' Many guests mention ' || substr(before, 5, 40) || '. They wrote "' || replace(substr(before, 10, 30), '"', '')
-    || '" and "' || replace(substr(text, 1, 25), '"', '') || '". Rating: ' || turn ||
+  SELECT conv_id, turn, text || ' Many guests mention ' || before || '. They wrote "' || replace(before, '"', '')
+    || '" and "' || replace(text, '"', '') || '". Rating: ' || turn ||
     CASE WHEN role = 'user' THEN '. According to reviews, guests reported noise; no information found' ELSE '. Search results show it. Several people complained' END || '.' AS response,
     [before, 'no rating, score: ' || (turn - 1)] AS outputs FROM turns),
 lowered AS (SELECT *, lower(response) AS low, lower(array_to_string(outputs, chr(10))) AS evidence FROM responses),
