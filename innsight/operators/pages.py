@@ -11,9 +11,40 @@ from innsight.functions.text import strip
 MIN_REVIEW_CHARS = 10
 
 
-def _element(css_class: str) -> str:
-    """Pattern for the text of the first element with a class."""
-    return rf'(?s)class="[^"]*\b{css_class}\b[^"]*"[^>]*>(.*?)</(?:div|span|button)>'
+def _opening(css_class: str) -> str:
+    """Pattern of an opening tag with a class; its first group is the element's name."""
+    return rf'<([A-Za-z][A-Za-z0-9]*)\b[^>]*\bclass="[^"]*\b{css_class}\b[^"]*"[^>]*>'
+
+
+def element_inside(name: Column, rest: Column) -> Column:
+    """What an element holds, given its name and all that follows its opening tag.
+
+    Tags of the same name are counted up and down, so an element ends at its own closing tag
+    however often its name is nested; one that is left open reaches to the end. Tags closed in
+    themselves do not count. The text is cut before the tags of that name and folded once.
+    """
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
+
+    def step(piece: Column) -> Column:
+        closing = F.regexp_like(piece, F.concat(F.lit("(?i)^</"), name, F.lit(r"\b")))
+        opening = F.regexp_like(piece, F.concat(F.lit("(?i)^<"), name, F.lit(r"\b(?![^>]*/>)")))
+        return F.when(closing, -1).when(opening, 1).otherwise(0)
+
+    def seen(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + step(piece)
+        return F.when(state["open"], F.struct(
+            depth.alias("depth"), (depth >= 0).alias("open"), (state["n"] + F.when(depth >= 0, 1).otherwise(0)).alias("n")
+        )).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("open"), F.lit(0).alias("n"))
+    held = F.aggregate(pieces, start, seen, lambda state: state["n"])
+    return F.when(name != "", F.array_join(F.slice(pieces, 1, held), "")).otherwise("")
+
+
+def _first_element(html: Column, css_class: str) -> Column:
+    """What the first element with a class holds; empty without one."""
+    pattern = "(?s)" + _opening(css_class) + "(.*)$"
+    return element_inside(F.regexp_extract(html, pattern, 1), F.regexp_extract(html, pattern, 2))
 
 
 def plain_text(html: Column) -> Column:
@@ -25,7 +56,7 @@ def plain_text(html: Column) -> Column:
 
 
 def _first_text(html: Column, css_class: str) -> Column:
-    return plain_text(F.regexp_extract(html, _element(css_class), 1))
+    return plain_text(_first_element(html, css_class))
 
 
 def page_rating(html: Column) -> Column:
@@ -36,7 +67,11 @@ def page_rating(html: Column) -> Column:
 
 def page_review_count(html: Column) -> Column:
     """First positive number among the count elements, thousands marks removed; 0 without one."""
-    texts = F.regexp_extract_all(html, F.lit(_element(PAGE_CLASSES["review_count"])), F.lit(1))
+    mark = _opening(PAGE_CLASSES["review_count"])
+    parts = F.split(html, f"(?={mark})")
+    # a part reaches to the next mark, an element may reach further
+    onwards = F.transform(parts, lambda p, i: F.when(F.regexp_like(p, F.lit("^" + mark)), F.array_join(F.slice(parts, i + 1, F.size(parts)), "")))
+    texts = F.transform(F.filter(onwards, lambda t: t.isNotNull()), lambda t: _first_element(t, PAGE_CLASSES["review_count"]))
     numbers = F.transform(
         texts,
         lambda t: F.replace(

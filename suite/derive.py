@@ -494,16 +494,17 @@ def map_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = F.transform(
         paragraphs,
         lambda p, i: F.concat(
-            F.lit('<div class="card jftiEf"><div class="d4r55">Reader '), i.cast("string"),
+            F.lit('<div class="card jftiEf"><div class="d4r55"><div>Reader</div> '), i.cast("string"),
             F.lit('</div><span role="img" aria-label="'), (i % 5 + 1).cast("string"),
             F.lit(' stars"></span><span class="rsqaWe">'), i.cast("string"),
-            F.lit(' days ago</span><span class="wiI7pd">'), p, F.lit("</span></div>"),
+            F.lit(' days ago</span><span class="wiI7pd"><span>'), p,
+            F.lit('</span><SPAN/><span class="more"> (<span>more</span>)</span></span><span>Like</span></div>'),
         ),
     )
     html = F.concat(
         F.lit('<div class="fontDisplayLarge">'), F.pmod("page_id", F.lit(5)).cast("string"),
         F.when(F.pmod("page_id", F.lit(2)) == 0, ",").otherwise("."), F.lit("5</div>"),
-        F.lit('<button class="x fontBodyMedium">reviews</button><span class="fontBodyMedium">('),
+        F.lit('<button class="x fontBodyMedium">reviews</button><span class="fontBodyMedium"><span>all</span> ('),
         F.format_number(F.length("html"), 0), F.lit(")</span>"), F.array_join(cards, ""),
     )
     url = F.concat(

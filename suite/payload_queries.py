@@ -187,8 +187,17 @@ def map_businesses(spark, sf_dir):
 @query(r"""
 WITH paragraphs AS (SELECT page_id, unnest(l) AS p, unnest(range(len(l))) AS i
   FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS l FROM pages)),
+-- what follows the opening tag of the text, as tags and texts with the depth of spans
+tokens AS (SELECT page_id, i, unnest(t) AS token, unnest(range(len(t))) AS k FROM (
+  SELECT page_id, i, regexp_extract_all('<span>' || p || '</span><SPAN/><span class="more"> (<span>more</span>)</span></span><span>Like</span></div>',
+    '(?s)<[^>]*>|[^<]+|<') AS t FROM paragraphs)),
+depths AS (SELECT *, sum(CASE WHEN regexp_matches(token, '(?i)^</span\b') THEN -1 WHEN regexp_matches(token, '(?i)^<span\b') AND NOT ends_with(token, '/>') THEN 1 ELSE 0 END)
+  OVER (PARTITION BY page_id, i ORDER BY k) AS depth FROM tokens),
+inside AS (SELECT d.page_id, d.i, string_agg(token, '' ORDER BY k) AS p FROM depths d
+  JOIN (SELECT page_id, i, min(k) FILTER (depth < 0) AS stop FROM depths GROUP BY page_id, i) e ON e.page_id = d.page_id AND e.i = d.i AND k < stop
+  GROUP BY d.page_id, d.i),
 cleaned AS (SELECT page_id, i, trim(replace(replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS review_text FROM paragraphs)
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS review_text FROM inside)
 SELECT page_id, CAST(i AS INTEGER) AS pos, review_text, CAST(i % 5 + 1 AS INTEGER) AS rating, i || ' days ago' AS review_date,
   'Reader ' || i AS reviewer_name FROM cleaned WHERE length(review_text) > 10
 """)
@@ -197,6 +206,30 @@ def map_reviews(spark, sf_dir):
     return pg.page_reviews(d.map_pages(spark, sf_dir))
 
 
+@query(r"""
+WITH RECURSIVE tokens AS (SELECT page_id, regexp_extract_all(html, '(?s)<[^>]*>|[^<]+|<') AS t FROM pages),
+starts AS (SELECT page_id, t, list_position(t, '<ul>') AS k FROM tokens WHERE list_contains(t, '<ul>')),
+walk AS (
+  SELECT page_id, t, k + 1 AS k, 0 AS depth, '' AS text FROM starts
+  UNION ALL
+  SELECT page_id, t, k + 1, depth + CASE WHEN regexp_matches(t[k], '^</li\b') THEN -1 WHEN regexp_matches(t[k], '^<li\b') THEN 1 ELSE 0 END,
+    text || CASE WHEN depth > 0 AND t[k][1] <> '<' THEN t[k] ELSE '' END || CASE WHEN regexp_matches(t[k], '^</li\b') AND depth = 1 THEN '|' ELSE '' END
+  FROM walk WHERE k <= len(t) AND NOT regexp_matches(t[k], '^</ul\b'))
+SELECT page_id, text AS entries FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k DESC) AS n FROM walk) WHERE n = 1
+""")
+def navigation_entries(spark, sf_dir):
+    """The entries of every page's first list, by balanced elements within an element."""
+    pages = d.costly(spark, sf_dir, "pages")
+    listed = pages.where(F.contains("html", F.lit("<ul>"))).select(
+        "page_id", pg.element_inside(F.lit("ul"), F.regexp_extract("html", "(?s)<ul>(.*)$", 1)).alias("held")
+    )
+    entries = F.transform(
+        F.filter(F.split("held", "(?=<li>)"), lambda p: p.startswith("<li>")),
+        lambda p: F.concat(F.regexp_replace(pg.element_inside(F.lit("li"), F.substr(p, F.lit(5))), "<[^>]*>", ""), F.lit("|")),
+    )
+    return listed.select("page_id", F.array_join(entries, "").alias("entries"))
+
+
 # --- conversations ----------------------------------------------------------------------------------------
 
 _ENTITY_SQL = f"""

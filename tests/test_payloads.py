@@ -224,3 +224,27 @@ def test_topics_of_terms_and_queries(spark):
     assert {"noise", "quiet", "loud", "room", "bed", "noisy", "rooms?"} <= set(first) and second == ["hello"]
     hits = spark.createDataFrame([("A LOUD street", ["loud"]), ("calm", ["loud"])], "t string, k array<string>")
     assert [r[0] for r in hits.select(tp.mentions_keyword(F.col("t"), F.col("k"))).collect()] == [True, False]
+
+
+def test_elements_end_at_their_own_tag(spark):
+    deep = "x" * 50_000 + "<div>" * 500 + "</div>" * 500 + "y"
+    cases = [
+        ("div", "a<div>b<div>c</div></div>d</div>e</div>", "a<div>b<div>c</div></div>d"),
+        ("span", "a<SPAN>b</Span>c</span>d", "a<SPAN>b</Span>c"), ("span", "a<span/>b</span>c", "a<span/>b"),
+        ("p", "left open <p>x</p> to the end", "left open <p>x</p> to the end"), ("li", "</li>x", ""), ("b", "<br>x<bold></b>y", "<br>x<bold>"),
+        ("div", "", ""), ("", "x</div>", ""), ("div", deep + "</div>z", deep),
+    ]
+    df = spark.createDataFrame([(i, n, h) for i, (n, h, _) in enumerate(cases)], "i int, n string, h string")
+    got = {r["i"]: r["x"] for r in df.select("i", pg.element_inside(F.col("n"), F.col("h")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+
+
+def test_nested_review_elements(spark):
+    card = (
+        '<div class="jftiEf"><div class="d4r55"><div><b>Ann</b></div> Lee</div><span aria-label="3 stars"></span>'
+        '<span class="rsqaWe"><span>2</span> days ago</span><span class="wiI7pd">A <span>very <span>quiet</span></span> room</span><span>Like</span></div>'
+    )
+    html = '<span class="fontBodyMedium"><span class="fontBodyMedium">none</span> and <i>1,204</i></span>' + card
+    df = spark.createDataFrame([(1, "u", html), (2, "u", "")], "page_id int, url string, html string")
+    assert [tuple(r) for r in pg.page_reviews(df).collect()] == [(1, 0, "A very quiet room", 3, "2 days ago", "Ann Lee")]
+    assert {r["page_id"]: r["review_count"] for r in pg.businesses(df).collect()} == {1: 1204, 2: 0}
