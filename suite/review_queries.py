@@ -10,6 +10,7 @@ from innsight.fixed_values import ERROR_MESSAGE_CHARS
 from innsight.functions import text as tx
 from innsight.functions import vectors
 from innsight.operators import boundaries as bd
+from innsight.operators import dictionary as dy
 from innsight.operators import neighbours as nb
 from innsight.operators import report as rp
 from innsight.operators import sentences as st
@@ -434,6 +435,24 @@ def topic_hashed_tag(spark, sf_dir):
     return tagged.groupBy("topic").agg(F.count("*").alias("sentences"), F.round(F.max("topic_similarity"), 4).alias("best"))
 
 
+@query(with_sql("SELECT property_id, sentence_id, topic, round(topic_similarity, 6) AS topic_similarity FROM assignments", *_STATS))
+def topic_dictionary_tag(spark, sf_dir):
+    """X5 W1 with the keywords as a table, found by one automaton."""
+    terms = spark.createDataFrame([(t, w) for t, words in d.TOPIC_WORDS.items() for w in words], "topic string, term string")
+    tagged = dy.topics_by_terms(d.source_sentences(spark, sf_dir), terms)
+    return tagged.select("property_id", "sentence_id", "topic", *_six("topic_similarity"))
+
+
+@query(r"""
+WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark)
+SELECT doc_id, term, CAST(instr(lower(text), term) - 1 AS INTEGER) AS first FROM documents, terms WHERE contains(lower(text), term)
+""")
+def passage_words_mentioned(spark, sf_dir):
+    """Every word of the benchmark passages in every document that contains it."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(wv.words_of(F.col("text"))).alias("term"))
+    return dy.find_terms(costly(spark, sf_dir, "documents"), terms, ["doc_id"]).select("doc_id", "term", "first")
+
+
 _PAIRS_SQL = r"""
 tokens AS (SELECT regexp_extract_all(lower(sentence_text), '[\p{L}\p{N}_]+') AS w FROM source_sentences),
 vocabulary AS (SELECT word FROM (SELECT unnest(w) AS word FROM tokens) GROUP BY word HAVING count(*) >= 20),
