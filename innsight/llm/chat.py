@@ -78,12 +78,10 @@ def format_conversations(
     A conversation is one output row, so its turns meet in one row; that is as long as the
     conversation itself.
     """
-    role = F.lower(F.coalesce(F.col(role_col).cast("string"), F.lit("")))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-        role.alias("known"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
