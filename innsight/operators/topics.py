@@ -5,42 +5,51 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import TOPIC_ALIASES, TOPIC_KEYWORDS, TOPICS
 from innsight.functions import text as tx
-from innsight.sources.shared import collect_small
 
-# A topic list is a dictionary, not data: it rides along with the function.
-MAX_TOPICS = 10_000
+#: Bytes of topic vectors that may travel to the tasks, and scores that a task holds at once.
+TOPIC_BYTES, SCORES = 256 << 20, 4_000_000
 
 ASSIGNMENT_KEY = ("property_id", "sentence_id")
 SENTENCE_COLUMNS = ("property_id", "review_idx", "sent_idx", "sentence_id", "sentiment_label", "sentence_text")
 
 
-def _topic_scorer(names: list[str], matrix: np.ndarray, threshold: float, top_n: int | None):
-    order = np.array(names, dtype=object)
+def best_topics(scores: np.ndarray, threshold: float, top_n: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, topics, scores) of each row's topics from ``threshold`` on, best first, ties by place."""
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :top_n]
+    ranked = np.take_along_axis(scores, order, axis=1)
+    good = ranked >= threshold
+    offsets = np.concatenate([[0], np.cumsum(good.sum(axis=1))]).astype(np.int32)
+    return offsets, order[good], ranked[good]
 
-    def rows(scores: np.ndarray) -> Iterator[list[dict]]:
-        for line in scores:
-            hits = np.flatnonzero(line >= threshold)
-            hits = hits[np.lexsort((order[hits], -line[hits]))][:top_n]
-            yield [{"topic": names[h], "topic_similarity": float(line[h])} for h in hits]
 
-    @F.pandas_udf("array<struct<topic:string,topic_similarity:double>>")
-    def score(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        sentences = np.stack(vectors.to_numpy())
-        norms = np.linalg.norm(sentences, axis=1, keepdims=True)
-        scores = np.round((sentences @ matrix.T) / np.where(norms > 0, norms, 1.0), 9)
-        scores[norms[:, 0] == 0] = -np.inf
-        return pd.Series(list(rows(scores)))
+def _scorer(shared: Broadcast, threshold: float, top_n: int | None):
+    """Arrow function that replaces the vector, the last column, by the row's best topics."""
 
-    return score
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        step = max(1, SCORES // max(1, len(names)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                sentences = flatten_vectors(part.column(part.num_columns - 1))
+                norms = np.linalg.norm(sentences, axis=1, keepdims=True)
+                scores = np.round((sentences @ matrix.T) / np.where(norms > 0, norms, 1.0), 9)
+                scores[norms[:, 0] == 0] = -np.inf
+                offsets, topics, similarity = best_topics(scores, threshold, top_n)
+                found = pa.StructArray.from_arrays(
+                    [pa.array(names[topics], pa.string()), pa.array(similarity, pa.float64())], names=["topic", "topic_similarity"]
+                )
+                best = pa.ListArray.from_arrays(pa.array(offsets), found)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], best], names=[*part.schema.names[:-1], "_best"])
+
+    return work
 
 
 def topics_by_vector(
@@ -56,23 +65,37 @@ def topics_by_vector(
 ) -> DataFrame:
     """Best topics per sentence: ``(*keep, topic, topic_similarity)``.
 
-    ``topics`` holds ``(topic, vector)``. Each sentence is scored against the whole topic
-    matrix in one product and only its best topics become rows, so the step needs no
-    join and no shuffle. Sentences that are not English-like or have no vector are left out.
+    ``topics`` holds ``(topic, vector)``, any number of them whose vectors take up to 256 MB; they are
+    broadcast once. A slice of sentences is scored against all topics in one product and only
+    the best topics become rows, so the step needs no join, no shuffle and no loop over
+    sentences. Sentences that are not English-like or have no vector are left out.
     Name all sentence columns in ``keep`` to get the enriched sentences straight away.
     """
-    rows = collect_small(topics.select("topic", F.col(vector_col).alias("vector")), MAX_TOPICS, "topics")
-    rows = [r for r in rows if np.any(np.asarray(r["vector"], dtype=float))]
+    vector = F.col(vector_col).cast("array<double>")
+    usable = topics.select("topic", vector.alias("vector")).where(F.exists("vector", lambda x: x != 0))
+    held = usable.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    if held > TOPIC_BYTES:
+        raise ValueError(f"topics: vectors of {held} bytes, more than {TOPIC_BYTES}")
+    rows = sorted(usable.collect(), key=lambda r: r["topic"])
     matrix = np.array([r["vector"] for r in rows], dtype=float)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    score = _topic_scorer([r["topic"] for r in rows], matrix, float(threshold), top_n)
+    if len(rows):
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    names = np.array([r["topic"] for r in rows], dtype=object)
+    shared = sentences.sparkSession.sparkContext.broadcast((names, matrix))
 
     base = sentences.filter(
         tx.english_like(F.col("sentence_text"), max_non_ascii) & F.col(vector_col).isNotNull()
     )
     if partitions is not None:
         base = base.repartition(partitions)
-    return base.select(*keep, F.inline(score(F.col(vector_col).cast("array<double>"))))
+    given = base.select(*keep, vector.alias("_vector"))
+    if not rows:
+        return given.select(*keep, F.lit("").alias("topic"), F.lit(0.0).alias("topic_similarity")).limit(0)
+    kinds = ", ".join([
+        *[f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_vector"],
+        "_best array<struct<topic: string, topic_similarity: double>>",
+    ])
+    return given.mapInArrow(_scorer(shared, float(threshold), top_n), kinds).select(*keep, F.inline("_best"))
 
 
 def topics_by_keyword(

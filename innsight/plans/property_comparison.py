@@ -68,6 +68,7 @@ def compare_properties(
     *,
     max_reviews: int | None = None,
     max_candidates: int | None = None,
+    seed: int = 42,
     params: dict | None = None,
     keep_sentences: bool = True,
 ) -> Comparison:
@@ -82,8 +83,8 @@ def compare_properties(
     """
     p = {**COMPARISON_DEFAULTS, **(params or {})}
     requested = listings.select("property_id") if targets is None else targets
-    near = nb.top_neighbours(listings, targets, k=p["top_k_neighbors"], max_candidates=max_candidates)
-    status = nb.neighbour_status(listings, requested, k=p["top_k_neighbors"], max_candidates=max_candidates)
+    near = nb.top_neighbours(listings, targets, k=p["top_k_neighbors"], max_candidates=max_candidates, seed=seed)
+    status = nb.neighbour_status(listings, requested, k=p["top_k_neighbors"], max_candidates=max_candidates, seed=seed)
     kept = []
     if keep_sentences:
         near = near.persist(StorageLevel.MEMORY_AND_DISK)

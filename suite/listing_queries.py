@@ -535,6 +535,21 @@ def gain_feed(spark, sf_dir):
     return ex.gain_feed(shares, 3).withColumn("opportunity", F.round("opportunity", 6))
 
 
+@query(with_sql(
+    """shares AS (
+         SELECT e.property_id, feature, round(abs_impact / CASE WHEN total = 0 THEN 1 ELSE total END * 100, 6) + 0.0 AS importance_pct
+         FROM effects e JOIN totals t ON e.property_id = t.property_id)
+       SELECT property_id, position, feature, upper(feature[1]) || lower(feature[2:]) AS feature_label, importance_pct FROM (
+         SELECT *, CAST(row_number() OVER (PARTITION BY property_id ORDER BY importance_pct DESC, feature) AS INTEGER) AS position FROM shares)
+       WHERE position <= 4""", _SHARE_SQL))
+def impact_feed(spark, sf_dir):
+    """The strongest effects per supplier with readable labels."""
+    shares = _shares(spark, sf_dir).select(
+        "property_id", F.col("feature").alias("name"), (F.round("impact_pct_abs", 6) + F.lit(0.0)).alias("importance_pct")
+    )
+    return ex.impact_feed(shares, 4)
+
+
 _SCALED = ["price_per_guest", "cat_cleanliness", "cat_communication", "is_super_host"]
 
 

@@ -201,3 +201,28 @@ def test_small_frames_are_checked(spark):
     assert len(collect_small(spark.range(3), 3, "rows")) == 3
     with pytest.raises(ValueError, match="more than 2 rows"):
         collect_small(spark.range(3), 2, "rows")
+
+
+def test_topics_by_vector_of_any_number(spark, monkeypatch):
+    """Ties by name, a threshold, zero vectors and small slices, against a loop by hand."""
+    monkeypatch.setattr(tp, "SCORES", 700)
+    rng = np.random.default_rng(3)
+    topics = [(f"t{i:03d}", [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(300)] + [("zero", [0.0] * 4), ("t000b", None)]
+    topics.append(("a tie", topics[7][1]))
+    rows = [("p", f"s{i}", "some text", [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [("p", "none", "text", None), ("p", "flat", "text", [0.0] * 4)]
+    rows.append(("p", "same", "text", topics[7][1]))
+    sentences = spark.createDataFrame(rows, "property_id string, sentence_id string, sentence_text string, vector array<double>")
+    given = spark.createDataFrame(topics, "topic string, vector array<double>")
+    got = {}
+    for r in tp.topics_by_vector(sentences, given, threshold=0.9, top_n=3).collect():
+        got.setdefault(r["sentence_id"], []).append((-r["topic_similarity"], r["topic"]))
+    for _, sid, _, v in rows:
+        best = []
+        for name, t in topics:
+            if v and t and any(v) and any(t):
+                best.append((-round(float(np.dot(v, t) / np.linalg.norm(v) / np.linalg.norm(t)), 9), name))
+        assert sorted(got.get(sid, [])) == sorted(x for x in best if x[0] <= -0.9)[:3]
+    assert tp.topics_by_vector(sentences, given.where("topic = 'zero'")).count() == 0
+    monkeypatch.setattr(tp, "TOPIC_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes"):
+        tp.topics_by_vector(sentences, given)
