@@ -115,12 +115,12 @@ def cut_documents(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode
+        encode = tokenizer(vocabulary).encode_column
         last = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text"):
             columns: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text or ""), "<u2").astype("<u4").tobytes() + last
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                ids = found.astype("<u4").tobytes() + last
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]

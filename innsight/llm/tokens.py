@@ -1,14 +1,17 @@
-"""Token ids of the word BPE vocabulary, with a cache of words."""
+"""Token ids of the word BPE vocabulary: distinct words are looked up once per batch of texts."""
 
 from __future__ import annotations
 
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_WORDS, _PARTS, _CHUNK = 600_000, 600_000, 256
+_WORDS, _PARTS, _CHUNK = 1_000_000, 600_000, 256
+_ASCII = "".join(map(chr, range(33, 127)))
 
 
 def default_vocabulary() -> str:
@@ -21,9 +24,11 @@ class WordTokenizer:
     """Ids as little-endian 16-bit numbers, equal to encoding the whole text at once.
 
     The vocabulary drops white space and never joins across it, so a text's ids are its words'
-    ids in order. New words are normalised by the tokenizer, cut by its own pattern, and only
+    ids in order. A batch is split, looked up and put together column-wise; Python touches words
+    new to the batch only. Those are normalised by the tokenizer, cut by its own pattern, and only
     parts that are new as well are encoded, many at a time: a part's last id is one that ends
-    a word. Texts with control strings of the vocabulary are encoded whole.
+    a word. Texts with control strings of the vocabulary are encoded whole. Beyond the bound of
+    known words those that the batch at hand does not use are forgotten.
     """
 
     def __init__(self, path: str):
@@ -37,8 +42,12 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
+        self.lowers = self.tokenizer.normalizer.normalize_str(_ASCII) == _ASCII.lower()
         self.parts: dict[str, bytes] = {}
+        # known words, and where in ``flat`` the ids of each stand
+        self.words = pa.array([], pa.string())
+        self.starts = self.sizes = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint16)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -58,14 +67,24 @@ class WordTokenizer:
                 for part in chunk:
                     self.parts[part] = self._whole(part)
 
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isprintable()]
-        for w in words.difference(plain):
-            self.words[w] = self._whole(w)
-        lowered = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ")
-        if len(lowered) != len(plain):
-            lowered = [self.tokenizer.normalizer.normalize_str(w) for w in plain]
-        cut = [[w] if w.isalpha() else _SPLIT.findall(w) for w in lowered]
+    def _normalised(self, words: list[str]) -> list[str]:
+        if not words:
+            return []
+        joined = " ".join(words)
+        if self.lowers and joined.isascii():
+            return joined.lower().split(" ")
+        found = self.tokenizer.normalizer.normalize_str(joined).split(" ")
+        if len(found) != len(words):
+            found = [self.tokenizer.normalizer.normalize_str(w) for w in words]
+        return found
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``words``."""
+        ascii_ = [w for w in words if w.isascii() and w.isprintable()]
+        other = [w for w in words if not w.isascii() and w.isprintable()]
+        found = {w: self._whole(w) for w in words if not w.isprintable()}
+        plain = ascii_ + other
+        cut = [[w] if w.isalpha() else _SPLIT.findall(w) for w in self._normalised(ascii_) + self._normalised(other)]
         if len(self.parts) > _PARTS:
             self.parts.clear()
         new = {p for parts in cut for p in parts}.difference(self.parts)
@@ -73,21 +92,59 @@ class WordTokenizer:
             self._learn_parts(sorted(new))
         known = self.parts
         for word, parts in zip(plain, cut, strict=True):
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            found[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        return [found[w] for w in words]
+
+    def _add(self, new: pa.Array) -> None:
+        ids = self._encoded(new.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), "<u2")]
+        self.words = pa.concat_arrays([self.words, new])
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Forget all known words but those at ``at``."""
+        sizes = self.sizes[at]
+        self.flat = self._gathered(at)[0]
+        self.words, self.sizes, self.starts = self.words.take(pa.array(at)), sizes, np.cumsum(sizes) - sizes
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the known words at ``at``, one after another, and where each word's end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
+        return self.flat[places], ends
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        control = pc.match_substring(texts, "<|")
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(control, "", texts), "\n", " "), " ")
+        words = lists.flatten()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        at = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(pc.is_null(at))
+        if len(new):
+            if len(self.words) + len(new) > _WORDS:
+                self._keep(at.drop_null().to_numpy())
+                at = pc.index_in(distinct, value_set=self.words)
+            at = pc.fill_null(at, -1).to_numpy().copy()
+            at[at < 0] = len(self.words) + np.arange(len(new))
+            self._add(new)
+        else:
+            at = at.to_numpy()
+        ids, ends = self._gathered(at[coded.indices.to_numpy()])
+        offsets = lists.offsets.to_numpy()
+        cuts = np.r_[0, ends][offsets - offsets[0]]
+        found = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(control.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = np.frombuffer(self._whole(texts[i].as_py()), "<u2")
+        return found
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._whole(text)
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            if len(self.words) > _WORDS:
-                self.words.clear()
-                self._learn(set(words))
-            else:
-                self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = map(self.words.__getitem__, words)
-        return b"".join(found)
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
 
 
 _LOADED: dict[str, WordTokenizer] = {}

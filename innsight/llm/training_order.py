@@ -58,13 +58,13 @@ def sequences(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode
+        encode = tokenizer(vocabulary).encode_column
         pad = np.array([pad_id], "<u2").tobytes() * stride
         packed = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text"):
             ids, starts, lengths, records = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                whole = encode(text or "")
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                whole = found.tobytes()
                 for at in range(0, len(whole), 2 * stride):
                     piece = whole[at : at + 2 * stride]
                     ids.append(doc_id)
