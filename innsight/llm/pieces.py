@@ -26,7 +26,8 @@ from innsight.llm.work import slices
 
 _MARKED = re.compile("▁*[^▁]+|▁+")
 _UNIGRAM, _BPE = 1, 2
-_CACHE, _PAIRS = 300_000, 500_000
+#: Known words by the characters they hold, and known pairs of neighbours: together under 100 MB a worker.
+_CHARACTERS, _PAIRS = 1_500_000, 200_000
 
 
 def default_model() -> str:
@@ -69,8 +70,10 @@ class Pieces:
                 self.out[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == 2:
                 self.out[i] = " ⁇ ".encode()
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.names = [p.piece for p in model.pieces]
+        self.stable: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.characters = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best-scored neighbours, leftmost first."""
@@ -86,16 +89,23 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _beside(self, left: str, right: str) -> bool:
-        """Whether two pieces stay as they are when merged together; ``left`` may be empty."""
-        known = self.stable.get((left, right))
+    def _beside(self, left: int | None, right: int) -> bool:
+        """Whether two pieces stay as they are when merged together; without ``left``, whether one does."""
+        key = right if left is None else (left + 1) * len(self.names) + right
+        known = self.stable.get(key)
         if known is None:
             if len(self.stable) > _PAIRS:
                 self.stable.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.stable[left, right] = known
+            pair = [self.names[i] for i in (left, right) if i is not None]
+            known = self.stable[key] = self.merged("".join(pair)) == pair
         return known
 
+    def _follows(self, before: str, left: int | None, right: int) -> bool:
+        """Whether piece ``right`` stays next to ``before``, whose id is ``left`` (none if it is no piece)."""
+        if left is not None or not before:
+            return self._beside(left, right)
+        return self.merged(before + self.names[right]) == [before, self.names[right]]
+
     def _ids(self, piece: str) -> bytes:
         found = self.ids.get(piece)
         if found is None:
@@ -107,13 +117,14 @@ class Pieces:
         # states by depth: where the last piece starts, and the score of the best way here
         starts: list[int] = [0]
         totals: list[float] = [0.0]
+        lasts: list[int | None] = [None]
         known: dict[str, bytes] = {}
         out, previous = [], ""
         for word in words:
             depth, most = 0, min(len(previous), len(word))
             while depth < most and previous[depth] == word[depth]:
                 depth += 1
-            del starts[depth + 1 :], totals[depth + 1 :]
+            del starts[depth + 1 :], totals[depth + 1 :], lasts[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
                 best_start, best, start = end - 1, None, end - 1
                 while start >= 0:  # as long as some piece ends like this
@@ -125,10 +136,11 @@ class Pieces:
                         if start == end - 1:
                             score = self.unknown_score
                     if self.bpe:
+                        i = self.ids.get(piece)
                         if (
-                            piece in self.ids
-                            and self._beside("", piece)
-                            and (not start or self._beside(word[starts[start] : start], piece))
+                            i is not None
+                            and self._beside(None, i)
+                            and (not start or self._follows(word[starts[start] : start], lasts[start], i))
                         ):
                             best_start = start
                             break
@@ -137,6 +149,7 @@ class Pieces:
                     start -= 1
                 starts.append(best_start)
                 totals.append(best or 0.0)
+                lasts.append(self.ids.get(word[best_start:end]))
             parts, end = [], len(word)
             while end:
                 piece = word[starts[end] : end]
@@ -156,12 +169,14 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; words new to the cache are walked together, in order."""
         split = [self.marked(t) for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > _CACHE:
-            self.words.clear()
-            new = set().union(*split)
-        ordered = sorted(new)
+        met = set().union(*split)
+        ordered = sorted(met.difference(self.words))
+        characters = sum(map(len, ordered))
+        if self.characters + characters > _CHARACTERS:
+            self.words = {w: self.words[w] for w in met if w in self.words}
+            self.characters = sum(map(len, self.words))
         self.words.update(zip(ordered, self.encode_sorted(ordered), strict=True))
+        self.characters += characters
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -179,28 +194,35 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def encode_texts(docs: DataFrame, model: str, text_col: str = "text", name: str = "ids") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, model: str, text_col: str = "text", name: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """All columns of ``docs`` and the ids of the whole text, equal to the library's own.
 
-    Null and empty texts have no ids (an empty array). Every row is encoded by itself; an empty
-    table gives an empty result; an existing column of the result's name is replaced.
+    With ``decoded`` a column of that name holds the text read back from the ids, in the same
+    pass. Null and empty texts have no ids (an empty array, read back as an empty text). Every
+    row is encoded by itself, whole however long it is; ties between pieces are settled as the
+    library does, and repeated rows get the same ids. An empty table gives an empty result;
+    existing columns of the results' names are replaced.
     """
-    docs = docs.drop(*[c for c in docs.columns if c == name and c != text_col])
+    docs = docs.drop(*[c for c in docs.columns if c in (name, decoded) and c != text_col])
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    added = [name] if decoded is None else [name, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
-        for batch in slices(batches, text_col, 8_000_000):
+        for batch in slices(batches, text_col, 1_000_000):
             ids = vocabulary.encode([t or "" for t in batch.column(text_col).to_pylist()])
             offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-            yield pa.record_batch(
-                [*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=[*names, name],
-            )
+            new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decoded is not None:
+                new.append(pa.array([vocabulary.decode(i) for i in ids], pa.string()))
+            yield pa.record_batch([*(batch.column(c) for c in names), *new], names=[*names, *added])
 
-    return docs.mapInArrow(run, f"{schema}, `{name}` array<int>")
+    kinds = [f"`{name}` array<int>"] + ([] if decoded is None else [f"`{decoded}` string"])
+    return docs.mapInArrow(run, ", ".join([schema, *kinds]))
 
 
 def decode_ids(rows: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:

@@ -53,10 +53,8 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.default_model()
-    ids = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    decoded = pieces.decode_ids(ids, model)
-    return decoded.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_texts(docs, pieces.default_model(), decoded="decoded").select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
         F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),

@@ -100,6 +100,9 @@ def test_pieces_edges(spark):
     library = pieces.Pieces(pieces.default_model()).library
     for r in pieces.decode_ids(df, pieces.default_model()).collect():
         assert r.ids == library.encode(r.text or "") and r.decoded == (r.text or "")
+    both = pieces.encode_texts(clashing(awkward(spark)), pieces.default_model(), decoded="decoded").collect()
+    apart = pieces.decode_ids(df, pieces.default_model()).collect()
+    assert sorted((r.ids, r.decoded) for r in both) == sorted((r.ids, r.decoded) for r in apart)
     assert pieces.encode_texts(empty(spark), pieces.default_model()).count() == 0
 
 
