@@ -199,31 +199,31 @@ WITH words AS (
   FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
-), shares AS (
-  SELECT doc_id, lang, base_failed, rule, CASE WHEN bottom > 0 THEN least(100, top * 100 // bottom) ELSE 0 END AS bin FROM (
-    SELECT doc_id, lang, base_failed, unnest(['symbols', 'repeats', 'dup_lines', 'capitals', 'marks']) AS rule,
-      unnest([n_symbols, n_repeat_words, n_dup_lines, n_capitals, n_marks]) AS top,
-      unnest([word_chars, n_words, n_lines, word_chars, word_chars]) AS bottom FROM judged)
+), levels AS (
+  SELECT doc_id, lang, base_failed, least(100, greatest(
+    CASE WHEN word_chars > 0 THEN n_symbols * 10000 // (word_chars * 50) ELSE 0 END,
+    CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // (n_words * 50) ELSE 0 END,
+    CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // (n_lines * 100) ELSE 0 END,
+    CASE WHEN word_chars > 0 THEN n_capitals * 10000 // (word_chars * 100) ELSE 0 END,
+    CASE WHEN word_chars > 0 THEN n_marks * 10000 // (word_chars * 50) ELSE 0 END)) AS level FROM judged
 ), holdout AS (
-  SELECT lang, rule, bin FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed
-), strata AS (SELECT lang, rule, count(*) AS n FROM holdout GROUP BY lang, rule),
+  SELECT lang, level FROM levels JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed
+), strata AS (SELECT lang, count(*) AS n FROM holdout GROUP BY lang),
 tails AS (
-  SELECT lang, rule, n, k, sum(p) OVER (PARTITION BY lang, rule ORDER BY k) AS cdf FROM (
-    SELECT lang, rule, n, k, exp(lgamma(n + 1) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END
-        - CASE WHEN n = k THEN 0 ELSE lgamma(n - k + 1) END + k * ln(0.01 / 5) + (n - k) * ln(1 - 0.01 / 5)) AS p
-    FROM (SELECT *, unnest(range(0, least(n, CAST(n * 0.002 * 4 + 50 AS BIGINT)))) AS k FROM strata))
+  SELECT lang, n, k, sum(p) OVER (PARTITION BY lang ORDER BY k) AS cdf FROM (
+    SELECT lang, n, k, exp(lgamma(n + 1) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END
+        - CASE WHEN n = k THEN 0 ELSE lgamma(n - k + 1) END + k * ln(0.01) + (n - k) * ln(1 - 0.01)) AS p
+    FROM (SELECT *, unnest(range(0, least(n, CAST(n * 0.01 * 4 + 50 AS BIGINT)))) AS k FROM strata))
 ), allowed AS (
-  SELECT s.lang, s.rule, coalesce(max(t.k), -1) AS k FROM strata s
-  LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM s.lang AND t.rule = s.rule
-    AND t.cdf <= 0.05 / (SELECT count(*) FROM strata)
-  GROUP BY s.lang, s.rule
+  SELECT s.lang, coalesce(max(t.k), -1) AS k FROM strata s
+  LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM s.lang AND t.cdf <= 0.05 / (SELECT count(*) FROM strata)
+  GROUP BY s.lang
 ), cuts AS (
-  SELECT a.lang, a.rule, min(c.cut) AS cut FROM allowed a, (SELECT unnest(range(1, 101)) AS cut) c
-  WHERE (SELECT count(*) FROM holdout h WHERE h.lang IS NOT DISTINCT FROM a.lang AND h.rule = a.rule AND h.bin >= c.cut) <= a.k
-  GROUP BY a.lang, a.rule
+  SELECT a.lang, min(c.cut) AS cut FROM allowed a, (SELECT unnest(range(1, 101)) AS cut) c
+  WHERE (SELECT count(*) FROM holdout h WHERE h.lang IS NOT DISTINCT FROM a.lang AND h.level >= c.cut) <= a.k
+  GROUP BY a.lang
 ), rejected AS (
-  SELECT DISTINCT s.doc_id FROM shares s JOIN cuts c
-    ON c.lang IS NOT DISTINCT FROM s.lang AND c.rule = s.rule AND s.bin >= c.cut
+  SELECT s.doc_id FROM levels s JOIN cuts c ON c.lang IS NOT DISTINCT FROM s.lang AND s.level >= c.cut
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
@@ -232,8 +232,9 @@ FROM judged
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     measured = stored(risk_rules.measures(docs).drop("text"), "measures")
-    out, _ = risk_rules.judged_measures(measured, table(spark, sf_dir, "labels"))
-    return out.select(
+    good = risk_rules.labelled_good(table(spark, sf_dir, "labels"))
+    cuts = risk_rules.cutoffs(measured.join(good, measured["doc_id"] == good["_id"]), "lang", "_good")
+    return risk_rules.judged_measures(measured, cuts).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

@@ -1,28 +1,30 @@
 """Quality rules whose cutoffs are chosen on labelled documents with a proven false-rejection rate.
 
-Every rule rejects a text whose ratio reaches a cutoff. Among the texts labelled good, the share
-a cutoff rejects is bounded from above by the exact binomial (Clopper-Pearson) bound. Cutoffs
-are tested from the mildest to the strictest on a fixed grid, each only after the one before has
-passed, so the grid costs no correction; the rules of all strata share the error by Bonferroni.
+One path of strictness tightens all rules together: a text's level is the largest of its shares,
+each measured against the share at which its rule is mildest. Among the texts labelled good, the
+share a level rejects is bounded from above by the exact binomial (Clopper-Pearson) bound. Levels
+are tested from the mildest to the strictest, each only after the one before has passed, so
+neither rules nor levels cost a correction; the strata share the error by Bonferroni.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innsight.llm.work import stored, within
+
 BLANKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[^#*$%&|<>]"
-#: name -> (numerator, denominator): the share, in percent, that a rule looks at.
+#: name -> (numerator, denominator, share in percent at which the rule is mildest).
 RULES = {
-    "symbols": ("n_symbols", "word_chars"),
-    "repeats": ("n_repeat_words", "n_words"),
-    "dup_lines": ("n_dup_lines", "n_lines"),
-    "capitals": ("n_capitals", "word_chars"),
-    "marks": ("n_marks", "word_chars"),
+    "symbols": ("n_symbols", "word_chars", 50),
+    "repeats": ("n_repeat_words", "n_words", 50),
+    "dup_lines": ("n_dup_lines", "n_lines", 100),
+    "capitals": ("n_capitals", "word_chars", 100),
+    "marks": ("n_marks", "word_chars", 50),
 }
 
 
@@ -95,95 +97,75 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rule_bin(rule: str, grid: int) -> Column:
-    """The rule's share on the grid, 0 to ``grid``; a share of nothing is 0."""
-    top, bottom = RULES[rule]
-    return F.least(
-        F.lit(grid), F.when(F.col(bottom) > 0, F.expr(f"({top} * {grid}L) div {bottom}")).otherwise(0)
-    ).cast("int")
+def level(grid: int) -> Column:
+    """How strict the path has to be to reject a text: 0 to ``grid``, the mildest; a share of nothing is 0."""
+    steps = [
+        F.when(F.col(bottom) > 0, F.expr(f"({top} * {100 * grid}L) div ({bottom} * {mildest}L)")).otherwise(0)
+        for top, bottom, mildest in RULES.values()
+    ]
+    return F.least(F.lit(grid), F.greatest(*steps)).cast("int")
 
 
-def most_rejected(n: int, rate: float, error: float) -> int:
+def most_rejected(n: Column, rate: float, error: Column) -> Column:
     """The largest count k whose exact upper bound at ``n`` trials is within ``rate``; -1 if none.
 
-    That is the largest k with ``P(Binomial(n, rate) <= k) <= error``.
+    That is the largest k with ``P(Binomial(n, rate) <= k) <= error``, for errors below one half:
+    then k is below the mean, and ``n * rate`` terms are added up, in logarithms.
     """
-    if n <= 0:
-        return -1
-    log_p, log_q = math.log(rate), math.log1p(-rate)
-    total, k = 0.0, -1
-    while k < n:
-        j = k + 1
-        total += math.exp(
-            math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * log_p + (n - j) * log_q
-        )
-        if total > error:
-            return k
-        k = j
-    return k
-
-
-def cutoffs(holdout: DataFrame, stratum: str, good: str, risk: Risk = Risk()) -> list[dict]:
-    """Per stratum and rule the lowest grid value from which a text may be rejected.
+    odds = F.log(F.lit(rate)) - F.log1p(F.lit(-rate))
+    none = n * F.log1p(F.lit(-rate))
+    start = F.struct(
+        none.alias("log_p"), F.exp(none).alias("total"), F.when(F.exp(none) <= error, 0).otherwise(-1).cast("long").alias("k")
+    )
+
+    def step(s: Column, j: Column) -> Column:
+        log_p = s.log_p + F.log((n - j + 1) / j) + odds
+        total = s.total + F.exp(log_p)
+        return F.struct(log_p.alias("log_p"), total.alias("total"), F.when(total <= error, j).otherwise(s.k).alias("k"))
+
+    counts = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.ceil(n * rate)).cast("long"))
+    return F.when(n > 0, F.aggregate(counts, start, step, lambda s: s.k)).otherwise(F.lit(-1).cast("long"))
+
+
+def cutoffs(holdout: DataFrame, stratum: str, good: str, risk: Risk = Risk()) -> DataFrame:
+    """(stratum, n_good, allowed, cutoff): per stratum the lowest level from which a text is rejected.
 
     ``holdout`` holds measured and labelled rows; only those whose label is 1 and that pass the
-    base rules bear on false rejection. Spark counts them by stratum, rule and grid value, over
-    all rows; what reaches the driver is at most ``grid + 1`` numbers per stratum and rule. Without enough good texts
-    to prove anything a rule has no cutoff (null) and rejects nothing.
+    base rules bear on false rejection, all of them. They are counted by stratum and level, at
+    most ``grid + 1`` rows a stratum; only the number of strata reaches the driver. Without enough
+    good texts to prove anything a stratum has no cutoff (null) and rejects nothing.
     """
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(r).alias("rule"), rule_bin(r, risk.grid).alias("bin")) for r in RULES])
-    )
-    counted = (
+    counted = stored(
         holdout.where((F.col(good) == 1) & ~base_failed())
-        .select(F.col(stratum).alias("stratum"), stacked.alias("s"))
-        .groupBy("stratum", "s.rule", "s.bin")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
-    table: dict[tuple, dict[int, int]] = {}
-    for row in counted:
-        table.setdefault((row.stratum, row.rule), {})[row.bin] = row.n
-    tests = max(1, len(table))
-    found = []
-    for (name, rule), bins in sorted(table.items(), key=str):
-        n = sum(bins.values())
-        allowed = most_rejected(n, risk.rate / len(RULES), risk.error / tests)
-        cut, rejected = None, 0
-        for value in range(risk.grid, 0, -1):
-            rejected += bins.get(value, 0)
-            if rejected > allowed:
-                break
-            cut = value
-        found.append({"stratum": name, "rule": rule, "n_good": n, "allowed": allowed, "cutoff": cut})
-    return found
-
-
-def rejected_by(rows: list[dict], stratum: str, grid: int) -> Column:
-    """True where a rule's share reaches the cutoff of the text's stratum."""
-    out = F.lit(False)
-    for row in rows:
-        if row["cutoff"] is not None:
-            same = F.col(stratum).eqNullSafe(F.lit(row["stratum"]))
-            out = out | (same & (rule_bin(row["rule"], grid) >= row["cutoff"]))
-    return out
-
-
-def judged_measures(
-    measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", stratum_col: str = "lang",
-    label_col: str = "quality",
-) -> tuple[DataFrame, list[dict]]:
-    """Measured rows with ``base_failed`` and ``kept``, and the cutoffs behind it.
-
-    Only numbers are joined with the labels, never texts.
-    """
-    good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
-        F.max(label_col).alias("_good")
+        .groupBy(F.col(stratum).alias("stratum"), level(risk.grid).alias("level")).agg(F.count("*").alias("n")),
+        "levels",
     )
-    holdout = measured.withColumn("_stratum", F.col(stratum_col)).join(good, measured[id_col] == good._id)
-    rows = cutoffs(holdout, "_stratum", "_good", risk)
-    out = measured.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected_by(rows, stratum_col, risk.grid)), rows
+    strata = counted.groupBy("stratum").agg(F.sum("n").alias("n_good"))
+    error = F.lit(risk.error / max(1, strata.count()))
+    # rows a level rejects: those at it or above; a level passes if it and all milder ones do
+    above = F.expr("sum(n) over (partition by stratum order by level desc)")
+    named = strata.withColumn("allowed", most_rejected(F.col("n_good"), risk.rate, error)).withColumnRenamed("stratum", "_s")
+    tested = counted.where("level > 0").withColumn("rejected", above).join(named, F.expr("stratum <=> _s"), "right")
+    # the strictest level is one above the mildest level seen that rejects too many
+    failing = F.coalesce(F.max(F.when(F.col("rejected") > F.col("allowed"), F.col("level"))), F.lit(0))
+    found = tested.groupBy(F.col("_s").alias("stratum"), "n_good", "allowed").agg((failing + 1).alias("cutoff"))
+    proven = (F.col("allowed") >= 0) & (F.col("cutoff") <= risk.grid)
+    return stored(found.withColumn("cutoff", F.when(proven, F.col("cutoff"))), "cutoffs")
+
+
+def judged_measures(measured: DataFrame, cuts: DataFrame, risk: Risk = Risk(), stratum_col: str = "lang") -> DataFrame:
+    """Measured rows with ``base_failed`` and ``kept``; ``cuts`` has one row a stratum."""
+    limit = cuts.where("cutoff is not null").select(F.col("stratum").alias("_s"), F.col("cutoff").alias("_cutoff"))
+    rows = measured.withColumn("base_failed", base_failed()).withColumn("_level", level(risk.grid))
+    met = rows.join(limit, rows[stratum_col].eqNullSafe(limit["_s"]), "left")
+    passed = F.col("_cutoff").isNull() | (F.col("_level") < F.col("_cutoff"))
+    return met.withColumn("kept", ~F.col("base_failed") & passed).drop("_s", "_cutoff", "_level")
+
+
+def labelled_good(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(_id, _good): one row per labelled document, good if any of its labels is 1."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    return known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
 
 
 def judged(
@@ -201,7 +183,9 @@ def judged(
     new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks",
            "base_failed", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c in new and c not in (id_col, text_col, stratum_col)])
-    numbers = measures(docs.select(id_col, text_col, stratum_col), text_col).drop(text_col)
-    _, rows = judged_measures(numbers, labels, risk, id_col, stratum_col, label_col)
-    out = measures(docs, text_col).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected_by(rows, stratum_col, risk.grid))
+    # only texts that may be labelled are measured for the cutoffs
+    good = labelled_good(labels, id_col, label_col)
+    asked = within(docs.select(id_col, text_col, stratum_col), id_col, good, "_id")
+    numbers = measures(asked, text_col).drop(text_col).withColumn("_stratum", F.col(stratum_col))
+    cuts = cutoffs(numbers.join(good, numbers[id_col] == good["_id"]), "_stratum", "_good", risk)
+    return judged_measures(measures(docs, text_col), cuts, risk, stratum_col)

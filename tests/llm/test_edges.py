@@ -327,15 +327,22 @@ def test_training_order_edges(spark, tmp_path):
 
 # --- 10
 
-def test_binomial_limit_is_exact():
+def _most_rejected(spark, n, rate, error):
+    from pyspark.sql import functions as F
+
+    trials = spark.createDataFrame([(n,)], "n long")
+    return trials.select(risk_rules.most_rejected(F.col("n"), rate, F.lit(error)).alias("k")).first().k
+
+
+def test_binomial_limit_is_exact(spark):
     for n, rate, error in ((500, 0.01, 0.01), (2000, 0.002, 0.0025), (40, 0.01, 0.05), (1, 0.5, 0.6)):
-        k = risk_rules.most_rejected(n, rate, error)
+        k = _most_rejected(spark, n, rate, error)
 
         def tail(k):
             return sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1))
 
         assert (k == -1 or tail(k) <= error) and tail(k + 1) > error
-    assert risk_rules.most_rejected(0, 0.01, 0.05) == -1
+    assert _most_rejected(spark, 0, 0.01, 0.05) == -1
 
 
 def test_rules_edges(spark):
@@ -355,3 +362,33 @@ def test_cutoffs_reject_junk_and_keep_the_promise(spark):
     out = risk_rules.judged(docs, marks, risk_rules.Risk(rate=0.05)).select("doc_id", "kept").collect()
     assert all(not r.kept for r in out if r.doc_id >= 5000)
     assert sum(not r.kept for r in out if r.doc_id < 5000) <= 0.05 * 1500
+
+
+def test_one_path_finds_cutoffs_on_given_labels(spark):
+    import duckdb
+    from innsight.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = {r[0]: r[6:] for r in con.execute(queries.SQL["op10_quality_rules"]).fetchall()}
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.op10_quality_rules(spark, folder).collect()}
+    assert got == want
+    assert sum(not failed and not kept for failed, kept in got.values()) > 100
+
+
+def test_levels_and_cutoffs_equal_a_plain_count(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "en" if i % 3 else None, i * 7919 % 61, 1) for i in range(3000)] + [(9000 + i, "xx", 0, 1) for i in range(20)]
+    held = spark.createDataFrame(rows, "doc_id long, lang string, n_marks long, good int").select(
+        "*", F.lit(100).cast("long").alias("n_words"), F.lit(200).cast("long").alias("word_chars"), F.lit(1).cast("long").alias("n_lines"),
+        *[F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_repeat_words", "n_dup_lines", "n_capitals")],
+    )
+    found = {r.stratum: r for r in risk_rules.cutoffs(held, "lang", "good", risk_rules.Risk(rate=0.02)).collect()}
+    assert set(found) == {"en", None, "xx"} and (found["xx"].allowed, found["xx"].cutoff) == (-1, None)
+    for name in ("en", None):
+        levels = [marks * 10000 // (200 * 50) for _, lang, marks, _ in rows if lang == name]
+        best = next(c for c in range(1, 101) if sum(x >= c for x in levels) <= found[name].allowed)
+        assert (found[name].n_good, found[name].cutoff) == (len(levels), best) and found[name].allowed > 0
