@@ -26,8 +26,8 @@ from innsight.llm.work import slices
 
 _MARKED = re.compile("▁*[^▁]+|▁+")
 _UNIGRAM, _BPE = 1, 2
-#: Known words by the characters they hold, and known pairs of neighbours: together under 100 MB a worker.
-_CHARACTERS, _PAIRS = 1_500_000, 200_000
+#: Known words by the characters they hold, and known pairs of neighbours: together under 200 MB a worker.
+_CHARACTERS, _PAIRS = 4_000_000, 400_000
 
 
 def default_model() -> str:
@@ -71,6 +71,8 @@ class Pieces:
             elif p.type == 2:
                 self.out[i] = " ⁇ ".encode()
         self.names = [p.piece for p in model.pieces]
+        #: pieces of a BPE model that merging gives for their own text; no others can occur
+        self.reached = {p: i for p, i in self.ids.items() if self.bpe and self.merged(p) == [p]}
         self.stable: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.characters = 0
@@ -89,22 +91,54 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _beside(self, left: int | None, right: int) -> bool:
-        """Whether two pieces stay as they are when merged together; without ``left``, whether one does."""
-        key = right if left is None else (left + 1) * len(self.names) + right
-        known = self.stable.get(key)
-        if known is None:
+    def _beside(self, before: str, left: int | None, right: int) -> bool:
+        """Whether piece ``right`` stays next to ``before``, whose id is ``left`` (none if it is no piece)."""
+        known = self.merged(before + self.names[right]) == [before, self.names[right]]
+        if left is not None:
             if len(self.stable) > _PAIRS:
                 self.stable.clear()
-            pair = [self.names[i] for i in (left, right) if i is not None]
-            known = self.stable[key] = self.merged("".join(pair)) == pair
+            self.stable[left * len(self.names) + right] = known
         return known
 
-    def _follows(self, before: str, left: int | None, right: int) -> bool:
-        """Whether piece ``right`` stays next to ``before``, whose id is ``left`` (none if it is no piece)."""
-        if left is not None or not before:
-            return self._beside(left, right)
-        return self.merged(before + self.names[right]) == [before, self.names[right]]
+    def _extend_merges(self, word: str, starts: list[int], lasts: list[int | None]) -> None:
+        """States of a BPE model from the depth reached to the word's end."""
+        reached, stable, endings, size = self.reached, self.stable, self.endings, len(self.names)
+        for end in range(len(starts), len(word) + 1):
+            start, found, last = end - 1, end - 1, None
+            while start >= 0:  # as long as some piece ends like this
+                piece = word[start:end]
+                i = reached.get(piece)
+                if i is not None:
+                    left = lasts[start]
+                    known = not start or (None if left is None else stable.get(left * size + i))
+                    if known is None:
+                        known = self._beside(word[starts[start] : start], left, i)
+                    if known:
+                        found, last = start, i
+                        break
+                elif start < end - 1 and piece not in endings:
+                    break
+                start -= 1
+            starts.append(found)
+            lasts.append(self.ids.get(word[found:end]) if last is None else last)
+
+    def _extend_sums(self, word: str, starts: list[int], totals: list[float]) -> None:
+        """States of a unigram model from the depth reached to the word's end."""
+        for end in range(len(starts), len(word) + 1):
+            best_start, best, start = end - 1, None, end - 1
+            while start >= 0:  # as long as some piece ends like this
+                piece = word[start:end]
+                score = self.scores.get(piece)
+                if score is None:
+                    if start == end - 1:
+                        score = self.unknown_score
+                    elif piece not in self.endings:
+                        break
+                if score is not None and (best is None or totals[start] + score >= best):
+                    best, best_start = totals[start] + score, start  # ties: the longer last piece
+                start -= 1
+            starts.append(best_start)
+            totals.append(best or 0.0)
 
     def _ids(self, piece: str) -> bytes:
         found = self.ids.get(piece)
@@ -114,42 +148,18 @@ class Pieces:
 
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word; ``words`` are distinct and sorted."""
-        # states by depth: where the last piece starts, and the score of the best way here
+        # states by depth: where the last piece starts, and its id or the score of the best way here
         starts: list[int] = [0]
-        totals: list[float] = [0.0]
-        lasts: list[int | None] = [None]
+        states: list = [None if self.bpe else 0.0]
+        extend = self._extend_merges if self.bpe else self._extend_sums
         known: dict[str, bytes] = {}
         out, previous = [], ""
         for word in words:
             depth, most = 0, min(len(previous), len(word))
             while depth < most and previous[depth] == word[depth]:
                 depth += 1
-            del starts[depth + 1 :], totals[depth + 1 :], lasts[depth + 1 :]
-            for end in range(depth + 1, len(word) + 1):
-                best_start, best, start = end - 1, None, end - 1
-                while start >= 0:  # as long as some piece ends like this
-                    piece = word[start:end]
-                    score = self.scores.get(piece)
-                    if score is None:
-                        if piece not in self.endings and start < end - 1:
-                            break
-                        if start == end - 1:
-                            score = self.unknown_score
-                    if self.bpe:
-                        i = self.ids.get(piece)
-                        if (
-                            i is not None
-                            and self._beside(None, i)
-                            and (not start or self._follows(word[starts[start] : start], lasts[start], i))
-                        ):
-                            best_start = start
-                            break
-                    elif score is not None and (best is None or totals[start] + score >= best):
-                        best, best_start = totals[start] + score, start  # ties: the longer last piece
-                    start -= 1
-                starts.append(best_start)
-                totals.append(best or 0.0)
-                lasts.append(self.ids.get(word[best_start:end]))
+            del starts[depth + 1 :], states[depth + 1 :]
+            extend(word, starts, states)
             parts, end = [], len(word)
             while end:
                 piece = word[starts[end] : end]
