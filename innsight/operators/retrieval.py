@@ -172,12 +172,27 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
 
 
+def _maybe_asked(pieces: DataFrame, asked: DataFrame, bits: int = 1 << 20) -> DataFrame:
+    """Pieces that may be among the asked ones; a join on the piece has to follow.
+
+    The asked pieces set bits of a table of ``bits`` bits, however many they are, so its broadcast
+    is bounded; all others are dropped within their task, before any shuffle.
+    """
+    place = F.pmod(F.xxhash64("namespace", "gram"), F.lit(bits))
+    table = asked.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits")
+    )
+    met = pieces.withColumn("_p", place).join(F.broadcast(table), F.shiftright("_p", 6) == F.col("_word"))
+    return met.filter("shiftright(_bits, cast(_p % 64 as int)) & 1L = 1").drop("_p", "_word", "_bits")
+
+
 def lookup_hotels(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """The document of each requested hotel by id, else the first whose title contains its name.
 
     ``requests`` holds ``hotel_id`` and ``hotel_name``; every row comes back once. Names the id
     did not answer are joined with titles on the rarest of their three-letter pieces (shorter
-    names on themselves) and then compared in full, so any number of them can be asked for.
+    names on themselves) and then compared in full, so any number of them can be asked for;
+    pieces of titles that no name holds are dropped before they are shuffled.
     """
     docs = documents.filter(F.col("namespace").isin("booking_hotels", "airbnb_hotels"))
     wanted = requests.select("hotel_id", "hotel_name").distinct().withColumn(
@@ -196,10 +211,11 @@ def lookup_hotels(requests: DataFrame, documents: DataFrame) -> DataFrame:
     pieces = titles.select(
         "*", F.explode(F.concat(*[F.coalesce(_grams(F.col("lowered"), F.lit(n)), F.array()) for n in (1, 2, 3)])).alias("gram")
     )
+    asked = missing.select("*", F.explode(_grams(F.col("name"), F.least(F.lit(3), F.length("name")))).alias("gram"))
+    pieces = _maybe_asked(pieces, asked)
     frequent = pieces.groupBy("namespace", "gram").agg(F.count("*").alias("n"))
     rarest = (
-        missing.select("*", F.explode(_grams(F.col("name"), F.least(F.lit(3), F.length("name")))).alias("gram"))
-        .join(frequent, ["namespace", "gram"], "left")
+        asked.join(frequent, ["namespace", "gram"], "left")
         .groupBy("hotel_id", "namespace", "name")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
         .filter("least.n > 0")

@@ -88,3 +88,11 @@ def test_any_number_of_names_can_be_looked_up(spark):
     assert len(got) == 1205
     assert all(r.found_hotel_id == "BKG_" + r.hotel_id[5:].zfill(5) for r in got if r.hotel_id[4] == "x")
     assert all(r.found_hotel_id is None for r in got if r.hotel_id[4] != "x")
+
+
+def test_pieces_nobody_asks_for_go_before_the_shuffle(spark):
+    pieces = spark.createDataFrame([("n", f"p{i}", i) for i in range(5000)], "namespace string, gram string, id long")
+    asked = spark.createDataFrame([("n", f"p{i}") for i in range(0, 5000, 100)] + [("m", "p1"), ("n", "p0")], "namespace string, gram string")
+    kept = {r.id for r in rt._maybe_asked(pieces, asked).collect()}
+    assert set(range(0, 5000, 100)) <= kept and len(kept) < 60
+    assert rt._maybe_asked(pieces, asked.limit(0)).count() == 0
