@@ -33,41 +33,71 @@ def word_counts(texts: DataFrame, text_col: str = "sentence_text", min_count: in
     ).where(F.col("n") >= min_count)
 
 
+def _coded_pairs(texts: DataFrame, known: DataFrame, text_col: str, window: int) -> DataFrame:
+    """``(a, b, n)``: how often two numbered words stand within ``window`` words, each pair one way.
+
+    Words meet their numbers one by one and come back to their text, so that what is counted and
+    shuffled are pairs of numbers, of words that are known.
+    """
+    split = stored(texts.select(words_of(F.col(text_col)).alias("words")), "words")
+    # numbered before they are cut up; read from files, a row gets the same number again
+    places = split.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode("words").alias("pos", "word"))
+    coded = places.join(known, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("words"))
+
+    def later(x: Column, i: Column) -> Column:
+        near = F.filter(F.slice("words", i + 2, window), lambda y: (y["pos"] - x["pos"] <= window) & (y["id"] != x["id"]))
+        return F.transform(near, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+
+    return coded.select(F.inline(F.flatten(F.transform("words", later)))).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def pair_counts(
     texts: DataFrame, vocabulary: DataFrame, text_col: str = "sentence_text", window: int = 5
 ) -> DataFrame:
     """``(word, context, n)``: how often two different words stand within ``window`` words, both ways.
 
-    Pairs are counted once per place and summed up within each task before they are shuffled.
+    ``of_word``, ``of_context`` and ``of_all`` are the sums of ``n`` over the pairs of either word and
+    over all pairs. Pairs are counted once per place and summed up within each task before they
+    are shuffled; they are counted once, however often the result is read.
     """
-    split = texts.select(words_of(F.col(text_col)).alias("words"))
-    pairs = F.flatten(
-        F.transform(
-            "words",
-            lambda w, i: F.transform(
-                F.slice("words", i + 2, window), lambda c: F.struct(F.least(w, c).alias("a"), F.greatest(w, c).alias("b"))
-            ),
+    known = stored(vocabulary.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+    counted = stored(_coded_pairs(texts, known, text_col, window), "pair-counts")
+    sides = F.array(F.struct(F.col("a").alias("id"), "n"), F.struct(F.col("b").alias("id"), "n"))
+    of = counted.select(F.inline(sides)).groupBy("id").agg(F.sum("n").alias("of"))
+    names = stored(known.join(of, "id"), "paired-words")
+    total = names.agg(F.sum("of")).first()[0] or 0  # one number
+
+    def side(key: str) -> DataFrame:
+        return names.select(F.col("id").alias(key), F.struct("word", "of").alias(f"{key}_word"))
+
+    named = counted.join(side("a"), "a").join(side("b"), "b")
+    both = F.array(*[
+        F.struct(
+            F.col(f"{x}_word.word").alias("word"), F.col(f"{y}_word.word").alias("context"), "n",
+            F.col(f"{x}_word.of").alias("of_word"), F.col(f"{y}_word.of").alias("of_context"),
         )
-    )
-    counted = split.select(F.inline(pairs)).where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    known = vocabulary.select("word")
-    counted = counted.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(
-        known.withColumnRenamed("word", "b"), "b", "left_semi"
-    )
-    both = F.array(
-        F.struct(F.col("a").alias("word"), F.col("b").alias("context")), F.struct(F.col("b").alias("word"), F.col("a").alias("context"))
-    )
-    return counted.select(F.explode(both).alias("p"), "n").select("p.word", "p.context", "n")
+        for x, y in ("ab", "ba")
+    ])
+    return named.select(F.inline(both)).withColumn("of_all", F.lit(total).cast("long"))
 
 
-def ppmi(pairs: DataFrame) -> DataFrame:
-    """``(word, context, n, ppmi)`` of the pairs that meet more often than chance has it."""
+def _with_sums(pairs: DataFrame) -> DataFrame:
+    """Pairs from elsewhere with the sums that ``pair_counts`` gives."""
     marginal = pairs.groupBy("word").agg(F.sum("n").alias("of"))
     total = pairs.agg(F.sum("n")).first()[0] or 0  # one number
     sized = pairs.join(marginal.withColumnRenamed("of", "of_word"), "word").join(
         marginal.select(F.col("word").alias("context"), F.col("of").alias("of_context")), "context"
     )
-    value = F.log(F.col("n").cast("double") * F.lit(float(total)) / (F.col("of_word").cast("double") * F.col("of_context")))
+    return sized.withColumn("of_all", F.lit(total))
+
+
+def ppmi(pairs: DataFrame) -> DataFrame:
+    """``(word, context, n, ppmi)`` of the pairs that meet more often than chance has it.
+
+    Sums that the pairs carry, as those of ``pair_counts`` do, are taken as they are.
+    """
+    sized = pairs if {"of_word", "of_context", "of_all"} <= set(pairs.columns) else _with_sums(pairs)
+    value = F.log(F.col("n").cast("double") * F.col("of_all").cast("double") / (F.col("of_word").cast("double") * F.col("of_context")))
     return sized.select("word", "context", "n", value.alias("ppmi")).where(F.col("ppmi") > 0)
 
 

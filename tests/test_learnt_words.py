@@ -44,6 +44,30 @@ def test_pairs_by_hand(spark):
         assert r["ppmi"] > 0
 
 
+def test_pairs_are_counted_once(spark):
+    """What is read again are stored pairs of known words, whose sums need no second count."""
+    texts = ["a x b y a", "b a", "b a", "x y z", None, "", "a " * 3 + "c b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "sentence_text string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "word string")
+    pairs = wv.pair_counts(rows, known, window=2)
+    want = Counter()
+    for words in ((t or "").split() for t in texts):
+        for i, w in enumerate(words):
+            for c in words[i + 1 : i + 3]:
+                if w != c and {w, c} <= set("abc"):
+                    want[(w, c)] += 1
+                    want[(c, w)] += 1
+    got = pairs.collect()
+    assert {(r["word"], r["context"]): r["n"] for r in got} == want and len(got) == len(want)
+    of = Counter()
+    for (w, _), n in want.items():
+        of[w] += n
+    assert all((r["of_word"], r["of_context"], r["of_all"]) == (of[r["word"]], of[r["context"]], sum(want.values())) for r in got)
+    stored = {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in wv.ppmi(pairs).inputFiles()}
+    assert stored == {"pair-counts", "paired-words"}
+    assert wv.pair_counts(rows, known.limit(0)).count() == 0
+
+
 def test_vectors_span_the_matrix(corpus):
     """With as many dimensions as words the products of vectors give the matrix's absolute value."""
     pairs = wv.ppmi(wv.pair_counts(corpus, wv.word_counts(corpus))).collect()
