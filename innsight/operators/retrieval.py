@@ -15,12 +15,15 @@ from innsight.functions import text as tx
 from innsight.functions import vectors
 from innsight.operators.metric_index import TIE_DIGITS, best_columns, unit_rows
 from innsight.operators.topics import flatten_vectors, mentions_keyword
+from innsight.sources.shared import stored
 
 # Up to so many queries travel to the executors with the function and the corpus stays where it
 # is; more are dealt in blocks that meet blocks of the corpus, with the same result.
 MAX_QUERIES = 10_000
 QUERY_CHUNK = 256
 BLOCK_ROWS = 4096
+#: How many times longer the next part of a city's list is, for names that need more of it.
+WIDER = 8
 
 
 def _best_of(queries: np.ndarray, corpus: np.ndarray, names: np.ndarray, k: int):
@@ -288,41 +291,54 @@ def split_by_topic(
 def city_competitors(requests: DataFrame, documents: DataFrame, k: int = 5, shortlist: int = 50) -> DataFrame:
     """The first ``k`` hotels of each request's city, booking first, without the hotel itself.
 
-    A request only needs the head of its city's list, so a short list per city is joined
-    instead of the city. A hotel whose name leaves too few of the short list in a longer
-    city is answered from the whole city; there are few of those.
+    An answer depends on the city and the name alone, so each name of a city is answered once.
+    It meets the head of its city's list; a name that leaves too few of that meets a head
+    ``WIDER`` times as long, and so on to the whole city, so what is tried grows with the place
+    of a name's last answer and not with the city.
     """
-    hotels = documents.filter(F.col("namespace").isin("booking_hotels", "airbnb_hotels")).select(
+    hotels = stored(documents.filter(F.col("namespace").isin("booking_hotels", "airbnb_hotels")).select(
         F.lower("city").alias("city_key"), F.col("hotel_id").alias("competitor_id"),
         F.col("title").alias("competitor"),
         F.when(F.col("namespace") == "booking_hotels", 0).otherwise(1).alias("place"),
-    )
-    window = Window.partitionBy("city_key").orderBy("place", "competitor_id")
-    head = hotels.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= shortlist).drop("_n")
-    sizes = hotels.groupBy("city_key").agg(F.count("*").alias("n_city"))
-    asked = requests.select("hotel_id", F.lower("hotel_name").alias("own_name"), F.lower("city").alias("city_key"))
-
-    def answer(asked: DataFrame, pool: DataFrame) -> DataFrame:
-        per_request = Window.partitionBy("hotel_id").orderBy("place", "competitor_id")
-        return (
-            asked.join(pool, "city_key")
+    ), "city-hotels")
+    asked = stored(requests.select("hotel_id", F.lower("hotel_name").alias("own_name"), F.lower("city").alias("city_key")), "city-requests")
+    order = ("place", "competitor_id", "competitor")
+    city = Window.partitionBy("city_key").orderBy(*order)
+    per_name = Window.partitionBy("city_key", "own_name").orderBy(*order)
+    sizes = stored(hotels.groupBy("city_key").agg(F.count("*").alias("n_city")), "city-sizes")
+
+    # a name that is null is contained in nothing and has no answer
+    names = asked.where("own_name is not null").select("city_key", "own_name").distinct().join(sizes, "city_key")
+    names = stored(names, "city-names")
+    answers: list[DataFrame] = []
+    length = shortlist
+    while True:
+        head = hotels.withColumn("_n", F.row_number().over(city)).filter(F.col("_n") <= length).drop("_n")
+        answer = (
+            names.join(head, "city_key")
             .filter(~F.contains(F.lower("competitor"), F.col("own_name")))
-            .withColumn("position", F.row_number().over(per_request))
-            .filter(F.col("position") <= k)
+            .withColumn("_found", F.row_number().over(per_name))
+            .filter(F.col("_found") <= k)
         )
-
-    quick = answer(asked, head)
-    reached = quick.groupBy("hotel_id").agg(F.count("*").alias("n_found"))
-    short = (
-        asked.join(sizes, "city_key").join(reached, "hotel_id", "left")
-        .filter((F.coalesce("n_found", F.lit(0)) < k) & (F.col("n_city") > shortlist))
-        .select("hotel_id", "own_name", "city_key")
-    )
-    full = answer(short, hotels)
-    kept = quick.join(short, "hotel_id", "left_anti")
+        answer = stored(answer.select("city_key", "own_name", *order), "city-answers")
+        reached = answer.groupBy("city_key", "own_name").agg(F.count("*").alias("n_found"))
+        short = names.filter(F.col("n_city") > length).join(reached, ["city_key", "own_name"], "left")
+        short = stored(short.filter(F.coalesce("n_found", F.lit(0)) < k).select("city_key", "own_name", "n_city"), "city-names")
+        answers.append(answer.join(short, ["city_key", "own_name"], "left_anti"))
+        if not short.limit(1).count():
+            break
+        names, length = short, length * WIDER
+    found = answers[0]
+    for answer in answers[1:]:
+        found = found.unionByName(answer)
+
+    per_request = Window.partitionBy("hotel_id").orderBy(*order)
     source = F.when(F.col("place") == 0, "Booking.com").otherwise("Airbnb")
-    return kept.unionByName(full).select(
-        "hotel_id", "position", "competitor_id", "competitor", source.alias("source")
+    return (
+        asked.join(found, ["city_key", "own_name"])
+        .withColumn("position", F.row_number().over(per_request))
+        .filter(F.col("position") <= k)
+        .select("hotel_id", "position", "competitor_id", "competitor", source.alias("source"))
     )
 
 

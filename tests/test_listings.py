@@ -10,7 +10,7 @@ from innsight.operators import features as ft
 from innsight.operators import retrieval as rt
 from innsight.plans import ingestion, rating_insights as ri
 from innsight.sources import tables
-from innsight.sources.shared import shared_folder
+from innsight.sources.shared import shared_folder, stored
 
 AMENITIES = '[{"group_name":"Bath","items":[{"name":"Hair dryer, wall","value":"x"},{"name":null}]},{"group_name":"None","items":null},{"items":[{"name":"HDTV"},{"name":"Wide TV"},{"name":"Wi-Fi 5.0"}]}]'
 LISTING = (
@@ -196,6 +196,40 @@ def test_competitors_use_the_whole_city_when_the_short_list_is_too_short(spark):
     assert got == {"me": ["BKG_99"], "you": ["BKG_00", "BKG_01"]}
 
 
+def test_a_name_of_a_city_is_answered_once(spark, monkeypatch):
+    """Requests of one name share an answer, found in heads of the city that grow; brute force agrees."""
+    def title(i):
+        return "Unknown Hotel" if i < 60 or i % 4 == 0 else f"Hotel {i % 50}"
+
+    hotels = [(f"BKG_{i:04d}", title(i), "Rome", "booking_hotels") for i in range(400)]
+    hotels += [("ABB_1", "Flat", "Rome", "airbnb_hotels"), ("ABB_2", None, "Rome", "airbnb_hotels"), ("ABB_3", "Flat", None, "airbnb_hotels")]
+    docs = spark.createDataFrame(hotels, "hotel_id string, title string, city string, namespace string")
+    asked = docs.select("hotel_id", F.col("title").alias("hotel_name"), "city").unionByName(
+        spark.createDataFrame([("x", "o", "ROME"), ("y", "none", "Paris"), ("z", None, "Rome"), ("w", "l", "rome")], "hotel_id string, hotel_name string, city string")
+    )
+    tried = []
+
+    def counted(df, name):
+        kept = stored(df, name)
+        if name == "city-names":
+            tried.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(rt, "stored", counted)
+    got = {}
+    for r in rt.city_competitors(asked, docs, k=3, shortlist=4).collect():
+        got.setdefault(r["hotel_id"], {})[r["position"]] = r["competitor_id"]
+    want = {}
+    ranked = sorted((h for h in hotels if h[1] and h[2]), key=lambda h: (h[3] != "booking_hotels", h[0]))
+    for r in asked.collect():
+        if r["hotel_name"] is not None and (r["city"] or "").lower() == "rome":
+            left = [h[0] for h in ranked if r["hotel_name"].lower() not in h[1].lower()][:3]
+            want[r["hotel_id"]] = dict(enumerate(left, 1))
+    assert got == {h: found for h, found in want.items() if found}
+    assert got["BKG_0000"][1] == "BKG_0061" and "w" in want and "w" not in got
+    assert tried[0] == 54 and all(later <= 8 for later in tried[1:])  # names, not requests
+
+
 def test_metrics(spark):
     rows = [(4.5, "Rating: 3"), (0.0, "score  3.5"), (None, "none")]
     df = spark.createDataFrame(rows, "r double, t string")
