@@ -105,12 +105,13 @@ def plan(histogram: np.ndarray, depth: int = 3) -> list[Combination]:
 
 
 def cut_documents(
-    docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    ids: bool = True,
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, ids) per piece; row-local.
 
     A null text counts as empty: its only id is ``end_id``. ``ids`` holds little-endian
-    unsigned 32-bit ids.
+    unsigned 32-bit ids; left out, they never leave the task's Python.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -118,24 +119,21 @@ def cut_documents(
         encode = tokenizer(vocabulary).encode_column
         last = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
-            columns: tuple[list, ...] = ([], [], [], [], [], [])
+            columns: tuple[list, ...] = tuple([] for _ in names)
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
-                ids = found.astype("<u4").tobytes() + last
-                total = len(ids) // 4
+                whole = found.astype("<u4").tobytes() + last
+                total = len(whole) // 4
                 for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
+                    piece = whole[4 * start : 4 * (start + window)]
                     row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), total, piece)
-                    for column, value in zip(columns, row, strict=True):
+                    for column, value in zip(columns, row):  # without ids the piece itself is dropped
                         column.append(value)
             kinds = (*(pa.int64(),) * 5, pa.binary())
-            yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
-            )
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return base.mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    )
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else [])]
+    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    return base.mapInArrow(run, kinds + (", ids binary" if ids else ""))
 
 
 def pack(pieces: DataFrame, window: int = 2048, grain: int = 16, depth: int = 3, buckets: int = 64) -> DataFrame:
@@ -199,5 +197,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, grain:
 
     Columns other than ``doc_id`` and ``text`` are not read.
     """
-    cut = cut_documents(docs, vocabulary, window)
-    return pack(stored(cut if ids else cut.drop("ids"), "pieces"), window, grain)
+    return pack(stored(cut_documents(docs, vocabulary, window, ids=ids), "pieces"), window, grain)

@@ -309,6 +309,14 @@ def test_least_squares_is_not_negative_and_fits():
     assert (x >= 0).all() and np.allclose(matrix @ x, [10, 3], atol=1e-3)
 
 
+def test_pieces_without_ids_never_carry_them(spark):
+    vocabulary = tokens.default_vocabulary()
+    whole = packing.cut_documents(awkward(spark), vocabulary)
+    lean = packing.cut_documents(awkward(spark), vocabulary, ids=False)
+    assert lean.columns == [c for c in whole.columns if c != "ids"]
+    assert sorted(lean.collect(), key=str) == sorted(whole.drop("ids").collect(), key=str)
+
+
 # --- 9
 
 @pytest.mark.parametrize("size", [1, 2, 5, 64, 1000])
