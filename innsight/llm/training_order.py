@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +51,14 @@ def sequences(
 ) -> DataFrame:
     """(doc_id, start, length, ids): whole texts in windows of ``stride`` ids, the last one padded.
 
-    ``ids`` are little-endian 16-bit numbers, ``2 * stride`` bytes, compressed (zstd) for the
-    way to their shard. Null and empty texts have no sequence.
+    ``ids`` are little-endian 16-bit numbers, ``2 * stride`` bytes. Null and empty texts have no
+    sequence.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode_column
         pad = np.array([pad_id], "<u2").tobytes() * stride
-        packed = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, "text"):
             ids, starts, lengths, records = [], [], [], []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
@@ -70,7 +68,7 @@ def sequences(
                     ids.append(doc_id)
                     starts.append(at // 2)
                     lengths.append(len(piece) // 2)
-                    records.append(packed(piece + pad[len(piece) :]))
+                    records.append(piece + pad[len(piece) :])
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()),
                  pa.array(records, pa.binary())],
@@ -127,7 +125,6 @@ def write_shards(rows: DataFrame, path: str) -> DataFrame:
         store, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
         store.create_dir(base, recursive=True)
         attempt, current, out = uuid.uuid4().hex, None, None
-        unpacked = zstandard.ZstdDecompressor().decompress
 
         def finish() -> None:
             if out is not None:
@@ -136,7 +133,7 @@ def write_shards(rows: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             shards = batch.column("shard").to_numpy()
-            records = [unpacked(r) for r in batch.column("ids").to_pylist()]
+            records = batch.column("ids").to_pylist()
             for shard, record in zip(shards.tolist(), records, strict=True):
                 if shard != current:
                     finish()
@@ -182,5 +179,6 @@ def materialise(
     their own. An empty table writes nothing and gives an empty index. Columns other than
     ``doc_id`` and ``text`` are not read.
     """
-    table = stored(sequences(docs, vocabulary, stride, pad_id), "sequences")
+    # pages of many sequences compress further than each of them alone
+    table = stored(sequences(docs, vocabulary, stride, pad_id), "sequences", "zstd")
     return write_shards(with_slots(table, key, shard_rows), folder)

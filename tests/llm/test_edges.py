@@ -333,6 +333,11 @@ def test_training_order_edges(spark, tmp_path):
     assert training_order.materialise(empty(spark), str(tmp_path / "b"), tokens.default_vocabulary()).count() == 0
 
 
+def test_records_are_left_to_the_files_to_compress(spark):
+    rows = training_order.sequences(awkward(spark), tokens.default_vocabulary(), 64, 7).collect()
+    assert {len(r.ids) for r in rows} == {128} and all(r.ids[2 * r.length :] == b"\x07\x00" * (64 - r.length) for r in rows)
+
+
 # --- 10
 
 def _most_rejected(spark, n, rate, error):
