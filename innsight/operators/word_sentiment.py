@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.sources.shared import collect_small
+from innsight.sources.shared import collect_small, stored
 
 CLAUSE = r"[.,;:!?\n]+"
 WORD = r"[\p{L}\p{N}_']+"
@@ -41,18 +41,24 @@ def features(text: Column) -> Column:
     return F.flatten(F.transform(F.split(F.lower(text), CLAUSE), clause))
 
 
-def feature_counts(labelled: DataFrame, text_col: str = "sentence_text", label_col: str = "sentiment_label") -> DataFrame:
-    """``(feature, label, n, texts)``: occurrences and texts of every feature under every label."""
+def _counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """``(feature, label, n, texts)``; the null feature counts each label's texts."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).alias("label"), features(F.col(text_col)).alias("features")
     )
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("n"), F.lit(1).alias("texts")))
     once = F.transform(F.array_distinct("features"), lambda f: F.struct(f.alias("feature"), F.lit(0).alias("n"), F.lit(1).alias("texts")))
     every = F.transform("features", lambda f: F.struct(f.alias("feature"), F.lit(1).alias("n"), F.lit(0).alias("texts")))
-    return rows.select("label", F.inline(F.concat(once, every))).groupBy("feature", "label").agg(
+    return rows.select("label", F.inline(F.concat(whole, once, every))).groupBy("feature", "label").agg(
         F.sum("n").alias("n"), F.sum("texts").alias("texts")
     )
 
 
+def feature_counts(labelled: DataFrame, text_col: str = "sentence_text", label_col: str = "sentiment_label") -> DataFrame:
+    """``(feature, label, n, texts)``: occurrences and texts of every feature under every label."""
+    return _counts(labelled, text_col, label_col).where("feature is not null")
+
+
 def label_counts(labelled: DataFrame, text_col: str = "sentence_text", label_col: str = "sentiment_label") -> dict[str, int]:
     """Labelled texts per label; labels are a handful, and more than a thousand are refused."""
     counted = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(label_col).alias("label")).agg(
@@ -86,9 +92,15 @@ def chosen_features(counts: DataFrame, labels: dict[str, int], least: float = LE
 def fit(
     labelled: DataFrame, text_col: str = "sentence_text", label_col: str = "sentiment_label", least: float = LEAST_RATIO
 ) -> tuple[DataFrame, dict[str, float]]:
-    """``(feature, label, weight)`` and the labels' priors: logarithms, counts smoothed by one."""
-    counts = feature_counts(labelled, text_col, label_col)
-    labels = label_counts(labelled, text_col, label_col)
+    """``(feature, label, weight)`` and the labels' priors: logarithms, counts smoothed by one.
+
+    The texts are read once; features are chosen and weighed from their stored counts, and the
+    weights are a stored table as well.
+    """
+    every = stored(_counts(labelled, text_col, label_col), "feature-counts")
+    counts = every.where("feature is not null")
+    sizes = collect_small(every.where("feature is null").select("label", "texts"), 1000, "labels")
+    labels = {r["label"]: r["texts"] for r in sorted(sizes)}
     if not labels:
         raise ValueError("no labelled text to learn from")
     grid = _by_label(counts, chosen_features(counts, labels, least).select("feature"), labels)
@@ -97,7 +109,7 @@ def fit(
         "feature", "label", F.log((F.col("n") + 1).cast("double") / F.col("of_words")).alias("weight")
     )
     whole = sum(labels.values())
-    return weights, {name: math.log(n / whole) for name, n in labels.items()}
+    return stored(weights, "word-weights"), {name: math.log(n / whole) for name, n in labels.items()}
 
 
 def apply(

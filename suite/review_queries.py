@@ -304,7 +304,8 @@ def sentiment_features(spark, sf_dir):
     """The words that tell labels apart, negated ones on their own, with their weights."""
     rows = d.source_sentences(spark, sf_dir).filter(F.col("sentiment_label") != "na")
     weights, _ = ws.fit(rows)
-    chosen = ws.chosen_features(ws.feature_counts(rows), ws.label_counts(rows))
+    counts = d.stored(ws.feature_counts(rows), "feature-counts")
+    chosen = ws.chosen_features(counts, ws.label_counts(rows))
     return weights.join(chosen, "feature").select("feature", "label", *_six("weight"), F.round("ratio", 4).alias("ratio"))
 
 

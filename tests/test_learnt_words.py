@@ -174,3 +174,22 @@ def test_held_out_sentiment_with_negation(spark):
     assert [r["sentiment_label"] for r in ws.apply(odd, model, ("id",)).collect()] == ["positive"] * 4
     with pytest.raises(ValueError, match="no labelled"):
         ws.fit(labelled(spark).where("id < 0 and sentence_text is null"))
+
+
+def test_texts_are_read_once_to_learn(spark):
+    """A model and the counts behind it are stored tables; texts without words count for their label."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = [("good room", "p")] * 30 + [("bad room", "n")] * 20 + [("...", "n"), (None, "p"), ("good", None)]
+    texts = spark.createDataFrame(rows, "sentence_text string, sentiment_label string")
+    weights, priors = ws.fit(texts.mapInArrow(seen, texts.schema))
+    assert reads.value == len(rows)
+    assert ws.label_counts(texts) == {"n": 21, "p": 30} and priors == pytest.approx({"n": math.log(21 / 51), "p": math.log(30 / 51)})
+    chosen = ws.chosen_features(ws.feature_counts(texts), ws.label_counts(texts)).collect()
+    assert {r["feature"] for r in weights.collect()} == {r["feature"] for r in chosen} >= {"good", "bad"}
+    assert ws.feature_counts(texts).where("feature is null").count() == 0 and reads.value == len(rows)
