@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.operators.sentences import sentence_id
-from innsight.sources.shared import collect_small
+from innsight.sources.shared import collect_small, stored
 
 #: Published constants of the statistics: rate of a stop after an abbreviation, least score, least ratio.
 ABBREVIATION_RATE, LEAST_SCORE, LEAST_RATIO = 0.99, 0.3, 7.88
@@ -44,6 +44,18 @@ def _tokens(text: Column) -> Column:
     return F.filter(split, lambda t: t != "")
 
 
+def _word_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """``(type, with_stop, without_stop, after, n)`` of all words, from one pass over the texts."""
+    tokens = texts.select(_tokens(F.col(text_col)).alias("t"))
+    pairs = F.transform("t", lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("t", i - 1).rlike(_NUMBER), F.lit(False)).alias("after")))
+    word = tokens.select(F.inline(pairs)).where(F.col("t").rlike(_WORD))
+    stop = F.col("t").endswith(".")
+    return word.groupBy(F.regexp_replace("t", r"\.$", "").alias("type")).agg(
+        F.count_if(stop).alias("with_stop"), F.count_if(~stop).alias("without_stop"),
+        F.count_if("after").alias("after"), F.count("*").alias("n"),
+    )
+
+
 def type_counts(texts: DataFrame, text_col: str = "review_text") -> DataFrame:
     """``(type, with_stop, without_stop)`` of all words, lower-case, without marks around them."""
     token = texts.select(F.explode(_tokens(F.col(text_col))).alias("t")).where(F.col("t").rlike(_WORD))
@@ -73,10 +85,7 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 
 def after_number_counts(texts: DataFrame, text_col: str = "review_text") -> DataFrame:
     """``(type, after, n)``: how often a word follows a number with a full stop, and at all."""
-    tokens = texts.select(_tokens(F.col(text_col)).alias("t"))
-    pairs = F.transform("t", lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("t", i - 1).rlike(_NUMBER), F.lit(False)).alias("after")))
-    word = tokens.select(F.inline(pairs)).where(F.col("t").rlike(_WORD))
-    return word.groupBy(F.regexp_replace("t", r"\.$", "").alias("type")).agg(F.count_if("after").alias("after"), F.count("*").alias("n"))
+    return _word_counts(texts, text_col).select("type", "after", "n")
 
 
 def after_number_ratios(counts: DataFrame) -> DataFrame:
@@ -99,10 +108,12 @@ def after_number_ratios(counts: DataFrame) -> DataFrame:
 def learn(texts: DataFrame, text_col: str = "review_text") -> Boundaries:
     """The abbreviations and words after ordinals of a corpus. Null texts are none.
 
-    What comes to the driver are words of languages, not of rows: over a million are refused.
+    The texts are read once; both statistics and their sums come from the stored counts. What
+    comes to the driver are words of languages, not of rows: over a million are refused.
     """
-    scored = abbreviation_scores(type_counts(texts, text_col)).where(F.col("score") >= LEAST_SCORE).select("type")
-    after = after_number_ratios(after_number_counts(texts, text_col)).where(F.col("ratio") >= LEAST_RATIO).select("type")
+    counts = stored(_word_counts(texts, text_col), "word-counts")
+    scored = abbreviation_scores(counts.select("type", "with_stop", "without_stop")).where(F.col("score") >= LEAST_SCORE).select("type")
+    after = after_number_ratios(counts.select("type", "after", "n")).where(F.col("ratio") >= LEAST_RATIO).select("type")
     return Boundaries(
         frozenset(r["type"] for r in collect_small(scored, MAX_LEARNT, "abbreviations")),
         frozenset(r["type"] for r in collect_small(after, MAX_LEARNT, "words after ordinals")),

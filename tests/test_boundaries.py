@@ -83,3 +83,19 @@ def test_split_keeps_every_word(spark):
     got = bd.split_learnt(rows, known).orderBy("sent_idx").collect()
     assert [(r["review_idx"], r["sent_idx"], r["sentence_text"]) for r in got] == [(2, 0, "a bee.")] * 2 + [(2, 1, "c d")] * 2
     assert bd.learn(rows.limit(0)) == bd.Boundaries() and bd.learn(rows.where(F.col("review_text").isNull())) == bd.Boundaries()
+
+
+def test_texts_are_read_once_to_learn(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = [("at 5. may, approx. noon. Then more.",), (None,), ("",), ("on 6. may approx. there. x",)]
+    texts = spark.createDataFrame(rows, "review_text string")
+    counts = bd.after_number_counts(texts).collect()
+    assert {(r["type"], r["after"], r["n"]) for r in counts} >= {("may", 2, 2), ("approx", 0, 2), ("noon", 0, 1)}
+    bd.learn(texts.mapInArrow(seen, texts.schema))
+    assert reads.value == len(rows)
