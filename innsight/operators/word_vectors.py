@@ -2,24 +2,31 @@
 
 Words that occur near each other are counted, counts become positive pointwise mutual information
 (PPMI), and the symmetric PPMI matrix is factorised by randomised subspace iteration: each round
-is one join of word pairs with the vectors so far and one sum per word. Only the ``dims x dims``
+multiplies blocks of word pairs by the vectors that a block needs. Only the ``dims x dims``
 products of the vectors reach the driver. A sentence is the mean of its words, rare ones weighing
-more.
+more; sentences meet vectors in chunks, so that a word's vector travels once a chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from innsight.operators.topics import flatten_vectors
 from innsight.sources.shared import stored
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Pairs of a block on average, words whose vectors it holds, and bits of the number of texts in a chunk.
+BLOCK_PAIRS, BLOCK_WORDS, CHUNK_BITS = 3_000_000, 1 << 17, 17
+#: Numbers of vectors that are gathered at once.
+GATHERED = 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -101,10 +108,62 @@ def ppmi(pairs: DataFrame) -> DataFrame:
     return sized.select("word", "context", "n", value.alias("ppmi")).where(F.col("ppmi") > 0)
 
 
-def _product(pairs: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """The matrix of pairs times the words' vectors."""
-    joined = pairs.select("word", "context", "ppmi").join(vectors.withColumnRenamed("word", "context"), "context")
-    return joined.groupBy("word").agg(F.array(*[F.sum(F.col("ppmi") * F.get("vector", F.lit(j))) for j in range(dims)]).alias("vector"))
+def _summed(matrix: np.ndarray, place: np.ndarray, weight: np.ndarray | None, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the matrix' rows at ``place``, weighted, for each of the ascending numbers in ``row``."""
+    out = np.zeros((rows, matrix.shape[1]))
+    step = max(1, GATHERED // max(1, matrix.shape[1]))
+    for start in range(0, len(place), step):
+        part = slice(start, start + step)
+        gathered = matrix[place[part]]
+        if weight is not None:
+            gathered = gathered * weight[part, None]
+        first = np.flatnonzero(np.diff(row[part], prepend=-1))
+        out[row[part][first]] += np.add.reduceat(gathered, first, axis=0)
+    return out
+
+
+def _lists(matrix: np.ndarray, mask: np.ndarray | None = None) -> pa.ListArray:
+    """Rows of a matrix as lists; those under the mask are null."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()), mask=None if mask is None else pa.array(mask))
+
+
+def _places(words: pa.ChunkedArray | pa.Array, of: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word stands in ``of``, and whether it does."""
+    found = pc.index_in(words, value_set=of.combine_chunks())
+    known = pc.is_valid(found).to_numpy(zero_copy_only=False) if isinstance(found, pa.Array) else pc.is_valid(found).to_numpy()
+    return pc.fill_null(found, 0).to_numpy(), known
+
+
+def _multiply(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+    """Sums of one block: ``(id, vector)`` of the words of its rows."""
+    place, known = _places(pairs["b"], vectors["id"])
+    words, row = np.unique(pairs["a"].to_numpy()[known], return_inverse=True)
+    sums = np.zeros((0, 0))
+    if len(words):
+        order = np.argsort(row, kind="stable")
+        matrix = flatten_vectors(vectors["vector"].combine_chunks())
+        sums = _summed(matrix, place[known][order], pairs["ppmi"].to_numpy()[known][order], row[order], len(words))
+    return pa.table({"id": pa.array(words, pa.int64()), "vector": _lists(sums)})
+
+
+def _product(pairs: DataFrame, vectors: DataFrame, dims: int, grid: int) -> DataFrame:
+    """The matrix of pairs, cut into a square ``grid`` of blocks, times the words' vectors.
+
+    Vectors are copied to the blocks of their column, and a word's sums come from the blocks of its
+    row: both grow with the root of the number of blocks, whatever the number of tasks.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda row: row * grid + _part("id", grid))
+    copies = vectors.select(F.explode(blocks).alias("block"), "id", "vector")
+    both = pairs.groupBy("block").cogroup(copies.groupBy("block"))
+    parts = both.applyInArrow(_multiply, "id long, vector array<double>")
+    if grid == 1:
+        return parts
+    return parts.groupBy("id").agg(F.array(*[F.sum(F.get("vector", F.lit(j))) for j in range(dims)]).alias("vector"))
+
+
+def _part(number: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(parts)).cast("int")
 
 
 def _inner(vectors: DataFrame, dims: int) -> np.ndarray:
@@ -132,10 +191,9 @@ def _turned(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 out = flatten_vectors(batch.column(1)) @ matrix
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["word", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], names=["id", "vector"])
 
-    return vectors.select("word", "vector").mapInArrow(work, "word string, vector array<double>")
+    return vectors.select("id", "vector").mapInArrow(work, "id long, vector array<double>")
 
 
 def _axes(inner: np.ndarray, power: float) -> np.ndarray:
@@ -158,16 +216,20 @@ def fit_words(pairs: DataFrame, dims: int = 64, rounds: int = 2, common: int = 1
     def signs(word: Column) -> Column:
         return F.array(*[1.0 - 2.0 * F.getbit(F.xxhash64(F.lit(j // 64), word), F.lit(j % 64)).cast("double") for j in range(dims)])
 
-    vectors = pairs.select("word").distinct().withColumn("vector", signs(F.col("word")))
+    names = stored(pairs.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "paired-words")
+    grid = max(1, math.ceil(math.sqrt(pairs.count() / BLOCK_PAIRS)), math.ceil(names.count() / BLOCK_WORDS))
+    numbered = pairs.join(names.withColumnRenamed("id", "a"), "word").join(names.select(F.col("word").alias("context"), F.col("id").alias("b")), "context")
+    coded = stored(numbered.select((_part("a", grid) * grid + _part("b", grid)).alias("block"), "a", "b", "ppmi"), "coded-pairs")
+    vectors = names.select("id", signs(F.col("word")).alias("vector"))
     for _ in range(rounds + 1):
-        vectors = stored(_product(pairs, vectors, dims), "word-vectors")
+        vectors = stored(_product(coded, vectors, dims, grid), "word-vectors")
         inner = _inner(vectors, dims)
         last = vectors
         vectors = _turned(vectors, _axes(inner, 0.5))
     # the last product holds the subspace's directions times their sizes; half of that stays
     weights = _axes(inner, 0.25)
     weights[:, :common] = 0.0
-    return stored(_turned(last, weights), "word-vectors")
+    return stored(_turned(last, weights).join(names, "id").select("word", "vector"), "word-vectors")
 
 
 def with_sentence_vectors(
@@ -177,12 +239,38 @@ def with_sentence_vectors(
     """Texts with the weighted mean of their known words' vectors; null where none is known.
 
     A word weighs ``rarity / (rarity + its share of all words)``. ``keys`` tell rows of ``texts``
-    apart; equal rows share a vector.
+    apart; rows with a null among them have no vector. Vectors go to the chunks of rows that hold
+    their words, and a chunk's means are worked out in its task: no vector of a row is shuffled.
     """
     total = counts.agg(F.sum("n")).first()[0] or 1  # one number
     weight = F.lit(rarity) / (F.lit(rarity) + F.col("n") / F.lit(float(total)))
     known = words.join(counts, "word").select("word", F.transform("vector", lambda x: x * weight).alias("_v"))
-    dims = (words.select(F.size("vector")).first() or [0])[0]
-    spread = texts.dropDuplicates(list(keys)).select(*keys, F.explode(words_of(F.col(text_col))).alias("word")).join(known, "word")
-    mean = spread.groupBy(*keys).agg(F.array(*[F.avg(F.get("_v", F.lit(j))) for j in range(dims)]).cast("array<double>").alias(output))
-    return texts.join(mean, list(keys), "left")
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    # neighbouring rows share a chunk; read from files, a row keeps its number
+    numbered = stored(
+        texts.withColumns({
+            "_words": F.when(keyed, words_of(F.col(text_col))),
+            "_chunk": F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS),
+        }),
+        "texts",
+    )
+    words_held = numbered.select(F.col("_chunk").alias("_of"), F.explode(F.array_distinct("_words")).alias("word")).distinct()
+    needed = words_held.join(known, "word")
+    columns = list(texts.columns)
+
+    def means(rows: pa.Table, vectors: pa.Table) -> pa.Table:
+        lists = pc.fill_null(rows["_words"].combine_chunks(), []) if rows.num_rows else rows["_words"].combine_chunks()
+        place, found = _places(lists.flatten(), vectors["word"])
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[found]
+        if len(row):
+            sums = _summed(flatten_vectors(vectors["_v"].combine_chunks()), place[found], None, row, len(lists))
+        else:
+            sums = np.zeros((len(lists), 0))
+        n = np.bincount(row, minlength=len(lists))
+        mean = _lists(sums / np.maximum(n, 1)[:, None], n == 0)
+        return rows.select(columns).append_column(output, mean)
+
+    schema = StructType([*texts.schema.fields, StructField(output, ArrayType(DoubleType()))])
+    return numbered.groupBy("_chunk").cogroup(needed.groupBy("_of")).applyInArrow(means, schema)

@@ -193,3 +193,29 @@ def test_texts_are_read_once_to_learn(spark):
     chosen = ws.chosen_features(ws.feature_counts(texts), ws.label_counts(texts)).collect()
     assert {r["feature"] for r in weights.collect()} == {r["feature"] for r in chosen} >= {"good", "bad"}
     assert ws.feature_counts(texts).where("feature is null").count() == 0 and reads.value == len(rows)
+
+
+def test_vectors_of_rows_are_not_shuffled_and_blocks_change_nothing(corpus, monkeypatch):
+    """Sums of 64 doubles per row and task filled the disk; words' vectors now go to chunks and blocks."""
+    counts = wv.word_counts(corpus)
+    pairs = wv.ppmi(wv.pair_counts(corpus, counts))
+    words = wv.fit_words(pairs, dims=8)
+    keyed = corpus.select(F.monotonically_increasing_id().alias("id"), "sentence_text")
+    meant = wv.with_sentence_vectors(keyed, words, counts, ("id",))
+    assert "avg(" not in meant._jdf.queryExecution().toString()
+    monkeypatch.setattr(wv, "BLOCK_PAIRS", 7)
+    monkeypatch.setattr(wv, "GATHERED", 24)
+    monkeypatch.setattr(wv, "CHUNK_BITS", 1)
+    want = {r["word"]: r["vector"] for r in words.collect()}
+    got = {r["word"]: r["vector"] for r in wv.fit_words(pairs, dims=8).collect()}
+    assert got.keys() == want.keys()
+    for word, vector in want.items():
+        np.testing.assert_allclose(np.abs(got[word]), np.abs(vector), atol=1e-6)
+    again = {r["id"]: r["vector"] for r in wv.with_sentence_vectors(keyed, words, counts, ("id",)).collect()}
+    weight = {r["word"]: 1e-3 / (1e-3 + r["n"] / sum(c["n"] for c in counts.collect())) for r in counts.collect()}
+    for r in meant.select("id", "vector", wv.words_of(F.col("sentence_text")).alias("w")).collect():
+        plain = [np.array(want[w]) * weight[w] for w in r["w"] if w in want and w in weight]
+        assert (r["vector"] is None) == (again[r["id"]] is None) == (not plain)
+        if plain:
+            np.testing.assert_allclose(r["vector"], np.mean(plain, axis=0), atol=1e-9)
+            np.testing.assert_allclose(again[r["id"]], r["vector"], atol=1e-9)
