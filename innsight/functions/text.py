@@ -17,13 +17,16 @@ def strip(text: Column) -> Column:
 
 
 def normalise_review(text: Column) -> Column:
-    """Lower-case and collapse runs of white space to one blank."""
-    return F.regexp_replace(F.lower(text), r"\s+", " ")
+    """Lower-case and collapse runs of white space to one blank.
+
+    Single blanks stay as they are: only what changes is matched, not every gap between words.
+    """
+    return F.regexp_replace(F.lower(text), r"\s{2,}|[\t\n\x0B\f\r]", " ")
 
 
 def english_like(text: Column, max_non_ascii: float = 0.20) -> Column:
     """True for text with a Latin letter and at most the given share of non-ASCII characters."""
-    non_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
+    non_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))  # runs, not characters one by one
     share = non_ascii / F.greatest(F.length(text), F.lit(1))
     return text.rlike("[A-Za-z]") & (share <= F.lit(float(max_non_ascii)))
 

@@ -115,12 +115,14 @@ def topics_by_keyword(
     )
     best = F.array_sort(F.filter(scored, lambda s: s["minus"] < 0))
     best = best if top_n is None else F.slice(best, 1, top_n)
-    # lower case and scores are columns of their own: a generator would work them out per use
+    # lower case and scores are columns of their own: a generator would work them out per use;
+    # the outer one, since Spark puts the whole of an inner one's scores into a filter below it as well
     return (
         sentences.filter(tx.english_like(F.col(text_col), max_non_ascii))
         .withColumn("_text", F.lower(F.col(text_col)))
         .select(*keep, best.alias("_best"))
-        .select(*keep, F.inline("_best"))
+        .select(*keep, F.inline_outer("_best"))
+        .where(F.col("topic").isNotNull())
         .select(*keep, "topic", (-F.col("minus")).alias("topic_similarity"))
     )
 

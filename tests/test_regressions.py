@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from innsight.functions import text as tx
 from innsight.operators import documents as dc
 from innsight.operators import neighbours as nb
 from innsight.operators import retrieval as rt
+from innsight.operators import topics as tp
 from innsight.plans import ingestion
 from innsight.plans import property_comparison as pc
 
@@ -96,3 +98,21 @@ def test_pieces_nobody_asks_for_go_before_the_shuffle(spark):
     kept = {r.id for r in rt._maybe_asked(pieces, asked).collect()}
     assert set(range(0, 5000, 100)) <= kept and len(kept) < 60
     assert rt._maybe_asked(pieces, asked.limit(0)).count() == 0
+
+
+def test_tagging_scores_a_sentence_once(spark):
+    """The optimiser put all scores, with the lower case once per word, into a filter as well."""
+    rows = spark.createDataFrame([("p", "s1", "The cat"), ("p", "s2", "1234"), ("p", "s3", "ünd so über alles"), ("p", "s4", None), ("p", "s5", "xyz")],
+                                 "property_id string, sentence_id string, sentence_text string")
+    tagged = tp.topics_by_keyword(rows, {"a": ["the", "cat"], "b": ["alles", "xx"]})
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Contains(") == 4
+    assert {(r["sentence_id"], r["topic"], r["topic_similarity"]) for r in tagged.collect()} == {("s1", "a", 1.0), ("s3", "b", 0.5)}
+
+
+def test_white_space_and_letters_as_before(spark):
+    texts = ["a b", " a  b\tc\n", "\t", "x y \x0b z", "", "A\r\n b", None, "é\x00ü \x7f", "a\x1cb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(tx.normalise_review(F.col("t")), F.regexp_replace(F.lower("t"), r"\s+", " "),
+                      F.regexp_replace("t", r"[\x00-\x7F]+", ""), F.regexp_replace("t", r"[\x00-\x7F]", "")).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got)
