@@ -30,6 +30,8 @@ TIE_DIGITS = 9
 #: Angles and similarities are only trusted to these margins when a block is skipped.
 ANGLE_MARGIN, SIMILARITY_MARGIN = 1e-6, 1e-8
 _ALONE = -1
+#: Scores that a task holds at once.
+SCORES = 1_000_000
 
 
 def best_columns(scores: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,13 +67,17 @@ def _score_block(k: int, not_itself: bool):
         if asked.num_rows and known.num_rows:
             target_ids = np.array(asked["id"].to_pylist(), dtype=object)
             ids = np.array(known["id"].to_pylist(), dtype=object)
-            scores = np.round(unit_rows(asked["vec"]) @ unit_rows(known["vec"]).T, TIE_DIGITS)
-            if not_itself:
-                scores[target_ids[:, None] == ids[None, :]] = -np.inf
-            for row, picked in best_columns(scores, k, ids):
-                out["id"].extend([target_ids[row]] * len(picked))
-                out["near_id"].extend(ids[picked])
-                out["similarity"].extend(scores[row, picked])
+            targets, candidates = unit_rows(asked["vec"]), unit_rows(known["vec"])
+            step = max(1, SCORES // len(ids))
+            for start in range(0, len(target_ids), step):
+                asking = target_ids[start:start + step]
+                scores = np.round(targets[start:start + step] @ candidates.T, TIE_DIGITS)
+                if not_itself:
+                    scores[asking[:, None] == ids[None, :]] = -np.inf
+                for row, picked in best_columns(scores, k, ids):
+                    out["id"].extend([asking[row]] * len(picked))
+                    out["near_id"].extend(ids[picked])
+                    out["similarity"].extend(scores[row, picked])
         key = rows["key"][0].as_py() if rows.num_rows else ""
         return pa.table({
             "key": pa.array([key] * len(out["id"]), pa.string()), "id": pa.array(out["id"], pa.string()),
@@ -162,21 +168,26 @@ def _own_block(placed: DataFrame, pivots: DataFrame, k: int, block_rows: int, no
 
 def _left(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     """Targets with the pivots that may hold something at least as near as their k-th best."""
-    kept: list[list[int]] = []
+    sizes, kept = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     if rows.num_rows and pivots.num_rows:
         numbers, lo, hi = (pivots[c].to_numpy() for c in ("pivot", "lo", "hi"))
         known = np.array([v is not None for v in pivots["vec"].to_pylist()])
-        angle = np.zeros((rows.num_rows, len(numbers)))
-        if known.any():
-            there = unit_rows(pivots.filter(pa.array(known))["vec"])
-            angle[:, known] = np.arccos(np.clip(unit_rows(rows["vec"]) @ there.T, -1.0, 1.0))
-        apart = np.where(known, np.maximum(angle - hi, lo - angle), 0.0)
-        reach = np.cos(np.clip(apart - ANGLE_MARGIN, 0.0, np.pi))
+        there = unit_rows(pivots.filter(pa.array(known))["vec"]) if known.any() else None
         bound = rows["bound"].to_numpy()[:, None] - SIMILARITY_MARGIN
-        kept = [numbers[line].tolist() for line in reach >= bound]
+        step = max(1, SCORES // len(numbers))
+        for start in range(0, rows.num_rows, step):
+            part = rows.slice(start, step)
+            angle = np.zeros((part.num_rows, len(numbers)))
+            if there is not None:
+                angle[:, known] = np.arccos(np.clip(unit_rows(part["vec"]) @ there.T, -1.0, 1.0))
+            apart = np.where(known, np.maximum(angle - hi, lo - angle), 0.0)
+            reach = np.cos(np.clip(apart - ANGLE_MARGIN, 0.0, np.pi)) >= bound[start:start + step]
+            sizes.append(reach.sum(axis=1))
+            kept.append(numbers[np.nonzero(reach)[1]])
     rows = rows if rows.num_rows else rows.slice(0, 0)
-    kept = kept or [[]] * rows.num_rows
-    return pa.table([rows["key"], rows["id"], rows["vec"], rows["pivot"], pa.array(kept, pa.list_(pa.int64()))], names=["key", "id", "vec", "pivot", "others"])
+    ends = np.cumsum(np.concatenate(sizes)) if len(kept) > 1 else np.zeros(rows.num_rows + 1, np.int64)
+    others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(kept), pa.int64()))
+    return pa.table([rows["key"], rows["id"], rows["vec"], rows["pivot"], others], names=["key", "id", "vec", "pivot", "others"])
 
 
 def reachable(placed: DataFrame, pivots: DataFrame, first: DataFrame, k: int, block_rows: int) -> DataFrame:
