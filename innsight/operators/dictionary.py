@@ -14,7 +14,9 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from innsight.functions import text as tx
 
 #: Terms per automaton; a term costs some hundred bytes.
 TERMS = 500_000
+#: Bytes of texts whose terms a task holds at once.
+SLICE_BYTES = 1 << 20
 
 FOUND = "array<struct<term: string, first: int, n: int>>"
 _FOUND = pa.list_(pa.struct([("term", pa.string()), ("first", pa.int32()), ("n", pa.int32())]))
@@ -52,6 +56,14 @@ def occurrences(built: ahocorasick.Automaton, text: str | None) -> list[dict]:
     return [{"term": term, "first": first, "n": n} for term, (first, n) in found.items()]
 
 
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have up to ``most`` bytes, the last text aside."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes, dtype=np.int64) - sizes) // most, prepend=-1)).tolist()
+    for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
 def _matches(texts: DataFrame, terms: list[str]) -> DataFrame:
     """The texts with ``_found``, from one broadcast automaton."""
     shared = texts.sparkSession.sparkContext.broadcast(pickle.dumps(automaton(terms)))
@@ -61,7 +73,7 @@ def _matches(texts: DataFrame, terms: list[str]) -> DataFrame:
         if name not in _LOADED:  # one per worker process, the dictionary in use
             _LOADED.clear()
             _LOADED[name] = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_text")):
             text = batch.column(batch.schema.get_field_index("_text")).to_pylist()
             found = pa.array([occurrences(_LOADED[name], t) for t in text], _FOUND)
             kept = [i for i, column in enumerate(batch.schema.names) if column != "_text"]
