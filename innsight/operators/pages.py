@@ -21,17 +21,18 @@ def element_inside(name: Column, rest: Column) -> Column:
 
     Tags of the same name are counted up and down, so an element ends at its own closing tag
     however often its name is nested; one that is left open reaches to the end. Tags closed in
-    themselves do not count. The text is cut before the tags of that name and folded once.
+    themselves do not count. The text is cut before the tags of that name and folded once; all
+    pieces but the first start with such a tag, so that only the first is matched with its name.
     """
     pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
 
-    def step(piece: Column) -> Column:
-        closing = F.regexp_like(piece, F.concat(F.lit("(?i)^</"), name, F.lit(r"\b")))
-        opening = F.regexp_like(piece, F.concat(F.lit("(?i)^<"), name, F.lit(r"\b(?![^>]*/>)")))
-        return F.when(closing, -1).when(opening, 1).otherwise(0)
+    def step(piece: Column, n: Column) -> Column:
+        tag = (n > 0) | F.regexp_like(piece, F.concat(F.lit("(?i)^</?"), name, F.lit(r"\b")))
+        closing, alone = F.startswith(piece, F.lit("</")), F.regexp_like(piece, F.lit("^<[^>]*/>"))
+        return F.when(~F.startswith(piece, F.lit("<")), 0).when(~tag, 0).when(closing, -1).when(alone, 0).otherwise(1)
 
     def seen(state: Column, piece: Column) -> Column:
-        depth = state["depth"] + step(piece)
+        depth = state["depth"] + step(piece, state["n"])
         return F.when(state["open"], F.struct(
             depth.alias("depth"), (depth >= 0).alias("open"), (state["n"] + F.when(depth >= 0, 1).otherwise(0)).alias("n")
         )).otherwise(state)
@@ -111,13 +112,17 @@ def page_reviews(pages: DataFrame, max_reviews: int | None = None) -> DataFrame:
         blocks = F.slice(blocks, 1, max_reviews)
     block = F.col("block")
     stars = F.regexp_extract(F.regexp_extract(block, r'aria-label="([^"]*star[^"]*)"', 1), r"(\d)", 1)
+    found = F.struct(
+        _first_text(block, PAGE_CLASSES["review_text"]).alias("review_text"),
+        stars.try_cast("int").alias("rating"),
+        _first_text(block, PAGE_CLASSES["review_date"]).alias("review_date"),
+        _first_text(block, PAGE_CLASSES["reviewer_name"]).alias("reviewer_name"),
+    )
+    # outer generators: Spark copies what an inner one or a plain column holds into the filter below it
     return (
-        pages.select("page_id", F.posexplode(blocks).alias("pos", "block"))
-        .select(
-            "page_id", "pos", _first_text(block, PAGE_CLASSES["review_text"]).alias("review_text"),
-            stars.try_cast("int").alias("rating"),
-            _first_text(block, PAGE_CLASSES["review_date"]).alias("review_date"),
-            _first_text(block, PAGE_CLASSES["reviewer_name"]).alias("reviewer_name"),
-        )
+        pages.select("page_id", F.posexplode_outer(blocks).alias("pos", "block"))
+        .where(F.col("pos").isNotNull())
+        .select("page_id", "pos", found.alias("found"))
+        .select("page_id", "pos", F.inline_outer(F.array("found")))
         .filter(F.length("review_text") > MIN_REVIEW_CHARS)
     )

@@ -1,11 +1,16 @@
 """Cases that once went wrong: repeated ingestion, lonely properties, missing ids, many requests."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from innsight.functions import text as tx
+from innsight.operators import dictionary as dy
 from innsight.operators import documents as dc
+from innsight.operators import metric_index as mi
 from innsight.operators import neighbours as nb
+from innsight.operators import pages as pg
 from innsight.operators import retrieval as rt
 from innsight.operators import topics as tp
 from innsight.plans import ingestion
@@ -116,3 +121,48 @@ def test_white_space_and_letters_as_before(spark):
     got = rows.select(tx.normalise_review(F.col("t")), F.regexp_replace(F.lower("t"), r"\s+", " "),
                       F.regexp_replace("t", r"[\x00-\x7F]+", ""), F.regexp_replace("t", r"[\x00-\x7F]", "")).collect()
     assert all(r[0] == r[1] and r[2] == r[3] for r in got)
+
+
+def test_blocks_are_scored_in_slices(monkeypatch):
+    """All scores of a block and their masks stood in a worker's memory at once."""
+    rng = np.random.default_rng(3)
+    n = 60
+    ids = [f"v{i}" for i in range(n)]
+    vec = pa.array(rng.normal(size=(n, 4)).round(1).tolist(), pa.list_(pa.float64()))
+    flags = pa.array([True] * n + [False] * n)
+    rows = pa.table({"key": pa.array(["k"] * 2 * n), "id": pa.array(ids * 2), "vec": pa.concat_arrays([vec, vec]), "is_target": flags})
+    pivots = pa.table({"pivot": pa.array([5, 6, 7]), "lo": [0.1, 0.2, 0.0], "hi": [0.5, 0.9, 3.0], "vec": vec.slice(0, 2).to_pylist() + [None]})
+    asked = pa.table({"key": pa.array(["k"] * n), "id": pa.array(ids), "vec": vec, "pivot": pa.array([5] * n), "bound": pa.array(rng.uniform(0, 1, n))})
+    whole = mi._score_block(3, True)(rows), mi._left(asked, pivots)
+    sizes = []
+    best = mi.best_columns
+    monkeypatch.setattr(mi, "SCORES", 200)
+    monkeypatch.setattr(mi, "best_columns", lambda scores, k, i: (sizes.append(scores.size), best(scores, k, i))[1])
+    assert mi._score_block(3, True)(rows).equals(whole[0]) and max(sizes) <= 200
+    cut = mi._left(asked, pivots)
+    assert cut.equals(whole[1]) and 0 < sum(map(len, cut["others"].to_pylist())) < 3 * n
+    assert mi._left(asked, pivots.slice(0, 0))["others"].to_pylist() == [[]] * n and mi._left(asked.slice(0, 0), pivots).num_rows == 0
+
+
+def test_terms_are_found_in_slices_of_bounded_size():
+    """The terms of ten thousand texts stood in a worker's memory at once."""
+    texts = ["ab" * 3, None, "", "x" * 50, "cab", "a", None]
+    batch = pa.record_batch({"i": pa.array(range(7)), "_text": pa.array(texts)})
+    parts = list(dy.slices(batch, "_text", 7))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) == 2
+    assert all(sum(len(t or "") for t in p["_text"].to_pylist()[:-1]) <= 7 for p in parts)
+    assert list(dy.slices(batch.slice(0, 0), "_text")) == []
+
+
+def test_review_blocks_are_read_once(spark):
+    """The text of a block was worked out twice, and tag patterns were compiled for every piece of it."""
+    html = ('<div class="jftiEf"><span class="wiI7pd">first <SPAN>in <span/>side</SPAN> long enough</span> no</div>'
+            '<div class="jftiEf"><span class="wiI7pd"><spanner>not the same tag</spanner></span></div>'
+            '<div class="jftiEf"><span class="wiI7pd"></span>nothing in it at all</div>'
+            '<div class="jftiEf"><span class="wiI7pd">left open to the end</div>')
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "no block")], "page_id int, html string")
+    got = pg.page_reviews(pages)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "inline" in plan and not [line for line in plan.splitlines() if "Filter" in line and "wiI7pd" in line]
+    assert [(r["page_id"], r["pos"], r["review_text"]) for r in got.orderBy("page_id", "pos").collect()] == [
+        (1, 0, "first in side long enough"), (1, 1, "not the same tag"), (1, 3, "left open to the end")]
