@@ -234,7 +234,8 @@ def _review_vectors(spark, sf_dir):
          FROM review_asked a JOIN review_vectors v ON a.hotel_id = v.hotel_id) WHERE rank <= 3""", d.CORPUS_SQL, _REVIEW_VECTORS_SQL))
 def hotel_reviews(spark, sf_dir):
     """Reviews of every hotel nearest to a query, the place chosen by the prefix or found in the second."""
-    reviews = _review_vectors(spark, sf_dir)
+    # requests, their places and the search read them: parsed once
+    reviews = d.stored(_review_vectors(spark, sf_dir).drop("text"), "review-vectors")
     asked = reviews.select("hotel_id").distinct().select(
         F.col("hotel_id").alias("query_id"), "hotel_id", F.array(*[F.lit(x) for x in (2.0, 1.0, 1.0, 1.0)]).alias("vector")
     )

@@ -15,6 +15,7 @@ from innsight.operators import retrieval as rt
 from innsight.operators import topics as tp
 from innsight.plans import ingestion
 from innsight.plans import property_comparison as pc
+from suite import listing_queries as lq
 
 FLATS = (
     "property_id string, name string, listing_name string, description string, location string, country string, "
@@ -166,3 +167,9 @@ def test_review_blocks_are_read_once(spark):
     assert "inline" in plan and not [line for line in plan.splitlines() if "Filter" in line and "wiI7pd" in line]
     assert [(r["page_id"], r["pos"], r["review_text"]) for r in got.orderBy("page_id", "pos").collect()] == [
         (1, 0, "first in side long enough"), (1, 1, "not the same tag"), (1, 3, "left open to the end")]
+
+
+def test_requested_reviews_are_parsed_once(spark):
+    """Every use of the reviews, of which the requests are one, parsed all listings again."""
+    plan = lq.hotel_reviews(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "review-vectors-" in plan and "documents.parquet" not in plan
