@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from innsight.llm.work import slices
 
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-_CACHE, _TOGETHER = 300_000, 50_000
+_CACHE, _TOGETHER, _SCORED = 300_000, 50_000, 4_000
 
 
 @dataclass(frozen=True)
@@ -251,6 +251,15 @@ def learnt(
     return train(*training_sample(docs, labels, settings, id_col, text_col, label_col), settings)
 
 
+def word_weights(words: list[str], weights: np.ndarray, s: Settings) -> np.ndarray:
+    """What each word's n-grams weigh on average; some thousand words are cut into n-grams at once."""
+    out = [np.empty(0)]
+    for start in range(0, len(words), _SCORED):
+        buckets, owner = buckets_of(words[start : start + _SCORED], s)
+        out.append(np.bincount(owner, weights[buckets]) / np.bincount(owner))
+    return np.concatenate(out)
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the probability of the second class, from 0 to 1.
 
@@ -266,7 +275,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in slices(batches, text_col, 2_000_000):
+        for batch in slices(batches, text_col, 500_000):
             out = []
             split = [words_of(t) for t in batch.column(text_col).to_pylist()]
             new = set().union(*split).difference(cache)
@@ -275,8 +284,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 new = set().union(*split)
             if new:
                 fresh = list(new)
-                buckets, owner = buckets_of(fresh, s)
-                cache.update(zip(fresh, (np.bincount(owner, weights[buckets]) / np.bincount(owner)).tolist(), strict=True))
+                cache.update(zip(fresh, word_weights(fresh, weights, s).tolist(), strict=True))
             for words in split:
                 odds = offset + (sum(map(cache.__getitem__, words)) / len(words) if words else 0.0)
                 out.append(1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500))))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -185,6 +186,22 @@ def test_word_buckets_together():
     assert len(toxicity.buckets_of([], settings)[0]) == 0
 
 
+def test_words_are_weighed_in_bounded_memory():
+    settings = toxicity.Settings()
+    weights = np.random.default_rng(3).normal(size=settings.buckets)
+    words = [f"word-number-{i}" for i in range(60_000)]
+    tracemalloc.start()
+    try:
+        got = toxicity.word_weights(words, weights, settings)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40_000_000  # all words at once took ten times that
+    for i in (0, 3_999, 4_000, 59_999):
+        assert got[i] == pytest.approx(weights[toxicity.word_buckets(words[i], settings)].mean())
+    assert len(toxicity.word_weights([], weights, settings)) == 0
+
+
 def test_toxicity_edges(spark):
     model = toxicity.learnt(awkward(spark), labels(spark, "toxic"))
     got = toxicity.scored(clashing(awkward(spark)), model).collect()
