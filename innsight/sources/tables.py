@@ -38,8 +38,8 @@ RUN_TABLES = {
     "runs": RUN_COLUMNS, "neighbors": NEIGHBOR_COLUMNS, "topics": TOPIC_COLUMNS, "evidence": EVIDENCE_COLUMNS,
 }
 _DATE, _ATTEMPT, _COMPLETE = "run_date", "attempt", "complete"
-#: Folders that a namespace of the document table is cut into by a hash of the id.
-BUCKETS = 32
+#: Folders that a namespace of the document table is cut into by a hash of the id, and tasks that may write one.
+BUCKETS, WRITERS = 32, 2
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -194,6 +194,31 @@ def read_documents(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Da
     return spark.read.parquet(path).drop(_bucket_column(buckets)).withColumn("namespace", F.col("namespace").cast("string"))
 
 
+def _meeting(rows: DataFrame, incoming: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``rows`` with ``_meets``: false only where no incoming document has the namespace and id.
+
+    It is read from a table of ``bits`` bits, whose broadcast is bounded however many documents
+    come in; some rows are marked without a need.
+    """
+    place = F.pmod(F.xxhash64("namespace", "doc_id"), F.lit(bits))
+    words = (
+        incoming.select(place.alias("_place"))
+        .groupBy(F.shiftright("_place", 6).alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_place % 64 as int))")).alias("_bits"))
+    )
+    placed = rows.withColumn("_place", place)
+    met = F.expr("coalesce(shiftright(_bits, cast(_place % 64 as int)) & 1L, 0L) = 1")
+    joined = placed.join(F.broadcast(words), F.shiftright("_place", 6) == F.col("_word"), "left")
+    return joined.withColumn("_meets", met).drop("_place", "_word", "_bits")
+
+
+def _merged(rows: DataFrame, bucket: str) -> DataFrame:
+    """The latest version of each document, dealt once by folder, which the window needs no other order for."""
+    part = F.pmod(F.shiftright(F.xxhash64("doc_id"), 32), F.lit(WRITERS)).cast("int")
+    dealt = rows.withColumn("_writer", part).repartition("namespace", bucket, "_writer")
+    return latest_versions(dealt, ("namespace", bucket, "_writer", "doc_id")).drop("_writer")
+
+
 def upsert_documents(
     spark: SparkSession, path: str, incoming: DataFrame, version: int, replace: Sequence[str] = (), buckets: int = BUCKETS
 ) -> list[str]:
@@ -210,18 +235,23 @@ def upsert_documents(
     stamped = incoming.withColumns({
         "version": F.lit(version).cast("bigint"), bucket: F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     })
-    merged, held = stamped, _has_documents(spark, path)
+    held = _has_documents(spark, path)
     if held:
-        stamped = stored(stamped, "incoming-documents")  # read twice: what it touches, and itself
-        touched = stamped.select("namespace", bucket).distinct()
+        stamped = stored(stamped, "incoming-documents")  # read for what it touches, for its ids, and itself
+        touched = stamped.select("namespace", bucket).distinct()  # bounded: folders
         current = spark.read.parquet(path).withColumn("namespace", F.col("namespace").cast("string"))
         current = current.filter(~F.col("namespace").isin(list(replace)))
-        merged = current.join(touched, ["namespace", bucket], "left_semi").unionByName(stamped, allowMissingColumns=True)
+        current = _meeting(current.join(F.broadcast(touched), ["namespace", bucket], "left_semi"), stamped)
+        meeting = current.filter("_meets").drop("_meets").unionByName(stamped, allowMissingColumns=True)
+        # the table holds a document once, so those that meet no other are not shuffled
+        apart = current.filter("not _meets").drop("_meets")
+        merged = _merged(meeting, bucket).unionByName(apart, allowMissingColumns=True)
+    else:
+        merged = _merged(stamped, bucket)
     (
-        latest_versions(merged)
-        .hint("rebalance", "namespace", bucket)
-        .write.mode("overwrite")
+        merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("namespace", bucket)
         .parquet(path)
     )

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from innsight.sources import tables
 from innsight.functions import text as tx
 from innsight.operators import dictionary as dy
 from innsight.operators import documents as dc
@@ -173,3 +174,17 @@ def test_requested_reviews_are_parsed_once(spark):
     """Every use of the reviews, of which the requests are one, parsed all listings again."""
     plan = lq.hotel_reviews(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "review-vectors-" in plan and "documents.parquet" not in plan
+
+
+def test_an_upsert_moves_only_documents_that_may_meet_incoming_ones(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    held = spark.createDataFrame([("a", None, "none"), *[("a", f"d{i}", f"old {i}") for i in range(300)]], "namespace string, doc_id string, text string")
+    tables.upsert_documents(spark, path, held, version=1)
+    incoming = spark.createDataFrame([("a", "d7", "new b"), ("a", "d7", "new a"), ("a", None, "new none"), ("b", "d8", "other")], held.schema)
+    marked = {r.doc_id: r["_meets"] for r in tables._meeting(held, incoming).collect()}
+    assert marked["d7"] and marked[None] and sum(marked.values()) < 30
+    tables.upsert_documents(spark, path, incoming, version=2)
+    found = {(r.namespace, r.doc_id): (r.text, r.version) for r in tables.read_documents(spark, path).collect()}
+    assert tables.read_documents(spark, path).count() == len(found) == 302
+    assert found["a", "d7"] == ("new a", 2) and found["a", None] == ("new none", 2) and found["b", "d8"] == ("other", 2)
+    assert found["a", "d8"] == ("old 8", 1)
