@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from innsight.llm.tokens import tokenizer
 from innsight.llm.work import mix, slices, stored
 
 _U = np.uint64
+#: Bytes of rows that a task packs together by shard.
+_HELD = 16_000_000
 
 
 def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -108,45 +111,84 @@ def with_slots(table: DataFrame, key: int, shard_rows: int) -> DataFrame:
     )
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(shard, rows): what a task holds of a shard as one compressed piece of columns.
+
+    Records of many sequences compress further than each of them alone, and fewer bytes are
+    shuffled. A task holds ``_HELD`` bytes of rows at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+
+        def pieces() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            order = pc.sort_indices(table["shard"])
+            shards = table["shard"].to_numpy()[order.to_numpy()]
+            starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
+            blobs = []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(shards)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table.take(order[start:end]))
+                plain = sink.getvalue()
+                blobs.append(plain.size.to_bytes(8, "little") + codec.compress(plain, asbytes=True))
+            return pa.record_batch([pa.array(shards[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "rows"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= _HELD:
+                yield pieces()
+                size = 0
+        if held:
+            yield pieces()
+
+    return rows.mapInArrow(run, "shard int, rows binary")
+
+
+def unpacked(pieces: list[bytes]) -> pa.Table:
+    """The rows of some pieces of one shard, in slot order."""
+    tables = []
+    for piece in pieces:
+        plain = pa.decompress(memoryview(piece)[8:], int.from_bytes(piece[:8], "little"), "zstd")
+        tables.append(pa.ipc.open_stream(plain).read_all())
+    table = pa.concat_tables(tables)
+    return table.take(pc.sort_indices(table["slot"]))
+
+
 def write_shards(rows: DataFrame, path: str) -> DataFrame:
     """Write ``shard-NNNNNNNN.bin`` files below ``path``, and return what was written.
 
-    Returned are the rows without their ids, with ``ids_crc32`` of the record. A task holds whole
-    shards, sorted by slot, streams records out under a name of its own attempt and renames
-    the finished file, so a retried or doubled task leaves the same shard. Writing goes through
-    Arrow's file systems, which the folder's scheme selects.
+    Returned are the rows without their ids, with ``ids_crc32`` of the record. A task holds one
+    whole shard at a time, writes its records in slot order under a name of its own attempt and
+    renames the finished file, so a retried or doubled task leaves the same shard. Writing goes
+    through Arrow's file systems, which the folder's scheme selects.
     """
     folder = path.rstrip("/")
     names = [c for c in rows.columns if c != "ids"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
         store.create_dir(base, recursive=True)
-        attempt, current, out = uuid.uuid4().hex, None, None
-
-        def finish() -> None:
-            if out is not None:
-                out.close()
-                store.move(f"{base}/_{attempt}-{current}", f"{base}/shard-{current:08d}.bin")
-
-        for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            records = batch.column("ids").to_pylist()
-            for shard, record in zip(shards.tolist(), records, strict=True):
-                if shard != current:
-                    finish()
-                    current = shard
-                    out = store.open_output_stream(f"{base}/_{attempt}-{current}")
+        attempt, shard = uuid.uuid4().hex, key[0].as_py()
+        table = unpacked(pieces["rows"].to_pylist())
+        crcs = []
+        with store.open_output_stream(f"{base}/_{attempt}-{shard}") as out:
+            for record in table["ids"].to_pylist():
                 out.write(record)
-            crcs = pa.array([zlib.crc32(r) for r in records], pa.int64())
-            yield pa.record_batch([*(batch.column(n) for n in names), crcs], names=[*names, "ids_crc32"])
-        finish()
+                crcs.append(zlib.crc32(record))
+        store.move(f"{base}/_{attempt}-{shard}", f"{base}/shard-{shard:08d}.bin")
+        return table.select(names).append_column("ids_crc32", pa.array(crcs, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
-    dealt = rows.repartition("shard").sortWithinPartitions("slot")
-    return stored(dealt.mapInArrow(run, f"{schema}, ids_crc32 long"), "training-index")
+    dealt = packed(rows).groupBy("shard").applyInArrow(write, f"{schema}, ids_crc32 long")
+    return stored(dealt, "training-index", "zstd")
 
 
 def read_records(folder: str, slot: int, count: int, shard_rows: int, stride: int) -> list[np.ndarray]:
@@ -180,5 +222,5 @@ def materialise(
     ``doc_id`` and ``text`` are not read.
     """
     # pages of many sequences compress further than each of them alone
-    table = stored(sequences(docs, vocabulary, stride, pad_id), "sequences", "zstd")
+    table = stored(sequences(docs, vocabulary, stride, pad_id), "sequences", "zstd", 6)
     return write_shards(with_slots(table, key, shard_rows), folder)

@@ -355,6 +355,19 @@ def test_records_are_left_to_the_files_to_compress(spark):
     assert {len(r.ids) for r in rows} == {128} and all(r.ids[2 * r.length :] == b"\x07\x00" * (64 - r.length) for r in rows)
 
 
+def test_records_of_a_shard_are_shuffled_as_one_compressed_piece(spark):
+    line = np.arange(256).astype("<u2").tobytes()
+    rows = [(i % 7, 0, 256, line, 999 - i, (999 - i) // 500, (999 - i) % 500) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, start long, length int, ids binary, slot long, shard int, record long").coalesce(1)
+    pieces = training_order.packed(table).collect()
+    assert sorted(p.shard for p in pieces) == [0, 1]
+    for p in pieces:
+        assert len(p.rows) < 500 * 512 // 4
+        got = training_order.unpacked([bytes(p.rows)])
+        assert got["slot"].to_pylist() == list(range(500 * p.shard, 500 * p.shard + 500))
+        assert set(got["ids"].to_pylist()) == {line}
+
+
 # --- 10
 
 def _most_rejected(spark, n, rate, error):
