@@ -62,7 +62,7 @@ def sequences(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode_column
         pad = np.array([pad_id], "<u2").tobytes() * stride
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             ids, starts, lengths, records = [], [], [], []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 whole = found.tobytes()

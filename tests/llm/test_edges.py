@@ -1,5 +1,6 @@
 """Nulls, empty tables, ties, repeats, clashing names and hot groups, operator by operator."""
 
+import gc
 import hashlib
 import math
 import tracemalloc
@@ -7,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -435,3 +437,37 @@ def test_levels_and_cutoffs_equal_a_plain_count(spark):
         levels = [marks * 10000 // (200 * 50) for _, lang, marks, _ in rows if lang == name]
         best = next(c for c in range(1, 101) if sum(x >= c for x in levels) <= found[name].allowed)
         assert (found[name].n_good, found[name].cutoff) == (len(levels), best) and found[name].allowed > 0
+
+
+# --- tokens
+
+
+_SHAPES = ["{}", "{},", "({})", "{}'s", "{}!?", "x{}9", "{}é", "{}\u0007", "A{}", "{}-{}", "'{}", " {}", "{}</w>", "日{}"]
+
+
+def test_few_known_words_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "_WORDS", 60)
+    monkeypatch.setattr(tokens, "_PARTS", 40)
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdeT"), rng.integers(1, 9))) for _ in range(300)]
+    texts = [
+        " ".join(_SHAPES[rng.integers(len(_SHAPES))].replace("{}", names[rng.integers(300)]) for _ in range(40)) for _ in range(60)
+    ] + [None, "", "  \n ", "<|x|> a", "..."]
+    own = tokens.WordTokenizer(tokens.default_vocabulary())
+    for start in range(0, len(texts), 5):
+        part = texts[start : start + 5]
+        for text, ids in zip(part, own.encode_column(pa.array(part, pa.string())), strict=True):
+            assert ids.tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_known_words_take_little_memory():
+    own = tokens.WordTokenizer(tokens.default_vocabulary())
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (100_000, 9)).astype(np.uint8)
+    words = pa.array([" ".join(w.tobytes().decode() for w in letters)], pa.string())
+    tracemalloc.start()
+    own.encode_column(words)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 * len(letters)  # bytes
