@@ -438,23 +438,25 @@ def feature_listings(spark: SparkSession, sf_dir: str, amenities: bool = True) -
         .when(F.col("p_type") == "ECONOMY", F.concat(F.lit("Hair dryer, "), "p_name"))
         .otherwise(F.initcap("p_name"))
     )
+    # names are worked out per part; lines reach their customer once, and are told apart and listed there
+    parts = part.select("p_partkey", amenity.alias("name"))
+    owners = orders.select("o_orderkey", F.col("o_custkey").cast("bigint").alias("_owner"))
     bought = (
-        lines.join(part, lines.l_partkey == part.p_partkey)
-        .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .select(F.col("o_custkey").cast("string").alias("property_id"), amenity.alias("name"))
-        .distinct()
+        lines.select("l_orderkey", "l_partkey").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select("_owner", "name").repartition("_owner").distinct()
     )
     # bounded: names come from the part vocabulary
-    items = bought.groupBy("property_id").agg(
+    items = bought.groupBy("_owner").agg(
         F.sort_array(F.collect_list(F.struct("name", F.lit("x").alias("value")))).alias("items")
     )
     groups = F.array(
         F.struct(F.lit("Things").alias("group_name"), F.col("items")),
         F.struct(F.lit("Nothing").alias("group_name"), F.slice("items", 1, 0).alias("items")),
     )
-    return listings.join(items, "property_id", "left").withColumn(
+    return listings.join(items, F.col("property_id").cast("bigint") == F.col("_owner"), "left").withColumn(
         "amenities", F.when(F.col("items").isNotNull(), F.to_json(groups))
-    ).drop("items")
+    ).drop("items", "_owner")
 
 
 FEATURE_LISTINGS_SQL = r"""

@@ -1,5 +1,8 @@
 """Features, the rating model, documents and retrieval on small frames."""
 
+import json
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from innsight.operators import retrieval as rt
 from innsight.plans import ingestion, rating_insights as ri
 from innsight.sources import tables
 from innsight.sources.shared import shared_folder, stored
+from suite import derive
 
 AMENITIES = '[{"group_name":"Bath","items":[{"name":"Hair dryer, wall","value":"x"},{"name":null}]},{"group_name":"None","items":null},{"items":[{"name":"HDTV"},{"name":"Wide TV"},{"name":"Wi-Fi 5.0"}]}]'
 LISTING = (
@@ -236,3 +240,26 @@ def test_metrics(spark):
     assert [r[0] for r in df.select(rt.rating_metric(F.col("r"), F.col("t"))).collect()] == [4.5, 3.5, None]
     prices = spark.createDataFrame([("$1,200.50", ""), (None, "Price: $99.99"), ("n/a", "rate: 80")], "p string, t string")
     assert [r[0] for r in prices.select(rt.price_metric(F.col("p"), F.col("t"))).collect()] == [1200.5, 99.99, 80.0]
+
+
+def test_lines_are_shuffled_to_their_customer_once(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("region", [(0, "ASIA")], "r_regionkey long, r_name string")
+    put("nation", [(0, "JAPAN", 0)], "n_nationkey long, n_name string, n_regionkey long")
+    customers = [(k, f"c{k}", 0, "MACHINERY", 10.0) for k in (1, 2, 3)]
+    put("customer", customers, "c_custkey long, c_name string, c_nationkey long, c_mktsegment string, c_acctbal double")
+    put("orders", [(10, 1), (11, 1), (12, 2), (13, None), (14, 9)], "o_orderkey long, o_custkey long")
+    put("part", [(1, "red tin", "PROMO"), (2, "Red tin", "PROMO"), (3, "red tin", "LARGE"), (4, None, "LARGE"), (5, "red tin", "PROMO")],
+        "p_partkey long, p_name string, p_type string")
+    lines = [(10, 1), (10, 1), (11, 5), (11, 2), (11, 4), (12, 3), (12, 8), (13, 1), (14, 1), (None, 1)]
+    put("lineitem", lines, "l_orderkey long, l_partkey long")
+    listings = derive.feature_listings(spark, str(tmp_path))
+    plan = listings._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not [k for k in keys if "name#" in k]
+    found = {
+        r.property_id: r.amenities and [i.get("name") for i in json.loads(r.amenities)[0]["items"]] for r in listings.collect()
+    }
+    assert found == {"1": [None, "Wide TV Red tin", "Wide TV red tin"], "2": ["Red Tin"], "3": None}
