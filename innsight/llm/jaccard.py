@@ -193,23 +193,35 @@ def _payload(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest long, n int, bits array<long>, shingles array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) the digests (a, b) of those that link."""
-    small = sets.select("doc_id", "n", "bits")
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those of different sets whose sizes and bitmaps allow a link."""
+    small = sets.select("doc_id", "digest", "n", "bits")
     differ = F.aggregate(
         F.zip_with("x_bits", "y_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
         F.lit(0), lambda total, n: total + n,
     )
     # 100 i >= p u with u = x + y - i, and i is at most (x + y - differing bits) / 2
-    bounded = (
-        pairs.join(small.select(F.col("doc_id").alias("a"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits")), "a")
-        .where("x_n > 0")
-        .join(small.select(F.col("doc_id").alias("b"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits")), "b")
+    return (
+        pairs.join(small.toDF("a", "x_digest", "x_n", "x_bits"), "a")
+        .join(small.toDF("b", "y_digest", "y_n", "y_bits"), "b")
+        .where("x_digest != y_digest")
         .where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
         .where((100 + percent) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * percent * (F.col("x_n") + F.col("y_n")))
         .select("a", "b")
     )
 
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of documents (a, b) the digests (a, b) of those that link.
+
+    Two sets are compared once, however many documents hold them. Pairs are stored first, so
+    only the shingles of sets that stand in one are shuffled.
+    """
+    names = sets.select("doc_id", "digest").distinct()
+    named = pairs.join(names.toDF("a", "x_digest"), "a").join(names.toDF("b", "y_digest"), "b").where("x_digest != y_digest")
+    single = named.groupBy("x_digest", "y_digest").agg(F.min(F.struct("a", "b")).alias("p"))
+    single = stored(single.select("p.a", "p.b", "x_digest", "y_digest"), "pairs")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = []
@@ -230,10 +242,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column(c).filter(pa.array(keep)) for c in ("x_digest", "y_digest")], names=["a", "b"]
             )
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("digest").alias("x_digest"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("digest").alias("y_digest"), F.col("shingles").alias("y"))
+    left = within(sets, "doc_id", single, "a").select(F.col("doc_id").alias("a"), F.col("digest").alias("x_digest"), F.col("shingles").alias("x"))
+    right = within(sets, "doc_id", single, "b").select(F.col("doc_id").alias("b"), F.col("digest").alias("y_digest"), F.col("shingles").alias("y"))
     return (
-        bounded.join(right, "b").join(left, "a").select("x_digest", "y_digest", "x", "y")
+        single.join(right, ["b", "y_digest"]).join(left, ["a", "x_digest"]).select("x_digest", "y_digest", "x", "y")
         .mapInArrow(run, "a long, b long")
     )
 
@@ -344,14 +356,14 @@ def near_duplicate_groups(
 
     digests = sets.select("doc_id", "digest").distinct()
     first = hits.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(_linked(first, sets, percent), "links")
+    links = stored(_linked(_possible(first, sets, percent), sets, percent), "links")
     labels = components(links)
 
-    def labelled(frame: DataFrame, column: str, name: str) -> DataFrame:
-        """The label of a document's set: its component so far, else the set itself."""
-        own = digests.select(F.col("doc_id").alias(column), F.col("digest").alias("_d"))
-        known = labels.select(F.col("node").alias("_d"), F.col("label").alias("_l"))
-        return frame.join(own, column).join(known, "_d", "left").withColumn(name, F.coalesce("_l", "_d")).drop("_d", "_l")
+    def labelled() -> DataFrame:
+        """(key, doc_id, label): the label of a member's set is its component so far, else the set itself."""
+        known = labels.select(F.col("node").alias("digest"), F.col("label").alias("_l"))
+        own = digests.join(known, "digest", "left").select("doc_id", F.coalesce("_l", "digest").alias("label"))
+        return members.join(own, "doc_id")
 
     # One meeting per document has joined most. Of what shares a key and is still apart, the nearest
     # partners come next, and then every pair that the bitmaps allow.
@@ -359,7 +371,7 @@ def near_duplicate_groups(
     members = stored(members.distinct(), "members")
     small = sets.select("doc_id", "n", "bits")
     for nearest in (True, False):
-        apart = _crossing(labelled(members, "doc_id", "label"), small, percent, nearest)
+        apart = _crossing(labelled(), small, percent, nearest)
         rest = stored(_linked(apart, sets, percent), "links")
         links = links.unionByName(rest)
         if nearest:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from innsight.llm.work import slices
 
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-_CACHE, _TOGETHER, _SCORED = 300_000, 50_000, 4_000
+_CACHE, _TOGETHER, _BLOCK = 300_000, 4_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ def buckets_of(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 def _counted(texts: list[str], s: Settings) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """Per text the numbers and counts of its words; the buckets of all words in a row, and their ends.
 
-    A text's n-grams are not kept: they are many times its words, and two passes need them.
+    A text's n-grams are not kept: they are many times its words.
     """
     numbers: dict[str, int] = {}
     rows = []
@@ -132,6 +132,7 @@ def _counted(texts: list[str], s: Settings) -> tuple[list[tuple[np.ndarray, np.n
         found = np.fromiter((numbers.setdefault(w, len(numbers)) for w in counts), np.int32, len(counts))
         rows.append((found, np.fromiter(counts.values(), np.int32, len(counts))))
     words, parts, lengths = list(numbers), [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    numbers.clear()
     for start in range(0, len(words), _TOGETHER):
         found, owner = buckets_of(words[start : start + _TOGETHER], s)
         parts.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
@@ -146,6 +147,23 @@ def _grams(words: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> tuple[np
     return buckets[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
 
 
+def _gram_counts(
+    texts: list[str], at: np.ndarray, s: Settings
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the texts at ``at``: the place, the counts of its words, their buckets, how many each word has.
+
+    Some million characters are counted at once, so what is held does not grow with the texts.
+    """
+    sizes = np.cumsum([0, *(len(texts[i]) for i in at)])
+    start = 0
+    while start < len(at):
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + _BLOCK, "right")) - 1)
+        rows, buckets, ends = _counted([texts[i] for i in at[start:end]], s)
+        for i, (words, counts) in zip(at[start:end].tolist(), rows, strict=True):
+            yield i, counts, *_grams(words, buckets, ends)
+        start = end
+
+
 def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings(), seed: int = 7) -> Model:
     """Fit embeddings and softmax jointly: full-batch Adam on the log loss of the sample.
 
@@ -157,13 +175,12 @@ def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings()
     rng = np.random.default_rng(seed)
     softmax, bias = rng.normal(0, 0.5, (s.dims, 2)), np.zeros(2)
     full = np.zeros((s.buckets, s.dims))
-    rows, buckets, ends = _counted(texts, s)
-    use = np.array([i for i, (words, _) in enumerate(rows) if len(words)], dtype=np.int64)
+    use = np.array([i for i, text in enumerate(texts) if (text or "").strip()], dtype=np.int64)
     if not len(use) or len(np.unique(classes[use])) < 2:
         return Model(full, softmax * 0, bias, s)
     present = np.zeros((2, s.buckets))
-    for i in use:
-        present[classes[i], np.unique(_grams(rows[i][0], buckets, ends)[0])] += 1
+    for i, _, grams, _ in _gram_counts(texts, use, s):
+        present[classes[i], np.unique(grams)] += 1
     n = np.bincount(classes[use], minlength=2)
     rates, pooled = present / n[:, None], present.sum(0) / n.sum()
     z = np.abs(rates[1] - rates[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9)
@@ -175,14 +192,13 @@ def train(texts: list[str], classes: np.ndarray, settings: Settings = Settings()
     column = np.full(s.buckets, -1)
     column[chosen] = np.arange(len(chosen))
     x = np.zeros((len(use), len(chosen)), np.float32)
-    for row, i in enumerate(use):
-        words, counts = rows[i]
-        grams, lengths = _grams(words, buckets, ends)
+    for row, (_, counts, grams, lengths) in enumerate(_gram_counts(texts, use, s)):
         at = column[grams]
         shares = np.repeat(counts / counts.sum() / lengths, lengths)
         x[row] = np.bincount(at[at >= 0], shares[at >= 0], len(chosen))
     scale = np.sqrt((x**2).mean(0)) + 1e-9
-    x = (x / scale.astype(np.float32)).astype(np.float64)
+    x /= scale.astype(np.float32)
+    x = x.astype(np.float64)
 
     y = np.eye(2)[classes[use]]
     table = rng.normal(0, 0.01, (len(chosen), s.dims))
@@ -254,8 +270,8 @@ def learnt(
 def word_weights(words: list[str], weights: np.ndarray, s: Settings) -> np.ndarray:
     """What each word's n-grams weigh on average; some thousand words are cut into n-grams at once."""
     out = [np.empty(0)]
-    for start in range(0, len(words), _SCORED):
-        buckets, owner = buckets_of(words[start : start + _SCORED], s)
+    for start in range(0, len(words), _TOGETHER):
+        buckets, owner = buckets_of(words[start : start + _TOGETHER], s)
         out.append(np.bincount(owner, weights[buckets]) / np.bincount(owner))
     return np.concatenate(out)
 

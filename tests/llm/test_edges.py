@@ -471,3 +471,27 @@ def test_known_words_take_little_memory():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 100 * len(letters)  # bytes
+
+
+# --- near duplicates of the pipeline, and its driver's memory
+
+
+def test_two_sets_are_compared_once_and_never_with_themselves(spark):
+    one, near, far = prose(1), prose(1) + " w1", prose(2)
+    docs = spark.createDataFrame([(1, one), (2, one), (3, near), (4, near), (5, far)], "doc_id long, text string")
+    sets = jaccard._payload(docs, 5)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3), (3, 4), (1, 5)], "a long, b long")
+    digest = {r.doc_id: r.digest for r in sets.collect()}
+    assert [tuple(r) for r in jaccard._linked(pairs, sets, 80).collect()] == [(digest[1], digest[3])]
+
+
+def test_training_counts_some_texts_at_once(monkeypatch):
+    texts = [prose(k, 40) + (" bad" if k % 2 else " good") * 3 for k in range(60)] + ["", None, "  "]
+    classes = np.array([k % 2 for k in range(63)])
+    whole = toxicity.train(texts, classes)
+    held, counted = [], toxicity._counted
+    monkeypatch.setattr(toxicity, "_BLOCK", 1000)
+    monkeypatch.setattr(toxicity, "_counted", lambda part, s: held.append(sum(map(len, part))) or counted(part, s))
+    small = toxicity.train(texts, classes)
+    assert max(held) <= 1000 and sum(held) == 2 * sum(len(t) for t in texts[:60])
+    assert (small.embeddings == whole.embeddings).all() and (small.softmax == whole.softmax).all() and not whole.empty
