@@ -25,7 +25,12 @@ def normalise_review(text: Column) -> Column:
 
 
 def english_like(text: Column, max_non_ascii: float = 0.20) -> Column:
-    """True for text with a Latin letter and at most the given share of non-ASCII characters."""
+    """True for text with a Latin letter and at most the given share of non-ASCII characters.
+
+    Where any share will do, characters are not counted.
+    """
+    if max_non_ascii >= 1:
+        return text.rlike("[A-Za-z]")
     non_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))  # runs, not characters one by one
     share = non_ascii / F.greatest(F.length(text), F.lit(1))
     return text.rlike("[A-Za-z]") & (share <= F.lit(float(max_non_ascii)))

@@ -62,6 +62,7 @@ def topics_by_vector(
     partitions: int | None = None,
     vector_col: str = "vector",
     keep: Sequence[str] = ASSIGNMENT_KEY,
+    english_col: str | None = None,
 ) -> DataFrame:
     """Best topics per sentence: ``(*keep, topic, topic_similarity)``.
 
@@ -69,7 +70,8 @@ def topics_by_vector(
     broadcast once. A slice of sentences is scored against all topics in one product and only
     the best topics become rows, so the step needs no join, no shuffle and no loop over
     sentences. Sentences that are not English-like or have no vector are left out.
-    Name all sentence columns in ``keep`` to get the enriched sentences straight away.
+    Name all sentence columns in ``keep`` to get the enriched sentences straight away. Where the
+    texts are not at hand, ``english_col`` tells which of them are English-like.
     """
     vector = F.col(vector_col).cast("array<double>")
     usable = topics.select("topic", vector.alias("vector")).where(F.exists("vector", lambda x: x != 0))
@@ -83,9 +85,8 @@ def topics_by_vector(
     names = np.array([r["topic"] for r in rows], dtype=object)
     shared = sentences.sparkSession.sparkContext.broadcast((names, matrix))
 
-    base = sentences.filter(
-        tx.english_like(F.col("sentence_text"), max_non_ascii) & F.col(vector_col).isNotNull()
-    )
+    english = F.col(english_col) if english_col else tx.english_like(F.col("sentence_text"), max_non_ascii)
+    base = sentences.filter(english & F.col(vector_col).isNotNull())
     if partitions is not None:
         base = base.repartition(partitions)
     given = base.select(*keep, vector.alias("_vector"))

@@ -19,7 +19,7 @@ from innsight.operators import word_sentiment as ws
 from innsight.operators import word_vectors as wv
 from innsight.plans import property_comparison as pc
 from innsight.sources import tables
-from innsight.sources.shared import shared_folder
+from innsight.sources.shared import discarded, shared_folder
 from suite import derive as d
 from suite.derive import costly, table, with_sql
 from suite.registry import query
@@ -488,18 +488,23 @@ def topic_by_meaning(spark, sf_dir):
 
     Counted apart by whether the sentence shares a word with its topic.
     """
-    rows = d.source_sentences(spark, sf_dir)
-    counts = wv.word_counts(rows)
-    words = wv.fit_words(wv.ppmi(wv.pair_counts(rows, counts)))
     topics = spark.createDataFrame(list(_MEANINGS.items()), "topic string, sentence_text string")
+    meant = {r["topic"]: r["words"] for r in topics.select("topic", wv.words_of(F.col("sentence_text")).alias("words")).collect()}
+    noted = d.source_sentences(spark, sf_dir).withColumn("english", tx.english_like(F.col("sentence_text"), 1.0))
+    rows = wv.split_texts(noted, (*_SENTENCE_KEY, "english"), marks=list(meant.values()))
+    counts = wv.word_counts(rows)
+    pairs = wv.pair_counts(rows, counts)
+    words = wv.fit_words(wv.ppmi(pairs))
+    discarded(pairs.blocks)
     tagged = tp.topics_by_vector(
         wv.with_sentence_vectors(rows, words, counts, _SENTENCE_KEY), wv.with_sentence_vectors(topics, words, counts, ("topic",)),
-        threshold=0.2, top_n=1, max_non_ascii=1.0, keep=("review_idx", "sentence_text"),
+        threshold=0.2, top_n=1, max_non_ascii=1.0, keep=("review_idx", "marks"), english_col="english",
     )
-    shared = F.arrays_overlap(wv.words_of(F.col("sentence_text")), wv.words_of(F.col("topic_text")))
+    bit = F.element_at(F.create_map(*[F.lit(x) for k, topic in enumerate(meant) for x in (topic, k)]), F.col("topic"))
+    shared = F.getbit("marks", bit) == 1
+    of_texts = tagged.groupBy("review_idx", "topic", shared.alias("shares_a_word")).agg(F.count("*").alias("n"))
     lang = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("review_idx"), "lang")
-    named = tagged.join(topics.withColumnRenamed("sentence_text", "topic_text"), "topic").join(lang, "review_idx")
-    return named.groupBy("lang", "topic", shared.alias("shares_a_word")).agg(F.count("*").alias("sentences"))
+    return of_texts.join(lang, "review_idx").groupBy("lang", "topic", "shares_a_word").agg(F.sum("n").alias("sentences"))
 
 
 @query(with_sql(
