@@ -38,7 +38,7 @@ GATHERED, LONG_ROW = 1 << 17, 128
 BLOB_ROWS, CHUNK_WORDS, GROUP_WORDS = 1024, 1 << 22, 1 << 25
 #: Of pairs of split texts: words of a piece (16 bits number them), places of a block on average,
 #: places that a task holds, pairs of a blob, words whose sums a task holds, vectors of a blob.
-PIECE_WORDS, BLOCK_PLACES, PLACES_HELD, BLOB_PAIRS, PART_WORDS, BLOB_VECTORS = 1 << 16, 1 << 24, 2_000_000, 1 << 19, 1 << 18, 2048
+PIECE_WORDS, BLOCK_PLACES, PLACES_HELD, BLOB_PAIRS, PART_WORDS, BLOB_VECTORS = 1 << 16, 1 << 23, 1_000_000, 1 << 19, 1 << 18, 2048
 #: Rows of an Arrow batch where rows are blobs, and words that are few enough to be sent to every task.
 BLOB_BATCH, FEW_WORDS = 8, 10_000
 
@@ -260,19 +260,18 @@ def _near(pieces: int, window: int, most: int) -> Callable:
                 found.setdefault(block, []).append((low, n))
 
         if texts.num_rows and known.num_rows:
-            ids = np.concatenate([_unpacked(x.as_buffer(), "<u4") for x in texts["ids"]])
-            sizes = np.concatenate([_unpacked(x.as_buffer(), "<u4") for x in texts["sizes"]])
-            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            code = np.full(max(int(ids.max(initial=0)), pc.max(known["local"]).as_py()) + 1, -1, np.int64)
+            code = np.full(pc.max(known["local"]).as_py() + 1, -1, np.int64)
             number = known["id"].to_numpy()
             code[known["local"].to_numpy()] = (number % pieces) << 16 | number // pieces
-            places, step = 0, 1 << 17
-            for start in range(0, len(ids), step):
-                each, of_row = code[ids[start : start + step + window]], row[start : start + step + window]
+            places = 0
+            for ids, sizes in zip(texts["ids"], texts["sizes"], strict=True):
+                # no text goes on in the next blob
+                ids, sizes = _unpacked(ids.as_buffer(), "<u4"), _unpacked(sizes.as_buffer(), "<u4")
+                row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+                each = np.where(ids < len(code), code[np.minimum(ids, len(code) - 1)], -1)
                 for k in range(1, window + 1):
-                    y, y_row = each[k : k + step], of_row[k : k + step]
-                    x, x_row = each[: len(y)], of_row[: len(y)]
-                    good = np.flatnonzero((x_row == y_row) & (x >= 0) & (y >= 0) & (x != y))
+                    x, y = each[:-k], each[k:]
+                    good = np.flatnonzero((row[:-k] == row[k:]) & (x >= 0) & (y >= 0) & (x != y))
                     low, high = np.minimum(x, y)[good], np.maximum(x, y)[good]
                     block = (low >> 16) * pieces + (high >> 16)
                     held.append((block << 32 | (low & 0xFFFF) << 16 | (high & 0xFFFF)).astype(np.uint64))
@@ -534,7 +533,7 @@ def _starts(words: int, pieces: int, dims: int, most: int) -> Callable:
         hashes = flatten_vectors(rows["hashes"].combine_chunks()).view(np.uint64)
         for j in range(dims):
             bits[number, j] = hashes[:, j // 64] >> np.uint64(j % 64) & np.uint64(1)
-        return _vector_blobs({piece: 1.0 - 2.0 * bits}, {}, most)
+        return pa.Table.from_batches(_vector_blobs(piece, 1.0 - 2.0 * bits, None, most))
 
     return work
 
@@ -542,15 +541,12 @@ def _starts(words: int, pieces: int, dims: int, most: int) -> Callable:
 _VECTORS = "piece int, start int, data binary, met binary"
 
 
-def _vector_blobs(matrices: dict[int, np.ndarray], met: dict[int, np.ndarray], most: int) -> pa.Table:
-    """Rows of matrices as blobs; ``met`` tells which words are in a pair."""
-    rows = [
-        (piece, start, matrix[start : start + most].tobytes(), met[piece][start : start + most].tobytes() if piece in met else None)
-        for piece, matrix in matrices.items() for start in range(0, len(matrix), most)
-    ]
-    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-    kinds = (("piece", pa.int32()), ("start", pa.int32()), ("data", pa.binary()), ("met", pa.binary()))
-    return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
+def _vector_blobs(piece: int, matrix: np.ndarray, met: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a piece's matrix as blobs, one at a time; ``met`` tells which words are in a pair."""
+    for start in range(0, len(matrix), most):
+        flags = None if met is None else met[start : start + most].tobytes()
+        columns = (([piece], pa.int32()), ([start], pa.int32()), ([matrix[start : start + most].tobytes()], pa.binary()), ([flags], pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=["piece", "start", "data", "met"])
 
 
 def _matrix(blob: pa.BinaryScalar, dims: int) -> np.ndarray:
@@ -583,9 +579,9 @@ def _products(pairs: BlockedPairs, dims: int, most: int) -> Callable:
 
         def ended() -> Iterator[pa.RecordBatch]:
             for piece in list(sums):
-                inner = sums[piece].T @ sums[piece]
-                yield from _vector_blobs({piece: sums.pop(piece)}, met, most).to_batches(max_chunksize=BLOB_BATCH)
-                yield from _vector_blobs({-1: inner}, {}, dims).to_batches()
+                matrix = sums.pop(piece)
+                yield from _vector_blobs(-1, matrix.T @ matrix, None, dims)
+                yield from _vector_blobs(piece, matrix, met[piece], most)
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -739,7 +735,7 @@ def _means(schema: pa.Schema, keys: Sequence[str], output: str) -> Callable:
                 if not kinds[start]:
                     places, row = part["places"], sum(len(x) for x in found)
                     found.append(flatten_vectors(part["vector"]))
-                    each = np.repeat(np.arange(row, row + len(places)), pc.list_value_length(places).to_numpy())
+                    each = np.repeat(np.arange(row, row + len(places), dtype=np.int32), pc.list_value_length(places).to_numpy())
                     chunk, local = (x.to_numpy() for x in places.flatten().flatten())
                     for c in np.unique(chunk):
                         at.setdefault(int(c), []).append((local[chunk == c], each[chunk == c]))
@@ -756,11 +752,11 @@ def _means(schema: pa.Schema, keys: Sequence[str], output: str) -> Callable:
                     ids, sizes = _unpacked(part["ids"][k].as_buffer(), "<u4"), _unpacked(part["sizes"][k].as_buffer(), "<u4")
                     places = at.get(part["chunk"][k].as_py(), [])
                     if isinstance(places, list):
-                        lookup = np.full(max([0, *(int(x.max()) + 1 for x, _ in places)]), -1)
+                        lookup = np.full(max([0, *(int(x.max()) + 1 for x, _ in places)]), -1, np.int32)
                         for local, each in places:
                             lookup[local] = each
                         places = at[part["chunk"][k].as_py()] = lookup
-                    place = np.full(len(ids), -1)
+                    place = np.full(len(ids), -1, np.int32)
                     inside = ids < len(places)
                     place[inside] = places[ids[inside]]
                     row = np.repeat(np.arange(len(sizes)), sizes)
