@@ -38,7 +38,7 @@ GATHERED, LONG_ROW = 1 << 17, 128
 BLOB_ROWS, CHUNK_WORDS, GROUP_WORDS = 1024, 1 << 22, 1 << 25
 #: Of pairs of split texts: words of a piece (16 bits number them), places of a block on average,
 #: places that a task holds, pairs of a blob, words whose sums a task holds, vectors of a blob.
-PIECE_WORDS, BLOCK_PLACES, PLACES_HELD, BLOB_PAIRS, PART_WORDS, BLOB_VECTORS = 1 << 16, 1 << 23, 1_000_000, 1 << 19, 1 << 18, 2048
+PIECE_WORDS, BLOCK_PLACES, PLACES_HELD, BLOB_PAIRS, PART_WORDS, BLOB_VECTORS = 1 << 16, 1 << 22, 1_000_000, 1 << 19, 1 << 18, 2048
 #: Rows of an Arrow batch where rows are blobs, and words that are few enough to be sent to every task.
 BLOB_BATCH, FEW_WORDS = 8, 10_000
 
@@ -296,9 +296,17 @@ def _near(pieces: int, window: int, most: int) -> Callable:
 
 def _joined(blobs: Sequence[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a block's blobs, ascending and once each, and the sums of their numbers."""
-    keys = np.concatenate([_low(low).astype(np.uint64) << np.uint64(32) | _unpacked(n, "<u8") for low, n in blobs])
+    counts = [_unpacked(n, "<u8") for _, n in blobs]
+    keys, filled = np.empty(sum(map(len, counts)), np.uint64), 0
+    for k, (low, _) in enumerate(blobs):
+        part = keys[filled : filled + len(counts[k])]
+        part[:] = _low(low)
+        part <<= np.uint64(32)
+        part |= counts[k]
+        filled, counts[k] = filled + len(part), None
     keys.sort()
-    n, keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
+    n = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    keys >>= np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(n, first)
 
